@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, line_dedup, quality_rules
+from . import bpe, chat_format, exact_dedup, line_dedup, packing, quality_rules
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op2_bpe": bpe.op2_bpe,
         "op3_chat_format": chat_format.op3_chat_format,
+        "op5_packing": packing.op5_packing,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op9_quality_rules": quality_rules.op9_quality_rules,
     }
