@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, exact_dedup, line_dedup, packing, quality_rules
+from . import bpe, chat_format, exact_dedup, line_dedup, packing, quality_cnn, quality_rules
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_packing": packing.op5_packing,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op9_quality_rules": quality_rules.op9_quality_rules,
+        "op10_quality_cnn": quality_cnn.op10_quality_cnn,
     }
 
 
