@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, exact_dedup, line_dedup, packing, quality_cnn, quality_rules
+from . import bpe, chat_format, exact_dedup, html_extract, line_dedup, packing, quality_cnn, quality_rules, secret_crf
 
 
 def queries() -> dict:
@@ -12,6 +12,8 @@ def queries() -> dict:
         "op3_chat_format": chat_format.op3_chat_format,
         "op5_packing": packing.op5_packing,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op7_html_extract": html_extract.op7_html_extract,
+        "op8_secret_scan": secret_crf.op8_secret_scan,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_quality_cnn": quality_cnn.op10_quality_cnn,
     }
