@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, exact_dedup, html_extract, line_dedup, packing, quality_cnn, quality_rules, secret_crf
+from . import bpe, chat_format, exact_dedup, html_extract, line_dedup, ngram_join, packing, quality_cnn, quality_rules, secret_crf
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op2_bpe": bpe.op2_bpe,
         "op3_chat_format": chat_format.op3_chat_format,
+        "op4_ngram_join": ngram_join.op4_ngram_join,
         "op5_packing": packing.op5_packing,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_html_extract": html_extract.op7_html_extract,
