@@ -63,13 +63,12 @@ class ByteCNN:
         for d, text in enumerate(texts):
             n = max(1, len(text))
             parts += [text if len(text) else b"\0", pad]
-            first = np.arange(at, at + n, BLOCK)
+            first = np.append(np.arange(at, at + n, BLOCK), at + n)  # the padding is a block of its own, which no chunk takes in
             starts.append(first)
-            owner.append(np.full(len(first), d))
+            owner.append(np.append(np.full(len(first) - 1, d), -1))
             at += n + WIDTH - 1
         data = np.frombuffer(b"".join(parts), np.uint8)
         starts, owner = np.concatenate(starts), np.concatenate(owner)
-        # blocks end where the next begins; a document's last block also takes in the windows that begin in its padding
         top = np.empty((len(starts), FILTERS), np.float32)
         cuts = np.append(starts, len(data))
         b = 0
@@ -81,6 +80,7 @@ class ByteCNN:
                 piece = np.concatenate([piece, np.zeros(hi - lo + WIDTH - 1 - len(piece), np.uint8)])
             top[b:e] = np.maximum.reduceat(self.responses(piece), starts[b:e] - lo, axis=0)
             b = e
+        top, owner = top[owner >= 0], owner[owner >= 0]
         pooled = top.copy()
         same = owner[1:] == owner[:-1]
         pooled[:-1][same] = np.maximum(top[:-1][same], top[1:][same])
