@@ -38,6 +38,8 @@ from .components import components
 WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9995, 128
 #: Bounds of a block: members, and n-grams of all its members (or one member of any size).
 BLOCK_MEMBERS, BLOCK_GRAMS = 512, 400_000
+#: Ids of candidates up to this number are broadcast (ids alone), so that other texts are not shuffled.
+BROADCAST_IDS = 500_000
 #: Columns of a matrix at once.
 SPAN = 4096
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
@@ -223,7 +225,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")).select("root", "blocks", "block", "digest", F.col("copy_id").alias("doc_id")),
         "members",
     )
-    texts = docs.join(members, docs.doc_id.eqNullSafe(members.doc_id)).select("root", "blocks", "block", "digest", "text")
+    if members.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # else all texts are shuffled to their sets
+        wanted = members.select(F.col("doc_id").alias("_wanted")).distinct()
+        docs = docs.join(F.broadcast(wanted), docs.doc_id.eqNullSafe(F.col("_wanted")), "left_semi")
+    near = members.hint("merge")
+    texts = docs.join(near, docs.doc_id.eqNullSafe(near.doc_id)).select("root", "blocks", "block", "digest", "text")
 
     def sets(batches):
         for part, column in text_slices(batches, 4, 4 << 20):
