@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
+from . import relational
+from .registry import Tables, oracle_sql, queries
 
-def entry(spark, sf_dir):
-    raise NotImplementedError
-
+__all__ = ["entry", "oracle_sql", "queries"]
 
-def queries() -> dict:
-    return {}
 
-
-def oracle_sql() -> dict[str, str]:
-    return {}
+def entry(spark, sf_dir):
+    """Spend by month and initiator."""
+    return relational.ag01(Tables(spark, sf_dir))
