@@ -28,7 +28,7 @@ def set_fingerprint(values: Column) -> Column:
 
 def cleaned_list(values: Column) -> Column:
     """Trimmed, non-empty, first of each spelling without regard to case."""
-    own = F.filter(F.transform(values, F.trim), lambda v: v != "")
+    own = F.filter(F.transform(values, lambda x: F.trim(x)), lambda v: v != "")
     keys = F.transform(own, F.lower)
     return F.filter(own, lambda v, i: F.array_position(keys, F.lower(v)) == i + 1)
 

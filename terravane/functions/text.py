@@ -122,7 +122,7 @@ def distinctive_words(value: Column, least: int = 4, stop: Sequence[str] = STOP_
 
 def sentences(value: Column) -> Column:
     """Sentences: split after a mark followed by white space."""
-    return F.filter(F.transform(F.split(value, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(value, r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def quote_on_page(quote: Column, page: Column, share: float = 0.8, least: int = 4) -> Column:
@@ -201,7 +201,7 @@ def markers(value: Column, pattern: str) -> Column:
 
 def truncated(value: Column, most: int) -> Column:
     """The text up to the last word that fits, with an ellipsis if anything was cut."""
-    cut = F.regexp_replace(F.substring(value, 1, most), r"\s+\S*$", "")
+    cut = F.regexp_replace(F.substring(value, 1, most), r"\s+\S*\z", "")
     return F.when(F.length(value) <= most, value).otherwise(F.concat(cut, F.lit("…")))
 
 

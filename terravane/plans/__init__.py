@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import relational
+from . import relational, scalars
 from .registry import Tables, oracle_sql, queries
 
 __all__ = ["entry", "oracle_sql", "queries"]
