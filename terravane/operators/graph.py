@@ -12,10 +12,12 @@ def families(nodes: DataFrame, edges: DataFrame, node: str, child: str, parent:
     Ancestors are doubled each round, so depth costs its logarithm in joins; a node that is its own ancestor is on a cycle.
     """
     up = edges.select(F.col(child).alias("n"), F.col(parent).alias("p")).distinct()
+    _checkpoint_dir(edges.sparkSession)
+    up = up.checkpoint()
     reach, span = up, 1
     while span < depth:
         further = reach.join(reach.select(F.col("n").alias("_n"), F.col("p").alias("_p")), F.col("p") == F.col("_n")).select("n", F.col("_p").alias("p"))
-        reach, span = reach.unionAll(further).distinct(), span * 2
+        reach, span = reach.unionAll(further).distinct().checkpoint(), span * 2
     own = reach.groupBy("n").agg(F.max((F.col("n") == F.col("p")).cast("int")).alias("on_cycle"))
     bad = own.where("on_cycle = 1").select("n")
     roots = reach.join(up.select(F.col("n").alias("p")).distinct(), "p", "left_anti").groupBy("n").agg(F.count_distinct("p").alias("roots"), F.min("p").alias("root"))

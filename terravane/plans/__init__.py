@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import relational, scalars
+from . import domain, relational, scalars
 from .registry import Tables, oracle_sql, queries
 
 __all__ = ["entry", "oracle_sql", "queries"]
 
 
 def entry(spark, sf_dir):
-    """Spend by month and initiator."""
-    return relational.ag01(Tables(spark, sf_dir))
+    """Hybrid retrieval: vector and keyword lists fused by reciprocal rank."""
+    return domain.tk03(Tables(spark, sf_dir))
