@@ -78,9 +78,10 @@ def radius_join(left: DataFrame, right: DataFrame, miles: float, on: Sequence[st
     band = lambda lat: F.floor((lat + 90) / step).cast("int")
 
     def cells(b):
-        edge = F.least(F.greatest(F.abs(b * step - 90 - step), F.abs((b + 1) * step - 90 + step)), F.lit(89.0))
-        half = F.asin(F.least(F.lit(1.0), F.sin(F.lit(miles / EARTH_RADIUS_MILES / 2)) / F.cos(F.radians(edge)))) * 2
-        return F.greatest(F.lit(1), F.floor(360.0 / F.degrees(half)).cast("int"))
+        edge = F.greatest(F.abs(b * step - 90 - step), F.abs((b + 1) * step - 90 + step))
+        width = F.sin(F.lit(miles / EARTH_RADIUS_MILES / 2)) / F.cos(F.radians(F.least(edge, F.lit(89.999))))
+        whole = F.floor(360.0 / F.degrees(2 * F.asin(F.least(F.lit(1.0), width * 1.0001)))).cast("int")
+        return F.when(edge >= 89.999, F.lit(1)).otherwise(F.greatest(F.lit(1), whole))  # one cell around a pole
 
     cell = lambda lon, n: F.pmod(F.floor((lon + 180) / 360.0 * n).cast("int"), n)
     l = left.withColumn("_band", band(F.col("lat")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections.abc import Sequence
 
@@ -18,7 +19,7 @@ def sniffed(head: bytes) -> tuple[str, str]:
     """(encoding, delimiter) from the first bytes of a file: UTF-8 where it decodes, else Windows-1252."""
     line = head.removeprefix(b"\xef\xbb\xbf").split(b"\n", 1)[0]
     try:
-        line.decode("utf-8")
+        codecs.getincrementaldecoder("utf-8")().decode(head)  # a character cut off at the end of the head is no error
         encoding = "UTF-8"
     except UnicodeDecodeError:
         encoding = "windows-1252"
