@@ -161,7 +161,7 @@ class PrefixBPE:
     def encode_texts(self, texts: pa.Array):
         """(bytes of ids, bytes of decoded text) of each text of an Arrow array."""
         offsets, indices, distinct = chunked(texts)
-        coded = [self.encoded_chunk(c) for c in distinct]
+        coded = [self.encoded_chunk(c) for c in distinct.to_pylist()]
         ids, id_at = gathered([c[0] for c in coded], indices, offsets)
         said, said_at = gathered([c[1] for c in coded], indices, offsets)
         for r in range(len(texts)):

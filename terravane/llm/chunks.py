@@ -29,17 +29,21 @@ def text_slices(batches, text: int, limit: int = SLICE_BYTES):
             at = to
 
 
-def chunked(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def chunked(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Row offsets, chunk indices, distinct chunks: row r is " ".join(distinct[i] for i in indices[offsets[r]:offsets[r+1]])."""
     lists = pc.split_pattern(texts, " ")
     coded = lists.flatten().dictionary_encode()
     offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
-    return offsets, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+    return offsets, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
 
 def gathered(values: list[bytes], indices: np.ndarray, offsets: np.ndarray) -> tuple[memoryview, np.ndarray]:
     """The values at the indices as one run of bytes, and the byte bounds of each row in it."""
-    run = pa.array(values, pa.large_binary()).take(pa.array(indices))
+    return gathered_array(pa.array(values, pa.large_binary()), indices, offsets)
+
+
+def gathered_array(values: pa.Array, indices: np.ndarray, offsets: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    run = values.take(pa.array(indices))
     bounds = np.frombuffer(run.buffers()[1], dtype=np.int64, count=len(run) + 1)
     data = run.buffers()[2]
     return memoryview(data) if data is not None else memoryview(b""), bounds[offsets]

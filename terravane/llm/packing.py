@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Bounded, chunked, gathered, text_slices
+from .chunks import chunked, gathered_array, text_slices
 from .common import table, written
 
 WINDOW = 2048
@@ -40,15 +41,20 @@ MERGED_PARTITIONS = 32
 _LEFTOVER_BIT = 1 << 61
 
 
+#: White space of any kind, for patterns of Arrow.
+_SPACE = r"[\s\pZ\x{85}\x{1c}-\x{1f}]"
+#: Bytes of text encoded at once.
+SLICE = 16 << 20
+
+
 class ByteBPE:
-    """Ids of whole texts by the tokenizers library, each distinct chunk between spaces encoded once while it is cached.
+    """Ids of whole texts by the tokenizers library, each distinct chunk between spaces encoded once a slice of rows.
 
     The pre-tokenizer joins a single space to what follows it, so where no other white space touches a space, the ids of a
-    text are those of its chunks with their spaces. Distinct new chunks are encoded together in long strings and told
-    apart by byte lengths. Texts in which white space touches a space are encoded as they are.
+    text are those of its chunks with their spaces. Texts in which white space touches a space are encoded as they are.
     """
 
-    #: Characters of new chunks encoded in one string.
+    #: Bytes of chunks encoded in one string.
     JOINED = 1 << 16
 
     def __init__(self, path: str):
@@ -61,63 +67,50 @@ class ByteBPE:
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
         size = self.model.get_vocab_size()
         self.bytes_of = np.array([len(self.model.id_to_token(i) or "") for i in range(size)], dtype=np.int64)
-        self.inner: Bounded = Bounded()
-        self.first: Bounded = Bounded(50_000)
+        self.odd_chunk = "|".join([f"^{_SPACE}", f"{_SPACE}$", "^$", *map(re.escape, self.special)])
 
     def ids(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, chunks: list[str], found: dict) -> None:
-        """Ids of " chunk" for chunks that neither begin nor end with white space nor hold a special token."""
-        group, size = [], 0
-        groups = []
-        for c in chunks:
-            group.append(c)
-            size += len(c) + 1
-            if size > self.JOINED:
-                groups.append(group)
-                group, size = [], 0
-        groups.append(group)
-        for group, coded in zip(groups, self.model.encode_batch_fast([" " + " ".join(g) if g else "" for g in groups], add_special_tokens=False)):
-            ids = np.array(coded.ids, "<u4")
-            ends = np.cumsum(self.bytes_of[ids])
-            wanted = np.cumsum([len(c.encode("utf-8")) + 1 for c in group])
-            cuts = np.searchsorted(ends, wanted) + 1
-            if len(group) and (cuts[-1] != len(ids) or (ends[cuts - 1] != wanted).any()):
-                found.update((c, self.ids(" " + c)) for c in group)
-                continue
-            at = 0
-            for c, to in zip(group, cuts):
-                found[c] = ids[at:to].tobytes()
-                at = to
+    def _coded(self, distinct: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Ids of " chunk" as bytes, and where each distinct chunk stands among them.
+
+        Chunks are joined to long strings, encoded together and told apart by byte lengths. Empty chunks, those with white
+        space at an end and those that hold a special token are encoded one by one.
+        """
+        odd = pc.match_substring_regex(distinct, self.odd_chunk)
+        alone, joined = distinct.filter(odd).to_pylist(), distinct.filter(pc.invert(odd))
+        ends = np.cumsum(pc.binary_length(joined).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        marks = np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, self.JOINED), side="right")
+        bounds, own = np.unique(np.concatenate([[0], marks, [len(joined)]])).tolist(), joined.to_pylist()
+        coded = self.model.encode_batch_fast([" " + " ".join(own[a:b]) for a, b in zip(bounds, bounds[1:])], add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, "<u4"), *(np.array(e.ids, "<u4") for e in coded)])
+        token_ends = np.cumsum(self.bytes_of[ids])
+        cuts = np.searchsorted(token_ends, ends) + 1
+        if len(ends) and (cuts[-1] != len(ids) or (token_ends[cuts - 1] != ends).any()):  # a token over the border of two chunks
+            alone, joined, cuts, ids = [*alone, *joined.to_pylist()], joined.slice(0, 0), cuts[:0], ids[:0]
+            order = np.concatenate([np.flatnonzero(odd.to_numpy(zero_copy_only=False)), np.flatnonzero(~odd.to_numpy(zero_copy_only=False))])
+        else:
+            order = np.concatenate([np.flatnonzero(~odd.to_numpy(zero_copy_only=False)), np.flatnonzero(odd.to_numpy(zero_copy_only=False))])
+        offsets = np.append(0, cuts * 4).astype(np.int64)
+        many = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u4").tobytes())])
+        place = np.empty(len(distinct), np.int64)
+        place[order] = np.arange(len(distinct))
+        return pa.concat_arrays([many, pa.array([self.ids(" " + c) for c in alone], pa.large_binary())]), place
 
     def encode_texts(self, texts: pa.Array):
         """Bytes of the little-endian 32-bit ids of each text."""
-        odd = pc.match_substring_regex(texts, r"( [\s\pZ\x{85}\x{1c}-\x{1f}])|([\s\pZ\x{85}\x{1c}-\x{1f}] )").to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, rf"( {_SPACE})|({_SPACE} )").to_numpy(zero_copy_only=False)
         offsets, indices, distinct = chunked(texts)
-        found: dict[str, bytes] = {}
-        new = []
-        for c in distinct:
-            held = self.inner.get(c)
-            if held is not None:
-                found[c] = held
-            elif not c or c[0].isspace() or c[-1].isspace() or any(s in c for s in self.special):
-                found[c] = self.ids(" " + c)
-            else:
-                new.append(c)
-        if new:
-            self._learn(new, found)
-            for c in new:
-                self.inner.put(c, found[c])
-        values = [found[c] for c in distinct]
-        for r in range(len(texts)):
-            c = distinct[indices[offsets[r]]]
-            held = self.first.get(c)
-            if held is None:
-                held = self.first.put(c, self.ids(c))
-            indices[offsets[r]] = len(values)
-            values.append(held)
-        run, at = gathered(values, indices, offsets)
+        values, place = self._coded(distinct)
+        firsts = indices[offsets[:-1]]
+        indices = place[indices]
+        begun: dict[int, int] = {}
+        for c in firsts.tolist():
+            begun.setdefault(c, len(values) + len(begun))
+        starts = pa.array([self.ids(c) for c in distinct.take(pa.array(list(begun), pa.int64())).to_pylist()], pa.large_binary())
+        indices[offsets[:-1]] = [begun[c] for c in firsts.tolist()]
+        run, at = gathered_array(pa.concat_arrays([values, starts]), indices, offsets)
         for r in range(len(texts)):
             yield self.ids(texts[r].as_py()) if odd[r] else run[at[r] : at[r + 1]]
 
@@ -198,7 +191,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         closed = _Sequences(part << 32)
         windows = Windows(closed, window, open_windows, least_cut)
         end = np.array([END_ID], "<u4").tobytes()
-        for rows, texts in text_slices(batches, 1):
+        for rows, texts in text_slices(batches, 1, SLICE):
             for doc_id, ids in zip(rows.column(0).to_pylist(), bpe.encode_texts(texts)):
                 ids = bytes(ids) + end
                 total = len(ids) // 4
