@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import domain, relational, scalars
+from . import domain, more, relational, scalars
 from .registry import Tables, oracle_sql, queries
 
-__all__ = ["entry", "oracle_sql", "queries"]
+__all__ = ["entry", "more", "oracle_sql", "queries", "relational", "scalars"]
 
 
 def entry(spark, sf_dir):
