@@ -281,7 +281,7 @@ def _(t):
     return t.documents.select("doc_id", "lang").join(live, "doc_id", "left").where("lang <> 'en' OR live").select("doc_id")
 
 
-@plan("fi05_safe_select", None)
+@plan("fi05_safe_select", "SELECT c_mktsegment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment LIMIT 200")
 def _(t):
     from ..operators.guard import safe_select
 

@@ -244,3 +244,20 @@ def test_listing_cards(spark):
     frame = spark.createDataFrame([(1, "<li><a href=\"/a\">A</a></li><li><a href=\"/b\">B</a></li>"), (2, None)], "page_id bigint, html string")
     got = [tuple(r) for r in pages.listing_cards(frame, r"<li><a [^>]*>[^<]*</a></li>", {"link": r'href="([^"]*)"'}, ["page_id"]).collect()]
     assert got == [(1, 0, "/a"), (1, 1, "/b")]
+
+
+def test_workbooks_and_text_files(spark, tmp_path):
+    import zipfile
+
+    from terravane.sources import sheets
+
+    cell = '<c r="{}" t="inlineStr"><is><t>{}</t></is></c>'
+    body = f'<row r="1">{cell.format("A1", "Name")}{cell.format("B1", "City")}</row><row r="2"/><row r="3">{cell.format("A3", "Ann")}<c r="B3" t="s"><v>0</v></c></row>'
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>')
+        z.writestr("xl/sharedStrings.xml", '<sst xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><si><t>Rome</t></si></sst>')
+    assert [(r.row_number, r["values"]) for r in sheets.read_xlsx(spark, str(tmp_path)).collect()] == [(3, {"Name": "Ann", "City": "Rome"})]
+    with pytest.raises(ValueError):
+        sheets.check_container(b"0" * (sheets.MOST_BYTES + 1))
+    (tmp_path / "b.txt").write_bytes("a\r\nZ\xfcrich ".encode("latin-1"))
+    assert sheets.read_text_files(spark, str(tmp_path)).first().text == "a\nZürich"
