@@ -135,10 +135,15 @@ class ByteCNN:
             order = rng.permutation(len(rows))
 
 
+def usable_labels(labels: DataFrame) -> DataFrame:
+    """doc_id, quality: one 0 or 1 for each labelled id outside the held-out fold."""
+    usable = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
+    return usable.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+
+
 def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """quality, chunks (array of binary): at most TRAIN_ROWS rows a class, none of the held-out fold."""
-    usable = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
-    usable = usable.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    usable = usable_labels(labels)
     picked = [usable.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS) for q in (0, 1)]
     rows = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").select("doc_id", "quality", "text")
 
@@ -164,6 +169,9 @@ def train(docs: DataFrame, labels: DataFrame) -> ByteCNN | float:
         return (float(y.sum()) + 1) / (len(y) + 2)
     net = ByteCNN()
     net.fit([r[2] for r in rows], y)
+    # classes count equally in the fit; the offset brings back their odds among all usable labels, which decide texts too short to tell
+    zeros, ones = usable_labels(labels).agg(F.sum(1 - F.col("quality")), F.sum("quality")).first()
+    net.offset += np.float32(np.log(max(1, ones) / max(1, zeros)))
     return net
 
 
