@@ -58,8 +58,8 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 50) -> DataF
 
 
 def _checkpoint_dir(spark) -> None:
-    """The cluster's shared checkpoint folder is used as it is set; only a session without one gets a folder of its own."""
-    if spark.conf.get("spark.checkpoint.dir", None) is None and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    """The folder of spark.checkpoint.dir, which a cluster sets, becomes the checkpoint folder; only a session without one gets its own."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="terravane-"))
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terravane-"))
