@@ -141,8 +141,13 @@ class PrefixBPE:
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text: special tokens, then normal form C, lower case character by character, words, ids."""
-        if self.special_pattern is not None and (m := self.special_pattern.search(text)):
-            return [*self.encode(text[: m.start()]), self.special[m[0]], *self.encode(text[m.end() :])]
+        ids, at = [], 0
+        for m in self.special_pattern.finditer(text) if self.special_pattern is not None else ():
+            ids += [*self._encode_plain(text[at : m.start()]), self.special[m[0]]]
+            at = m.end()
+        return ids + self._encode_plain(text[at:])
+
+    def _encode_plain(self, text: str) -> list[int]:
         plain = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         return [i for word in self.pattern.findall(plain) for i in self.encode_word(word)]
 

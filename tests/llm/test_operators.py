@@ -154,7 +154,7 @@ def test_bpe_matches_library(texts):
 
 
 def test_bpe_query_shape(spark, word_model):
-    rows = [*ODD, (6, "x<|endoftext|>Y  z", "h"), (7, "a" * 5000, "h")]
+    rows = [*ODD, (6, "x<|endoftext|>Y  z", "h"), (7, "a" * 5000, "h"), (8, "<|endoftext|>a" * 3000, "h")]
     out = bpe.bpe_round_trip(docs(spark, rows, ["ids", "decoded", "n_tokens"]), WORD, with_ids=True).collect()
     want = collections.Counter((i, *word_model.encode(t or "", add_special_tokens=False).ids) for i, t, _ in rows)
     assert collections.Counter((r.doc_id, *r.ids) for r in out) == want
