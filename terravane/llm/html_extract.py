@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -46,29 +47,32 @@ SIGMA, REGION_SHARE = 1.5, 0.8
 
 
 class _Events(HTMLParser):
-    """Lines of a page: (words, tags, path of node ids, furniture)."""
+    """Lines of a page: (words, tags, innermost open node, furniture). Nodes are numbered as they open; -1 is the page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
+        self.lines: list[tuple[str, int, int, bool]] = []
         self.stack: list[tuple[str, int, bool]] = []
         self.kinds: list[str] = []
+        self.parents: list[int] = []
+        self.open: Counter[str] = Counter()
         self.text: list[str] = []
         self.tags = 0
 
     def flush(self) -> None:
         said = " ".join("".join(self.text).split())
         if said:
-            self.lines.append((said, self.tags, tuple(n for _, n, _ in self.stack), bool(self.stack) and self.stack[-1][2]))
+            self.lines.append((said, self.tags, self.stack[-1][1] if self.stack else -1, bool(self.stack) and self.stack[-1][2]))
         self.text, self.tags = [], 0
 
     def _pop_to(self, at: int) -> None:
         if any(k not in INLINE for k, _, _ in self.stack[at:]):
             self.flush()
+        self.open.subtract(k for k, _, _ in self.stack[at:])
         del self.stack[at:]
 
     def _implied(self, tag: str) -> None:
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and self.open["p"]:
             for i in range(len(self.stack) - 1, -1, -1):
                 if self.stack[i][0] == "p":
                     return self._pop_to(i)
@@ -104,8 +108,10 @@ class _Events(HTMLParser):
         changes = own and not (self.stack and self.stack[-1][2])
         if changes and tag in INLINE:
             self.flush()
+        self.parents.append(self.stack[-1][1] if self.stack else -1)
         self.stack.append((tag, len(self.kinds), own or (bool(self.stack) and self.stack[-1][2])))
         self.kinds.append(tag)
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -114,7 +120,7 @@ class _Events(HTMLParser):
 
     def handle_endtag(self, tag):
         self.tags += 1
-        for i in range(len(self.stack) - 1, -1, -1):
+        for i in range(len(self.stack) - 1, -1, -1) if self.open[tag] > 0 else ():
             if self.stack[i][0] == tag:
                 if tag in INLINE and self.stack[i][2] and not (i and self.stack[i - 1][2]):
                     self.flush()
@@ -155,20 +161,22 @@ def content_lines(lines) -> list[int]:
     return [i for i, r in enumerate(ratios) if r >= threshold and not lines[i][3]]
 
 
-def region_of(lines, chosen: list[int], kinds: list[str]) -> int | None:
+def region_of(lines, chosen: list[int], kinds: list[str], parents: list[int]) -> int | None:
     """The node whose lines are the content: an article or main element that holds a third of it, else the deepest with REGION_SHARE."""
-    weight: dict[int, int] = {}
+    weight = [0] * len(kinds)
     total = 0
     for i in chosen:
-        said, _, path, _ = lines[i]
+        said, _, node, _ = lines[i]
         total += len(said)
-        for n in path:
-            weight[n] = weight.get(n, 0) + len(said)
-    named = [(w, -n) for n, w in weight.items() if kinds[n] in ("article", "main") and 3 * w >= total]
+        if node >= 0:
+            weight[node] += len(said)
+    for n in range(len(kinds) - 1, -1, -1):  # children open after their parents
+        if parents[n] >= 0:
+            weight[parents[n]] += weight[n]
+    named = [n for n, w in enumerate(weight) if w and kinds[n] in ("article", "main") and 3 * w >= total]
     if named:
-        top = max(w for w, _ in named)
-        return max(-n for w, n in named if w == top)
-    holding = [n for n, w in weight.items() if w >= REGION_SHARE * total and kinds[n] not in INLINE and kinds[n] not in CLOSES_P - {"article", "section", "div", "main", "table"}]
+        return max(named, key=lambda n: (weight[n], n))
+    holding = [n for n, w in enumerate(weight) if w and w >= REGION_SHARE * total and kinds[n] not in INLINE and kinds[n] not in CLOSES_P - {"article", "section", "div", "main", "table"}]
     return max(holding) if holding else None
 
 
@@ -179,8 +187,11 @@ def extract(html: str) -> str:
     events.close()
     events.flush()
     lines = events.lines
-    region = region_of(lines, content_lines(lines), events.kinds)
-    return " ".join(said for said, _, path, furniture in lines if not furniture and (region is None or region in path))
+    region = region_of(lines, content_lines(lines), events.kinds, events.parents)
+    within = [region is None] * (len(events.kinds) + 1)  # the last stands for the page, which -1 finds
+    for n, parent in enumerate(events.parents):
+        within[n] = within[parent] or n == region
+    return " ".join(said for said, _, node, furniture in lines if not furniture and within[node])
 
 
 def html_extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

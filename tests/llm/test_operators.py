@@ -319,6 +319,8 @@ def test_html_extract(spark):
     assert {r.page_id: r.text for r in out if r.page_id in (None, 2, 3)} == {None: "", 2: "", 3: "plain text"}
     assert all(r.n_chars == len(r.text) for r in out)
     assert html_extract.html_extract(frame.limit(0)).count() == 0
+    deep = "<div>x" * 20_000 + "</section>" * 20_000 + "<b>y" * 20_000  # linear in the page, however deep
+    assert html_extract.extract(deep).split()[:3] == ["x", "x", "x"]
 
 
 # secrets
