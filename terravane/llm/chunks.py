@@ -27,6 +27,7 @@ def text_slices(batches, text: int, limit: int = SLICE_BYTES):
             to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(at, to - at), texts.slice(at, to - at)
             at = to
+            pa.default_memory_pool().release_unused()
 
 
 def chunked(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:

@@ -44,7 +44,7 @@ _LEFTOVER_BIT = 1 << 61
 #: White space of any kind, for patterns of Arrow.
 _SPACE = r"[\s\pZ\x{85}\x{1c}-\x{1f}]"
 #: Bytes of text encoded at once.
-SLICE = 16 << 20
+SLICE = 10 << 20
 
 
 class ByteBPE:
@@ -83,8 +83,10 @@ class ByteBPE:
         ends = np.cumsum(pc.binary_length(joined).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
         marks = np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, self.JOINED), side="right")
         bounds, own = np.unique(np.concatenate([[0], marks, [len(joined)]])).tolist(), joined.to_pylist()
-        coded = self.model.encode_batch_fast([" " + " ".join(own[a:b]) for a, b in zip(bounds, bounds[1:])], add_special_tokens=False)
-        ids = np.concatenate([np.zeros(0, "<u4"), *(np.array(e.ids, "<u4") for e in coded)])
+        ids = [np.zeros(0, "<u4")]
+        for a, b in zip(bounds, bounds[1:]):  # one string at a time: the library's results take up far more than their ids
+            ids.append(np.array(self.model.encode_batch_fast([" " + " ".join(own[a:b])], add_special_tokens=False)[0].ids, "<u4"))
+        ids = np.concatenate(ids)
         token_ends = np.cumsum(self.bytes_of[ids])
         cuts = np.searchsorted(token_ends, ends) + 1
         if len(ends) and (cuts[-1] != len(ids) or (token_ends[cuts - 1] != ends).any()):  # a token over the border of two chunks
