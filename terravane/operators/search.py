@@ -79,11 +79,11 @@ def shortlist(left: DataFrame, right: DataFrame, key: str, other: str, k: int =
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def excerpt(docs: DataFrame, key: str, value: str, query: Sequence[str], size: int = 700, best: int = 3) -> DataFrame:
-    """The first block of each document and its best blocks by distinct query words, in order."""
+def excerpt(docs: DataFrame, key: str, value: str, query: Sequence[str], size: int = 700, best: int = 3, keep: Sequence[str] = ()) -> DataFrame:
+    """The first block of each document and its best blocks by distinct query words, in order; a null text is empty."""
     blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(value) / size) - 1, F.lit(0)).cast("int")), lambda i: F.substring(F.col(value), i * size + 1, F.lit(size)))
     asked = F.array(*map(F.lit, query))
     scored = F.transform(blocks, lambda b, i: F.struct((-F.size(F.array_intersect(terms(b), asked))).alias("m"), i.alias("i"), b.alias("b")))
     rest = F.filter(scored, lambda x: (x["i"] > 0) & (x["m"] < 0))
     kept = F.array_sort(F.transform(F.concat(F.slice(scored, 1, 1), F.slice(F.array_sort(rest), 1, best)), lambda x: F.struct(x["i"].alias("i"), x["b"].alias("b"))))
-    return docs.select(key, F.array_join(F.transform(kept, lambda x: x["b"]), " … ").alias("excerpt"))
+    return docs.select(key, F.array_join(F.transform(kept, lambda x: x["b"]), " … ").alias("excerpt"), *keep)

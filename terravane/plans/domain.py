@@ -59,7 +59,8 @@ def tk03(t):
 
 @plan("tk06_excerpt", "SELECT doc_id, CASE WHEN length(text) <= 700 THEN text END AS excerpt, length(text) <= 700 AS whole FROM documents WHERE length(text) <= 700")
 def _(t):
-    return Q.excerpt(t.documents.where("length(text) <= 700"), "doc_id", "text", QUERY).select("doc_id", "excerpt", F.lit(True).alias("whole"))
+    docs = t.documents.select("doc_id", "text", F.coalesce(F.length("text") <= 700, F.lit(True)).alias("whole"))
+    return Q.excerpt(docs, "doc_id", "text", QUERY, keep=["whole"])
 
 
 def name_weights(t):

@@ -1,6 +1,7 @@
 """Plans on small fixtures of their own: every row of the tables counts, against brute force."""
 
-import collections
+import random
+import re
 
 from terravane import plans
 
@@ -27,3 +28,18 @@ def test_components_of_all_edges(spark, tmp_path):
         up[y] = x
     assert {r.node: r.root for r in got} == {n: root(n) for n in list(up)} and len(got) == len(up)
     assert len({r.root for r in got}) > 1
+
+
+def test_excerpts_of_all_documents(spark, tmp_path):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["the", "cher", "sch", "thing", "plain", "other", "Word"]) if rng.random() < p else "filler" for _ in range(n)) for n, p in ((3, 1), (90, 0.5), (400, 0.01), (900, 0.02), (2000, 0.005))]
+    rows = list(enumerate([*texts, "x" * 700, "y" * 700 + " the", "", None]))
+    got = ran(spark, tmp_path, "tk06_excerpt", documents=spark.createDataFrame(rows, "doc_id bigint, text string"))
+    want = {}
+    for i, text in rows:
+        blocks = [(text or "")[k : k + 700] for k in range(0, len(text or ""), 700)] or [""]
+        hits = [len({"the", "cher", "sch", "thing"} & set(re.split(r"[^a-z0-9]+", b.lower()))) for b in blocks]
+        best = sorted((k for k in range(1, len(blocks)) if hits[k]), key=lambda k: (-hits[k], k))[:3]
+        want[i] = (" … ".join(blocks[k] for k in [0, *sorted(best)]), len(blocks) == 1)
+    assert {r.doc_id: (r.excerpt, r.whole) for r in got} == want and len(got) == len(rows)
+    assert any(" … " in e for e, _ in want.values())
