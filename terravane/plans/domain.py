@@ -298,15 +298,15 @@ def _(t):
 
 @plan("cl00_families", "SELECT s_suppkey AS node, CAST(CASE WHEN s_suppkey % 50 IN (20, 21) THEN NULL ELSE 0 END AS BIGINT) AS root, s_suppkey % 50 NOT IN (20, 21) AS resolved FROM supplier WHERE s_suppkey < 40")
 def _(t):
-    nodes = t.supplier.where("s_suppkey < 40").select("s_suppkey")
-    parent = F.when(F.col("s_suppkey") == 20, 21).when(F.col("s_suppkey") == 21, 20).otherwise(F.when(F.col("s_suppkey") < 40, F.lit(0))).cast("bigint")
+    nodes = t.supplier.select("s_suppkey")
+    parent = F.when(F.col("s_suppkey") == 20, 21).when(F.col("s_suppkey") == 21, 20).otherwise(F.expr("s_suppkey div 2")).cast("bigint")  # one cycle planted
     edges = nodes.where("s_suppkey > 0").select(F.col("s_suppkey").alias("child"), parent.alias("parent"))
     return G.families(nodes, edges, "s_suppkey", "child", "parent")
 
 
 @plan("cl00b_descendants", "WITH RECURSIVE e AS (SELECT s_suppkey AS child, s_suppkey // 2 AS parent FROM supplier WHERE s_suppkey BETWEEN 1 AND 60), w AS (SELECT parent AS ancestor, child AS descendant, parent || '/' || child AS path, 1 AS depth FROM e UNION ALL SELECT ancestor, e.child, path || '/' || e.child, depth + 1 FROM w JOIN e ON e.parent = w.descendant) SELECT ancestor, descendant, path, CAST(depth AS BIGINT) AS depth FROM w")
 def _(t):
-    edges = t.supplier.where("s_suppkey BETWEEN 1 AND 60").select(F.col("s_suppkey").alias("child"), F.expr("s_suppkey div 2").alias("parent"))
+    edges = t.supplier.where("s_suppkey > 0").select(F.col("s_suppkey").alias("child"), F.expr("s_suppkey div 2").alias("parent"))
     return G.descendants(edges, "child", "parent")
 
 
@@ -663,9 +663,8 @@ def _(t):
 
 @plan("cu09_exact_duplicates", "SELECT DISTINCT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND lower(a.p_name) = lower(b.p_name) AND a.p_brand = b.p_brand WHERE a.p_size = 7 AND b.p_size < 9")
 def _(t):
-    own = t.part.select("p_partkey", F.lower("p_name").alias("n"), "p_brand", "p_size")
-    left = own.where("p_size = 7").select(F.col("p_partkey").alias("a"), "n", "p_brand")
-    return left.join(own.where("p_size < 9").select(F.col("p_partkey").alias("b"), "n", "p_brand"), ["n", "p_brand"]).where("a < b").select("a", "b").distinct()
+    own = t.part.select(F.col("p_partkey").alias("a"), F.lower("p_name").alias("n"), "p_brand")
+    return own.join(own.withColumnRenamed("a", "b"), ["n", "p_brand"]).where("a < b").select("a", "b").distinct()
 
 
 # schedules

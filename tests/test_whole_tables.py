@@ -43,3 +43,30 @@ def test_excerpts_of_all_documents(spark, tmp_path):
         want[i] = (" … ".join(blocks[k] for k in [0, *sorted(best)]), len(blocks) == 1)
     assert {r.doc_id: (r.excerpt, r.whole) for r in got} == want and len(got) == len(rows)
     assert any(" … " in e for e, _ in want.values())
+
+
+def above(k):
+    """The ancestors of k under `k div 2`, upward."""
+    return [] if k == 0 else [k // 2, *above(k // 2)]
+
+
+def test_families_of_all_suppliers(spark, tmp_path):
+    got = ran(spark, tmp_path, "cl00_families", supplier=spark.range(300).withColumnRenamed("id", "s_suppkey"))
+    want = {k: (None, False) if {20, 21} & {k, *above(k)} else (0, True) for k in range(300)}
+    assert {r.node: (r.root, r.resolved) for r in got} == want and len(got) == 300
+
+
+def test_descendants_of_all_suppliers(spark, tmp_path):
+    got = ran(spark, tmp_path, "cl00b_descendants", supplier=spark.range(300).withColumnRenamed("id", "s_suppkey"))
+    want = set()
+    for k in range(1, 300):
+        chain = [k, *above(k)]
+        want |= {(chain[d], k, "/".join(map(str, chain[d::-1])), d) for d in range(1, len(chain))}
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_duplicates_of_all_parts(spark, tmp_path):
+    rows = [(k, ["Red Nut", "red nut", "blue bolt"][k % 3], f"Brand#{k % 4}", k % 50) for k in range(150)]
+    got = ran(spark, tmp_path, "cu09_exact_duplicates", part=spark.createDataFrame(rows, "p_partkey bigint, p_name string, p_brand string, p_size int"))
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1].lower() == b[1].lower() and a[2] == b[2]}
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
