@@ -83,9 +83,7 @@ def _(t):
 def _(t):
     from ..sources.uploads import upload_rows
 
-    low = t.documents.agg(F.min("doc_id").alias("low"))
-    first = t.documents.join(F.broadcast(low), F.col("doc_id") < F.col("low") + 1000).drop("low")
-    return upload_rows(first.select("doc_id", "text"), order="doc_id", cells=["text"]).select("row_number", "doc_id", F.sha2("text", 256).alias("digest"))
+    return upload_rows(t.documents.select("doc_id", "text"), order="doc_id", cells=["text"]).select("row_number", "doc_id", F.sha2("text", 256).alias("digest"))
 
 
 SCRIPT = r"(?is)<(script|style|noscript|svg)\b.*?</(script|style|noscript|svg)>"

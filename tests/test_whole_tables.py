@@ -1,5 +1,6 @@
 """Plans on small fixtures of their own: every row of the tables counts, against brute force."""
 
+import hashlib
 import random
 import re
 
@@ -70,3 +71,11 @@ def test_duplicates_of_all_parts(spark, tmp_path):
     got = ran(spark, tmp_path, "cu09_exact_duplicates", part=spark.createDataFrame(rows, "p_partkey bigint, p_name string, p_brand string, p_size int"))
     want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1].lower() == b[1].lower() and a[2] == b[2]}
     assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+
+
+def test_upload_rows_go_on_past_gaps_and_refused_rows(spark, tmp_path):
+    rows = [(k * 3 + 5, [None, "  ", "x" * 4001, f"text {k}", "y" * 4000][k % 5]) for k in range(2700)]
+    got = ran(spark, tmp_path, "sc08_upload_rows", documents=spark.createDataFrame(rows, "doc_id bigint, text string"))
+    valid = [(i, t) for i, t in rows if t and t.strip() and len(t) <= 4000]
+    want = [(n, i, hashlib.sha256(t.encode()).hexdigest()) for n, (i, t) in enumerate(valid[:1000], 1)]
+    assert len(valid) > 1000 and sorted(tuple(r) for r in got) == want
