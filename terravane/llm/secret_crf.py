@@ -5,9 +5,10 @@ from their shape, their neighbours and features of the whole text; Viterbi decod
 kind "crf". It is fitted here, by gradient ascent on the likelihood, on generated sentences in which keys, passwords and
 signed tokens stand among look-alikes: numbers, addresses, dates, paths.
 
-A token without a digit and shorter than 20 characters is outside by construction, so the chain falls apart at such tokens
-and decoding the stretches between them gives the same tags as decoding the whole text; runs of text are found by linear
-patterns and nothing is quadratic in the text. Texts without any suspicious run are passed over by one Arrow scan. Rows
+The field sees every token of each line or sentence that holds a key word, a quote, a digit, a long run or a letter beside a
+symbol or an inner capital; other sentences have nothing that could set a secret apart from prose. Tokens keep the symbols inside
+them; quotes, joining marks, brackets, closing marks and letters outside ASCII are tokens of their own, which neighbour tags
+join to a secret. Nothing is quadratic in the text, and texts without any such sentence are passed over by one Arrow scan. Rows
 are independent: no shuffle, and a lost executor's rows are scanned again.
 
 Defined cases: null text counts as empty and has no spans; repeated rows are scanned one by one; an empty table gives an empty
@@ -35,23 +36,33 @@ from .common import table
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
+_QUOTES = ("\"", "'", "`")
 KINDS = ("assign", "access", "hex", "crf")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 #: HEX with its least length in it; runs are maximal either way.
 _LONG_HEX = re.compile(r"[0-9a-f]{32,}")
-#: Holds wherever a base pattern can match, or a run with a digit or of 20 characters stands.
+#: Holds wherever a base pattern can match, or a sentence that the field reads stands.
 _ANY_BASE = r"(?i)password|passwd|secret|token|api_?key|akia[a-z0-9]{12}|[0-9a-f]{32}"
-_ANY_RUN = r"[0-9]|[A-Za-z0-9+/_~-]{20}"
-_RUN = re.compile(r"[A-Za-z0-9+/_~\-]{8,}")
+_WORDS = r"pass|pwd|secret|token|api_?key|auth|credential|bearer|private|access_?key|signature|session|kennwort|contrase|密码|密碼|パスワード|비밀번호|пароль"
+_ANY_READ = rf"""[0-9"`]|(^|[^A-Za-z])'|[A-Za-z+/_~-]{{20}}|[a-z][A-Z]|[A-Za-z][#$%&*@^!+~|\\][A-Za-z]|(?i:{_WORDS})"""
+_READ = re.compile(_ANY_READ)
 _DIGIT = re.compile(r"[0-9]")
-_PIECE = re.compile(r"[\w+/~\-]+|[^\w\s]")
-KEY_WORDS = re.compile(r"(?i)pass(word|wd|phrase)?$|pwd$|secret|token|api_?key|apikey|auth|credential|bearer|private|access_?key|signature|session")
-#: Code points before and after a run that its context features look at.
-BEFORE, AFTER = 60, 12
+_SEGMENT = re.compile(r"\n|(?<=[.!?])\s")
+_TOKEN = re.compile(r"""["'`]|[=:]|[,;()\[\]{}<>]|[^\x00-\x7f\s]+|[^\s"'`=:,;()\[\]{}<>\x80-\U0010ffff]+""")
+_MARKS = "\"'`=:,;()[]{}<>"
+KEY_WORDS = re.compile(r"(?i)pass(word|wd|phrase|wort)?$|pwd$|secret|token|api_?key|apikey|auth|credential|bearer|private|access_?key|signature|session|kennwort|contrase|密码|密碼|パスワード|비밀번호|пароль")
+_PLAIN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_PARTS = re.compile(r"[A-Za-z]+([-_/.][A-Za-z]+)+")
+_CAMEL = re.compile(r"[A-Z]?[a-z]+([A-Z][a-z]+)+")
+_NUMBER = re.compile(r"[-+]?[0-9][0-9.,/+-]*[a-zA-Z%]{0,2}")
+#: Tokens before a token that its context features look at.
+BEFORE = 6
 OUT, BEGIN, INSIDE = 0, 1, 2
 FEATURES = (
-    "bias len8 len12 len16 len24 len40 lower upper digit hex digits alpha symbol mixed flips3 flips6 rich richer prefix joiner"
-    " assigned keyword near_keyword quoted at_before at_after dotted plus_before slash_before code_text key_text digit_text"
+    "bias len1 len3 len5 len7 len11 len15 len23 len39 len40 lower upper digit symbol mixed kinds3 flips3 flips6 rich richer hex digits number"
+    " plain parts prefix mail path dotted accent quote joiner bracket close key_word odd"
+    " assigned keyed near_key quoted glued glued_on names next_quote keyed_odd near_odd quoted_odd keyed_quoted keyed_plain glued_odd glued_mark"
+    " code_text key_text digit_text"
 ).split()
 
 
@@ -63,26 +74,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def suspicious(text: str):
-    """(start, end) of the runs that may be part of a secret; they are not part of a longer word of other letters."""
-    for m in _RUN.finditer(text):
-        a, b = m.span()
-        if (b - a >= 20 or _DIGIT.search(m[0])) and not (a and text[a - 1].isalnum()) and not (b < len(text) and text[b].isalnum()):
-            yield a, b
-
-
 def stretches(text: str):
-    """Lists of token spans: suspicious runs chained by single joining marks; all other tokens are outside by construction."""
-    chain: list[tuple[int, int]] = []
-    for a, b in suspicious(text):
-        if chain and a == chain[-1][1] + 1 and text[a - 1] in ".:=":
-            chain += [(a - 1, a), (a, b)]
-            continue
-        if chain:
-            yield chain
-        chain = [(a, b)]
-    if chain:
-        yield chain
+    """Lists of token spans: all tokens of each line or sentence that the field reads."""
+    start = 0
+    for end, after in [*((m.start(), m.end()) for m in _SEGMENT.finditer(text)), (len(text), len(text))]:
+        if start < end and _READ.search(text, start, end):
+            chain = []
+            for m in _TOKEN.finditer(text, start, end):
+                a, b = m.span()
+                body = a + len(m[0].rstrip(".!?"))
+                chain += [span for span in ((a, body), (body, b)) if span[0] < span[1]]
+            if chain:
+                yield chain
+        start = after
 
 
 def text_features(text: str) -> list[float]:
@@ -91,27 +95,52 @@ def text_features(text: str) -> list[float]:
     return [float(marks * 100 > n), float("key" in text or "secret" in text or "token" in text), float(len(_DIGIT.findall(text)) * 20 > n)]
 
 
-def token_features(text: str, a: int, b: int, whole: list[float]) -> list[float]:
-    run = text[a:b]
-    n = b - a
+@functools.lru_cache(maxsize=1 << 16)
+def shape(run: str) -> tuple:
+    """Features of a token alone; the last says that it looks drawn rather than written."""
+    n = len(run)
     lower, upper, digit = (any(map(f, run)) for f in (str.islower, str.isupper, str.isdigit))
     classes = [0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3 for c in run]
     flips = sum(x != y for x, y in zip(classes, classes[1:]))
     entropy = -sum(k / n * math.log2(k / n) for k in Counter(run).values())
-    before = _PIECE.findall(text[max(0, a - BEFORE) : a])
-    after = text[b : b + AFTER]
-    bare = [p for p in before if p not in "\"'`"]
-    joined = bool(bare) and bare[-1] in ("=", ":") or bare[-2:] == ["=", ">"]
-    names = bare[-2:-1] if joined else []
-    is_joiner = n == 1 and run in ".:="
-    return [
-        1.0, 8 <= n < 12, 12 <= n < 16, 16 <= n < 24, 24 <= n < 40, n >= 40, lower, upper, digit,
-        n > 1 and all(c in "0123456789abcdefABCDEF" for c in run), n > 1 and run.isdigit(), run.isalpha(), any(k == 3 for k in classes) and not is_joiner,
-        lower and upper and digit, flips >= 3, flips >= 6, entropy >= 3.0, entropy >= 3.7, bool(re.match(r"[A-Za-z]{2,6}[_-]", run)), is_joiner,
-        joined, any(KEY_WORDS.search(p) for p in names), any(KEY_WORDS.search(p) for p in bare[-4:]), a > 0 and text[a - 1] in "\"'`" and after[:1] in ("\"", "'", "`"),
-        a > 0 and text[a - 1] == "@", after[:1] == "@", a > 0 and text[a - 1] in "./", a > 0 and text[a - 1] == "+" or run[0] == "+", "/" in run or (a > 0 and text[a - 1] == "/"),
-        *whole,
-    ]
+    ascii_ = run.isascii()
+    mark, close = run in _MARKS, not run.strip(".!?")
+    symbol = ascii_ and not mark and not close and any(k == 3 for k in classes)
+    plain, parts, number, mail = bool(_PLAIN.fullmatch(run)), bool(_PARTS.fullmatch(run) or _CAMEL.fullmatch(run) and n >= 3 * (1 + sum(map(str.isupper, run[1:])))), bool(_NUMBER.fullmatch(run)), bool(re.fullmatch(r"[^@]+@[\w-]+(\.[\w-]+)+", run))
+    path = run.count("/") >= 2 or run.startswith("www.")
+    odd = ascii_ and n > 3 and not (mark or close or plain or parts or number or mail or path)
+    return (
+        1.0, n == 1, 2 <= n < 4, 4 <= n < 6, 6 <= n < 8, 8 <= n < 12, 12 <= n < 16, 16 <= n < 24, 24 <= n < 40, n >= 40, lower, upper, digit, symbol, lower and upper and digit,
+        lower + upper + digit + symbol >= 3, flips >= 3, flips >= 6, entropy >= 3.0, entropy >= 3.7, n > 5 and all(c in "0123456789abcdefABCDEF" for c in run), run.isdigit(), number,
+        plain, parts, bool(re.match(r"[A-Za-z]{2,6}[_-]", run)), mail, path, "." in run and not close, not ascii_, run in "\"'`", run in "=:", mark and run not in "\"'`=:", close, bool(KEY_WORDS.search(run)), odd,
+    )
+
+
+def chain_features(text: str, chain: list[tuple[int, int]], whole: list[float]) -> list[list[float]]:
+    """Features of every token of a chain."""
+    runs = [text[a:b] for a, b in chain]
+    shapes = [shape(r) for r in runs]
+    out = []
+    for i, (a, b) in enumerate(chain):
+        own = shapes[i]
+        key, odd = own[-2], own[-1]
+        back = [j for j in range(max(0, i - BEFORE), i) if runs[j] not in _QUOTES]
+        assigned = bool(back) and runs[back[-1]] in "=:>"
+        named = next((j for j in reversed(back) if runs[j] not in "=:>"), None)
+        keyed = assigned and named is not None and bool(shapes[named][-2])
+        near = any(shapes[j][-2] for j in back)
+        opened = i > 0 and runs[i - 1] in _QUOTES and chain[i - 1][1] == a
+        following = runs[i + 1] if i + 1 < len(runs) else ""
+        quoted = opened and following != "" and following in _QUOTES and chain[i + 1][0] == b
+        glued = i > 0 and chain[i - 1][1] == a and runs[i - 1] not in _QUOTES
+        glued_on = following != "" and chain[i + 1][0] == b and following not in _QUOTES
+        names = following != "" and following in "=:"
+        mark = bool(own[-6] or own[-5] or own[-4] or own[-3])
+        out.append([
+            *own, assigned, keyed, near, quoted, glued, glued_on, names, bool(following) and following in _QUOTES, keyed and odd, near and odd, quoted and odd, keyed and (opened or quoted),
+            keyed and not odd and not key and not mark, glued and odd, glued and mark, *whole,
+        ])
+    return out
 
 
 class CRF:
@@ -126,7 +155,8 @@ class CRF:
         """x: chains, places, features; y: chains, places; places after a chain's end are outside without features."""
         n, t, _ = x.shape
         onehot = np.eye(3)[y]
-        seen_emit = np.einsum("ntf,ntk->fk", x, onehot)
+        flat = x.reshape(n * t, -1)
+        seen_emit = flat.T @ onehot.reshape(n * t, 3)
         held = np.concatenate([np.zeros((n, 1), int), y, np.zeros((n, 1), int)], axis=1)
         seen_move = np.zeros((3, 3))
         np.add.at(seen_move, (held[:, :-1].ravel(), held[:, 1:].ravel()), 1)
@@ -146,7 +176,7 @@ class CRF:
             pair = np.exp(f[:, :-1, :, None] + self.move + (e[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None]).sum((0, 1))
             pair[OUT] += p[:, 0].sum(0)
             pair[:, OUT] += p[:, -1].sum(0)
-            grads = [(seen_emit - np.einsum("ntf,ntk->fk", x, p)) / n - decay * self.emit, (seen_move - pair) / n]
+            grads = [(seen_emit - flat.T @ p.reshape(n * t, 3)) / n - decay * self.emit, (seen_move - pair) / n]
             grads[1][OUT, INSIDE] = 0
             for param, g, (m, v) in zip((self.emit, self.move), grads, moments):
                 m[:] = 0.9 * m + 0.1 * g
@@ -209,11 +239,68 @@ def generated(n: int = 1800, seed: int = 5):
     return out
 
 
+def generated_passwords(n: int = 1500, seed: int = 6):
+    """Training sentences of what generated() lacks: secrets of letters alone, short ones, symbols, letters outside ASCII beside them; and prose with key words, quotes and names in code."""
+    rng = np.random.default_rng(seed)
+    pick = lambda s, k: "".join(rng.choice(list(s), k))
+    low, digits, symbols = "abcdefghijklmnopqrstuvwxyz", "0123456789", "!#$%&*@^+~?-_=.:,;()[]{}<>/|"
+    both = low + low.upper()
+    wide = ["密码", "是", "设置", "の", "鍵", "für", "é", "schlüssel", "ключ", "пароль", "café"]
+    keys = ["pwd", "pass", "password", "auth", "auth_key", "credential", "DB_PASSWORD", "secret", "passphrase", "token", "client_secret", "private_key", "Authorization", "smtp_pass", "session"]
+    words = [pick(low, rng.integers(1, 10)) for _ in range(400)] + ["is", "the", "to", "your", "was", "please", "required", "expired", "reset", "manager"] * 4
+    word = lambda: str(rng.choice(words))
+
+    def secret():
+        kind = rng.integers(0, 5)
+        if kind == 0:
+            return pick(both, rng.integers(10, 30))
+        if kind == 1:
+            return pick(both + digits, rng.integers(6, 13))
+        if kind == 2:
+            out = list(pick(both + digits, rng.integers(6, 16)))
+            for _ in range(rng.integers(1, 4)):
+                out[rng.integers(1, len(out))] = pick(symbols, 1)
+            return "".join(out)
+        if kind == 3:
+            return word().capitalize() + pick(symbols[:12], 1) + word() + pick(digits, rng.integers(1, 4)) + pick("!#$%&*@", rng.integers(0, 2))
+        return pick(both + digits + "+/", rng.integers(20, 44))
+
+    def prose():
+        return [
+            lambda: f"the {rng.choice(keys)} {word()} {word()}", lambda: f"{rng.choice(keys)}: {word()}", lambda: f'"{word()} {word()}"', lambda: f"'{word()}'", lambda: f'"{word().capitalize()}"', lambda: f"{word()}{word().capitalize()}()",
+            lambda: f"{word()}: {word()}, {word()}", lambda: f"{word()}={word()}", lambda: f"{word()}-{word()}-{word()}", lambda: f"({word()}, {word().capitalize()})", lambda: f"R&D {pick(digits, 2)}%", lambda: f"{word()}!", lambda: f"${pick(digits, 3)}.{pick(digits, 2)}",
+            lambda: str(rng.choice(wide)) + word(), lambda: f"{rng.choice(keys)} = get{word().capitalize()}({word()})", lambda: f"{word()}'s", lambda: f"{pick(low, 5)}@{pick(low, 6)}.org", lambda: f"{word()}/{word()}", lambda: f'"{rng.choice(keys)}": "{word()}"',
+            lambda: f"{word().capitalize()}{word().capitalize()}", lambda: f"{pick(digits, 2)}:{pick(digits, 2)}", lambda: "AT&T", lambda: f"{rng.choice(keys)} {word()} {word().capitalize()}",
+        ][rng.integers(0, 23)]()
+
+    out = []
+    for _ in range(n):
+        text, spans = "", []
+        for _ in range(rng.integers(1, 4)):
+            text += " ".join(rng.choice(words, rng.integers(0, 6))) + " "
+            if rng.random() < 0.5:
+                text += prose() + " "
+                continue
+            s, quote, stop = secret(), rng.choice(["", '"', "'", '"']), rng.choice([" ", "\n", ". ", ", "])
+            if quote == "" and s[-1] in ".,;:!?)]}>":
+                s = s[:-1] + "x"
+            if rng.random() < 0.2 and len(s) >= 20:
+                text += str(rng.choice(wide))
+            else:
+                text += rng.choice(["", '"']) + str(rng.choice(keys))
+                text += ('"' if text[-len(text.split()[-1])] == '"' else "") + str(rng.choice([" = ", "=", ": ", ":", " is ", " => "]))
+            text += quote
+            spans.append((len(text), len(text) + len(s)))
+            text += s + quote + stop
+        out.append((text, spans))
+    return out
+
+
 @functools.lru_cache(maxsize=1)
 def trained() -> CRF:
     """The fitted field; the same in every process."""
     chains = []
-    for text, spans in generated():
+    for text, spans in [*generated(), *generated_passwords()]:
         whole = text_features(text)
         for chain in stretches(text):
             tags, inside = [], False
@@ -221,7 +308,11 @@ def trained() -> CRF:
                 own = any(s <= a and b <= e for s, e in spans)
                 tags.append((INSIDE if inside and not any(s == a for s, _ in spans) else BEGIN) if own else OUT)
                 inside = own
-            chains.append(([token_features(text, a, b, whole) for a, b in chain], tags))
+            features, start = chain_features(text, chain, whole), 0
+            for i, tag in enumerate(tags):  # cut outside of secrets, for less padding
+                if i + 1 == len(tags) or (tag == OUT and i - start >= 14):
+                    chains.append((features[start : i + 1], tags[start : i + 1]))
+                    start = i + 1
     t = max(len(tags) for _, tags in chains)
     x, y = np.zeros((len(chains), t, len(FEATURES))), np.zeros((len(chains), t), int)
     for i, (f, tags) in enumerate(chains):
@@ -236,7 +327,7 @@ def crf_spans(text: str, crf: CRF) -> list[tuple[int, int]]:
     found, whole = [], None
     for chain in stretches(text):
         whole = whole or text_features(text)
-        tags = crf.decode(np.array([token_features(text, a, b, whole) for a, b in chain], float))
+        tags = crf.decode(np.array(chain_features(text, chain, whole), float))
         for (a, b), tag in zip(chain, tags):
             if tag == BEGIN:
                 found.append([a, b])
@@ -245,11 +336,13 @@ def crf_spans(text: str, crf: CRF) -> list[tuple[int, int]]:
     return [(a, b) for a, b in found]
 
 
-def all_spans(text: str, crf: CRF, has_run: bool = True) -> list[tuple[int, int, int]]:
-    """(start, kind number, end): base spans, and the field's spans that touch none of them."""
+def all_spans(text: str, crf: CRF, read: bool = True, touching: bool = False) -> list[tuple[int, int, int]]:
+    """(start, kind number, end): base spans, and the field's spans that touch none of them, or all of the field's spans."""
     base = base_spans(text)
-    if not has_run:
+    if not read:
         return base
+    if touching:
+        return sorted(base + [(a, 3, b) for a, b in crf_spans(text, crf)])
     ends = sorted((a, b) for a, _, b in base)
     return sorted(base + [(a, 3, b) for a, b in crf_spans(text, crf) if not any(s < b and a < e for s, e in ends)])
 
@@ -269,12 +362,12 @@ def merged(spans) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _scan(crf: CRF, texts: pa.Array):
+def _scan(crf: CRF, texts: pa.Array, touching: bool = False):
     """The spans of each text of an Arrow array; texts that cannot hold any are passed over by two Arrow scans."""
     base = pc.match_substring_regex(texts, _ANY_BASE).to_numpy(zero_copy_only=False)
-    runs = pc.match_substring_regex(texts, _ANY_RUN).to_numpy(zero_copy_only=False)
+    read = pc.match_substring_regex(texts, _ANY_READ).to_numpy(zero_copy_only=False)
     for i in range(len(texts)):
-        yield all_spans(texts[i].as_py(), crf, bool(runs[i])) if base[i] or runs[i] else []
+        yield all_spans(texts[i].as_py(), crf, bool(read[i]), touching) if base[i] or read[i] else []
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -304,7 +397,7 @@ def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") ->
     def run(batches):
         for part, texts in text_slices(batches, at):
             out = []
-            for i, spans in enumerate(_scan(crf, texts)):
+            for i, spans in enumerate(_scan(crf, texts, True)):  # a secret that goes on after a base span goes whole
                 if not spans:
                     out.append(part.column(at)[i].as_py())
                     continue

@@ -361,6 +361,38 @@ def test_crf_decoding_is_the_best_path():
         assert score(tags) >= max(score(p) for p in itertools.product(range(3), repeat=n)) - 1e-9
 
 
+WRITTEN = [
+    ('pwd = "KlmQrStUvWxYzAb"', "KlmQrStUvWxYzAb"), ('auth: "Xk7!qPz9"', "Xk7!qPz9"), ("then pwd=Tr0ub4dorX&3x and go", "Tr0ub4dorX&3x"), ("我的密钥sk9fQ2LmX8vR4tYw7ZbN3cK", "sk9fQ2LmX8vR4tYw7ZbN3cK"),
+    ("clé éQ7fK2mZx9LpW4vTn8RbY3cHd6", "Q7fK2mZx9LpW4vTn8RbY3cHd6"), ('"pwd": "hJkLpQwErTyU"', "hJkLpQwErTyU"), ("export DB_PASS=Gr8#mOuse", "Gr8#mOuse"), ("auth_key => 'p@55Phr^se'", "p@55Phr^se"),
+    ("credential: QwErTyAsDfGh\nnext", "QwErTyAsDfGh"), ("smtp_pwd = 'Zx9*Lm2'", "Zx9*Lm2"), ('passphrase="wKdTzRnBvQsLp"', "wKdTzRnBvQsLp"), ("the pwd is mN7$kQ2w. Ask me", "mN7$kQ2w"),
+]
+PROSE = ['He said "nothing new" and left.', "Don't forget the password manager.", "Your session expired; please sign in again.", "AT&T paid $12.50 (5%) on 2024-01-12 for R&D.", "Authentication is required: see the private office.", "In JavaScript, getElementById(name) works.", "www.example.org/a/b/page and mail to a.b@example.org", "Le café fermé, l'été, 35 °C."]
+
+
+def test_crf_reads_whole_sentences():
+    crf = secret_crf.trained()
+    found = [want in [text[a:b] for a, b in secret_crf.crf_spans(text, crf)] for text, want in WRITTEN]
+    assert sum(found) >= 0.9 * len(WRITTEN) and all(found[:3])
+    assert [secret_crf.crf_spans(text, crf) for text in PROSE] == [[]] * len(PROSE)
+
+
+def test_crf_recall_without_digits_and_with_symbols():
+    crf = secret_crf.trained()
+    hit, total = collections.Counter(), collections.Counter()
+    for text, spans in secret_crf.generated_passwords(300, 77):
+        got = set(secret_crf.crf_spans(text, crf))
+        for a, b in spans:
+            kind = "symbols" if not text[a:b].isalnum() else "letters" if text[a:b].isalpha() else "both"
+            hit[kind] += (a, b) in got
+            total[kind] += 1
+    assert all(hit[k] >= 0.9 * total[k] and total[k] > 20 for k in ("symbols", "letters", "both")), (hit, total)
+
+
+def test_redaction_takes_secrets_whole(spark):
+    frame = docs(spark, [(1, "use pwd=Tr0ub4dorX&3x here", "h"), (2, "use password=Tr0ub4dorX&3x here", "h")])
+    assert [r.text for r in secret_crf.redacted(frame).orderBy("doc_id").collect()] == ["use pwd=[SECRET] here", "use [SECRET] here"]
+
+
 def test_secret_scan_rows(spark):
     rows = [*ODD, (6, "login token = \"" + "ab12" * 10 + "\" end", "h"), (7, "key ghp_" + "aB3dE5gH7jK9mN1pQ3sT5vW7yZ9bC1eF3hJ5" + " x", "h"), (8, "call +1 (555) 123-4567 or 4929000011112222, 10.0.0.1", "h")]
     frame = docs(spark, rows, ["spans", "n_hex"])
