@@ -4,8 +4,8 @@ The standard library's parser streams through a page once. Every block boundary
 the tags seen in it, its path of open elements and whether one of them is furniture by kind (menus, headers, footers, sidebars,
 forms, scripts) or by the words of its class, id or role (adverts, notices, comments). Text over tags of each line, smoothed by a Gaussian, is split by a
 threshold of one standard deviation of the smoothed array into content and other lines. The content region is the innermost element that
-holds the content lines by weight: an article or main element if there is one, else the deepest element with most of their
-text. The result is every line of that region outside furniture, so short paragraphs beside long ones are kept.
+holds all content lines: the article (with the articles beside it) or the main element around them if there is one, else the deepest
+block that they share. The result is every line of that region outside furniture, so short paragraphs beside long ones are kept.
 
 Rows are independent: Arrow batches in, Arrow batches out, no shuffle, memory of one page at a time.
 
@@ -42,8 +42,8 @@ SCOPES = frozenset("ul ol dl table select body html article section div main".sp
 #: First words of layout names that only tell what stands beside the content, as in "has-sidebar".
 LAYOUT_WORDS = frozenset("has with no without main article body layout".split())
 _WORD = re.compile(r"[a-z]+")
-#: Standard deviation of the Gaussian in lines, and the share of content text an element must hold to be the region.
-SIGMA, REGION_SHARE = 1.5, 0.8
+#: Standard deviation of the Gaussian in lines.
+SIGMA = 1.5
 
 
 class _Events(HTMLParser):
@@ -161,23 +161,21 @@ def content_lines(lines) -> list[int]:
     return [i for i, r in enumerate(ratios) if r >= threshold and not lines[i][3]]
 
 
-def region_of(lines, chosen: list[int], kinds: list[str], parents: list[int]) -> int | None:
-    """The node whose lines are the content: an article or main element that holds a third of it, else the deepest with REGION_SHARE."""
-    weight = [0] * len(kinds)
-    total = 0
+def region_of(lines, chosen: list[int], kinds: list[str], parents: list[int]) -> set[int] | None:
+    """The nodes whose lines are the content: the article that all chosen lines share with its sibling articles, or a shared main element, else the deepest block they share; None is the page."""
+    held = [0] * len(kinds)
     for i in chosen:
-        said, _, node, _ = lines[i]
-        total += len(said)
-        if node >= 0:
-            weight[node] += len(said)
+        if lines[i][2] >= 0:
+            held[lines[i][2]] += 1
     for n in range(len(kinds) - 1, -1, -1):  # children open after their parents
         if parents[n] >= 0:
-            weight[parents[n]] += weight[n]
-    named = [n for n, w in enumerate(weight) if w and kinds[n] in ("article", "main") and 3 * w >= total]
-    if named:
-        return max(named, key=lambda n: (weight[n], n))
-    holding = [n for n, w in enumerate(weight) if w and w >= REGION_SHARE * total and kinds[n] not in INLINE and kinds[n] not in CLOSES_P - {"article", "section", "div", "main", "table"}]
-    return max(holding) if holding else None
+            held[parents[n]] += held[n]
+    shared = [n for n, k in enumerate(held) if k and k == len(chosen)]
+    for kind in ("article", "main"):
+        if named := [n for n in shared if kinds[n] == kind]:
+            return {n for n, k in enumerate(kinds) if k == kind and parents[n] == parents[named[0]]}
+    holding = [n for n in shared if kinds[n] not in INLINE and kinds[n] not in CLOSES_P - {"div", "table"}]  # a section is a part of what holds it
+    return {max(holding)} if holding else None
 
 
 def extract(html: str) -> str:
@@ -190,7 +188,7 @@ def extract(html: str) -> str:
     region = region_of(lines, content_lines(lines), events.kinds, events.parents)
     within = [region is None] * (len(events.kinds) + 1)  # the last stands for the page, which -1 finds
     for n, parent in enumerate(events.parents):
-        within[n] = within[parent] or n == region
+        within[n] = within[parent] or (region is not None and n in region)
     return " ".join(said for said, _, node, furniture in lines if not furniture and within[node])
 
 

@@ -323,6 +323,15 @@ def test_html_extract(spark):
     assert html_extract.extract(deep).split()[:3] == ["x", "x", "x"]
 
 
+def test_html_extract_keeps_all_parts():
+    long, short = "word " * 170, "other " * 25
+    parts = lambda tag: f"<body><nav><a href=1>Home</a></nav><div><{tag}><p>{long}</p></{tag}><{tag}><p>{short}</p><p>Tiny.</p></{tag}></div></body>"
+    want = f"{long.strip()} {short.strip()} Tiny."
+    assert [html_extract.extract(parts(t)) for t in ("section", "article", "div")] == [want] * 3
+    many = "<div><section><p>" + long + "</p></section><section>" + "<p>A few words.</p>" * 12 + "</section></div>"
+    assert html_extract.extract(many) == " ".join([long.strip(), *["A few words."] * 12])
+
+
 # secrets
 
 
