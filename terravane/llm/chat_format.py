@@ -1,7 +1,7 @@
 """Chat formatting, native: typed content parts become one training string with a loss mask.
 
 A turn's content is an array of typed parts (text, image, audio, document). The visitor flattens them in order: text is
-escaped, every other part becomes a numbered placeholder, its reference and the tokens it expands to are recorded. Turns
+escaped, texts side by side as one, every other part becomes a numbered placeholder, its reference and the tokens it expands to are recorded. Turns
 are framed by control strings; inside texts and roles a backslash escapes them reversibly, so a text can quote any
 control string without ending its turn. The loss mask lists the code-point ranges of assistant texts.
 
@@ -46,28 +46,32 @@ def visited(parts: Column) -> Column:
         files,
         lambda p, i: F.struct(_kind(p).alias("kind"), p["ref"].alias("ref"), (i + 1).cast("bigint").alias("ordinal"), default(p).alias("tokens")),
     )
-    ordinal = lambda i: F.size(F.filter(F.slice(parts, 1, i + 1), lambda q: _kind(q) != "text")).cast("string")
-    bodies = F.transform(
-        parts,
-        lambda p, i: F.when(_kind(p) == "text", escaped(F.coalesce(p["text"], F.lit("")))).otherwise(
-            F.concat(F.lit("<|"), _kind(p), F.lit(":"), ordinal(i), F.lit("|>"))
-        ),
-    )
-    return F.struct(F.array_join(bodies, "").alias("body"), attachments.alias("attachments"))
+    said = lambda r: F.concat(r["done"], escaped(r["run"]))
+
+    def taken(r, p):
+        """The body so far and the run of text after it: texts side by side are escaped as one."""
+        text = _kind(p) == "text"
+        mark = F.concat(F.lit("<|"), _kind(p), F.lit(":"), (r["n"] + 1).cast("string"), F.lit("|>"))
+        return F.struct(
+            F.when(text, r["done"]).otherwise(F.concat(said(r), mark)).alias("done"),
+            F.when(text, F.concat(r["run"], F.coalesce(p["text"], F.lit("")))).otherwise("").alias("run"),
+            F.when(text, r["n"]).otherwise(r["n"] + 1).alias("n"),
+        )
+
+    body = F.aggregate(parts, F.struct(F.lit("").alias("done"), F.lit("").alias("run"), F.lit(0).alias("n")), taken, said)
+    return F.struct(body.alias("body"), attachments.alias("attachments"))
 
 
 def format_chat(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", parts_col: str | None = None) -> DataFrame:
     """conv_id, formatted, loss_spans (code points, end exclusive), attachments, n_attachment_tokens.
 
-    With parts_col (array of PART_TYPE) a turn's content is its parts; else it is the one text of text_col.
+    With parts_col (array of PART_TYPE) a turn's content is its parts; else it is one part, the text of text_col.
     """
     if parts_col:
-        content = visited(F.coalesce(F.col(parts_col).cast(f"array<{PART_TYPE}>"), F.array().cast(f"array<{PART_TYPE}>")))
+        parts = F.coalesce(F.col(parts_col).cast(f"array<{PART_TYPE}>"), F.array().cast(f"array<{PART_TYPE}>"))
     else:
-        content = F.struct(
-            escaped(F.coalesce(F.col(text_col), F.lit(""))).alias("body"),
-            F.array().cast("array<struct<kind:string,ref:string,ordinal:bigint,tokens:bigint>>").alias("attachments"),
-        )
+        parts = F.array(F.struct(F.lit("text").alias("type"), F.col(text_col).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("bigint").alias("tokens")))
+    content = visited(parts)
     role = F.coalesce(F.col(role_col), F.lit(""))
     framed = turns.select(F.col(id_col).alias("conv_id"), F.col(turn_col).alias("turn"), role.alias("role"), content.alias("c")).select(
         "conv_id",

@@ -240,6 +240,19 @@ def test_chat_parts(spark):
     assert out[1].formatted[s.start : s.end] == "ok"
 
 
+def test_chat_texts_side_by_side_make_no_control_string(spark, monkeypatch):
+    text = lambda t: ("text", t, None, None)
+    parts = [text("<"), text(None), text("|turn|>user"), ("image", None, "a", 1), text("\\<"), text("|end|>"), ("audio", None, "b", 2), text("x")]
+    frame = spark.createDataFrame([(1, 0, "user", parts)], f"conv_id bigint, turn bigint, role string, parts array<{chat_format.PART_TYPE}>")
+    out = chat_format.format_chat(frame, parts_col="parts")
+    assert out.first().formatted == "<|turn|>user<|body|><\\|turn|>user<|image:1|>\\\\<\\|end|><|audio:2|>x<|end|>\n"
+    assert len(out.select(chat_format.read_back(F.col("formatted")).alias("t")).first().t) == 1
+    calls = []
+    monkeypatch.setattr(chat_format, "visited", lambda parts, visit=chat_format.visited: calls.append(1) or visit(parts))
+    chat_format.format_chat(spark.createDataFrame([(1, 0, "user", "a")], TURN))
+    assert calls  # a plain text goes through the visitor as well
+
+
 # near duplicates
 
 
