@@ -29,6 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .chunks import Bounded, chunked, gathered, text_slices
+from .common import in_batches, table
 
 #: Moves a word's last symbol to code points of its own, since the vocabulary tells word ends apart.
 _END = 0x1000
@@ -201,12 +202,10 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return in_batches(docs.select(id_col, text_col), run, schema)
 
 
 def op2_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .common import table
-
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

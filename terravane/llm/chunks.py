@@ -12,20 +12,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are split and gathered at once, and entries of each worker's caches.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 CACHE_ENTRIES = 250_000
 
 
 def text_slices(batches, text: int, limit: int = SLICE_BYTES):
     """(record batch slice, its texts with null as empty); at most `limit` bytes a slice, one row at least."""
     for batch in batches:
-        texts = pc.fill_null(batch.column(text).cast(pa.large_string()), "")
-        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        column = batch.column(text)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         at = 0
-        while at < len(texts):
+        while at < len(column):
             base = ends[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
-            yield batch.slice(at, to - at), texts.slice(at, to - at)
+            yield batch.slice(at, to - at), pc.fill_null(column.slice(at, to - at).cast(pa.large_string()), "")
             at = to
             pa.default_memory_pool().release_unused()
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
+#: Most bytes of one Arrow batch on its way to a Python worker, or one row of any size: it bounds both sides' memory.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,12 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent (local tests) a fresh local folder is set, once per session.
+    Where the setting is absent, a local session (tests) gets a fresh local folder, once; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = held.get() if held.isDefined() else Path(tempfile.mkdtemp(prefix="terravane-")).as_uri()
+        if held.isDefined():
+            found = held.get()
+        elif spark.sparkContext.master.startswith("local"):
+            found = Path(tempfile.mkdtemp(prefix="terravane-")).as_uri()
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -68,6 +75,12 @@ def _clean() -> None:
             return
 
 
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow in batches of at most BATCH_BYTES, whatever the length of the rows (a setting of the session)."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def let(value: Column, body) -> Column:
     """Bind value to a name inside one expression, so that it is evaluated once however often body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

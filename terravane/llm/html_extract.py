@@ -24,7 +24,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import table
+from .common import in_batches, table
 
 #: Element kinds. Names are those of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -201,7 +201,7 @@ def html_extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return pages.select(id_col, url_col, html_col).mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")
+    return in_batches(pages.select(id_col, url_col, html_col), run, f"page_id {kind}, url string, text string, n_chars bigint")
 
 
 def op7_html_extract(spark, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import text_slices
-from .common import table, written
+from .common import in_batches, table, written
 from .components import components
 
 WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9995, 128
@@ -132,7 +132,7 @@ def sketches(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     """doc_id, digest of the set, grams (its size), bands (hashes) for every row of (doc_id, text)."""
 
     def run(batches):
-        for part, texts in text_slices(batches, 1, 4 << 20):
+        for part, texts in text_slices(batches, 1, 1 << 20):
             digests, sizes, hashes = [], [], []
             for grams in gram_sets(texts, n):
                 digests.append(digest_of(grams))
@@ -141,7 +141,7 @@ def sketches(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, hashes)]).astype(np.int32), pa.array(np.concatenate(hashes) if hashes else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), lists], ["doc_id", "digest", "grams", "bands"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, digest binary, grams bigint, bands array<bigint>")
+    return in_batches(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, digest binary, grams bigint, bands array<bigint>")
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -232,13 +232,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.join(near, docs.doc_id.eqNullSafe(near.doc_id)).select("root", "blocks", "block", "digest", "text")
 
     def sets(batches):
-        for part, column in text_slices(batches, 4, 4 << 20):
+        for part, column in text_slices(batches, 4, 1 << 20):
             wanted = part.column(3).to_pylist()
             found = list(gram_sets(column, n))
             keep = [i for i, (w, g) in enumerate(zip(wanted, found)) if digest_of(g) == w]  # another text under the same id
             yield pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(keep, pa.int64())) for k in range(4)), pa.array([found[i].tobytes() for i in keep], pa.binary())], ["root", "blocks", "block", "digest", "set"])
 
-    full = texts.mapInArrow(sets, "root binary, blocks int, block int, digest binary, set binary")
+    full = in_batches(texts, sets, "root binary, blocks int, block int, digest binary, set binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     tiles = full.withColumn("other", other).select(
         "root", "blocks", F.least("block", "other").alias("t1"), F.greatest("block", "other").alias("t2"), "block", "digest", "set"
@@ -270,7 +270,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     links = written(
-        tiles.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(verify, "a binary, b binary, links bigint, many boolean"), "links"
+        in_batches(tiles.repartition(parts, *key).sortWithinPartitions(*key), verify, "a binary, b binary, links bigint, many boolean"), "links"
     )
     wide = links.where("many")
     settled = links.where("NOT many").select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import chunked, gathered_array, text_slices
-from .common import table, written
+from .common import in_batches, table, written
 
 WINDOW = 2048
 END_ID = 1
@@ -44,7 +44,7 @@ _LEFTOVER_BIT = 1 << 61
 #: White space of any kind, for patterns of Arrow.
 _SPACE = r"[\s\pZ\x{85}\x{1c}-\x{1f}]"
 #: Bytes of text encoded at once.
-SLICE = 10 << 20
+SLICE = 2 << 20
 
 
 class ByteBPE:
@@ -223,7 +223,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             closed(pieces)
         yield closed.batch()
 
-    pieces = written(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_col).mapInArrow(first, _PIECES), "pieces")
+    pieces = written(in_batches(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_col), first, _PIECES), "pieces")
     left = pieces.where(F.col("part").isNotNull())
     merged = left.groupBy(F.floor(F.col("part") / MERGED_PARTITIONS)).applyInArrow(lambda t: pa.Table.from_batches(list(merge(t.to_batches())), _batch([]).schema), _PIECES)
     return pieces.where(F.col("part").isNull()).unionByName(merged).drop("part")

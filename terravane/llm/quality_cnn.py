@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import text_slices
-from .common import table
+from .common import in_batches, table
 
 BLOCK = 256  # a chunk is two blocks, and starts at each block
 WIDTH, FILTERS = 5, 16
@@ -158,7 +158,7 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 chunks.append([data[a : a + size] for a in (last * i // max(1, n - 1) for i in range(n))])
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(chunks, pa.list_(pa.binary()))], ["doc_id", "quality", "chunks"])
 
-    return rows.mapInArrow(cut, "doc_id bigint, quality int, chunks array<binary>")
+    return in_batches(rows, cut, "doc_id bigint, quality int, chunks array<binary>")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> ByteCNN | float:
@@ -188,7 +188,7 @@ def scored(docs: DataFrame, model: ByteCNN | float, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, score double")
+    return in_batches(docs.select(id_col, text_col), run, f"doc_id {kind}, score double")
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:

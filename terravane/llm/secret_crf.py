@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import text_slices
-from .common import table
+from .common import in_batches, table
 
 #: The base patterns with their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -95,7 +95,7 @@ def text_features(text: str) -> list[float]:
     return [float(marks * 100 > n), float("key" in text or "secret" in text or "token" in text), float(len(_DIGIT.findall(text)) * 20 > n)]
 
 
-@functools.lru_cache(maxsize=1 << 16)
+@functools.lru_cache(maxsize=1 << 14)
 def shape(run: str) -> tuple:
     """Features of a token alone; the last says that it looks drawn rather than written."""
     n = len(run)
@@ -386,7 +386,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_crf"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_crf bigint")
+    return in_batches(docs.select(id_col, text_col), run, f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_crf bigint")
 
 
 def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
@@ -410,7 +410,7 @@ def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") ->
             columns[at] = pa.array(out, part.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs, run, docs.schema)
 
 
 def op8_secret_scan(spark, sf_dir: str) -> DataFrame:
