@@ -345,6 +345,42 @@ def test_html_extract_keeps_all_parts():
     assert html_extract.extract(many) == " ".join([long.strip(), *["A few words."] * 12])
 
 
+PARAGRAPH = "A long paragraph with many words that goes on and on, as the text of an article does. " * 4
+
+
+def test_html_ratio_decides_on_names_and_links():
+    said = PARAGRAPH.strip()
+    names = f"<body><article><h2 class='section-header'>Findings</h2><p>{said}</p><div class='social-policy'><p>Second. {said}</p></div><p class='search-results-text'>Third. {said}</p></article></body>"
+    assert html_extract.extract(names) == f"Findings {said} Second. {said} Third. {said}"
+    low = f"<body><div><p>{said}</p><p>{said}</p><p>{said}</p><p>{said}</p></div><div class='social-policy'><p>Us</p><p>You</p><p>All</p><p>Any</p><p>Two</p><p>Ten</p></div></body>"
+    assert html_extract.extract(low) == " ".join([said] * 4)
+    links = "".join(f"<li><a href={i}>{t}</a></li>" for i, t in enumerate(["Buy this", "Ten tricks", "You may like"]))
+    article = f"<body><article><h1><a href=9>Head</a></h1><p>{said}</p><ul><li>one</li><li>two <a href=8>link</a></li></ul><p>{said}</p><ul>{links}</ul></article></body>"
+    assert html_extract.extract(article) == f"Head {said} one two link {said}"
+
+
+def test_html_page_without_names(monkeypatch):
+    said = PARAGRAPH.strip()
+    menu = "".join(f"<div><a href={i}>{t}</a></div>" for i, t in enumerate(["Home", "News", "Sport"]))
+    page = f"<body><div>{menu}</div><div><div><h1>Title</h1><p>{said}</p><p>Short one.</p><p>{said}</p></div></div><div><p>Copyright 2020 Acme</p><p>Imprint</p></div></body>"
+    assert html_extract.extract(page) == f"Title {said} Short one. {said}"
+    monkeypatch.setattr(html_extract, "content_lines", lambda lines: ([i for i, line in enumerate(lines) if not line[3]], []))
+    assert "Imprint" in html_extract.extract(page) and "Sport" in html_extract.extract(page)
+
+
+@given(st.lists(st.tuples(st.integers(0, 200), st.integers(0, 9), st.booleans()), min_size=1, max_size=30))
+@settings(max_examples=60, deadline=None)
+def test_html_clusters_match_brute_force(rows):
+    lines = [("x" * n, tags, -1, furniture, n, -1) for n, tags, furniture in rows]
+    ratios, smooth, threshold = html_extract.clusters(lines)
+    own = np.array([0 if furniture else n / max(1, tags) for n, tags, furniture in rows], float)
+    assert np.allclose(ratios, own)
+    weight = np.exp(-0.5 * (np.subtract.outer(np.arange(len(rows)), np.arange(len(rows))) / html_extract.SIGMA) ** 2)
+    weight[np.abs(np.subtract.outer(np.arange(len(rows)), np.arange(len(rows)))) > np.ceil(3 * html_extract.SIGMA)] = 0
+    want = weight @ own / weight.sum(axis=1)
+    assert np.allclose(smooth, want) and np.isclose(threshold, min(want.std(), want.max()))
+
+
 # secrets
 
 
