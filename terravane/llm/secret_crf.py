@@ -336,15 +336,26 @@ def crf_spans(text: str, crf: CRF) -> list[tuple[int, int]]:
     return [(a, b) for a, b in found]
 
 
+def apart(spans: list[tuple[int, int]], others: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans that overlap none of the others; one pass over both, in order of their starts. The spans are disjoint."""
+    out, k, reach = [], 0, -1
+    others = sorted(others)
+    for a, b in spans:
+        while k < len(others) and others[k][0] < b:
+            reach = max(reach, others[k][1])
+            k += 1
+        if reach <= a:
+            out.append((a, b))
+    return out
+
+
 def all_spans(text: str, crf: CRF, read: bool = True, touching: bool = False) -> list[tuple[int, int, int]]:
     """(start, kind number, end): base spans, and the field's spans that touch none of them, or all of the field's spans."""
     base = base_spans(text)
     if not read:
         return base
-    if touching:
-        return sorted(base + [(a, 3, b) for a, b in crf_spans(text, crf)])
-    ends = sorted((a, b) for a, _, b in base)
-    return sorted(base + [(a, 3, b) for a, b in crf_spans(text, crf) if not any(s < b and a < e for s, e in ends)])
+    found = crf_spans(text, crf)
+    return sorted(base + [(a, 3, b) for a, b in (found if touching else apart(found, [(a, b) for a, _, b in base]))])
 
 
 def _joined(spans) -> str:
