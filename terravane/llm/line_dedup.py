@@ -1,12 +1,13 @@
 """Line dedup: site-relative frequency.
 
 For each host, the pages that hold a line are divided by the pages of the host, and lines above the boilerplate ratio are
-dropped. Lines are counted by digest with map-side combine, so a hot host or a line on every page is summed before the
-shuffle. A line above the ratio r is on at least r of its host's pages, so a host with L lines a page has at most L / r
+dropped. The page itself does not count on either side: a line is boilerplate where more than that share of the host's other pages
+hold it, so a line of one page alone never is, however few pages the host has. Lines are counted by digest with map-side combine, so a hot host or a line on every page is summed before the
+shuffle. A line above the ratio r is on about r of its host's pages at least, so a host with L lines a page has at most L / r
 such lines: the digests of a host fit one row. Those rows are joined back to the pages, by broadcast if their measured
 size is small and else by a join salted so that a hot host is spread; no page text is ever shuffled by host.
 
-Defined cases: null text stays null; a null host is a host of its own; blank lines are neither counted nor dropped; a line
+Defined cases: null text stays null, and counts as a page without lines; a null host is a host of its own, apart from the empty one; blank lines are neither counted nor dropped; a line
 repeated within a page counts once; lines compare without the white space around them; a page whose every line goes keeps
 an empty text; an empty table gives an empty result; columns of the input are carried through, whatever their names.
 """
@@ -16,11 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, table, written
+from .common import table, written
 
-#: A line on more than this share of its host's pages, and on at least so many of them, is boilerplate.
+#: A line on more than this share of its host's other pages is boilerplate.
 MAX_RATIO = 0.05
-MIN_PAGES = 5
 #: Boilerplate digests are broadcast up to this number in all (16 bytes each), and joined by salted shuffle beyond.
 BROADCAST_LINES = 1_000_000
 SALTS = 32
@@ -32,48 +32,51 @@ def _key(line: Column) -> Column:
 
 
 def _digest(key: Column) -> Column:
-    """The first 16 bytes of SHA-1, as two longs are not needed: equality is all that is asked."""
-    return F.unhex(F.substring(F.sha1(key), 1, 32))
+    """The first 16 bytes of SHA-1 in hex: strings, which the array functions put into hash sets."""
+    return F.substring(F.sha1(key), 1, 32)
 
 
-def boilerplate(docs: DataFrame, host: Column, text: Column, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, host: Column, text: Column, max_ratio: float = MAX_RATIO) -> DataFrame:
     """host, lines (array of digests): the lines of each host above the ratio."""
     pages = docs.select(host.alias("host"), text.alias("text"))
-    totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).withColumnRenamed("host", "_of")
     keys = F.array_distinct(F.filter(F.transform(F.split("text", "\n"), _key), lambda k: k != ""))
     lines = pages.select("host", F.explode(keys).alias("key")).select("host", _digest(F.col("key")).alias("line"))
-    often = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    often = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return (
-        often.join(totals, "host")
-        .where(F.col("n") > max_ratio * F.col("pages"))
+        often.join(totals, F.col("host").eqNullSafe(F.col("_of")))
+        .where(F.col("n") - 1 > max_ratio * (F.col("pages") - 1))
         .groupBy("host")
         .agg(F.collect_list("line").alias("lines"))
     )
 
 
-def line_dedup(
-    docs: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES
-) -> DataFrame:
+def line_dedup(docs: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO) -> DataFrame:
     """docs with the boilerplate lines taken out of text_col; two more columns, _lines_in and _lines_out, count lines."""
-    host = F.coalesce(F.col(host_col), F.lit(""))
-    found = written(boilerplate(docs, host, F.col(text_col), max_ratio, min_pages), "boilerplate")
+    host = F.col(host_col)
+    found = written(boilerplate(docs, host, F.col(text_col), max_ratio), "boilerplate")
     n = found.agg(F.sum(F.size("lines"))).first()[0] or 0
     found = found.select(F.col("host").alias("_ld_host"), F.col("lines").alias("_ld_lines"))
+    same = host.eqNullSafe(F.col("_ld_host"))
     if n <= BROADCAST_LINES:
-        joined = docs.join(F.broadcast(found), host == F.col("_ld_host"), "left")
+        joined = docs.join(F.broadcast(found), same, "left")
     else:
         salted = found.withColumn("_ld_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         with_salt = docs.withColumn("_ld_of", F.pmod(F.xxhash64(text_col), F.lit(SALTS)).cast("int"))
-        joined = with_salt.join(salted, (host == F.col("_ld_host")) & (F.col("_ld_of") == F.col("_ld_salt")), "left").drop("_ld_of", "_ld_salt")
-    kept = F.filter(F.split(text_col, "\n"), lambda x: let(_key(x), lambda k: (k == "") | ~F.array_contains(F.col("_ld_lines"), _digest(k))))
-    cleaned = F.when(F.col("_ld_lines").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    lines = lambda c: F.coalesce(F.size(F.split(c, "\n")), F.lit(0)).cast("bigint")
+        joined = with_salt.join(salted, same & (F.col("_ld_of") == F.col("_ld_salt")), "left").drop("_ld_of", "_ld_salt")
+    lines = F.split(text_col, "\n")
+    digests = F.transform(lines, lambda x: _digest(_key(x)))
+    # the page's own boilerplate first, by hash set: a page costs its lines and its host's list, not their product
+    hits = F.when(F.col("_ld_lines").isNotNull() & F.col(text_col).isNotNull(), F.array_intersect(digests, "_ld_lines"))
+    known = joined.withColumn("_ld_hits", hits)
+    cut = F.coalesce(F.size("_ld_hits"), F.lit(0)) > 0
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_ld_hits"), _digest(_key(x))))
     return (
-        joined.withColumn("_ld_text", cleaned)
-        .withColumn("_lines_in", F.when(F.col(text_col).isNull(), 0).otherwise(lines(F.col(text_col))).cast("bigint"))
-        .withColumn("_lines_out", F.when(F.col("_ld_lines").isNull(), F.col("_lines_in")).otherwise(F.size(kept)).cast("bigint"))
-        .withColumn(text_col, F.col("_ld_text"))
-        .drop("_ld_text", "_ld_host", "_ld_lines")
+        known.withColumn("_lines_in", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("bigint"))
+        .withColumn("_ld_kept", F.when(cut, kept))
+        .withColumn("_lines_out", F.when(cut, F.size("_ld_kept")).otherwise(F.col("_lines_in")).cast("bigint"))
+        .withColumn(text_col, F.when(cut, F.array_join("_ld_kept", "\n")).otherwise(F.col(text_col)))
+        .drop("_ld_kept", "_ld_hits", "_ld_host", "_ld_lines")
     )
 
 
@@ -85,16 +88,17 @@ def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH l AS (
-  SELECT doc_id, coalesce(source, '') AS host, i, line, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key
+  SELECT doc_id, source AS host, i, line, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key
   FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
 ),
-h AS (SELECT coalesce(source, '') AS host, count(*) AS pages FROM documents GROUP BY 1),
+h AS (SELECT source AS host, count(*) AS pages FROM documents GROUP BY 1),
 b AS (
-  SELECT host, key FROM (SELECT host, key, count(DISTINCT doc_id) AS n FROM l WHERE key <> '' GROUP BY 1, 2) JOIN h USING (host)
-  WHERE n >= 5 AND n > 0.05 * pages
+  SELECT x.host, x.key FROM (SELECT host, key, count(DISTINCT doc_id) AS n FROM l WHERE key <> '' GROUP BY 1, 2) x JOIN h ON h.host IS NOT DISTINCT FROM x.host
+  WHERE n - 1 > 0.05 * (pages - 1)
 ),
-k AS (SELECT l.doc_id, i, line, b.key IS NULL AS stays FROM l LEFT JOIN b ON b.host = l.host AND b.key = l.key)
+k AS (SELECT l.doc_id, i, line, b.key IS NULL AS stays FROM l LEFT JOIN b ON b.host IS NOT DISTINCT FROM l.host AND b.key = l.key)
 SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE stays), '') AS text,
        count(*) AS n_lines, count(*) FILTER (WHERE NOT stays) AS n_dropped
 FROM k GROUP BY doc_id
+UNION ALL SELECT doc_id, NULL, 0, 0 FROM documents WHERE text IS NULL
 """
