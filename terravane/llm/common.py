@@ -81,6 +81,11 @@ def in_batches(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def small(df: DataFrame, bound: int) -> DataFrame:
+    """df marked for broadcast if a count shows at most `bound` rows, else as it is. Give a written table: it is read twice."""
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+
+
 def let(value: Column, body) -> Column:
     """Bind value to a name inside one expression, so that it is evaluated once however often body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

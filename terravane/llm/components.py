@@ -33,5 +33,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = new.select("node", "root")
         labels._terravane_path = new._terravane_path
         if not changed:
+            dropped(both)
             return labels
     raise RuntimeError("components did not settle")

@@ -4,14 +4,16 @@
    and digests are written, sets are not. Documents of equal sets are one copy class; only classes go on.
 2. Bands and rows a band are chosen for the target recall at the threshold. Classes are shuffled by band hash. A bucket gives
    one edge from each member to its least member, never its pairs, so a bucket of any size costs its size.
-3. Connected components of those edges hold every candidate pair. Their texts are read again and turned into full sets,
-   and a component is verified by block against block: one tile of two blocks of bounded size at a time, as products of sparse 0/1
-   matrices with integer counts. A tile reports links by document and one edge for each document, never pairs.
+3. Connected components of those edges hold every candidate pair. A component of over one block, which may hang together
+   by chance hits of weakly similar texts, is banded once more with more rows a band, whose hits are far more selective, and so falls apart where it can.
+   The texts are read again and turned into full sets, and a component is verified by block against block: one tile of two blocks of
+   bounded size at a time, as products of sparse 0/1 matrices with integer counts. A tile reports links by document and one edge for each document, never pairs.
 4. Components of verified links are the near-duplicate classes: found inside the tile, or, for components of many blocks, by
    the same shuffled component search over the tiles' edges.
 
 A component of m classes costs m times its blocks in rows and is verified exactly; no bucket, partner or component is
-capped.
+capped. Class ids and block counts, one row for each component, are broadcast within a counted bound; beyond it they are tables
+of their own, so that adaptive execution can split the side of a component with many rows.
 
 Defined cases: null text counts as empty; a text with fewer words than n is one n-gram of all its words; a text without words
 links to nothing and is its own class; rows of equal id and text are copies; null ids sort last as representatives; an empty table gives an
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import text_slices
-from .common import in_batches, table, written
+from .common import dropped, in_batches, small, table, written
 from .components import components
 
 WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9995, 128
@@ -40,6 +42,10 @@ WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9995, 128
 BLOCK_MEMBERS, BLOCK_GRAMS = 512, 400_000
 #: Ids of candidates up to this number are broadcast (ids alone), so that other texts are not shuffled.
 BROADCAST_IDS = 500_000
+#: Components up to this number are broadcast: their block counts and class ids.
+BROADCAST_ROOTS = 500_000
+#: Hashes of the second banding, and its recall.
+FINE_HASHES, FINE_RECALL = 900, 0.9999
 #: Columns of a matrix at once.
 SPAN = 4096
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
@@ -170,7 +176,7 @@ def tile_links(members: list[tuple[bytes, int, np.ndarray]], threshold: float) -
 
     A tile of one block links all its members; a tile of two links members of different blocks.
     """
-    members = sorted({m[0]: m for m in members}.values(), key=lambda m: (m[1], m[0]))
+    members = sorted(members, key=lambda m: (m[1], m[0]))
     blocks = sorted({m[1] for m in members})
     cut = sum(m[1] == blocks[0] for m in members) if len(blocks) > 1 else 0
     left, right = (range(cut), range(cut, len(members))) if cut else (range(len(members)), range(len(members)))
@@ -202,6 +208,45 @@ def tile_links(members: list[tuple[bytes, int, np.ndarray]], threshold: float) -
     return [(m[0], least[find(i)], int(links[i])) for i, m in enumerate(members)]
 
 
+def band_components(sketched: DataFrame) -> DataFrame:
+    """node (digest), root: components of the classes (digest, bands) that share a band; classes that share none are left out."""
+    hits = sketched.select("digest", F.explode("bands").alias("band"))
+    buckets = hits.groupBy("band").agg(F.min("digest").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "least")
+    stars = hits.join(buckets, "band").where(F.col("digest") != F.col("least")).select(F.col("digest").alias("a"), F.col("least").alias("b")).distinct()
+    return components(stars)
+
+
+def texts_of(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """The columns of members (digest and doc_id among them) with the text of each; a row more for each further text under the same id."""
+    if members.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # else all texts are shuffled to their sets
+        wanted = members.select(F.col("doc_id").alias("_wanted")).distinct()
+        docs = docs.join(F.broadcast(wanted), docs.doc_id.eqNullSafe(F.col("_wanted")), "left_semi")
+    near = members.hint("merge").withColumnRenamed("doc_id", "_of")
+    return docs.join(near, docs.doc_id.eqNullSafe(near._of)).select(*[c for c in members.columns if c != "doc_id"], "text")
+
+
+def refined(docs: DataFrame, members: DataFrame, n: int, threshold: float) -> DataFrame:
+    """members (digest, doc_id, grams, root) with the components of more than one block banded once more; what meets nothing there goes."""
+    sizes = written(members.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK_MEMBERS).select("root"), "wide")
+    if not sizes.limit(1).count():
+        return members
+    sizes = small(sizes, BROADCAST_ROOTS)
+    wide = written(members.join(sizes, "root", "left_semi"), "wide-members")
+    bands, rows = band_shape(threshold, FINE_RECALL, FINE_HASHES)
+
+    def run(batches):
+        for part, column in text_slices(batches, 1, 1 << 20):
+            for want, grams in zip(part.column(0).to_pylist(), gram_sets(column, n)):
+                if digest_of(grams) == want:
+                    own = band_hashes(signature(grams, bands * rows), bands, rows)
+                    yield pa.RecordBatch.from_arrays([pa.array([want] * len(own), pa.binary()), pa.array(own)], ["digest", "band"])
+
+    fine = written(in_batches(texts_of(docs, wide.select("digest", "doc_id")), run, "digest binary, band bigint").distinct(), "fine-bands")
+    found = band_components(fine.select("digest", F.array("band").alias("bands")))
+    again = wide.drop("root").join(found, F.col("digest") == F.col("node")).drop("node")
+    return written(members.join(sizes, "root", "left_anti").unionByName(again), "refined")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row for each row of docs: doc_id, copy_id, n_copies, class_id, n_links.
 
@@ -215,21 +260,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         drawn.groupBy("digest").agg(F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("n_copies"), F.first("grams").alias("grams"), F.first("bands").alias("bands")),
         "copies",
     )
-    hits = copies.select("digest", F.explode("bands").alias("band"))
-    buckets = hits.groupBy("band").agg(F.min("digest").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "least")
-    stars = hits.join(buckets, "band").where(F.col("digest") != F.col("least")).select(F.col("digest").alias("a"), F.col("least").alias("b")).distinct()
-    roots = components(stars)
-    members = copies.select("digest", "copy_id", "grams").join(roots, F.col("digest") == F.col("node")).drop("node")
-    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS), F.ceil(F.sum("grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
+    roots = band_components(copies)
+    near = copies.select("digest", F.col("copy_id").alias("doc_id"), "grams").join(roots, F.col("digest") == F.col("node")).drop("node")
+    near = refined(docs, written(near, "near"), n, threshold)
+    sizes = near.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS), F.ceil(F.sum("grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
+    sizes = small(written(sizes, "sizes"), BROADCAST_ROOTS)
     members = written(
-        members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")).select("root", "blocks", "block", "digest", F.col("copy_id").alias("doc_id")),
+        near.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")).select("root", "blocks", "block", "digest", "doc_id"),
         "members",
     )
-    if members.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # else all texts are shuffled to their sets
-        wanted = members.select(F.col("doc_id").alias("_wanted")).distinct()
-        docs = docs.join(F.broadcast(wanted), docs.doc_id.eqNullSafe(F.col("_wanted")), "left_semi")
-    near = members.hint("merge")
-    texts = docs.join(near, docs.doc_id.eqNullSafe(near.doc_id)).select("root", "blocks", "block", "digest", "text")
+    texts = texts_of(docs, members)
 
     def sets(batches):
         for part, column in text_slices(batches, 4, 1 << 20):
@@ -246,14 +286,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key = ["root", "t1", "t2"]
 
     def verify(batches):
-        out, held, now = [], [], None
+        out, held, now = [], {}, None
 
         def close():
             if held:
                 many = now[3] > 1
                 # a tile of two blocks with members of one only has nothing to compare
-                if now[1] == now[2] or len({m[1] for m in held}) > 1:
-                    out.extend((a, b, links, many) for a, b, links in tile_links(held, threshold))
+                if now[1] == now[2] or len({m[1] for m in held.values()}) > 1:
+                    out.extend((a, b, links, many) for a, b, links in tile_links(list(held.values()), threshold))
                 held.clear()
 
         for batch in batches:
@@ -261,17 +301,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 if now is None or now[:3] != (root, t1, t2):
                     close()
                     now = (root, t1, t2, blocks)
-                held.append((digest, block, np.frombuffer(grams, np.uint64)))
+                held[digest] = (digest, block, np.frombuffer(grams, np.uint64))  # once, however often its id and text repeat
             if len(out) > 10_000:
                 yield _links_batch(out)
                 out = []
         close()
         yield _links_batch(out)
 
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    links = written(
-        in_batches(tiles.repartition(parts, *key).sortWithinPartitions(*key), verify, "a binary, b binary, links bigint, many boolean"), "links"
-    )
+    links = written(in_batches(tiles.repartition(*key).sortWithinPartitions(*key), verify, "a binary, b binary, links bigint, many boolean"), "links")
     wide = links.where("many")
     settled = links.where("NOT many").select(F.col("a").alias("node"), F.col("b").alias("root"))
     if wide.limit(1).count():
@@ -279,12 +316,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         lone = wide.select(F.col("a").alias("node")).distinct().join(found, "node", "left_anti").select("node", F.col("node").alias("root"))
         settled = settled.unionByName(found).unionByName(lone)
     counted = links.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links")).join(settled, "node")
-    classed = copies.select("digest", "copy_id", "n_copies", "grams").join(counted, F.col("digest") == F.col("node"), "left").select(
-        "digest", "copy_id", "n_copies", "grams", F.coalesce("root", "digest").alias("root"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links")
+    counted = written(counted.join(copies.select(F.col("digest").alias("node"), "copy_id"), "node"), "counted")
+    ids = small(written(counted.groupBy("root").agg(F.min("copy_id").alias("class_id")), "classes"), BROADCAST_ROOTS)
+    placed = counted.join(ids, "root").select(F.col("node").alias("digest"), "class_id", "n_links")
+    classed = written(
+        copies.select("digest", "copy_id", "n_copies", "grams").join(placed, "digest", "left").select(
+            "digest", "copy_id", "n_copies", "grams", F.when(F.col("n_links").isNull(), F.col("copy_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")
+        ),
+        "classed",
     )
-    classed = written(classed, "classed")
-    ids = classed.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    classed = classed.join(ids, "root").drop("root")
+    for held in (copies, members, links, counted):
+        dropped(held)
     lone = F.col("grams") == 0
     return drawn.select("doc_id", "digest").join(classed, "digest").select(
         "doc_id",
