@@ -4,7 +4,7 @@ Every count is a DataFrame expression over the whole text of one row, O(n log n)
 host (map-side combine), each host's failure rate is shrunk towards the rate of all hosts by a beta prior fitted by
 moments, and hosts whose shrunk rate is too high are joined back; their documents go.
 
-Defined cases: null text has no words and fails; a null host is a host of its own; a table of one host, or hosts of equal
+Defined cases: null text has no words and fails; a null host is a host of its own, apart from the empty one; a table of one host, or hosts of equal
 rates, uses the fallback prior strength; an empty table gives an empty result; rows of one id are judged one by one.
 """
 
@@ -75,7 +75,7 @@ def rule_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     counted = docs.select(
         F.col(id_col).alias("doc_id"),
-        F.coalesce(F.col(host_col), F.lit("")).alias("host"),
+        F.col(host_col).alias("host"),
         F.size(words).cast("bigint").alias("n_words"),
         F.length(F.translate(text, SPACE, "")).cast("bigint").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
@@ -114,10 +114,11 @@ def host_rates(counts: DataFrame) -> DataFrame:
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The counts of rule_counts with `kept`: false if the document fails the base rules or its host is rejected."""
     counts = written(rule_counts(docs, id_col, text_col, host_col), "rule-counts")
-    bad = host_rates(counts).where(F.col("shrunk") > MAX_HOST_RATE).select(F.col("host"), F.lit(True).alias("host_bad"))
+    bad = host_rates(counts).where(F.col("shrunk") > MAX_HOST_RATE).select(F.col("host").alias("_bad"), F.lit(True).alias("_host_bad"))
     if bad.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
         bad = F.broadcast(bad)
-    return counts.join(bad, "host", "left").withColumn("kept", ~F.col("base_failed") & F.col("host_bad").isNull())
+    judged = counts.join(bad, counts.host.eqNullSafe(F.col("_bad")), "left")
+    return judged.withColumn("kept", ~F.col("base_failed") & F.col("_host_bad").isNull()).drop("_bad", "_host_bad")
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -127,7 +128,7 @@ def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS host FROM documents),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, source AS host FROM documents),
 w AS (
   SELECT doc_id, host, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
          list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
@@ -154,8 +155,8 @@ h AS (
 ),
 p AS (SELECT avg(x / n) AS m, var_pop(x / n) AS v FROM h),
 s AS (SELECT m, least(greatest(CASE WHEN v > 0 THEN m * (1 - m) / v - 1 ELSE 20.0 END, 2.0), 1000.0) AS k FROM p),
-bad AS (SELECT host FROM h, s WHERE (x + m * k) / (n + k) > 0.6)
+bad AS (SELECT host, true AS gone FROM h, s WHERE (x + m * k) / (n + k) > 0.6)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND host NOT IN (SELECT host FROM bad) AS kept
-FROM f
+       NOT base_failed AND gone IS NULL AS kept
+FROM f LEFT JOIN bad ON bad.host IS NOT DISTINCT FROM f.host
 """
