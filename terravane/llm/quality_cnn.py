@@ -10,7 +10,7 @@ reads every byte of every document in Arrow batches and shuffles nothing; the mo
 
 Defined cases: null text counts as empty, and an empty text is one padding byte; without labels of both classes every
 score is the smoothed share of label 1; null or other labels are ignored; a null id is in no held-out fold; rows of equal
-id are scored one by one; other columns are never inputs.
+id are scored one by one, and the least of them stands for a labelled id in the fit; other columns are never inputs.
 """
 
 from __future__ import annotations
@@ -142,7 +142,7 @@ def usable_labels(labels: DataFrame) -> DataFrame:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """quality, chunks (array of binary): at most TRAIN_ROWS rows a class, none of the held-out fold."""
+    """doc_id, quality, chunks (array of binary): at most TRAIN_ROWS ids a class, none of the held-out fold, one row each, however often an id repeats."""
     usable = usable_labels(labels)
     picked = [usable.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS) for q in (0, 1)]
     rows = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").select("doc_id", "quality", "text")
@@ -158,7 +158,7 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 chunks.append([data[a : a + size] for a in (last * i // max(1, n - 1) for i in range(n))])
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(chunks, pa.list_(pa.binary()))], ["doc_id", "quality", "chunks"])
 
-    return in_batches(rows, cut, "doc_id bigint, quality int, chunks array<binary>")
+    return in_batches(rows, cut, "doc_id bigint, quality int, chunks array<binary>").groupBy("doc_id", "quality").agg(F.min("chunks").alias("chunks"))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> ByteCNN | float:

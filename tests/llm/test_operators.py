@@ -106,9 +106,10 @@ def test_quality_rules_counts(spark):
 def test_quality_rules_hosts(spark):
     good = " ".join(f"w{i}" for i in range(60))
     rows = [(i, good if i % 10 == 0 else "short", "bad") for i in range(100)] + [(100 + i, good, f"g{i % 5}") for i in range(100)] + [(500, good, None), (501, good, None)]
+    rows += [(600 + i, "short" if i else good, "") for i in range(50)]  # the empty host goes, the null one stays
     out = quality_rules.quality_rules(docs(spark, rows)).collect()
-    assert not any(r.kept for r in out if r.host == "bad")
-    assert all(r.kept for r in out if r.host != "bad")
+    assert not any(r.kept for r in out if r.host in ("bad", ""))
+    assert all(r.kept for r in out if r.host not in ("bad", ""))
     assert quality_rules.quality_rules(docs(spark, [])).count() == 0
 
 
@@ -117,13 +118,31 @@ def test_quality_rules_hosts(spark):
 
 def test_line_dedup(spark):
     rows = [(i, f"menu\nbody {i}\n  menu \n\nend", "h") for i in range(20)] + [(100, "menu\nbody", "other"), (101, None, "h"), (102, "", None), (103, "menu", "h")]
-    out = {r.doc_id: r for r in line_dedup.line_dedup(docs(spark, rows, ["_lines", "host", "line", "lines", "n"]), max_ratio=0.5, min_pages=3).collect()}
+    out = {r.doc_id: r for r in line_dedup.line_dedup(docs(spark, rows, ["_lines", "host", "line", "lines", "n", "_of"]), max_ratio=0.5).collect()}
     assert out[0].text == "body 0\n" and out[0]._lines_in == 5 and out[0]._lines_out == 2
     assert out[100].text == "menu\nbody" and out[101].text is None and out[102].text == "" and out[103].text == ""
     assert out[0].host == "clash" and len(out) == len(rows)
     assert line_dedup.line_dedup(docs(spark, [])).count() == 0
 
 
+def brute_lines(rows, ratio):
+    pages, holds = collections.Counter(h for _, _, h in rows), collections.Counter()
+    for _, t, h in rows:
+        holds.update((h, k) for k in {x.strip(" \t\n\x0b\x0c\r") for x in (t or "").split("\n")} if k)
+    gone = {(h, k) for (h, k), n in holds.items() if n - 1 > ratio * (pages[h] - 1)}
+    return [(i, None if t is None else "\n".join(x for x in t.split("\n") if (h, x.strip(" \t\n\x0b\x0c\r")) not in gone), h) for i, t, h in rows]
+
+
+def test_line_dedup_matches_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(i, "\n".join(rng.choice([f"line {rng.randint(0, 30)}", f" own {i}", "", "\t"]) for _ in range(rng.randint(0, 9))), rng.choice(["a", "b", "", None])) for i in range(120)]
+    rows += [(200, LONG + "\n" + "x\n" * 40_000, "a"), (201, None, None), (202, "only", "lone"), (203, "same", ""), (203, "same", ""), (204, "same", None)]
+    for ratio in (0.02, 0.2):
+        out = line_dedup.line_dedup(docs(spark, rows), max_ratio=ratio).collect()
+        key = lambda r: (r[0], r[1] or "", r[2] or "")
+        assert sorted(((r.doc_id, r.text, r.source) for r in out), key=key) == sorted(brute_lines(rows, ratio), key=key)
+
+
 def test_line_dedup_shuffled_join_agrees(spark, monkeypatch):
     rows = [(i, f"menu\nbody {i}", "h" if i % 2 else "g") for i in range(40)]
     a = sorted(map(tuple, line_dedup.line_dedup(docs(spark, rows)).collect()))
@@ -560,6 +579,8 @@ def test_quality_cnn(spark, monkeypatch):
     held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2]
     assert {i for i in range(400) if out[i].held_out} == set(held)
     assert np.mean([out[i].predicted == (1 if i % 3 else 0) for i in held]) > 0.95
+    many = docs(spark, [(i % 3, f"{clean(i)} {i}", "h") for i in range(600)])  # one row of an id is fitted, however often it repeats
+    assert quality_cnn.training_sample(many, spark.createDataFrame([(0, 1), (1, 0)], "doc_id bigint, quality int")).count() == 2
     none = quality_cnn.quality_classifier(frame, labels.limit(0)).collect()
     assert {r.score for r in none} == {0.5}
     assert quality_cnn.quality_classifier(docs(spark, []), labels).count() == 0
