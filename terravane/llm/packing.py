@@ -44,7 +44,7 @@ _LEFTOVER_BIT = 1 << 61
 #: White space of any kind, for patterns of Arrow.
 _SPACE = r"[\s\pZ\x{85}\x{1c}-\x{1f}]"
 #: Bytes of text encoded at once.
-SLICE = 2 << 20
+SLICE = 4 << 20
 
 
 class ByteBPE:
