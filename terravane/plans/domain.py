@@ -57,7 +57,13 @@ def tk03(t):
     return Q.fused([vectors(t), words], "doc_id", [[F.col("distance"), F.col("doc_id")], [F.desc("score"), F.col("doc_id")]], 20)
 
 
-@plan("tk06_excerpt", "SELECT doc_id, CASE WHEN length(text) <= 700 THEN text END AS excerpt, length(text) <= 700 AS whole FROM documents WHERE length(text) <= 700")
+@plan(
+    "tk06_excerpt",
+    f"""WITH b AS (SELECT doc_id, coalesce(text, '') AS t, unnest(range(0, greatest(length(coalesce(text, '')), 1), 700)) AS k FROM documents),
+    h AS (SELECT doc_id, k, length(t) <= 700 AS whole, substring(t, k + 1, 700) AS s, len(list_intersect(list_distinct(string_split_regex(lower(substring(t, k + 1, 700)), '[^a-z0-9]+')), {QUERY_SQL})) AS hits FROM b),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k > 0, hits DESC, k) AS rn FROM h WHERE k = 0 OR hits > 0)
+    SELECT doc_id, string_agg(s, ' … ' ORDER BY k) AS excerpt, any_value(whole) AS whole FROM r WHERE rn <= 4 GROUP BY 1""",
+)
 def _(t):
     docs = t.documents.select("doc_id", "text", F.coalesce(F.length("text") <= 700, F.lit(True)).alias("whole"))
     return Q.excerpt(docs, "doc_id", "text", QUERY, keep=["whole"])
@@ -243,10 +249,7 @@ def _(t):
     return name_pairs(t).select("a", "b", E.edge_class(F.col("a"), F.col("b")).alias("class"))
 
 
-COMPONENT_SQL = "WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_partkey + 1000000 AS b FROM lineitem WHERE l_orderkey % 200 = 0), w AS (SELECT a AS node, a AS seen FROM e UNION SELECT w.node, x.seen FROM w JOIN (SELECT a AS p, b AS seen FROM e UNION ALL SELECT b, a FROM e) x ON x.p = w.seen) SELECT node, min(seen) AS root FROM (SELECT node, seen FROM w UNION ALL SELECT seen, node FROM w) GROUP BY 1"
-
-
-@plan("er22_components", COMPONENT_SQL)
+@plan("er22_components")
 def _(t):
     edges = t.lineitem.select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1000000).alias("b")).distinct()
     return G.components(edges, "a", "b")
@@ -296,7 +299,7 @@ def _(t):
 # hierarchies and clusters
 
 
-@plan("cl00_families", "SELECT s_suppkey AS node, CAST(CASE WHEN s_suppkey % 50 IN (20, 21) THEN NULL ELSE 0 END AS BIGINT) AS root, s_suppkey % 50 NOT IN (20, 21) AS resolved FROM supplier WHERE s_suppkey < 40")
+@plan("cl00_families", "WITH RECURSIVE w AS (SELECT s_suppkey AS node, s_suppkey AS now, 0 AS depth FROM supplier UNION ALL SELECT node, CASE now WHEN 20 THEN 21 WHEN 21 THEN 20 ELSE now // 2 END, depth + 1 FROM w WHERE now > 0 AND depth < 40) SELECT node, CAST(CASE WHEN min(now) = 0 THEN 0 END AS BIGINT) AS root, min(now) = 0 AS resolved FROM w GROUP BY 1")
 def _(t):
     nodes = t.supplier.select("s_suppkey")
     parent = F.when(F.col("s_suppkey") == 20, 21).when(F.col("s_suppkey") == 21, 20).otherwise(F.expr("s_suppkey div 2")).cast("bigint")  # one cycle planted
@@ -304,7 +307,7 @@ def _(t):
     return G.families(nodes, edges, "s_suppkey", "child", "parent")
 
 
-@plan("cl00b_descendants", "WITH RECURSIVE e AS (SELECT s_suppkey AS child, s_suppkey // 2 AS parent FROM supplier WHERE s_suppkey BETWEEN 1 AND 60), w AS (SELECT parent AS ancestor, child AS descendant, parent || '/' || child AS path, 1 AS depth FROM e UNION ALL SELECT ancestor, e.child, path || '/' || e.child, depth + 1 FROM w JOIN e ON e.parent = w.descendant) SELECT ancestor, descendant, path, CAST(depth AS BIGINT) AS depth FROM w")
+@plan("cl00b_descendants", "WITH RECURSIVE e AS (SELECT s_suppkey AS child, s_suppkey // 2 AS parent FROM supplier WHERE s_suppkey > 0), w AS (SELECT parent AS ancestor, child AS descendant, parent || '/' || child AS path, 1 AS depth FROM e UNION ALL SELECT ancestor, e.child, path || '/' || e.child, depth + 1 FROM w JOIN e ON e.parent = w.descendant) SELECT ancestor, descendant, path, CAST(depth AS BIGINT) AS depth FROM w")
 def _(t):
     edges = t.supplier.where("s_suppkey > 0").select(F.col("s_suppkey").alias("child"), F.expr("s_suppkey div 2").alias("parent"))
     return G.descendants(edges, "child", "parent")
@@ -485,55 +488,6 @@ def _(t):
     return t.pages.select("page_id", S.source_kind(U.host(F.col("url")), U.path(F.col("url")), ["example.net"], [], ["example.org"], []).alias("kind"))
 
 
-@plan("fi07_rejection_ladder", "SELECT page_id, CASE WHEN NOT contains(split_part(split_part(url, '://', 2), '/', 1), '.') THEN 'invalid URL' WHEN ends_with(split_part(split_part(url, '://', 2), '/', 1), 'example.org') THEN 'held domain' WHEN contains(url, '?') THEN 'seen URL' WHEN contains(url, '/en/') THEN 'non-content path' ELSE '' END AS reason FROM pages")
-def _(t):
-    from ..functions import urls as U
-
-    host = U.host(F.col("url"))
-    rules = [("invalid URL", ~F.contains(host, F.lit("."))), ("held domain", host.endswith("example.org")), ("seen URL", F.contains("url", F.lit("?"))), ("non-content path", F.contains(U.path(F.col("url")), F.lit("/en/")))]
-    return t.pages.select("page_id", S.ladder(rules).alias("reason"))
-
-
-@plan("fi08_document_address", "SELECT page_id, page_id % 2 = 0 AS document FROM pages")
-def _(t):
-    return t.pages.select("page_id", S.document_address(F.when(F.col("page_id") % 2 == 0, "/files/Report.PDF").otherwise("/about/pdf-guide")).alias("document"))
-
-
-@plan("fi09_person_scope", "SELECT page_id, ends_with(split_part(split_part(url, '://', 2), '/', 1), 'example.org') AS allowed FROM pages")
-def _(t):
-    from ..functions import urls as U
-
-    return t.pages.select("page_id", (U.host(F.col("url")).rlike(r"\.(ac|edu)\.[a-z]{2}$") | U.host(F.col("url")).endswith("example.org")).alias("allowed"))
-
-
-@plan("fi10_outside_country", "SELECT page_id, regexp_matches(url, '/(fr|de|es)/') AND NOT contains(url, '/en/') AS outside FROM pages")
-def _(t):
-    return t.pages.select("page_id", (F.col("url").rlike("/(fr|de|es)/") & ~F.contains("url", F.lit("/en/"))).alias("outside"))
-
-
-@plan("fi16_plausible_names", "SELECT p_partkey, regexp_matches(p_name, '[a-z]') AND len(string_split(p_name, ' ')) BETWEEN 1 AND 8 AND NOT regexp_matches(p_name, '^(old|none)') AS plausible FROM part")
-def _(t):
-    return t.part.select("p_partkey", (F.col("p_name").rlike("[a-z]") & F.size(F.split("p_name", " ")).between(1, 8) & ~F.col("p_name").rlike("^(old|none)")).alias("plausible"))
-
-
-@plan("fi20_single_date", "SELECT o_orderkey, o_orderkey % 2 = 0 AS single FROM orders")
-def _(t):
-    day = F.date_format("o_orderdate", "yyyy-MM-dd")
-    page = F.concat(day, F.lit(" and "), F.when(F.col("o_orderkey") % 2 == 0, day).otherwise(F.lit("1900-01-01")))
-    return t.orders.select("o_orderkey", (F.size(F.array_distinct(F.regexp_extract_all(page, F.lit(r"(\d{4}-\d{2}-\d{2})"), F.lit(1)))) == 1).alias("single"))
-
-
-@plan("fi22_named_period", "SELECT doc_id, regexp_matches(lower(text), 'last year|this month|since (19|20)[0-9]{2}') AS named FROM documents")
-def _(t):
-    return t.documents.select("doc_id", F.lower("text").rlike("last year|this month|since (19|20)[0-9]{2}").alias("named"))
-
-
-@plan("fi23_triage_ladder", "SELECT page_id, CASE WHEN contains(url, '?') THEN 'seen URL' WHEN contains(url, '/es/') THEN 'document' WHEN contains(url, '/fr/') THEN 'outside country' ELSE 'keep' END AS verdict FROM pages")
-def _(t):
-    has = lambda x: F.contains("url", F.lit(x))
-    return t.pages.select("page_id", S.ladder([("seen URL", has("?")), ("document", has("/es/")), ("outside country", has("/fr/"))], "keep").alias("verdict"))
-
-
 @plan("wi06_list_ranks", "SELECT event_id, 1.0 / (60 + row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id)) AS gain FROM events WHERE event_type = 'purchase'".replace("1.0 /", "CAST(1 AS DOUBLE) /"))
 def _(t):
     w = Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")
@@ -661,7 +615,7 @@ def _(t):
     return t.orders.select("o_orderkey", L.basis(F.col("o_orderstatus")).alias("basis"))
 
 
-@plan("cu09_exact_duplicates", "SELECT DISTINCT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND lower(a.p_name) = lower(b.p_name) AND a.p_brand = b.p_brand WHERE a.p_size = 7 AND b.p_size < 9")
+@plan("cu09_exact_duplicates", "SELECT DISTINCT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND lower(a.p_name) = lower(b.p_name) AND a.p_brand = b.p_brand")
 def _(t):
     own = t.part.select(F.col("p_partkey").alias("a"), F.lower("p_name").alias("n"), "p_brand")
     return own.join(own.withColumnRenamed("a", "b"), ["n", "p_brand"]).where("a < b").select("a", "b").distinct()

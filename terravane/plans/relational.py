@@ -78,12 +78,18 @@ def _(t):
 
 @plan(
     "sc08_upload_rows",
-    """SELECT CAST(row_number() OVER (ORDER BY doc_id) AS INTEGER) AS row_number, doc_id, sha256(text) AS digest FROM documents WHERE trim(coalesce(text, '')) <> '' AND length(text) <= 4000 AND doc_id < (SELECT min(doc_id) FROM documents) + 1000 ORDER BY doc_id LIMIT 1000""",
+    """WITH n AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) + 1 AS row_number, trim(coalesce(text, '')) = '' AS blank FROM conversations),
+    r AS (SELECT *, sum(CASE WHEN blank THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS record FROM n),
+    s AS (SELECT conv_id, arg_min(CASE WHEN record > 4 THEN 'The file has more than 4 records. Split it into several files.' ELSE 'Row ' || row_number || ': a value in ''text'' is longer than 1500 characters.' END, row_number) AS refused
+          FROM r WHERE NOT blank AND (record > 4 OR length(trim(text)) > 1500) GROUP BY 1)
+    SELECT r.conv_id, CAST(row_number AS INTEGER) AS row_number, turn, blank, refused, sha256(text) AS digest FROM r LEFT JOIN s ON s.conv_id = r.conv_id""",
 )
 def _(t):
     from ..sources.uploads import upload_rows
 
-    return upload_rows(t.documents.select("doc_id", "text"), order="doc_id", cells=["text"]).select("row_number", "doc_id", F.sha2("text", 256).alias("digest"))
+    # a conversation stands for a file; its limits are lower here, so that some files are refused for either of them
+    rows = upload_rows(t.conversations.select("conv_id", "turn", "text"), ["conv_id"], "turn", ["text"], most_rows=4, most_cell=1500)
+    return rows.select("conv_id", "row_number", "turn", "blank", "refused", F.sha2("text", 256).alias("digest"))
 
 
 SCRIPT = r"(?is)<(script|style|noscript|svg)\b.*?</(script|style|noscript|svg)>"

@@ -6,7 +6,7 @@ import codecs
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,14 +35,24 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
     return out.withColumnRenamed(out.columns[0], out.columns[0].removeprefix("﻿"))
 
 
-def upload_rows(df: DataFrame, order: str, cells: Sequence[str], most_rows: int = MOST_ROWS, most_cell: int = MOST_CELL) -> DataFrame:
-    """Rows with some filled cell and none too long, numbered in order; an upload is capped by contract, so numbering is over few rows."""
-    filled = F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in cells]).isNotNull()
-    short = F.forall(F.array(*[F.coalesce(F.length(c), F.lit(0)) for c in cells]), lambda n: n <= most_cell)
-    from pyspark.sql import Window
+def upload_rows(df: DataFrame, file: Sequence[str], order: str, cells: Sequence[str], most_rows: int = MOST_ROWS, most_cell: int = MOST_CELL) -> DataFrame:
+    """df with row_number (place in the file, the header being row 1), blank and refused.
 
-    capped = df.where(filled & short).orderBy(order).limit(most_rows)
-    return capped.withColumn("row_number", F.row_number().over(Window.orderBy(order)))
+    A file is refused whole, for the first of: a filled row beyond `most_rows`, a cell longer than `most_cell`. `refused` holds
+    the reason on every row of such a file, so that nothing is dropped silently; blank rows are counted, not read.
+    """
+    filled = F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in cells]).isNotNull()
+    place = Window.partitionBy(*file).orderBy(order)
+    numbered = df.withColumn("row_number", F.row_number().over(place) + 1).withColumn("blank", ~filled)
+    record = F.sum(F.when(filled, 1).otherwise(0)).over(place.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    numbered = numbered.withColumn("_record", record)
+    stop = lambda kind, message: F.struct("row_number", F.lit(kind).alias("kind"), message.alias("message"))
+    long = [stop(k, F.concat(F.lit("Row "), F.col("row_number").cast("string"), F.lit(f": a value in '{c}' is longer than {most_cell} characters."))) for k, c in enumerate(cells, 1)]
+    first_long = F.coalesce(*[F.when(F.length(F.trim(c)) > most_cell, v) for c, v in zip(cells, long)])
+    over = stop(0, F.lit(f"The file has more than {most_rows} records. Split it into several files."))
+    stopped = F.when(filled, F.when(F.col("_record") > most_rows, over).otherwise(first_long))
+    whole = Window.partitionBy(*file)
+    return numbered.withColumn("_stop", stopped).withColumn("refused", F.min("_stop").over(whole)["message"]).drop("_record", "_stop")
 
 
 def header_key(name: str | None) -> str:

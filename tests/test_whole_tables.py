@@ -1,10 +1,10 @@
 """Plans on small fixtures of their own: every row of the tables counts, against brute force."""
 
-import hashlib
 import random
 import re
 
 from terravane import plans
+from terravane.sources.uploads import upload_rows
 
 
 def ran(spark, folder, name, **tables):
@@ -73,9 +73,13 @@ def test_duplicates_of_all_parts(spark, tmp_path):
     assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
 
 
-def test_upload_rows_go_on_past_gaps_and_refused_rows(spark, tmp_path):
-    rows = [(k * 3 + 5, [None, "  ", "x" * 4001, f"text {k}", "y" * 4000][k % 5]) for k in range(2700)]
-    got = ran(spark, tmp_path, "sc08_upload_rows", documents=spark.createDataFrame(rows, "doc_id bigint, text string"))
-    valid = [(i, t) for i, t in rows if t and t.strip() and len(t) <= 4000]
-    want = [(n, i, hashlib.sha256(t.encode()).hexdigest()) for n, (i, t) in enumerate(valid[:1000], 1)]
-    assert len(valid) > 1000 and sorted(tuple(r) for r in got) == want
+def test_uploads_are_refused_whole(spark):
+    rows = [("ok", k, t) for k, t in enumerate(["a", None, "  ", "b", "y" * 4000])] + [("long", 0, "a"), ("long", 1, " "), ("long", 2, "x" * 4001), ("long", 3, "z" * 5000)]
+    rows += [("many", k, f"text {k}" if k % 7 else None) for k in range(1300)]
+    frame = spark.createDataFrame(rows, "file string, k int, text string")
+    got = upload_rows(frame, ["file"], "k", ["text"]).orderBy("file", "k").collect()
+    assert len(got) == len(rows)
+    assert [(r.row_number, r.blank) for r in got if r.file == "ok"] == [(2, False), (3, True), (4, True), (5, False), (6, False)]
+    assert {r.file: r.refused for r in got} == {
+        "ok": None, "long": "Row 4: a value in 'text' is longer than 4000 characters.", "many": "The file has more than 1000 records. Split it into several files."
+    }
