@@ -3,7 +3,7 @@
 1. Each document becomes the set of hashes of its word n-grams, a digest of that set and its MinHash bands; rows of bands
    and digests are written, sets are not. Documents of equal sets are one copy class; only classes go on.
 2. Bands and rows a band are chosen for the target recall at the threshold. Classes are shuffled by band hash. A bucket gives
-   one edge from each member to its least member, never its pairs, so a bucket of any size costs its size.
+   its least member to each member, never its pairs, so a bucket of any size costs its size.
 3. Connected components of those edges hold every candidate pair. A component of over one block, which may hang together
    by chance hits of weakly similar texts, is banded once more with more rows a band, whose hits are far more selective, and so falls apart where it can.
    The texts are read again and turned into full sets, and a component is verified by block against block: one tile of two blocks of
@@ -39,7 +39,7 @@ from .components import components
 
 WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9995, 128
 #: Bounds of a block: members, and n-grams of all its members (or one member of any size).
-BLOCK_MEMBERS, BLOCK_GRAMS = 512, 400_000
+BLOCK_MEMBERS, BLOCK_GRAMS = 256, 400_000
 #: Ids of candidates up to this number are broadcast (ids alone), so that other texts are not shuffled.
 BROADCAST_IDS = 500_000
 #: Components up to this number are broadcast: their block counts and class ids.
@@ -209,11 +209,16 @@ def tile_links(members: list[tuple[bytes, int, np.ndarray]], threshold: float) -
 
 
 def band_components(sketched: DataFrame) -> DataFrame:
-    """node (digest), root: components of the classes (digest, bands) that share a band; classes that share none are left out."""
+    """node (digest), root: components of the classes (digest, bands) that share a band; classes that share none are left out.
+
+    A member meets the least member of each of its buckets. It needs an edge to the least of these alone, if they are joined to that one as well; the
+    latter edges are the same for all members of a bucket, so a group of m near copies gives about m edges, not m times its bands.
+    """
     hits = sketched.select("digest", F.explode("bands").alias("band"))
     buckets = hits.groupBy("band").agg(F.min("digest").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "least")
-    stars = hits.join(buckets, "band").where(F.col("digest") != F.col("least")).select(F.col("digest").alias("a"), F.col("least").alias("b")).distinct()
-    return components(stars)
+    met = hits.join(buckets, "band").groupBy("digest").agg(F.array_sort(F.collect_set("least")).alias("leasts"))
+    edges = met.select(F.explode(F.array_union(F.array("digest"), "leasts")).alias("a"), F.col("leasts")[0].alias("b"))
+    return components(edges.where("a <> b").distinct())
 
 
 def texts_of(docs: DataFrame, members: DataFrame) -> DataFrame:

@@ -309,7 +309,7 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("members", [512, 4])
+@pytest.mark.parametrize("members", [256, 4])
 def test_near_duplicates_match_brute_force(spark, monkeypatch, members):
     monkeypatch.setattr(ngram_join, "BLOCK_MEMBERS", members)
     rows = near_rows()
