@@ -137,7 +137,7 @@ def single_date_rejection(html: Column, run_date: Column, months: int, minable:
     """Why a page with exactly one machine-readable date is rejected before it is read: past and not minable, or after the window; else null."""
     found = F.concat(F.regexp_extract_all(html, F.lit(r"<time[^>]+datetime=[\"']([^\"']+)[\"']"), F.lit(1)), F.regexp_extract_all(html, F.lit(r"[\"']startDate[\"']\s*:\s*[\"']([^\"']+)"), F.lit(1)))
     days = F.array_distinct(F.array_compact(F.transform(found, lambda v: F.substring(v, 1, 10).try_cast("date"))))
-    day, end = days[0], F.add_months(run_date, months)
+    day, end = F.get(days, F.lit(0)), F.add_months(run_date, months)
     said = F.concat(F.lit("event date "), day.cast("string"))
     return F.when(
         F.size(days) == 1,

@@ -60,7 +60,7 @@ def tk03(t):
 @plan(
     "tk06_excerpt",
     f"""WITH b AS (SELECT doc_id, coalesce(text, '') AS t, unnest(range(0, greatest(length(coalesce(text, '')), 1), 700)) AS k FROM documents),
-    h AS (SELECT doc_id, k, length(t) <= 700 AS whole, substring(t, k + 1, 700) AS s, len(list_intersect(list_distinct(string_split_regex(lower(substring(t, k + 1, 700)), '[^a-z0-9]+')), {QUERY_SQL})) AS hits FROM b),
+    h AS (SELECT doc_id, k, length(t) <= 700 AS whole, substring(t, k + 1, 700) AS s, len(list_intersect(list_distinct(string_split_regex(lower(substring(t, k + 1, 700)), '[^\\p{{L}}\\p{{N}}]+')), {QUERY_SQL})) AS hits FROM b),
     r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k > 0, hits DESC, k) AS rn FROM h WHERE k = 0 OR hits > 0)
     SELECT doc_id, string_agg(s, ' … ' ORDER BY k) AS excerpt, any_value(whole) AS whole FROM r WHERE rn <= 4 GROUP BY 1""",
 )
@@ -149,106 +149,27 @@ def _(t):
     return name_pairs(t).select("a", "b", *[c.alias(k) for k, c in E.lexical_features(F.col("a"), F.col("b")).items()])
 
 
-@plan("er05_hub_overlap", "SELECT a.n_nationkey AS a, b.n_nationkey AS b, a.n_regionkey = b.n_regionkey AS overlap FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
-def _(t):
-    return E.blocked_pairs(t.nation, "n_nationkey", F.array(F.col("n_regionkey"))).select("a", "b", F.lit(True).alias("overlap"))
-
-
-@plan("er06_mismatch_features", f"SELECT a, b, CAST((len(xa) > 0 AND len(xb) > 0) AS INTEGER) AS unique_both, CAST(least(len(xa) + len(xb), 5) AS INTEGER) AS unique_count, 0 AS numeric_mismatch, 0 AS hierarchy FROM (SELECT a, b, list_filter(list_distinct(string_split(a, ' ')), lambda w: NOT list_contains(string_split(b, ' '), w)) AS xa, list_filter(list_distinct(string_split(b, ' ')), lambda w: NOT list_contains(string_split(a, ' '), w)) AS xb FROM {PAIRS_SQL})")
-def _(t):
-    return name_pairs(t).select("a", "b", *[c.alias(k) for k, c in E.mismatch_features(F.col("a"), F.col("b")).items()])
-
-
 @plan("er09_zones", "SELECT event_id, CASE WHEN k / 100.0 >= 0.96 THEN 'high' WHEN k / 100.0 >= 0.35 THEN 'review' ELSE 'create' END AS zone FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)")
 def _(t):
     return t.events.select("event_id", E.zone(F.get_json_object("props", "$.k").cast("bigint") / 100).alias("zone"))
 
 
-@plan(
-    "er10_actor_routing",
-    """WITH c AS (SELECT c_custkey AS id, c_nationkey, c_acctbal, CASE WHEN c_custkey % 4 = 0 THEN c_custkey // 4 END AS dom, replace(c_name, 'Customer', 'Supplier') AS nm FROM customer),
-    m AS (SELECT id, s_suppkey AS target, 0 AS i FROM c JOIN supplier ON s_suppkey = dom UNION ALL SELECT id, s_suppkey, 1 FROM c JOIN supplier ON s_name = nm),
-    g AS (SELECT id, i, min(target) AS target, count(DISTINCT target) AS n FROM m GROUP BY 1, 2), b AS (SELECT id, min(i) AS i FROM g GROUP BY 1)
-    SELECT c.id, CASE WHEN b.i IS NULL THEN 'create' WHEN n > 1 THEN 'review' ELSE 'absorb' END AS decision, target, CASE b.i WHEN 0 THEN 'domain' WHEN 1 THEN 'name' END AS rule FROM c LEFT JOIN b ON b.id = c.id LEFT JOIN g ON g.id = c.id AND g.i = b.i""",
-)
-def _(t):
-    rows = t.customer.select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 4 == 0, F.expr("c_custkey div 4")).alias("dom"), F.replace("c_name", F.lit("Customer"), F.lit("Supplier")).alias("nm"))
-    held = t.supplier.select(F.col("s_suppkey").alias("target"), "s_name")
-    by_domain = rows.join(held, F.col("dom") == F.col("target")).select("id", "target")
-    by_name = rows.join(held, F.col("nm") == F.col("s_name")).select("id", "target")
-    return E.routed(rows, "id", [("domain", by_domain, 1.0, "absorb"), ("name", by_name, 1.0, "absorb")]).select("id", "decision", "target", "rule")
-
-
-@plan("er11_event_routing", "SELECT event_id, min(other) AS target FROM (SELECT a.event_id, b.event_id AS other FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = b.event_type AND CAST(a.ts AS DATE) = CAST(b.ts AS DATE) AND b.event_id < a.event_id) GROUP BY 1")
-def _(t):
-    # the earliest of equal natural keys is a minimum, so equal keys are never paired
-    keyed = t.events.select("event_id", "user_id", "event_type", F.to_date("ts").alias("d"))
-    first = keyed.groupBy("user_id", "event_type", "d").agg(F.min("event_id").alias("target"))
-    return keyed.join(first, ["user_id", "event_type", "d"]).where("target < event_id").select("event_id", "target")
-
-
-@plan("er12_person_routing", "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'review: no affiliation' WHEN s_suppkey IS NOT NULL AND c_nationkey = s_nationkey THEN 'skip: already held' WHEN s_suppkey IS NOT NULL THEN 'review: other affiliation' WHEN c_acctbal < 0 THEN 'review: not authorized' ELSE 'create' END AS outcome FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey")
-def _(t):
-    rows = t.customer.join(t.supplier, F.col("s_suppkey") == F.col("c_custkey"), "left")
-    held = F.col("s_suppkey").isNotNull()
-    outcome = S.ladder([("review: no affiliation", F.col("c_mktsegment") == "BUILDING"), ("skip: already held", held & (F.col("c_nationkey") == F.col("s_nationkey"))), ("review: other affiliation", held), ("review: not authorized", F.col("c_acctbal") < 0)], "create")
-    return rows.select("c_custkey", outcome.alias("outcome"))
-
-
 @plan("er13_natural_keys", "SELECT event_id, event_type || '|' || CAST(CAST(ts AS DATE) AS VARCHAR).replace('-', ' ') AS key FROM events")
 def _(t):
     return t.events.select("event_id", E.natural_key(F.col("event_type"), F.to_date("ts").cast("string")).alias("key"))
 
 
-@plan("er14_import_match", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 AND d.s_suppkey IS NOT NULL THEN 'existing: site' WHEN n.s_suppkey IS NOT NULL THEN 'existing: name' ELSE 'new' END AS state FROM customer LEFT JOIN supplier d ON d.s_suppkey = c_custkey // 4 LEFT JOIN supplier n ON n.s_name = replace(c_name, 'Customer', 'Supplier')")
-def _(t):
-    by_site = t.supplier.select(F.col("s_suppkey").alias("site"))
-    by_name = t.supplier.select(F.col("s_name").alias("held"))
-    rows = t.customer.join(by_site, F.expr("c_custkey div 4") == F.col("site"), "left").join(by_name, F.replace("c_name", F.lit("Customer"), F.lit("Supplier")) == F.col("held"), "left")
-    return rows.select("c_custkey", S.ladder([("existing: site", (F.col("c_custkey") % 4 == 0) & F.col("site").isNotNull()), ("existing: name", F.col("held").isNotNull())], "new").alias("state"))
-
-
-@plan("er15_actor_duplicates")
-def _(t):
-    scored = name_pairs(t).withColumn("sorted", T.token_sort_ratio(F.col("a"), F.col("b"))).withColumn("ratio", T.ratio(F.col("a"), F.col("b")))
-    return scored.select("a", "b", S.ladder([("MERGE", F.col("sorted") >= 95), ("FLAG", F.col("ratio") >= 85)], "none").alias("decision"))
-
-
-@plan("er16_event_duplicates", f"SELECT a, b, CASE WHEN len(list_distinct(string_split(a, ' '))) = len(list_intersect(string_split(a, ' '), string_split(b, ' '))) OR len(list_distinct(string_split(b, ' '))) = len(list_intersect(string_split(a, ' '), string_split(b, ' '))) THEN 'FLAG' ELSE 'none' END AS decision FROM {PAIRS_SQL}")
-def _(t):
-    x, y = T.words(T.series_key(F.col("a"))), T.words(T.series_key(F.col("b")))
-    inside = (F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0)
-    return name_pairs(t).select("a", "b", S.ladder([("MERGE", T.series_key(F.col("a")) == T.series_key(F.col("b"))), ("FLAG", inside)], "none").alias("decision"))
-
-
-@plan("er17_person_duplicates")
-def _(t):
-    return name_pairs(t).withColumn("ratio", T.ratio(F.col("a"), F.col("b"))).where("ratio >= 85").select("a", "b")
-
-
 @plan("er18_merge_policy", "SELECT p_name, arg_max(p_brand, (length(p_brand), p_brand)) AS p_brand, string_agg(DISTINCT p_type, '; ' ORDER BY p_type) AS all_p_type FROM part GROUP BY 1")
 def _(t):
     return E.merged(t.part, "p_name", ["p_brand"], ["p_type"])
 
 
-@plan("er19_edition_merge", "SELECT o_custkey, coalesce(arg_min(o_orderkey, (o_orderdate, o_orderkey)) FILTER (WHERE o_orderdate >= TIMESTAMP '1998-01-01'), arg_max(o_orderkey, (o_orderdate, o_orderkey))) AS edition FROM orders GROUP BY 1")
-def _(t):
-    coming = F.col("o_orderdate") >= F.expr("timestamp_ntz '1998-01-01'")
-    at = F.struct("o_orderdate", "o_orderkey")
-    return t.orders.groupBy("o_custkey").agg(F.coalesce(F.min(F.when(coming, at))["o_orderkey"], F.max(at)["o_orderkey"]).alias("edition"))
-
-
 @plan("er20_greedy_groups")
 def _(t):
     rows = t.part.select("p_partkey", "p_name", "p_brand")
     return E.greedy_groups(rows, ["p_brand"], ["p_partkey"], "p_partkey", "p_name", lambda a, b: T.token_sort(a, b) >= 85)
 
 
-@plan("er21_edge_class", f"SELECT a, b, CASE WHEN {JACCARD_SQL} >= 0.6 THEN 'merge' ELSE 'review' END AS class FROM {PAIRS_SQL}")
-def _(t):
-    return name_pairs(t).select("a", "b", E.edge_class(F.col("a"), F.col("b")).alias("class"))
-
-
 @plan("er22_components")
 def _(t):
     edges = t.lineitem.select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1000000).alias("b")).distinct()
@@ -266,28 +187,11 @@ def _(t):
     return t.part.select("p_partkey", E.direction(F.when(k == 0, more).otherwise(F.col("p_name")), F.when(k == 1, more).otherwise(F.col("p_name"))).alias("direction"))
 
 
-@plan("er25_same_event_collapse", f"SELECT a, b FROM {PAIRS_SQL} WHERE {JACCARD_SQL} >= 0.3 AND len(list_intersect(string_split(a, ' '), string_split(b, ' '))) / least(len(list_distinct(string_split(a, ' '))), len(list_distinct(string_split(b, ' ')))) >= 0.5")
-def _(t):
-    x, y = F.split("a", " "), F.split("b", " ")
-    return name_pairs(t).where((T.jaccard(x, y) >= 0.3) & (T.containment(x, y) >= 0.5))
-
-
-@plan("er26_held_event", "SELECT p_partkey, count(*) AS held FROM part JOIN (SELECT DISTINCT split_part(p_name, ' ', 2) AS w FROM part WHERE p_partkey < 20) ON split_part(p_name, ' ', 2) = w GROUP BY 1")
-def _(t):
-    held = t.part.where("p_partkey < 20").select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("w")).distinct()
-    return t.part.withColumn("w", F.split_part("p_name", F.lit(" "), F.lit(2))).join(held, "w").groupBy("p_partkey").agg(F.count(F.lit(1)).alias("held"))
-
-
 @plan("er27_person_key", "SELECT c_custkey, lower(replace(replace(c_name, '#', ' '), '  ', ' ')) || '|' || lower(c_mktsegment) AS key FROM customer")
 def _(t):
     return t.customer.select("c_custkey", E.natural_key(F.col("c_name"), F.col("c_mktsegment")).alias("key"))
 
 
-@plan("er28_people_links", "SELECT o_custkey, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS roles, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS lead FROM orders GROUP BY 1")
-def _(t):
-    return t.orders.groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ",").alias("roles"), F.max(F.struct("o_totalprice", "o_orderkey"))["o_orderkey"].alias("lead"))
-
-
 @plan("er29_waiting_in_review", "SELECT DISTINCT p_partkey FROM part WHERE p_name IN (SELECT p_name FROM part WHERE p_size = 50) OR p_brand IN (SELECT p_brand FROM part WHERE p_partkey < 3)")
 def _(t):
     waiting = t.part.where("p_size = 50").select("p_name").distinct()
