@@ -90,3 +90,80 @@ def resolved_name(df: DataFrame, names: DataFrame, typed: str, known: str) -> Da
     only = prefixes.groupBy("_typed").agg(F.count(F.lit(1)).alias("_n"), F.min("_name").alias("_prefix")).where("_n = 1").drop("_n")
     out = keyed.join(exact, F.col("_typed") == F.col("_slug"), "left").join(only, "_typed", "left")
     return out.withColumn("resolved", F.coalesce("_exact", "_prefix")).drop("_typed", "_slug", "_exact", "_prefix")
+
+
+def field_errors(values: dict[str, Column], fields: Sequence[dict]) -> Column:
+    """Messages for a row's cells against a contract of fields, in order: formulas, lengths and required cells first, then addresses, dates and lists of values.
+
+    A field: key, header, kind (text, url, date, enum), required, most (length), allowed. A cell that starts like a formula is treated as empty.
+    """
+    from ..functions import dates as D
+    from ..functions import text as T
+    from ..functions import urls as U
+
+    first, second = [], []
+    for f in fields:
+        raw = F.trim(F.regexp_replace(F.coalesce(values[f["key"]], F.lit("")), r"\s+", " "))
+        formula = T.formula_like(raw)
+        cell = F.when(formula, "").otherwise(raw)
+        head = f["header"]
+        first.append(F.when(formula, F.concat(F.lit(f"{head} starts like a formula ('"), F.substring(raw, 1, 12), F.lit("...'). Type the value itself."))))
+        if f.get("most"):
+            first.append(F.when(F.length(cell) > f["most"], F.lit(f"{head} is longer than {f['most']} characters.")))
+        if f.get("required"):
+            first.append(F.when(~formula & (cell == ""), F.lit(f"{head} is required.")))
+        if f["kind"] == "url":
+            second.append(F.when((cell != "") & U.typed(cell).isNull(), F.lit(f"{head} is not a web address.")))
+        elif f["kind"] == "date":
+            second.append(F.when((cell != "") & D.us_date(cell).isNull(), F.concat(F.lit(f"{head} '"), cell, F.lit("' is not a date: use MM/DD/YYYY."))))
+        elif f["kind"] == "enum":
+            bare = lambda x: F.regexp_replace(F.lower(x), r"[\s_-]+", "")
+            known = [a.lower().replace(" ", "").replace("_", "").replace("-", "") for a in f["allowed"]]
+            second.append(F.when((cell != "") & ~bare(cell).isin(*known), F.concat(F.lit(f"{head} '"), cell, F.lit("' is not an allowed value."))))
+    return F.array_compact(F.array(*first, *second))
+
+
+def resolved_hub(rows: DataFrame, hubs: DataFrame, typed: str, name: str) -> DataFrame:
+    """rows with resolved: the hub of the same slug, else the only one whose slug begins the other's either way, else the only one whose name is inside the other's either way.
+
+    Distinct typed names meet hubs by equi-joins: prefixes of slugs for the first two rules, runs of words for the last, so a name inside another is met at word borders.
+    """
+    from ..functions.text import plain, slugify, words
+
+    own = hubs.select(F.col(name).alias("_hub"), slugify(F.col(name)).alias("_slug"), plain(F.col(name)).alias("_plain")).distinct()
+    asked = rows.select(F.col(typed).alias("_typed")).where("trim(_typed) <> ''").distinct().select("_typed", slugify(F.col("_typed")).alias("_tslug"), plain(F.col("_typed")).alias("_tplain"))
+    starts = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(c, F.lit(1), i))
+    exact = asked.join(own, F.col("_tslug") == F.col("_slug")).groupBy("_typed").agg(F.min("_hub").alias("_exact"))
+    short = asked.join(own.withColumn("_p", F.explode(starts(F.col("_slug")))), F.col("_tslug") == F.col("_p")).select("_typed", "_hub")
+    long = asked.withColumn("_p", F.explode(starts(F.col("_tslug")))).join(own, F.col("_p") == F.col("_slug")).select("_typed", "_hub")
+    only = lambda pairs, out: pairs.distinct().groupBy("_typed").agg(F.count(F.lit(1)).alias("_n"), F.min("_hub").alias(out)).where("_n = 1").drop("_n")
+
+    def runs(c):
+        ws = words(c)
+        n = F.size(ws)
+        return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.transform(F.sequence(F.lit(1), F.greatest(n - i, F.lit(1))), lambda k: F.array_join(F.slice(ws, i + 1, k), " ")))))
+
+    inside = asked.join(own.withColumn("_r", F.explode(runs(F.col("_plain")))), F.col("_tplain") == F.col("_r")).select("_typed", "_hub")
+    around = asked.withColumn("_r", F.explode(runs(F.col("_tplain")))).join(own, F.col("_r") == F.col("_plain")).select("_typed", "_hub")
+    found = asked.select("_typed").join(exact, "_typed", "left").join(only(short.union(long), "_prefix"), "_typed", "left").join(only(inside.union(around), "_inner"), "_typed", "left")
+    found = found.select("_typed", F.coalesce("_exact", "_prefix", "_inner").alias("resolved"))
+    return rows.join(found, rows[typed] == F.col("_typed"), "left").drop("_typed")
+
+
+def section_tree(rows: DataFrame, sheet: Sequence[str], order: str, level: Column, title: Column) -> DataFrame:
+    """Rows that are no markers, with parent: the path of the last marker of every level above them, "Top / Sub", and synthetic, whether a marker gave it.
+
+    level: 1 or 2 on a marker row, null on others; a marker of level 1 ends the section of level 2.
+    """
+    w = Window.partitionBy(*sheet).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    marked = rows.withColumn("_level", level).withColumn("_title", title)
+    marked = marked.withColumn("_top", F.last(F.when(F.col("_level") == 1, F.struct(F.col(order).alias("o"), "_title")), ignorenulls=True).over(w)).withColumn("_sub", F.last(F.when(F.col("_level") == 2, F.struct(F.col(order).alias("o"), "_title")), ignorenulls=True).over(w))
+    live = F.when(F.col("_top").isNull() | (F.col("_sub.o") > F.col("_top.o")), F.col("_sub._title"))
+    out = marked.where("_level IS NULL").withColumn("parent", F.nullif(F.concat_ws(" / ", F.col("_top._title"), live), F.lit("")))
+    return out.withColumn("synthetic", F.col("parent").isNotNull()).drop("_level", "_title", "_top", "_sub")
+
+
+def narrative_lines(rows: DataFrame, key: str, group: str, text: str) -> DataFrame:
+    """key, group, line, name: the lines of a narrative without bullets, blank ones left out."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^[ \t\r\f\x0B•*–-]+", "")))
+    return rows.select(key, group, F.posexplode(lines).alias("line", "name")).where("name <> ''")

@@ -82,3 +82,51 @@ def bootstrap(rows: DataFrame, value: str, resamples: int = 2000, seed: int = 13
     means = by_resample.groupBy("i").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("m"))
     spread = means.agg(F.percentile("m", F.lit(bounds[0])).alias("low"), F.percentile("m", F.lit(bounds[1])).alias("high"))
     return rows.agg(F.avg(value).alias("mean")).join(F.broadcast(spread), F.lit(True))
+
+
+def stratified_folds(rows: DataFrame, key: str, label: str, folds: int, repeats: int) -> DataFrame:
+    """rows once for each repeat, with repeat and fold: each label's rows are dealt out in order of a digest of key and repeat, so every fold has its share of each label.
+
+    Gold sets are labelled by hand, so a label's rows are few enough to be ordered in one task.
+    """
+    dealt = rows.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    order = Window.partitionBy("repeat", label).orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("repeat").cast("string"))), key)
+    return dealt.withColumn("fold", F.pmod(F.row_number().over(order) - 1, F.lit(folds)).cast("int"))
+
+
+def out_of_fold(rows: DataFrame, key: str, label: str, features: Sequence[str], folds: int = 5, repeats: int = 2) -> DataFrame:
+    """key, label, repeat, fold, score: every row scored by a scaled logistic regression, classes weighted equally, fitted on the other folds of its repeat."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    dealt = stratified_folds(rows.select(key, label, *features), key, label, folds, repeats).cache()
+    share = rows.agg(F.avg(label)).first()[0] or 0.5
+    dealt = VectorAssembler(inputCols=list(features), outputCol="_raw").transform(dealt)
+    dealt = dealt.withColumn("_weight", F.when(F.col(label) == 1, 0.5 / max(share, 1e-9)).otherwise(0.5 / max(1 - share, 1e-9)))
+    out = None
+    for repeat in range(repeats):
+        for fold in range(folds):
+            own = dealt.where(F.col("repeat") == repeat)
+            train, test = own.where(F.col("fold") != fold), own.where(F.col("fold") == fold)
+            scaler = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True).fit(train)
+            model = LogisticRegression(featuresCol="_x", labelCol=label, weightCol="_weight", regParam=0.01, maxIter=50).fit(scaler.transform(train))
+            scored = model.transform(scaler.transform(test)).select(key, label, "repeat", "fold", F.round(vector_to_array("probability")[1], 6).alias("score"))
+            out = scored if out is None else out.unionByName(scored)
+    return out
+
+
+def false_merges(scored: DataFrame, label: str, score: str, threshold: float) -> DataFrame:
+    """Rows at or over the threshold whose label says that they are not the same, worst first by place."""
+    wrong = scored.where((F.col(score) >= threshold) & (F.col(label) == 0))
+    return wrong.withColumn("place", F.row_number().over(Window.orderBy(F.desc(score), *[c for c in scored.columns if c not in (score, label)])))
+
+
+def sweep(scored: DataFrame, label: str, score: str, steps: Sequence[float]) -> DataFrame:
+    """threshold, tp, fp, fn, precision, recall, f1 at every step, from one aggregation over the rows; a step without any row over it keeps its line."""
+    at = F.explode(F.transform(F.array(*map(F.lit, steps)), lambda s: F.struct(s.alias("threshold"), (F.col(score) >= s).alias("over"))))
+    rows = scored.select(F.col(label).alias("l"), at.alias("a"))
+    n = lambda c: F.count_if(c).cast("bigint")
+    out = rows.groupBy(F.col("a.threshold").alias("threshold")).agg(n(F.col("a.over") & (F.col("l") == 1)).alias("tp"), n(F.col("a.over") & (F.col("l") == 0)).alias("fp"), n(~F.col("a.over") & (F.col("l") == 1)).alias("fn"))
+    p, r = F.col("tp") / F.nullif(F.col("tp") + F.col("fp"), F.lit(0)), F.col("tp") / F.nullif(F.col("tp") + F.col("fn"), F.lit(0))
+    return out.select("*", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.coalesce(2 * p * r / F.nullif(p + r, F.lit(0.0)), F.lit(0.0)), 6).alias("f1"))

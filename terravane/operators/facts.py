@@ -75,39 +75,91 @@ def entries(facts: DataFrame, keys: Sequence[str], at: str, value: str, today: C
     return rows.select(*keys, F.transform(F.slice(F.when(F.size(fresh) > 0, fresh).otherwise(F.col("e")), 1, most), lambda x: x["value"]).alias("entries"))
 
 
+#: Words that say nothing of a value.
+FACT_STOP = ("the", "and", "for", "with", "from", "that", "this", "its", "are", "was", "has", "have")
+
+
 def numbers_of(value: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(value, F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1))))
+    """Distinct figures of a text, without thousands separators or a closing mark."""
+    found = F.regexp_extract_all(F.coalesce(value, F.lit("")), F.lit(r"([0-9][0-9,.]*)"), F.lit(1))
+    return F.array_sort(F.array_distinct(F.transform(found, lambda n: F.regexp_replace(F.replace(n, F.lit(","), F.lit("")), "[.]+$", ""))))
+
+
+def fact_words(value: Column) -> Column:
+    """Distinct words of three letters or more that are no figures."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(value, F.lit(""))), F.lit("([a-z0-9&]+)"), F.lit(1))
+    return F.array_distinct(F.filter(found, lambda w: (F.length(w) > 2) & ~w.isin(*FACT_STOP) & ~w.rlike("^[0-9]+$")))
 
 
 def same_text(a: Column, b: Column, share: float = 0.7) -> Column:
-    """Equal numbers, and the share of the shorter text's words is in the other."""
-    x, y = F.array_distinct(T.words(T.plain(a))), F.array_distinct(T.words(T.plain(b)))
-    return (numbers_of(a) == numbers_of(b)) & (T.containment(x, y) >= share)
+    """Equal figures, and the share of the shorter text's words is in the other; texts without words are the same by their figures."""
+    x, y, n = fact_words(a), fact_words(b), numbers_of(a)
+    none = (F.size(x) == 0) | (F.size(y) == 0)
+    return (n == numbers_of(b)) & F.when(none, (F.size(n) > 0) | ((F.size(x) == 0) & (F.size(y) == 0))).otherwise(T.containment(x, y) >= share)
 
 
-def covers(wide: Column, narrow: Column) -> Column:
-    """Every word and number of the second text is in the first."""
-    return F.size(F.array_except(T.words(T.plain(narrow)), T.words(T.plain(wide)))) == 0
+def covers(wide: Column, narrow: Column, share: float = 0.7) -> Column:
+    """Every figure of the second text and the share of its words is in the first; an empty text is covered by none."""
+    n, w = numbers_of(narrow), fact_words(narrow)
+    within = F.size(F.array_intersect(w, fact_words(wide))) >= share * F.size(w)
+    return (F.size(F.array_except(n, numbers_of(wide))) == 0) & ((F.size(n) > 0) | (F.size(w) > 0)) & within
 
 
-def compared(old: Column, new: Column) -> Column:
-    """not_restated, additional, confirmed or changed, from two values of a part."""
+def part_outcome(old: Column, new: Column) -> Column:
+    """What a new reading says of one part: additional, confirmed, changed, not_restated, or null for two empty values."""
     empty = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    fuller = same_text(old, new) & covers(new, old) & (F.size(fact_words(new)) > F.size(fact_words(old)))
     return (
         F.when(empty(old) & empty(new), F.lit(None))
         .when(empty(new), "not_restated")
-        .when(empty(old), "additional")
-        .when(same_text(old, new) & (F.length(new) > F.length(old)) & covers(new, old), "additional")
+        .when(empty(old) | fuller, "additional")
         .when(same_text(old, new) | covers(old, new), "confirmed")
         .when(covers(new, old), "additional")
         .otherwise("changed")
     )
 
 
+def compared_text(old: Column, new: Column, descriptive: Column) -> Column:
+    """struct(outcome, merged) of two plain values: corroborated keeps the recorded one; additional and changed take the new one.
+
+    A descriptive value with equal figures and half of the shorter wording in common, or 0.6 of whose new wording is recorded, is corroborated.
+    """
+    x, y = fact_words(old), fact_words(new)
+    alike = (numbers_of(old) == numbers_of(new)) & (F.size(x) > 0) & (F.size(y) > 0) & (T.containment(x, y) >= 0.5)
+    known = (descriptive & (alike | covers(old, new, 0.6))) | same_text(old, new) | covers(old, new)
+    outcome = F.when(known, "corroborated").when(covers(new, old), "additional").otherwise("changed")
+    return F.struct(outcome.alias("outcome"), F.when(known, old).otherwise(new).alias("merged"))
+
+
+def compared_lists(old: Column, new: Column) -> Column:
+    """struct(outcome, added, merged): items of a new list that no recorded item states are added; nothing recorded goes."""
+    old, new = F.coalesce(old, F.array().cast("array<string>")), F.coalesce(new, F.array().cast("array<string>"))
+    added = F.filter(new, lambda i: ~F.exists(old, lambda o: same_text(i, o)))
+    return F.struct(F.when(F.size(added) > 0, "additional").otherwise("corroborated").alias("outcome"), added.alias("added"), F.concat(old, added).alias("merged"))
+
+
+def compared_parts(old: dict[str, Column], new: dict[str, Column], profile: Column) -> Column:
+    """struct(outcome, parts, merged): part by part; in a profile what a reading does not restate is kept, elsewhere a changed part replaces the value whole."""
+    parts = {k: part_outcome(old[k], new[k]) for k in old}
+    outcomes = F.array(*[F.struct(F.lit(k).alias("part"), o.alias("outcome")) for k, o in parts.items()])
+    said = F.filter(outcomes, lambda p: p["outcome"].isNotNull())
+    some = lambda o: F.exists(said, lambda p: p["outcome"] == o)
+    changed, added = some("changed"), some("additional")
+    keep = lambda k: F.when(parts[k].isin("confirmed", "not_restated"), old[k]).otherwise(F.coalesce(new[k], old[k]))
+    whole = changed & ~profile
+    merged = F.struct(*[F.when(~changed & ~added, old[k]).when(whole, new[k]).otherwise(keep(k)).alias(k) for k in old])
+    return F.struct(F.when(changed, "changed").when(added, "additional").otherwise("corroborated").alias("outcome"), said.alias("parts"), merged.alias("merged"))
+
+
 def supported(value: Column, quote: Column, share: float = 0.6) -> Column:
-    """All numbers of the value are in the quote, and the share of its words."""
-    own = F.array_distinct(T.words(T.plain(value)))
-    return (F.size(F.array_except(numbers_of(value), numbers_of(quote))) == 0) & (F.size(F.array_intersect(own, T.words(T.plain(quote)))) >= share * F.size(own))
+    """All figures of the value are in the quote, and the share of its words; a value without words is held by its figures alone."""
+    n, w = numbers_of(value), fact_words(value)
+    return (F.size(F.array_except(n, numbers_of(quote))) == 0) & F.when(F.size(w) == 0, F.size(n) > 0).otherwise(F.size(F.array_intersect(w, fact_words(quote))) >= share * F.size(w))
+
+
+def supported_items(items: Column, quote: Column) -> Column:
+    """struct(kept, dropped): the items of a list that the quote backs, and the others."""
+    return F.struct(F.filter(items, lambda i: supported(i, quote)).alias("kept"), F.filter(items, lambda i: ~supported(i, quote)).alias("dropped"))
 
 
 def planned(schema: DataFrame, entities: DataFrame, held: DataFrame, today: Column, days: int = 365) -> DataFrame:
@@ -122,7 +174,19 @@ def planned(schema: DataFrame, entities: DataFrame, held: DataFrame, today: Colu
     return joined.select("entity", "field", reason.alias("reason")).where("reason IS NOT NULL")
 
 
-def verified(items: Column, page: Column) -> Column:
-    """struct(kept, dropped): list items that the page states, in order."""
-    on = lambda x: F.contains(T.plain(page), T.plain(x)) & (T.plain(x) != "")
-    return F.struct(F.filter(items, on).alias("kept"), F.filter(items, lambda x: ~on(x)).alias("dropped"))
+def verified(value: Column, quote: Column, page: Column) -> Column:
+    """The value if its quote is on the page, else null."""
+    return F.when((F.coalesce(F.trim(quote), F.lit("")) != "") & T.quote_on_page(quote, page), value)
+
+
+def verified_items(items: Column, quote: Column, page: Column) -> Column:
+    """struct(kept, dropped): list items that stand on the page, or that a quote on the page backs."""
+    on_page = (F.coalesce(F.trim(quote), F.lit("")) != "") & T.quote_on_page(quote, page)
+    holds = lambda i: (F.contains(T.plain(page), T.plain(i)) & (T.plain(i) != "")) | (on_page & supported(i, quote))
+    said = F.filter(F.transform(items, lambda i: F.trim(i)), lambda i: i != "")
+    return F.struct(F.filter(said, holds).alias("kept"), F.filter(said, lambda i: ~holds(i)).alias("dropped"))
+
+
+def grounded(value: Column, page: Column) -> Column:
+    """The sentences of the value that the page states, joined; empty if none."""
+    return F.array_join(F.filter(T.sentences(T.collapsed(value)), lambda s: T.quote_on_page(s, page)), " ")

@@ -46,3 +46,41 @@ def matched_presses(runs: DataFrame, presses: DataFrame, key: str, run: str, ran
         return pd.DataFrame(out, columns=["run", "press"])
 
     return both.groupBy(key).applyInPandas(assign, "run bigint, press bigint")
+
+
+def operations(runs: DataFrame, checks: DataFrame, presses: DataFrame, owners: DataFrame, asks: DataFrame) -> DataFrame:
+    """source, reference, person, because, basis, cost: every paid operation of the ledgers, with who it is put down to and why; person -1 where it is not recorded.
+
+    runs: run, job, check, request, status, cost; checks: check, person, cost; presses: run, person (one run each, from matched_presses()); owners: request, person; asks: ask, person, cost, priced. An update belongs to who
+    ran its check, another run to who pressed for it, else to the owner of its request. A check that no run applied stands for itself.
+    """
+    by_check = checks.select("check", F.col("person").alias("_checker"))
+    by_press = presses.select("run", F.col("person").alias("_presser"))
+    by_owner = owners.select("request", F.col("person").alias("_owner"))
+    joined = runs.join(by_check, "check", "left").join(by_press, "run", "left").join(by_owner, "request", "left")
+    update = F.col("job") == "actor_update"
+    person = F.when(update, F.col("_checker")).otherwise(F.coalesce("_presser", "_owner"))
+    because = F.when(update, F.when(F.col("_checker").isNotNull(), "ran the check")).when(F.col("_presser").isNotNull(), "pressed Run now").when(F.col("_owner").isNotNull(), "owns the request")
+    line = lambda source, reference, who, why, how, cost: [F.lit(source).alias("source"), reference.alias("reference"), F.coalesce(who.cast("bigint"), F.lit(-1)).alias("person"), why.alias("because"), how.alias("basis"), F.round(F.coalesce(cost, F.lit(0.0)), 2).alias("cost")]
+    run_lines = joined.select(*line("collection_run", F.col("run"), person, because, basis(F.col("status")), F.col("cost")))
+    loose = checks.join(runs.where("check IS NOT NULL").select("check"), "check", "left_anti")
+    check_lines = loose.select(*line("check_result", F.col("check"), F.col("person"), F.lit("ran the check"), F.when(F.col("cost").isNotNull(), "recorded by the check").otherwise("unknown"), F.col("cost")))
+    ask_lines = asks.select(*line("ask_usage", F.col("ask"), F.col("person"), F.lit("asked"), F.when(F.col("priced"), "priced from tokens").otherwise("unknown (no price)"), F.col("cost")))
+    return run_lines.unionByName(check_lines).unionByName(ask_lines)
+
+
+def run_label(run: Column, said: Column, entity: Column, at: Column) -> Column:
+    """struct(kind, trigger, run_group, label) of a run, from its key and description alone: what is not recorded is not guessed."""
+    map_import = F.contains(said, F.lit("Explore and Map: "))
+    checks = run.startswith("v2-review:")
+    kind = (
+        F.when(run.startswith("actor-update:"), "actor_updates")
+        .when(run.startswith("datafeed:") & ~map_import, "data_feed")
+        .when(checks, "map_checks")
+        .otherwise(F.concat(F.lit("discovery_"), F.when(entity == "actor", "actors").when(entity == "event", "events").otherwise("people")))
+    )
+    both = F.lower(F.concat_ws(" ", said, run))
+    trigger = F.when(F.contains(both, F.lit("migration")) | F.contains(both, F.lit("existing_canonical")), "migration").when(F.contains(both, F.lit("subscription")), "subscription").when(both.rlike("schedule|weekly|monthly"), "scheduled_event").otherwise("manual")
+    asked = F.trim(F.regexp_extract(said, r"^Discovery request:\s*(.+?)\s*(·|$)", 1))
+    name = F.when(checks, "Map checks").when(run.startswith("datafeed:"), F.regexp_replace(said, r" · (manual entry|[^·]+\.(xlsx|xlsm|xls|csv))$", "")).when(asked != "", asked).otherwise(said)
+    return F.struct(kind.alias("kind"), trigger.alias("trigger"), F.when(checks, "map-checks").otherwise(run).alias("run_group"), F.concat_ws(" · ", name, F.date_format(at, "MM/dd/yyyy")).alias("label"))

@@ -123,24 +123,129 @@ def hub_outcome(same_sector: Column, miles: Column, radius: float = RADIUS_MILES
     return F.when(~same_sector, "sector_mismatch").when(miles.isNull(), "location_unknown").when(miles <= radius, "eligible").otherwise("outside_radius")
 
 
+def exclusion(actor: dict[str, Column], sector: Column, statuses: Sequence[str]) -> Column:
+    """Why an actor does not count for a new hub of the sector: the first of six rules, or null. actor: status, assigned (array of sectors), merged, category, kind, lat, lon, city, state."""
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    return (
+        F.when(~F.coalesce(F.lower(actor["status"]).isin(*[s.lower() for s in statuses]), F.lit(False)), "status_not_enabled")
+        .when(F.coalesce(F.array_contains(actor["assigned"], sector), F.lit(False)), "already_assigned_same_sector")
+        .when(actor["merged"], "merged")
+        .when(F.lower(actor["category"]) == "aggregate", "aggregate")
+        .when(actor["lat"].isNull() | actor["lon"].isNull() | blank(actor["city"]) | blank(actor["state"]), "missing_deterministic_geography")
+        .when(blank(actor["category"]) | blank(actor["kind"]), "missing_classification")
+    )
+
+
+def evaluations(pairs: DataFrame) -> DataFrame:
+    """pairs with matched, outcome, priority, miles, outside: the sector is tested before the place, which is not looked at when it fails.
+
+    pairs: sectors (array), lat, lon of an actor; hub_sector, lat2, lon2, radius of a hub.
+    """
+    matched = F.coalesce(F.array_contains("sectors", F.col("hub_sector")), F.lit(False))
+    located = F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("lat2").isNotNull() & F.col("lon2").isNotNull()
+    miles = F.when(F.col("matched") & located, haversine_miles(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")))
+    rows = pairs.withColumn("matched", matched).withColumn("miles", miles)
+    outside = F.coalesce(F.col("miles") > F.col("radius"), F.lit(False))
+    outcome = F.when(~F.col("matched"), "needs_review_sector").when(F.col("miles").isNull() | outside, "needs_review_location").otherwise("assigned")
+    return rows.select("*", outcome.alias("outcome"), F.when(F.col("matched"), "normal").otherwise("low").alias("priority"), outside.alias("outside"))
+
+
+def reassessed(actors: DataFrame, hubs: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(memberships: actor, hub, fit, preserved; proposals: actor, sector, hub, miles).
+
+    actors: actor, sectors (array), lat, lon; hubs: hub, hub_sector, lat2, lon2, radius; members: actor, hub, kind. A membership fits, or its sector, radius or place is reported; it is kept either
+    way. For every sector of an actor without a hub of that sector, the nearest hub that would be assigned is proposed, ties by hub.
+    """
+    held = evaluations(members.join(actors, "actor").join(hubs, "hub"))
+    fit = F.when(F.col("outcome") == "assigned", "fits").when(~F.col("matched"), "sector_no_longer_matches").when(F.col("outside"), "outside_radius").otherwise("location_unknown")
+    memberships = held.select("actor", "hub", fit.alias("fit"), (F.col("kind") == "member").alias("preserved"))
+    wanted = actors.withColumn("hub_sector", F.explode("sectors")).join(held.select("actor", "hub_sector").distinct(), ["actor", "hub_sector"], "left_anti")
+    near = evaluations(wanted.join(hubs, "hub_sector")).where("outcome = 'assigned'")
+    best = near.groupBy("actor", "hub_sector").agg(F.min(F.struct(F.round("miles", 6).alias("miles"), "hub")).alias("b"))
+    return memberships, best.select("actor", F.col("hub_sector").alias("sector"), F.col("b.hub").alias("hub"), F.col("b.miles").alias("miles"))
+
+
+def stated_places(text: Column, states: dict[str, str]) -> Column:
+    """array of struct(strength, state, city, headquarters): places that a page ties to an organization, sentence by sentence, strongest first.
+
+    An address ("12 Main St, Austin, TX 78701") is strength 3, "based, located or headquartered in City, ST" 2, another "City, ST" of a line that begins with a contact word 1. States are codes or full names
+    from the given table.
+    """
+    names = "|".join([*states, *states.values()])
+    code = lambda w: F.coalesce(*[F.when((w == k) | (F.lower(w) == F.lower(F.lit(v))), F.lit(k)) for k, v in states.items()])
+    pair = rf"([A-Z][A-Za-z.]+(?: [A-Z][A-Za-z.]+)?), ({names})\b(?: ([0-9]{{5}}))?"
+
+    def one(s):
+        city, state, post = (F.regexp_extract(s, pair, i) for i in (1, 2, 3))
+        based = s.rlike(r"(?i)\b(based|located|headquartered|offices?) in\b")
+        street = s.rlike(r"\b[0-9]+ [A-Z][a-z]+ (St|Street|Ave|Avenue|Road|Rd|Blvd)\b")
+        strength = F.when((post != "") | street, 3).when(based, 2).when(s.rlike(r"(?i)^\s*(contact|address|visit)"), 1).otherwise(0)
+        return F.struct((-strength).alias("order"), code(state).alias("state"), city.alias("city"), s.rlike(r"(?i)headquarter|head office").alias("headquarters"))
+
+    found = F.transform(T.sentences(text), one)
+    return F.array_sort(F.filter(found, lambda p: p["state"].isNotNull() & (p["order"] < 0)))
+
+
+def checked_location(claimed: Column, text: Column, states: dict[str, str]) -> Column:
+    """struct(action, state, headquarters, operates_in): keep, correct or withhold the state that a reader gave.
+
+    Kept where a statement gives it; corrected where all strongest statements agree on another; withheld where they differ, and kept unconfirmed where the page states no place. headquarters: the state of the
+    first statement that says so; operates_in: the other states stated.
+    """
+    said = stated_places(text, states)
+    top = F.array_distinct(F.transform(F.filter(said, lambda p: p["order"] == F.get(said, F.lit(0))["order"]), lambda p: p["state"]))
+    every = F.array_distinct(F.transform(said, lambda p: p["state"]))
+    head = F.get(F.transform(F.filter(said, lambda p: p["headquarters"]), lambda p: p["state"]), F.lit(0))
+    action = F.when(F.size(said) == 0, "unconfirmed").when(F.array_contains(every, claimed), "keep").when(F.size(top) == 1, "correct").otherwise("withhold")
+    state = F.when(action.isin("keep", "unconfirmed"), claimed).when(action == "correct", F.get(top, F.lit(0)))
+    others = F.filter(every, lambda x: ~x.eqNullSafe(state) & ~x.eqNullSafe(head))
+    return F.struct(action.alias("action"), state.alias("state"), head.alias("headquarters"), F.array_sort(others).alias("operates_in"))
+
+
 def drifted(lat1: Column, lon1: Column, lat2: Column, lon2: Column, frozen: Column, miles: float = DRIFT_MILES) -> Column:
     return frozen & (haversine_miles(lat1, lon1, lat2, lon2) > miles)
 
 
 def maximum_matching(families: dict[str, list[str]]) -> int:
-    """Size of the largest matching of families to categories, by augmenting paths in sorted order."""
-    owner: dict[str, str] = {}
-
-    def place(family: str, seen: set[str]) -> bool:
-        for category in sorted(families[family]):
-            if category not in seen:
-                seen.add(category)
-                if category not in owner or place(owner[category], seen):
-                    owner[category] = family
-                    return True
-        return False
-
-    return sum(place(f, set()) for f in sorted(families))
+    """Size of the largest matching of families to categories: rounds of layered search from all free families at once.
+
+    A round layers the families by the shortest alternating paths from free ones (breadth first), then walks disjoint paths of that length with an explicit
+    stack; the number of rounds grows with the square root of the families and nothing recurs.
+    """
+    links = {f: sorted(set(c)) for f, c in families.items()}
+    of_family: dict[str, str] = {}
+    of_category: dict[str, str] = {}
+    while True:
+        layer = {f: 0 for f in links if f not in of_family}
+        queue, reached = list(layer), False
+        for f in queue:  # grows while it is walked
+            for c in links[f]:
+                holder = of_category.get(c)
+                if holder is None:
+                    reached = True
+                elif holder not in layer:
+                    layer[holder] = layer[f] + 1
+                    queue.append(holder)
+        if not reached:
+            return len(of_family)
+        open_links = {f: iter(links[f]) for f in links}
+        for start in [f for f in links if f not in of_family]:
+            path, taken = [start], []
+            while path:
+                c = next(open_links[path[-1]], None)
+                if c is None:
+                    path.pop()
+                    if taken:
+                        taken.pop()
+                    continue
+                holder = of_category.get(c)
+                if holder is None:
+                    for f, own in zip(path, [*taken, c]):
+                        of_family[f], of_category[own] = own, f
+                    break
+                if layer.get(holder) == layer[path[-1]] + 1:
+                    taken.append(c)
+                    path.append(holder)
 
 
 def fingerprint(families) -> str:

@@ -65,8 +65,13 @@ PERSON_WEIGHTS = {
 }
 BANDS = {"actor": (0.45, 0.80), "event": (0.30, 0.70), "person": (0.30, 0.70)}
 #: Fields that a follow-up can still find; a record that lacks only these is researched, not excluded.
-PERSON_FINDABLE = ("identity source", "current affiliation", "role or title", "expertise", "bio or profile")
+PERSON_FINDABLE = ("identity source", "current affiliation", "role or title", "expertise", "bio or LinkedIn")
 EVENT_FATAL = ("official source", "event identity", "relevance")
+#: Rubric items that tell of concrete work, and patterns of names and addresses that are no organization's.
+SUBSTANCE = ("research_development_or_programmes", "partnerships_or_tech_transfer", "use_cases", "open_programmes")
+LIST_NAME = r"(?i)(^|[^a-z])(top [0-9]+|list of|directory|conference|summit|webinar|news|press release|careers|jobs)([^a-z]|$)"
+LIST_PATH = r"(?i)/(events?|news|press|blog|careers?|jobs|directory|listings?|tags?|search)(/|$)"
+PAGE_WORDS = r"(?i)^(this|the) (page|site|portal|website|overview)|(^|[^a-z])(web ?page|portal|overview) (of|for|about)"
 
 
 def check_thresholds(low: float, high: float) -> None:
@@ -100,27 +105,86 @@ def missing(fields: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in fields.items()]))
 
 
-def person_gate(mandatory: dict[str, Column], promising: Column) -> Column:
-    """struct(decision, missing): accept with nothing missing; research what can be found for promising records; else exclude."""
-    lacks = missing(mandatory)
-    findable = F.size(F.array_except(lacks, F.array(*map(F.lit, PERSON_FINDABLE)))) == 0
-    decision = F.when(F.size(lacks) == 0, "accept").when(promising & findable, "research").otherwise("exclude")
-    return F.struct(decision.alias("decision"), lacks.alias("missing"))
+PERSON_MANDATORY = ("name", "identity source", "current affiliation", "relevance", "role or title", "expertise", "bio or LinkedIn")
+PERSON_PRIORITY = ("department or unit", "public profile link", "relevant work", "work location")
+EVENT_MANDATORY = ("official source", "event identity", "confirmed date", "place or online format", "relevance")
+EVENT_PRIORITY = ("organizer", "registration", "event type", "description", "themes or agenda", "speakers or participating organizations")
+ONLINE_FORMATS = ("online", "hybrid", "virtual")
+
+
+def filled(value: Column) -> Column:
+    return F.coalesce(F.trim(value) != "", F.lit(False))
 
 
-def event_gate(mandatory: dict[str, Column], priority: dict[str, Column], status: Column, conflict: Column, least: int = 2) -> Column:
-    """struct(decision, missing, present): cancelled or fatally incomplete events go, others are researched, reviewed or accepted."""
-    lacks = missing(mandatory)
-    present = F.lit(len(priority)) - F.size(missing(priority))
+def person_gate(kind: Column, named: Column, placed: Column, rubric: dict[str, Column], record: dict[str, Column], facts: dict[str, Column]) -> Column:
+    """struct(decision, missing, missing_priority, identity): can this person be identified, placed and told to be relevant?
+
+    kind: source_kind() of the page; named, placed: whether the page states the name and the affiliation; rubric: institution_or_self_published, sector_intersection;
+    record: name, affiliation, role, public_profile_url, research_area; facts: linkedin_url, expertise, bio, department, relevant_work, work_location. Nothing missing is
+    accepted; what a named and relevant person (not from a social page) lacks and a follow-up can find is researched; else excluded.
+    """
+    has_name, linked = filled(record["name"]), filled(facts["linkedin_url"])
+    official = (kind == "web") & has_name & named & F.coalesce(rubric["institution_or_self_published"], F.lit(False))
+    identity = F.when(official, "official_profile").when(linked, "linkedin")
+    relevant = F.coalesce(rubric["sector_intersection"], F.lit(False))
+    tests = [has_name, identity.isNotNull(), filled(record["affiliation"]) & placed, relevant, filled(record["role"]), filled(record["research_area"]) | filled(facts["expertise"]), filled(facts["bio"]) | linked]
+    lacks = missing(dict(zip(PERSON_MANDATORY, tests)))
+    less = missing(dict(zip(PERSON_PRIORITY, [filled(facts["department"]), filled(record["public_profile_url"]), filled(facts["relevant_work"]), filled(facts["work_location"])])))
+    findable = F.size(F.array_except(lacks, F.array(*map(F.lit, PERSON_FINDABLE)))) == 0
+    decision = F.when(F.size(lacks) == 0, "accept").when(has_name & relevant & (kind != "social") & findable, "research").otherwise("exclude")
+    return F.struct(decision.alias("decision"), lacks.alias("missing"), less.alias("missing_priority"), identity.alias("identity"))
+
+
+def event_gate(kind: Column, page_kind: Column, page_text: Column, run_date: Column, rubric: dict[str, Column], record: dict[str, Column], facts: dict[str, Column], least: int = 2) -> Column:
+    """struct(decision, missing, missing_priority, freshness): is this a real, relevant, dated and placed event, from its own or its organizer's page?
+
+    rubric: single_discrete_event, specific_topic, sector_coverage; record: title, start_date, end_date (dates), city, country, location, sectors (array), event_type, description, access_type,
+    sponsoring_orgs; facts: event_status, format, organizer, registration_url, themes, speakers, participating_organizations. Cancelled events and those without source, identity or relevance are excluded;
+    without a date or place they are researched; conflicting dates, a postponement or fewer than `least` priority fields are for review.
+    """
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    stated = F.lower(F.coalesce(F.trim(facts["event_status"]), F.lit("")))
+    status = F.when(stated != "", stated).otherwise(status_words(page_text))
+    start, end = record["start_date"], record["end_date"]
+    placed = filled(record["city"]) | filled(record["country"]) | filled(record["location"]) | yes(F.lower(facts["format"]).isin(*ONLINE_FORMATS))
+    relevant = (F.coalesce(F.size(record["sectors"]), F.lit(0)) > 0) & (yes(rubric["specific_topic"]) | yes(rubric["sector_coverage"]))
+    tests = [(kind == "web") & ~yes(page_kind.isin("news", "listing")), filled(record["title"]) & yes(rubric["single_discrete_event"]), start.isNotNull(), placed, relevant]
+    lacks = missing(dict(zip(EVENT_MANDATORY, tests)))
+    more = [filled(facts["organizer"]) | filled(record["sponsoring_orgs"]), filled(facts["registration_url"]) | filled(record["access_type"]), filled(record["event_type"]), filled(record["description"]), filled(facts["themes"]), filled(facts["speakers"]) | filled(facts["participating_organizations"])]
+    less = missing(dict(zip(EVENT_PRIORITY, more)))
     fatal = F.size(F.array_intersect(lacks, F.array(*map(F.lit, EVENT_FATAL)))) > 0
+    freshness = F.when(status == "cancelled", "cancelled").when(start.isNull(), "date_unconfirmed").when(start < run_date, "past").otherwise("upcoming")
     decision = (
         F.when((status == "cancelled") | fatal, "exclude")
         .when(F.size(lacks) > 0, "research")
-        .when(conflict | (status == "postponed"), "review")
-        .when(present >= least, "accept")
+        .when(yes(end < start) | (status == "postponed"), "review")
+        .when(len(EVENT_PRIORITY) - F.size(less) >= least, "accept")
         .otherwise("review")
     )
-    return F.struct(decision.alias("decision"), lacks.alias("missing"), present.alias("present"))
+    return F.struct(decision.alias("decision"), lacks.alias("missing"), less.alias("missing_priority"), freshness.alias("freshness"))
+
+
+def qualified(start: Column, run_date: Column, months: int, sectors: Column, in_window: Column, registration: Column, institutional: Column, minable: Column, judged: Column) -> Column:
+    """struct(accepted, class, reason): attendable, minable, both, mined but not stored, or why an event is rejected.
+
+    judged: whether a rubric was read; without it a date after the window rejects at once.
+    """
+    end = F.add_months(run_date, months)
+    day = start.cast("string")
+    attendable = in_window & registration & institutional
+    failed = F.concat_ws("; ", F.when(~registration, "registration is not open to external organisations"), F.when(~institutional, "scale or topic does not justify institutional attendance"), F.lit("fewer than three named participants and no named speakers"))
+    before = F.concat(F.lit("event date "), day, F.lit(" is before run date "), run_date.cast("string"))
+    reason = (
+        F.when(start.isNull(), "missing start date")
+        .when(~judged & (start > end), F.concat(F.lit("event date "), day, F.lit(" is after window end "), end.cast("string")))
+        .when(F.coalesce(F.size(sectors), F.lit(0)) <= 0, "event has no sector match")
+        .when(start < run_date, F.when(minable, F.concat(F.lit("mined, not stored: "), before)).otherwise(F.concat(before, F.lit("; fewer than three named participants and no named speakers"))))
+        .when(attendable | minable, F.concat(F.lit("qualified as "), F.concat_ws(" and ", F.when(attendable, "attendable"), F.when(minable, "minable"))))
+        .otherwise(failed)
+    )
+    mined = reason.startswith("mined, not stored")
+    kind = F.when(mined, "mined, not stored").when(reason.startswith("qualified as "), F.regexp_replace(reason, "^qualified as ", ""))
+    return F.struct(kind.isNotNull().alias("accepted"), kind.alias("class"), reason.alias("reason"))
 
 
 def status_words(text: Column) -> Column:
@@ -145,6 +209,114 @@ def verdict(rejects: Sequence[tuple[str, Column]], holds: Sequence[tuple[str, Co
     return F.struct(decision.alias("decision"), F.when(F.size(bad) > 0, bad).otherwise(unsure).alias("codes"))
 
 
+def actor_quality(record: dict[str, Column], page_url: Column, score: Column, present: Column, low: float, high: float, scope_sectors: Sequence[str] = (), scope_states: Sequence[str] = (), focus: Column | None = None, currency: tuple[Column, Column] | None = None, identity: Column | None = None, topic: Column | None = None, priority: Column | None = None, least_items: int = 3, least_description: int = 40, least_identity: float = 0.5, least_topic: float = 0.5, least_priority: float = 0.5) -> Column:
+    """struct(decision, codes): REJECT with every reject code, else REVIEW with every hold code, else ACCEPT.
+
+    record: name, website, description, state, place, unit_path, location_basis, operates_in (array of states), sectors (array); present: names of the rubric items that are evidenced.
+    currency: (code, whether it rejects). Rejected: nothing read, no name, a list, an event or a news page, sectors or states outside the request (a page that shows work inside it holds instead), a record no longer current,
+    a score below the lower bound. Held: no site, another's page, thin or no substantive evidence, a description of a page or a weak one, no place, a unit read for its parent, unreliable identity or topic,
+    a focus not met, a score below the upper bound, or a low priority.
+    """
+    from ..functions import urls as U
+
+    text = lambda k: F.trim(F.coalesce(record[k], F.lit("")))
+    name, about, states = text("name"), text("description"), list(scope_states)
+    items = F.coalesce(present, F.array().cast("array<string>"))
+    listing = ((name != "") & name.rlike(LIST_NAME)) | U.path(page_url).rlike(LIST_PATH)
+    other_sector = F.lit(False) if not scope_sectors else ~F.coalesce(F.arrays_overlap(record["sectors"], F.array(*map(F.lit, scope_sectors))), F.lit(False))
+    outside = F.lit(False) if not states else (text("state") != "") & ~text("state").isin(*states)
+    there = F.lit(False) if not states else F.coalesce(F.arrays_overlap(record["operates_in"], F.array(*map(F.lit, states))), F.lit(False))
+    code, rejects = currency if currency else (F.lit(None).cast("string"), F.lit(False))
+    reject_list = [
+        F.when((name == "") & (F.size(items) == 0), "unreadable_page").when(name == "", "no_name"),
+        F.when(listing, "not_an_organisation"),
+        F.when(other_sector, "outside_requested_sector"),
+        F.when(outside & ~there, "outside_requested_region"),
+        F.when(code.isNotNull() & rejects, code),
+        F.when(score < low, "below_reject_threshold"),
+    ]
+    page, own = U.registrable(page_url), U.registrable(text("website"))
+    sentences = F.size(F.filter(F.split(about, r"(?<=[.!?])\s+"), lambda x: F.trim(x) != ""))
+    number = lambda c, bound, label: F.when(c < bound, label) if c is not None else F.lit(None).cast("string")
+    low_priority = F.lit(None).cast("string") if priority is None else F.when(priority < least_priority, "below_auto_verify_priority")
+    hold_list = [
+        F.when(outside & there, "operates_in_area_based_elsewhere"),
+        F.when(own == "", "website_unverified").when(page != own, "third_party_page"),
+        F.when(F.size(items) < least_items, "thin_evidence"),
+        F.when(~F.array_contains(items, "real_operating_entity"), "entity_unconfirmed"),
+        F.when(~F.arrays_overlap(items, F.array(*map(F.lit, SUBSTANCE))), "no_substantive_work"),
+        F.when(about.rlike(PAGE_WORDS), "describes_a_page"),
+        F.when((F.length(about) < least_description) | ~sentences.between(1, 3), "weak_description"),
+        F.when(code.isNotNull() & ~rejects, code),
+        F.when(text("location_basis") == "unconfirmed", "location_unconfirmed"),
+        F.when((text("place") == "") | (about == ""), "incomplete_record"),
+        F.when(F.coalesce(record["unit_path"], F.lit(False)), "unit_or_parent_unclear"),
+        number(identity, least_identity, "identity_unreliable"),
+        number(topic, least_topic, "weak_topic_evidence"),
+        F.lit(None).cast("string") if focus is None else F.when(~focus, "focus_unconfirmed"),
+        F.when(score < high, "below_accept_threshold").otherwise(low_priority),
+    ]
+    bad, unsure = F.array_compact(F.array(*reject_list)), F.array_compact(F.array(*hold_list))
+    decision = F.when(F.size(bad) > 0, "REJECT").when(F.size(unsure) > 0, "REVIEW").otherwise("ACCEPT")
+    return F.struct(decision.alias("decision"), F.when(F.size(bad) > 0, bad).otherwise(unsure).alias("codes"))
+
+
+#: What says that an organization stopped or became another; narrow, so that "acquired funding" is none of it.
+DEFUNCT = (
+    r"(?i)(^|[^a-z])((merged|consolidated) (with|into)|was (acquired|purchased|bought) by|(is|are) now (part of|a (division|subsidiary) of|known as)|formerly known as"
+    r"|(has|have) (ceased|discontinued) (operations|trading|business)|ceased operations|(has|have) (closed|shut) (its|their) doors|no longer (in operation|operating|in business)|was dissolved)([^a-z]|$)"
+)
+GENERIC_NAME = tuple(
+    "the and for of inc llc corp company co group energy power center centre institute university college association foundation council network services service solutions systems technologies technology public national american new lab laboratory program agency department office".split()
+)
+
+
+def currency(name: Column, page: Column, stated: Column, landed: Column, own_site: Column, year: int, stale_years: int = 4) -> Column:
+    """merged_or_renamed, defunct, outdated_source, stale_own_site, or null for an organization that looks current.
+
+    In order: its stated site leads to another domain; a sentence that names it says that it stopped; the newest year of the page, none after `year`, is
+    `stale_years` back, on another's page or on its own. A sentence names it by a distinctive word or by its capitals.
+    """
+    from ..functions import text as T
+    from ..functions import urls as U
+
+    own = F.filter(T.words(T.plain(name)), lambda w: (F.length(w) >= 3) & ~w.isin(*GENERIC_NAME))
+    capitals = F.regexp_replace(F.array_join(F.transform(F.regexp_extract_all(name, F.lit("([A-Za-z]+)"), F.lit(1)), lambda w: F.substring(w, 1, 1)), ""), "[^A-Z]", "")
+    names = lambda s: F.arrays_overlap(own, T.words(T.plain(s))) | ((F.length(capitals) >= 3) & F.contains(s, capitals))
+    gone = F.exists(F.split(F.coalesce(page, F.lit("")), "[.]"), lambda s: s.rlike(DEFUNCT) & names(s))
+    years = F.transform(F.regexp_extract_all(page, F.lit(r"(?<![0-9.])(19[5-9][0-9]|20[0-4][0-9])(?![0-9])(?![.][0-9])"), F.lit(1)), lambda y: y.cast("int"))
+    newest = F.array_max(F.filter(years, lambda y: y <= year))
+    moved = (U.registrable(stated) != "") & (U.registrable(landed) != "") & (U.registrable(stated) != U.registrable(landed))
+    stale = F.when(newest <= year - stale_years, F.when(own_site, "stale_own_site").otherwise("outdated_source"))
+    return F.when(F.coalesce(moved, F.lit(False)), "merged_or_renamed").when(gone, "defunct").otherwise(stale)
+
+
+def valid_rankings(rows: DataFrame, publishers: Sequence[str], available: DataFrame) -> DataFrame:
+    """Distinct entity, system, rank, year, scope, subject, url of the entries that are whole and whose page was read.
+
+    A known publisher; a rank that is a number, a range or an open end, with or without a tie mark; a year from 1900 to 2100; a scope of overall or, with a subject, subject.
+    """
+    rank, subject = F.trim("rank"), F.trim(F.coalesce("subject", F.lit("")))
+    whole = F.col("system").isin(*publishers) & rank.rlike(r"^=?[0-9]{1,4}([-–][0-9]{1,4}|\+)?$") & F.col("year").between(1900, 2100) & F.col("scope").isin("overall", "subject") & ((F.col("scope") == "overall") | (subject != ""))
+    kept = rows.where(whole).join(available.select("url").distinct(), "url", "left_semi")
+    return kept.select("entity", "system", rank.alias("rank"), "year", "scope", F.when(F.col("scope") == "subject", subject).otherwise("").alias("subject"), "url").distinct()
+
+
+def score_sheet(raw: Column, tier: Column) -> Column:
+    """struct(scored, total, tier) of a row's six raw scores: whole scores of 1 to 3 count, the total (of 18) stands where all six do, "Tier n" gives tier_n."""
+    scores = F.transform(raw, lambda v: whole_score(v))
+    kept = F.array_compact(scores)
+    total = F.when(F.size(kept) == F.size(raw), F.aggregate(kept, F.lit(0), lambda a, b: a + b))
+    level = F.regexp_extract(F.lower(tier), r"tier\s*([0-9])", 1)
+    return F.struct(F.size(kept).cast("bigint").alias("scored"), total.alias("total"), F.when(level != "", F.concat(F.lit("tier_"), level)).alias("tier"))
+
+
+def whole_score(value: Column, low: int = 1, high: int = 3) -> Column:
+    """The whole part of a number in text, if it lies between the bounds."""
+    n = F.trim(value).try_cast("double").try_cast("int")
+    return F.when(n.between(low, high), n)
+
+
 def source_kind(host: Column, path: Column, social: Sequence[str], directories: Sequence[str], listings: Sequence[str], news: Sequence[str]) -> Column:
     """social, directory, listing, news or web, in that order; the lists are parameters of bounded size."""
     on = lambda names: F.lit(False) if not names else host.rlike("(^|\\.)(" + "|".join(n.replace(".", "\\.") for n in names) + ")$")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import domain, identities, more, relational, scalars, screens
+from . import domain, identities, judgements, more, relational, scalars, screens, workflows
 from .registry import Tables, oracle_sql, queries
 
-__all__ = ["entry", "identities", "more", "oracle_sql", "queries", "relational", "scalars", "screens"]
+__all__ = ["entry", "identities", "judgements", "more", "oracle_sql", "queries", "relational", "scalars", "screens", "workflows"]
 
 
 def entry(spark, sf_dir):

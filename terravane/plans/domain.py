@@ -252,11 +252,6 @@ def _(t):
     return P.detect_clusters(rows, "sector")
 
 
-@plan("cl03_exclusions", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'not live' WHEN c_nationkey = 7 THEN 'no coordinates' WHEN c_mktsegment = 'MACHINERY' THEN 'category excluded' ELSE '' END AS reason FROM customer")
-def _(t):
-    return t.customer.select("c_custkey", S.ladder([("not live", F.col("c_acctbal") < 0), ("no coordinates", F.col("c_nationkey") == 7), ("category excluded", F.col("c_mktsegment") == "MACHINERY")]).alias("reason"))
-
-
 @plan("cl05_family_fingerprint", "SELECT n_regionkey, sha256(string_agg(n_name, chr(10) ORDER BY n_name)) AS fingerprint FROM nation GROUP BY 1")
 def _(t):
     from ..functions.collections import set_fingerprint
@@ -269,14 +264,6 @@ def _(t):
     return P.radius_join(actors(t), hubs(t), 400.0, ["sector"]).groupBy("actor").agg(F.min("hub").alias("hub"))
 
 
-@plan("cl07_hub_outcome", f"SELECT s_suppkey AS actor, CASE WHEN s_nationkey % 5 <> n_nationkey % 5 THEN 'sector_mismatch' WHEN {AT} <= 200 THEN 'eligible' ELSE 'outside_radius' END AS outcome FROM supplier JOIN nation ON n_nationkey = s_suppkey % 25")
-def _(t):
-    from ..functions.numbers import haversine_miles
-
-    rows = actors(t).withColumnRenamed("sector", "own").join(hubs(t), F.col("actor") % 25 == F.col("hub"))
-    return rows.select("actor", P.hub_outcome(F.col("own") == F.col("sector"), haversine_miles(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))).alias("outcome"))
-
-
 @plan("cl08_assignment", f"SELECT actor, arg_min(hub, (miles, hub)) AS hub, count(*) AS overlaps FROM {REACH_SQL} GROUP BY 1")
 def _(t):
     return P.assignments(actors(t), hubs(t), 400.0).select("actor", "hub", "overlaps")
@@ -296,12 +283,6 @@ def _(t):
     return rows.select("actor", P.drifted(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"), F.col("actor") % 2 == 0).alias("drifted"))
 
 
-@plan("cl11_reassessment", f"SELECT s_suppkey AS actor FROM supplier WHERE s_suppkey NOT IN (SELECT actor FROM {REACH_SQL})")
-def _(t):
-    own = actors(t)
-    return own.select("actor").join(P.radius_join(own, hubs(t), 400.0, ["sector"]).select("actor"), "actor", "left_anti")
-
-
 @plan("cl12_topic_proposal", "SELECT n_regionkey, CASE WHEN count(DISTINCT c_mktsegment) FILTER (WHERE c_acctbal > 9900) = 1 THEN max(c_mktsegment) FILTER (WHERE c_acctbal > 9900) ELSE 'none' END AS topic FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1")
 def _(t):
     rich = F.when(F.col("c_acctbal") > 9900, F.col("c_mktsegment"))
@@ -353,38 +334,6 @@ def _(t):
     return t.events.select("event_id", S.capped_band(S.band(k() / 100, 0.45, 0.8), decision, F.array(F.lit("expertise"))).alias("band"))
 
 
-@plan("ru07_person_gate", f"SELECT event_id, CASE WHEN {K} % 8 = 7 THEN 'accept' WHEN {K} % 2 = 1 THEN 'research' ELSE 'exclude' END AS decision FROM events")
-def _(t):
-    bit = lambda i: F.shiftright(k(), i).bitwiseAND(F.lit(1)) == 1
-    gate = S.person_gate({"name": bit(0), "current affiliation": bit(1), "expertise": bit(2)}, bit(0))
-    return t.events.select("event_id", gate["decision"].alias("decision"))
-
-
-@plan("ru08_event_gate", f"SELECT event_id, CASE WHEN event_type = 'error' OR {K} % 2 = 0 THEN 'exclude' WHEN ({K} >> 1) % 2 = 0 THEN 'research' WHEN event_type = 'click' THEN 'review' WHEN ({K} >> 2) % 4 = 3 THEN 'accept' ELSE 'review' END AS decision FROM events")
-def _(t):
-    bit = lambda i: F.shiftright(k(), i).bitwiseAND(F.lit(1)) == 1
-    page = F.when(F.col("event_type") == "error", "This event has been cancelled.").when(F.col("event_type") == "click", "Postponed to spring").otherwise("")
-    gate = S.event_gate({"official source": bit(0), "confirmed date": bit(1)}, {"organizer": bit(2), "themes": bit(3)}, S.status_words(page), F.lit(False))
-    return t.events.select("event_id", gate["decision"].alias("decision"))
-
-
-@plan("ru09_actor_quality", f"SELECT event_id, CASE WHEN event_type = 'error' OR {K} < 10 THEN 'REJECT' WHEN {K} < 50 OR value < 5 THEN 'REVIEW' ELSE 'ACCEPT' END AS decision, CASE WHEN event_type = 'error' OR {K} < 10 THEN concat_ws(',', CASE WHEN event_type = 'error' THEN 'unreadable' END, CASE WHEN {K} < 10 THEN 'score' END) ELSE concat_ws(',', CASE WHEN {K} < 50 THEN 'band' END, CASE WHEN value < 5 THEN 'thin' END) END AS codes FROM events")
-def _(t):
-    v = S.verdict([("unreadable", F.col("event_type") == "error"), ("score", k() < 10)], [("band", k() < 50), ("thin", F.col("value") < 5)])
-    return t.events.select("event_id", v.alias("v")).select("event_id", "v.decision", F.array_join("v.codes", ",").alias("codes"))
-
-
-@plan("ru10_qualification", f"SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'attendable' WHEN {K} % 3 = 0 THEN 'minable' ELSE 'mined, not stored' END AS class FROM events")
-def _(t):
-    return t.events.select("event_id", S.ladder([("attendable", F.col("event_type") == "purchase"), ("minable", k() % 3 == 0)], "mined, not stored").alias("class"))
-
-
-@plan("ru14_score_sheet", f"SELECT event_id, CAST(6 + {K} % 13 AS INTEGER) AS total, CASE WHEN 6 + {K} % 13 >= 15 THEN 'tier 1' WHEN 6 + {K} % 13 >= 10 THEN 'tier 2' ELSE 'tier 3' END AS tier FROM events")
-def _(t):
-    total = (6 + k() % 13).cast("int")
-    return t.events.select("event_id", total.alias("total"), S.ladder([("tier 1", total >= 15), ("tier 2", total >= 10)], "tier 3").alias("tier"))
-
-
 @plan("fi12_source_kind", "SELECT page_id, CASE WHEN ends_with(host, 'example.net') THEN 'social' WHEN ends_with(host, 'example.org') THEN 'listing' ELSE 'web' END AS kind FROM (SELECT page_id, split_part(split_part(url, '://', 2), '/', 1) AS host FROM pages)")
 def _(t):
     from ..functions import urls as U
@@ -431,37 +380,12 @@ def _(t):
     return rows.select("user_id", F.array_join(F.transform("entries", lambda x: x.cast("string")), ",").alias("entries"))
 
 
-@plan("fa04_same_text", "SELECT p_partkey, p_partkey % 2 = 0 AS same FROM part")
-def _(t):
-    return t.part.select("p_partkey", FA.same_text(F.concat("p_name", F.lit(" 12")), F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, " 12").otherwise(" 13"))).alias("same"))
-
-
-@plan("fa05_compared", "SELECT p_partkey, ['confirmed', 'additional', 'changed', 'not_restated', 'additional'][p_partkey % 5 + 1] AS outcome FROM part")
-def _(t):
-    n = F.col("p_partkey") % 5
-    old = F.when(n == 4, "").otherwise(F.lit("alpha beta gamma"))
-    new = F.when(n == 0, "alpha beta gamma").when(n == 1, "alpha beta gamma delta").when(n == 2, "omega 7").when(n == 3, "").otherwise("omega")
-    return t.part.select("p_partkey", FA.compared(old, new).alias("outcome"))
-
-
-@plan("fa06_supported", "SELECT p_partkey, p_partkey % 2 = 0 AS supported FROM part")
-def _(t):
-    quote = F.concat(F.lit("In 2020 it grew by "), F.when(F.col("p_partkey") % 2 == 0, "40").otherwise("45"), F.lit(" percent"))
-    return t.part.select("p_partkey", FA.supported(F.lit("grew 40 percent"), quote).alias("supported"))
-
-
 @plan("fa07_planned_fields", "SELECT s_suppkey AS entity, f.field, CASE WHEN d IS NULL THEN 'missing' ELSE 'outdated' END AS reason FROM supplier CROSS JOIN (SELECT DISTINCT event_type AS field FROM events) f LEFT JOIN (SELECT user_id, event_type, max(CAST(ts AS DATE)) AS d FROM events GROUP BY 1, 2) h ON h.user_id = s_suppkey AND h.event_type = f.field WHERE d IS NULL OR date_diff('day', d, DATE '2025-01-20') > 365")
 def _(t):
     held = t.events.select(F.col("user_id").alias("entity"), F.col("event_type").alias("field"), F.to_date("ts").alias("read_on"))
     return FA.planned(t.events.select(F.col("event_type").alias("field")), t.supplier.select(F.col("s_suppkey").alias("entity")), held, F.lit("2025-01-20").cast("date"))
 
 
-@plan("fa08_verified", "SELECT conv_id, turn, CAST(1 AS INTEGER) AS kept, CAST(1 AS INTEGER) AS dropped FROM conversations WHERE regexp_matches(text, '^[a-zA-Z]{3,} ')")
-def _(t):
-    items = F.array(F.regexp_extract("text", "^([a-zA-Z]{3,}) ", 1), F.lit("zzqx 99"))
-    return t.conversations.where(F.col("text").rlike("^[a-zA-Z]{3,} ")).select("conv_id", "turn", FA.verified(items, F.col("text")).alias("v")).select("conv_id", "turn", F.size("v.kept").alias("kept"), F.size("v.dropped").alias("dropped"))
-
-
 @plan("fa09_details_row", "SELECT user_id, max(value) FILTER (WHERE event_type = 'purchase') AS purchase, max(value) FILTER (WHERE event_type = 'signup') AS signup FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1) GROUP BY 1")
 def _(t):
     now = R.latest_value(t.events, ["user_id", "event_type"], ["value"], ["ts", "event_id"])
@@ -471,12 +395,6 @@ def _(t):
 # curation and ledgers
 
 
-@plan("cu01_row_checks", "SELECT p_partkey, concat_ws('; ', CASE WHEN p_size > 45 THEN 'Row ' || p_partkey || ': size is required' END, CASE WHEN p_type NOT IN ('SMALL', 'LARGE', 'ECONOMY') THEN 'Row ' || p_partkey || ': p_type is not one of the allowed values' END) AS errors FROM part")
-def _(t):
-    rules = [("size is required", F.col("p_size") > 45), C.not_one_of("p_type", ["SMALL", "LARGE", "ECONOMY"])]
-    return C.checked(t.part, rules, "p_partkey").select("p_partkey", F.array_join("errors", "; ").alias("errors"))
-
-
 @plan("cu02_file_duplicates", "SELECT p_partkey AS row, CASE WHEN rn > 1 THEN first END AS duplicate_of FROM (SELECT p_partkey, row_number() OVER w AS rn, first_value(p_partkey) OVER w AS first FROM part WINDOW w AS (PARTITION BY p_brand, p_name ORDER BY p_partkey))")
 def _(t):
     rows = t.part.select(F.col("p_brand").alias("file"), "p_partkey", F.array("p_name").alias("keys"), F.lit(True).alias("valid"))
@@ -493,12 +411,6 @@ def _(t):
     return C.valid_pairs(t.part.select("p_partkey", "p_brand", "p_type"), t.part.where("p_partkey < 60"), ["p_brand", "p_type"]).select("p_partkey", "valid_pair")
 
 
-@plan("cu05_review_export", "SELECT o_orderkey, c_name, s_name FROM orders JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0 JOIN supplier ON s_suppkey = o_custkey AND s_acctbal > 0 WHERE o_orderstatus = 'P'")
-def _(t):
-    rows = t.orders.where("o_orderstatus = 'P'").join(t.customer.where("c_acctbal > 0"), F.col("c_custkey") == F.col("o_custkey")).join(t.supplier.where("s_acctbal > 0"), F.col("s_suppkey") == F.col("o_custkey"))
-    return rows.select("o_orderkey", "c_name", "s_name")
-
-
 @plan("cu06_activity_feed", "SELECT id, kind, c_name FROM (SELECT event_id AS id, 'event' AS kind, user_id AS who, ts AS happened FROM events WHERE ts >= TIMESTAMP '2024-01-20' UNION ALL SELECT o_orderkey, 'order', o_custkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1998-07-01') LEFT JOIN customer ON c_custkey = who ORDER BY happened DESC, kind, id LIMIT 100")
 def _(t):
     events = t.events.where("ts >= timestamp_ntz '2024-01-20'").select(F.col("event_id").alias("id"), F.lit("event").alias("kind"), F.col("user_id").alias("who"), F.col("ts").alias("happened"))
@@ -507,13 +419,6 @@ def _(t):
     return feed.join(t.customer, F.col("c_custkey") == F.col("who"), "left").select("id", "kind", "c_name")
 
 
-@plan("cu07_attributed_runs")
-def _(t):
-    runs = t.events.where("event_type = 'view'").select("user_id", F.col("event_id").alias("run"), F.col("ts").alias("ran"))
-    presses = t.events.where("event_type = 'click'").select("user_id", F.col("event_id").alias("press"), F.col("ts").alias("pressed"))
-    return L.matched_presses(runs, presses, "user_id", "run", "ran", "press", "pressed")
-
-
 @plan("cu07_basis", "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'in progress' WHEN 'P' THEN 'partial run' ELSE 'final' END AS basis FROM orders")
 def _(t):
     return t.orders.select("o_orderkey", L.basis(F.col("o_orderstatus")).alias("basis"))
@@ -535,11 +440,6 @@ def _(t):
     return t.orders.select("o_orderkey", reason.alias("reason"))
 
 
-@plan("sm02_due_split", "SELECT o_orderstatus = 'O' AS due, count(*) AS n FROM orders GROUP BY 1")
-def _(t):
-    return t.orders.groupBy((F.col("o_orderstatus") == "O").alias("due")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @plan("sm03_refreshed", "SELECT user_id, bool_or(ts >= TIMESTAMP '2024-01-25') AS by_change, bool_or(event_type = 'error') AS by_flag FROM events WHERE ts >= TIMESTAMP '2024-01-25' OR event_type = 'error' GROUP BY 1")
 def _(t):
     return SM.refreshed(t.events.where("ts >= timestamp_ntz '2024-01-25'"), t.events.where("event_type = 'error'"), "user_id")
@@ -550,12 +450,6 @@ def _(t):
     return t.orders.select("o_orderkey", SM.next_run(F.lit("weekly"), F.to_date("o_orderdate"), F.lit("1998-01-01").cast("date")).alias("next_run"))
 
 
-@plan("sm06_unchanged_skip", "SELECT page_id FROM pages QUALIFY row_number() OVER (PARTITION BY split_part(url, '?', 1), sha256(html) ORDER BY page_id) = 1")
-def _(t):
-    keyed = t.pages.groupBy(F.split_part("url", F.lit("?"), F.lit(1)).alias("u"), F.sha2("html", 256).alias("h")).agg(F.min("page_id").alias("page_id"))
-    return keyed.select("page_id")
-
-
 @plan("sm08_purge", "SELECT o_orderkey FROM orders WHERE date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-08-01') > 365")
 def _(t):
     return t.orders.where(SM.purgeable(F.to_date("o_orderdate"), F.lit("1998-08-01").cast("date"), 365)).select("o_orderkey")
@@ -580,11 +474,6 @@ def _(t):
     return C.quarantined(rows, "p_size", [str(i) for i in range(1, 10)], "p_partkey")[1]
 
 
-@plan("et04_synthetic_parents", "SELECT DISTINCT 'unit ' || p_brand AS parent, p_brand AS code FROM part WHERE p_size = 50")
-def _(t):
-    return t.part.where("p_size = 50").select(F.concat(F.lit("unit "), "p_brand").alias("parent"), F.col("p_brand").alias("code")).distinct()
-
-
 @plan("et05_host_match", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS resolved FROM nation")
 def _(t):
     typed = F.when(F.col("n_nationkey") % 2 == 0, F.lower(F.replace("n_name", F.lit("_"), F.lit(" ")))).otherwise("nation")
@@ -613,13 +502,6 @@ CURVE = f"""s AS (SELECT score AS threshold, sum(label) AS p, sum(1 - label) AS
 r AS (SELECT threshold, tp, fp, tp / (tp + fp) AS precision, CASE WHEN total > 0 THEN tp / total ELSE 0 END AS recall FROM c)"""
 
 
-@plan("ev01_recall_at", "SELECT CAST(count(*) FILTER (WHERE contains(text, 'the')) AS BIGINT) AS hits, count(*) AS questions FROM conversations WHERE turn = 0")
-def _(t):
-    first = t.conversations.where("turn = 0")
-    out = V.recall_at(first.select("conv_id", F.array(F.lit("the")).alias("names")), first.select("conv_id", F.array(F.lower("text")).alias("texts")), "conv_id", "names", "texts")
-    return out.agg(F.sum("hits").alias("hits"), F.count(F.lit(1)).alias("questions"))
-
-
 @plan("ev02_accuracy", f"SELECT label AS class, count(*) AS n, CAST(count(*) FILTER (WHERE (score >= 0.5)::INT = label) AS BIGINT) AS right_n, round(avg(((score >= 0.5)::INT = label)::INT), 6) AS accuracy FROM {SCORED} GROUP BY ROLLUP (1)")
 def _(t):
     rows = scored(t).withColumn("said", (F.col("score") >= 0.5).cast("int"))

@@ -28,12 +28,6 @@ def _(t):
     return renamed(raw, {"id": "id", "organization name": "name"})
 
 
-@plan("sc16_search_cache", "SELECT doc_id, CASE WHEN EXISTS (SELECT 1 FROM pages WHERE page_id = doc_id % 500) THEN 'hit' ELSE 'miss' END AS state FROM documents")
-def _(t):
-    memo = t.pages.select(F.col("page_id").alias("k")).distinct().withColumn("hit", F.lit(True))
-    return t.documents.select("doc_id", (F.col("doc_id") % 500).alias("k")).join(memo, "k", "left").select("doc_id", F.when(F.col("hit"), "hit").otherwise("miss").alias("state"))
-
-
 @plan("sk05_sheets_best_first", "SELECT p_type AS sheet, p_partkey, CAST(row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS INTEGER) AS line FROM part")
 def _(t):
     w = Window.partitionBy("p_type").orderBy(F.desc("p_retailprice"), "p_partkey")
@@ -53,14 +47,6 @@ def _(t):
     return t.supplier.join(only, F.col("s_suppkey") % 20 == F.col("city"), "left").select("s_suppkey", F.when(F.col("n") == 1, F.col("region")).alias("state"))
 
 
-@plan("ge06_place_statements", "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'keep' WHEN 1 THEN 'correct' ELSE 'withhold' END AS action FROM supplier")
-def _(t):
-    n = F.col("s_suppkey") % 3
-    page = F.when(n == 0, "Based in Austin, TX since 1990.").when(n == 1, "Headquartered in Reno, NV.").otherwise("Offices in Austin, TX and Reno, NV.")
-    stated = F.array_distinct(F.regexp_extract_all(page, F.lit(r", ([A-Z]{2})\b"), F.lit(1)))
-    return t.supplier.select("s_suppkey", S.ladder([("withhold", F.size(stated) != 1), ("keep", stated[0] == "TX")], "correct").alias("action"))
-
-
 @plan("cl04_matching")
 def _(t):
     import pandas as pd
@@ -78,20 +64,6 @@ def _(t):
     return name_pairs(t).select("a", "b", F.when(both, T.jaccard(F.split("a", " "), F.split("b", " "))).otherwise(0.0).alias("jaccard"), both.alias("both"))
 
 
-@plan("er08_combiner")
-def er08(t):
-    """A scaled logistic regression, classes weighted equally, on pair features; gold labels are pairs of one first word."""
-    pairs = name_pairs(t)
-    features = E.lexical_features(F.col("a"), F.col("b")) | {k: c.cast("double") for k, c in E.mismatch_features(F.col("a"), F.col("b")).items()}
-    gold = pairs.select("a", "b", *[c.alias(k) for k, c in features.items()], (F.split_part("a", F.lit(" "), F.lit(1)) == F.split_part("b", F.lit(" "), F.lit(1))).cast("int").alias("label"))
-    share = gold.agg(F.avg("label")).first()[0] or 0.5
-    weighted = gold.withColumn("weight", F.when(F.col("label") == 1, 0.5 / max(share, 1e-9)).otherwise(0.5 / max(1 - share, 1e-9)))
-    assembled = VectorAssembler(inputCols=list(features), outputCol="raw").transform(weighted)
-    scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(assembled).transform(assembled)
-    model = LogisticRegression(weightCol="weight", regParam=0.01, maxIter=50).fit(scaled)
-    return model.transform(scaled).select("a", "b", "label", F.round(vector_to_array("probability")[1], 6).alias("score"))
-
-
 @plan("er30_official_candidates", "SELECT p_partkey, CASE WHEN p_size > 40 THEN 'high' WHEN p_size > 20 THEN 'medium' ELSE 'low' END AS confidence FROM part")
 def _(t):
     same = T.jaccard(F.split("p_name", " "), F.split("p_name", " ")) == 1
@@ -106,53 +78,14 @@ def _(t):
     return t.spark.range(1).select(F.lit(len(rubrics)).alias("rubrics"))
 
 
-@plan("ru11_currency", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'moved' WHEN o_orderkey % 5 = 1 THEN 'defunct' WHEN year(o_orderdate) <= 1996 THEN 'stale' ELSE 'current' END AS finding FROM orders")
-def _(t):
-    n = F.col("o_orderkey") % 5
-    page = F.concat(F.when(n == 0, "This site has moved to a new address. ").when(n == 1, "The program was discontinued. ").otherwise("News. "), F.lit("Copyright "), F.date_format("o_orderdate", "yyyy"))
-    low = F.lower(page)
-    rules = [("moved", low.rlike("(has|have) moved|new address")), ("defunct", low.rlike("discontinued|has closed|no longer (exists|operates)")), ("stale", D.newest_year(page, 2000) <= 1996)]
-    return t.orders.select("o_orderkey", S.ladder(rules, "current").alias("finding"))
-
-
 @plan("ru12_funding_receipt", "SELECT o_orderkey, o_orderkey % 2 = 0 AS received FROM orders")
 def _(t):
     page = F.when(F.col("o_orderkey") % 2 == 0, "The team was awarded $2 million by the agency.").otherwise("The agency offers grants of $2 million.")
     return t.orders.select("o_orderkey", F.lower(page).rlike(r"(was|were) awarded|received (a )?(grant|funding)|secured \$").alias("received"))
 
 
-@plan("ru13_ranking_items", "SELECT p_brand, p_size AS rank, count(*) AS n FROM part WHERE p_size BETWEEN 1 AND 40 GROUP BY 1, 2")
-def _(t):
-    return t.part.where(F.col("p_size").between(1, 40)).groupBy("p_brand", F.col("p_size").alias("rank")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@plan("cu08_run_labels", f"SELECT event_id, CASE WHEN event_type = 'error' THEN 'Failed run' WHEN {K} >= 50 THEN 'Large run' ELSE 'Run' END || ' ' || strftime(ts, '%Y-%m-%d') AS label FROM events")
-def _(t):
-    k = F.get_json_object("props", "$.k").cast("bigint")
-    name = S.ladder([("Failed run", F.col("event_type") == "error"), ("Large run", k >= 50)], "Run")
-    return t.events.select("event_id", F.concat_ws(" ", name, F.date_format("ts", "yyyy-MM-dd")).alias("label"))
-
-
 @plan("sm05_fold_counts")
 def _(t):
     return FA.fold(ledger(t), ["user_id", "event_type"]).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-@plan("sm07_single_writer", "SELECT user_id, min(event_id) AS holder FROM events GROUP BY 1")
-def _(t):
-    return t.events.groupBy("user_id").agg(F.min("event_id").alias("holder"))
-
-
-@plan("ev08_folds", "SELECT doc_id % 5 AS fold, count(*) AS n, CAST(sum(quality) AS BIGINT) AS positive FROM labels JOIN documents USING (doc_id) GROUP BY 1")
-def _(t):
-    return scored(t).groupBy((F.col("doc_id") % 5).alias("fold")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("bigint").alias("positive"))
-
-
-@plan("ev09_sweep", "SELECT t AS threshold, count(*) FILTER (WHERE s >= t AND l = 1) AS tp, count(*) FILTER (WHERE s >= t AND l = 0) AS fp FROM (SELECT (n_chars % 97) / 97.0 AS s, quality AS l FROM labels JOIN documents USING (doc_id)), (SELECT unnest([0.25::DOUBLE, 0.5, 0.75]) AS t) GROUP BY 1")
-def _(t):
-    steps = F.array(*map(F.lit, [0.25, 0.5, 0.75]))
-    rows = scored(t).select("label", F.explode(F.filter(steps, lambda s: F.col("score") >= s)).alias("threshold"))
-    return rows.groupBy("threshold").agg(F.sum(F.col("label")).cast("bigint").alias("tp"), F.sum(1 - F.col("label")).cast("bigint").alias("fp"))
-
-
-

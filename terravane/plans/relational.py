@@ -174,14 +174,6 @@ def _(t):
     return t.orders.groupBy(F.col("o_orderstatus").alias("section")).agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_key"))
 
 
-@plan("sk07_keep_delete_split", "SELECT CASE WHEN s_acctbal > 0 THEN 'keep' ELSE 'delete' END AS part, count(*) AS n FROM supplier GROUP BY 1")
-def _(t):
-    return t.supplier.groupBy(F.when(F.expr(LIVE), "keep").otherwise("delete").alias("part")).agg(F.count(F.lit(1)).alias("n"))
-
-
-# shaping
-
-
 @plan("pr01_first_filled", "SELECT s_suppkey, coalesce(nullif(trim(CASE WHEN s_suppkey % 3 = 0 THEN '  ' WHEN s_suppkey % 3 = 1 THEN NULL ELSE ' a ' END), ''), s_name) AS label FROM supplier")
 def _(t):
     odd = F.when(F.col("s_suppkey") % 3 == 0, "  ").when(F.col("s_suppkey") % 3 == 1, F.lit(None)).otherwise(" a ")

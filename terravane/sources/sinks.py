@@ -33,3 +33,11 @@ def markdown(df: DataFrame, title: str, most: int = 50) -> str:
     rows = df.limit(most).collect()
     lines = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows]) + "\n"
+
+
+def keep_delete(rows: DataFrame, rules: Sequence[tuple[str, Column]]) -> DataFrame:
+    """rows with part and reason: delete with the first rule that holds, keep without one."""
+    reason = F.when(F.lit(False), F.lit(None).cast("string"))
+    for name, holds in rules:
+        reason = reason.when(F.coalesce(holds, F.lit(False)), F.lit(name))
+    return rows.withColumn("reason", reason).withColumn("part", F.when(F.col("reason").isNull(), "keep").otherwise("delete"))
