@@ -13,6 +13,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df, dealt out by the keys over all cores where its plan has fewer tasks than there are cores; give a plain scan.
+
+    A small table of one file would otherwise run on one core, whatever is computed from its rows. A table of many files is left as it is, so
+    a corpus is never shuffled by this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if tasks >= cores else df.repartition(cores, *keys)
+
+
 def optional(df: DataFrame, name: str, kind: str = "string") -> Column:
     """A column that readers may lack: null of the kind where the table has no such column."""
     return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
