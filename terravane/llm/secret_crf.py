@@ -29,6 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.relational import spread
 from .chunks import text_slices
 from .common import in_batches, table
 
@@ -143,6 +144,23 @@ def chain_features(text: str, chain: list[tuple[int, int]], whole: list[float])
     return out
 
 
+#: Bounds of the lengths of chains that are fitted together.
+LENGTHS = (0, 8, 16, 24, 48, 96, 1 << 30)
+
+
+def _padded(chains: list[tuple[list, list]]):
+    """(features of all places as rows, seen sums of features by tag, seen pairs of tags, places after each chain's end) of chains, padded to the longest."""
+    t = max(len(tags) for _, tags in chains)
+    x, y, ended = np.zeros((len(chains), t, len(FEATURES))), np.zeros((len(chains), t), int), np.ones((len(chains), t), bool)
+    for i, (f, tags) in enumerate(chains):
+        x[i, : len(tags)], y[i, : len(tags)], ended[i, : len(tags)] = f, tags, False
+    flat = x.reshape(len(chains) * t, -1)
+    held = np.pad(y, ((0, 0), (1, 1)))
+    seen_move = np.zeros((3, 3))
+    np.add.at(seen_move, (held[:, :-1].ravel(), held[:, 1:].ravel()), 1)
+    return flat, flat.T @ np.eye(3)[y].reshape(len(flat), 3), seen_move, ended
+
+
 class CRF:
     """Weights of features (F, 3) and of neighbouring tags (3, 3); a chain starts and ends outside."""
 
@@ -151,37 +169,45 @@ class CRF:
         self.move = np.zeros((3, 3))
         self.move[OUT, INSIDE] = -1e4
 
-    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 120, rate: float = 0.15, decay: float = 2e-3) -> None:
-        """x: chains, places, features; y: chains, places; places after a chain's end are outside without features."""
-        n, t, _ = x.shape
-        onehot = np.eye(3)[y]
-        flat = x.reshape(n * t, -1)
-        seen_emit = flat.T @ onehot.reshape(n * t, 3)
-        held = np.concatenate([np.zeros((n, 1), int), y, np.zeros((n, 1), int)], axis=1)
-        seen_move = np.zeros((3, 3))
-        np.add.at(seen_move, (held[:, :-1].ravel(), held[:, 1:].ravel()), 1)
+    def fit(self, chains: list[tuple[list, list]], steps: int = 120, rate: float = 0.15, decay: float = 2e-3) -> None:
+        """Gradient ascent on the likelihood of chains (features of every place, tags), by scaled forward and backward sums.
+
+        Chains of about one length are summed together; places after a chain's end are held outside, so the padding changes nothing.
+        """
+        groups = [_padded([c for c in chains if low < len(c[1]) <= high]) for low, high in zip(LENGTHS, LENGTHS[1:]) if any(low < len(c[1]) <= high for c in chains)]
+        n = len(chains)
         moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (self.emit, self.move)]
         for step in range(1, steps + 1):
-            e = x @ self.emit
-            f = np.empty((n, t, 3))
-            b = np.empty((n, t, 3))
-            f[:, 0] = self.move[OUT] + e[:, 0]
-            for i in range(1, t):
-                f[:, i] = np.logaddexp.reduce(f[:, i - 1, :, None] + self.move, axis=1) + e[:, i]
-            b[:, -1] = self.move[:, OUT]
-            for i in range(t - 2, -1, -1):
-                b[:, i] = np.logaddexp.reduce(self.move + (e[:, i + 1] + b[:, i + 1])[:, None, :], axis=2)
-            z = np.logaddexp.reduce(f[:, -1] + self.move[:, OUT], axis=1)
-            p = np.exp(f + b - z[:, None, None])
-            pair = np.exp(f[:, :-1, :, None] + self.move + (e[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None]).sum((0, 1))
-            pair[OUT] += p[:, 0].sum(0)
-            pair[:, OUT] += p[:, -1].sum(0)
-            grads = [(seen_emit - flat.T @ p.reshape(n * t, 3)) / n - decay * self.emit, (seen_move - pair) / n]
+            grads, m = [np.zeros_like(self.emit), np.zeros_like(self.move)], np.exp(self.move)
+            for flat, seen_emit, seen_move, ended in groups:
+                size, t = ended.shape
+                e = (flat @ self.emit).reshape(size, t, 3)
+                e = np.exp(e - e.max(axis=2, keepdims=True))
+                e[ended] = (1, 0, 0)
+                f, b = np.empty_like(e), np.empty_like(e)
+                f[:, 0] = m[OUT] * e[:, 0]
+                f[:, 0] /= f[:, 0].sum(axis=1, keepdims=True)
+                for i in range(1, t):
+                    f[:, i] = (f[:, i - 1] @ m) * e[:, i]
+                    f[:, i] /= f[:, i].sum(axis=1, keepdims=True)
+                b[:, -1] = m[:, OUT]
+                for i in range(t - 2, -1, -1):
+                    b[:, i] = (e[:, i + 1] * b[:, i + 1]) @ m.T
+                    b[:, i] /= b[:, i].sum(axis=1, keepdims=True)
+                p = f * b
+                p /= p.sum(axis=2, keepdims=True)
+                pair = f[:, :-1, :, None] * m * (e[:, 1:] * b[:, 1:])[:, :, None, :]
+                pair = (pair / pair.sum(axis=(2, 3), keepdims=True)).sum(axis=(0, 1))
+                pair[OUT] += p[:, 0].sum(axis=0)
+                pair[:, OUT] += p[:, -1].sum(axis=0)
+                grads[0] += seen_emit - flat.T @ p.reshape(size * t, 3)
+                grads[1] += seen_move - pair
+            grads = [grads[0] / n - decay * self.emit, grads[1] / n]
             grads[1][OUT, INSIDE] = 0
-            for param, g, (m, v) in zip((self.emit, self.move), grads, moments):
-                m[:] = 0.9 * m + 0.1 * g
-                v[:] = 0.999 * v + 0.001 * g * g
-                param += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            for param, g, (first, second) in zip((self.emit, self.move), grads, moments):
+                first[:] = 0.9 * first + 0.1 * g
+                second[:] = 0.999 * second + 0.001 * g * g
+                param += rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
 
     def decode(self, x: np.ndarray) -> list[int]:
         """Best tags of one chain by Viterbi."""
@@ -313,12 +339,8 @@ def trained() -> CRF:
                 if i + 1 == len(tags) or (tag == OUT and i - start >= 14):
                     chains.append((features[start : i + 1], tags[start : i + 1]))
                     start = i + 1
-    t = max(len(tags) for _, tags in chains)
-    x, y = np.zeros((len(chains), t, len(FEATURES))), np.zeros((len(chains), t), int)
-    for i, (f, tags) in enumerate(chains):
-        x[i, : len(tags)], y[i, : len(tags)] = f, tags
     crf = CRF()
-    crf.fit(x, y)
+    crf.fit(chains)
     return crf
 
 
@@ -425,4 +447,4 @@ def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") ->
 
 
 def op8_secret_scan(spark, sf_dir: str) -> DataFrame:
-    return secret_scan(table(spark, sf_dir, "documents"))
+    return secret_scan(spread(table(spark, sf_dir, "documents"), "doc_id"))
