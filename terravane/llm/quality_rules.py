@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.relational import spread
 from .common import let, table, text_of, written
 
 #: The white space of the word rule, and the symbols counted.
@@ -38,20 +39,20 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_RE))
 
 
-def repeat_words(words: Column) -> Column:
-    """Words inside three-word windows that occur twice or more.
+def window_hashes(hashes: str) -> Column:
+    """A hash for each three-word window of a column of word hashes."""
+    h = F.col(hashes)
+    return F.transform(F.slice(h, 1, F.greatest(F.size(h) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)))
 
-    Windows are sorted by hash, equal neighbours give the repeated positions, and each position adds the words up to the
-    next one, three at most: sorting instead of nested lookups, so a text of a million words stays feasible.
-    """
 
-    def windows(h):
-        return F.sort_array(
-            F.transform(
-                F.slice(h, 1, F.greatest(F.size(h) - 2, F.lit(0))),
-                lambda x, i: F.struct(F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)).alias("g"), i.alias("p")),
-            )
-        )
+def repeat_words(windows: str) -> Column:
+    """Words inside three-word windows that occur twice or more, from the hashes of a text's windows.
+
+    Most texts repeat no window, which a hash set tells. Else windows are sorted by hash, equal neighbours give the repeated positions, and each position adds the words up
+    to the next one, three at most: sorting instead of nested lookups, so a text of a million words stays feasible.
+    """
+    w = F.col(windows)
+    ordered = F.sort_array(F.transform(w, lambda g, i: F.struct(g.alias("g"), i.alias("p"))))
 
     def repeated(s):
         same = lambda p, i: F.coalesce(F.get(s, i)["g"] == p["g"], F.lit(False))
@@ -64,23 +65,25 @@ def repeat_words(words: Column) -> Column:
             lambda total, x: total + x,
         )
 
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    return let(let(let(hashed, windows), repeated), covered)
+    return F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0).cast("bigint")).otherwise(let(let(ordered, repeated), covered))
 
 
 def rule_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines (with a word), base_failed."""
     text = text_of(text_col)
-    words = words_of(text)
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
-    counted = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(host_col).alias("host"),
-        F.size(words).cast("bigint").alias("n_words"),
-        F.length(F.translate(text, SPACE, "")).cast("bigint").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
-        let(lines, lambda x: F.struct(F.size(x).cast("bigint").alias("n"), F.size(F.array_distinct(x)).cast("bigint").alias("d"))).alias("lines"),
-        repeat_words(words).alias("n_repeat_words"),
+    # one projection a step: each array is built once, inside generated code, and read by the next step
+    split = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), text.alias("text"), words_of(text).alias("words"), lines.alias("lines"))
+    hashed = split.select("doc_id", "host", "text", F.size("words").cast("bigint").alias("n_words"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), F.size("lines").cast("bigint").alias("n"), F.size(F.array_distinct("lines")).cast("bigint").alias("d"))
+    windowed = hashed.withColumn("windows", window_hashes("hashes")).drop("hashes")
+    counted = windowed.select(
+        "doc_id",
+        "host",
+        "n_words",
+        F.length(F.translate("text", SPACE, "")).cast("bigint").alias("word_chars"),
+        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+        F.struct("n", "d").alias("lines"),
+        repeat_words("windows").alias("n_repeat_words"),
     )
     return counted.select(
         "doc_id",
@@ -122,7 +125,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents")).select(
+    return quality_rules(spread(table(spark, sf_dir, "documents"), "doc_id")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
