@@ -28,6 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from ..operators.relational import spread
 from .chunks import Bounded, chunked, gathered, text_slices
 from .common import in_batches, table
 
@@ -208,4 +209,4 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 def op2_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return bpe_round_trip(spread(table(spark, sf_dir, "documents"), "doc_id"), public_tokenizers.path("word_bpe_49k.json"))

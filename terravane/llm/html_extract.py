@@ -29,6 +29,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..operators.relational import spread
 from .chunks import text_slices
 from .common import in_batches, table
 
@@ -251,4 +252,4 @@ def html_extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
 
 def op7_html_extract(spark, sf_dir: str) -> DataFrame:
-    return html_extract(table(spark, sf_dir, "pages"))
+    return html_extract(spread(table(spark, sf_dir, "pages"), "page_id"))

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.relational import spread
 from .common import table, written
 
 #: A line on more than this share of its host's other pages is boilerplate.
@@ -81,7 +82,7 @@ def line_dedup(docs: DataFrame, host_col: str = "source", text_col: str = "text"
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
-    return line_dedup(table(spark, sf_dir, "documents")).select(
+    return line_dedup(spread(table(spark, sf_dir, "documents"), "doc_id")).select(
         "doc_id", "text", F.col("_lines_in").alias("n_lines"), (F.col("_lines_in") - F.col("_lines_out")).alias("n_dropped")
     )
 

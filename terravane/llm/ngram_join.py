@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.relational import spread
 from .chunks import text_slices
 from .common import dropped, in_batches, small, table, written
 from .components import components
@@ -348,4 +349,4 @@ def _links_batch(rows) -> pa.RecordBatch:
 
 
 def op4_ngram_join(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(spread(table(spark, sf_dir, "documents"), "doc_id"))

@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.relational import spread
 from .chunks import chunked, gathered_array, text_slices
 from .common import in_batches, table, written
 
@@ -232,4 +233,4 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 def op5_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(spread(table(spark, sf_dir, "documents"), "doc_id"), public_tokenizers.path("byte_bpe_50k.json"))

@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.relational import spread
 from .chunks import text_slices
 from .common import in_batches, table
 
@@ -198,4 +199,4 @@ def quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op10_quality_cnn(spark, sf_dir: str) -> DataFrame:
-    return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_classifier(spread(table(spark, sf_dir, "documents"), "doc_id"), table(spark, sf_dir, "labels"))
