@@ -167,3 +167,49 @@ def narrative_lines(rows: DataFrame, key: str, group: str, text: str) -> DataFra
     """key, group, line, name: the lines of a narrative without bullets, blank ones left out."""
     lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^[ \t\r\f\x0B•*–-]+", "")))
     return rows.select(key, group, F.posexplode(lines).alias("line", "name")).where("name <> ''")
+
+
+def upsert_by_name(held: DataFrame, rows: DataFrame, name: str, order: str, fields: Sequence[str]) -> DataFrame:
+    """key, name, fields, state: held records with the filled fields of rows of the same name over theirs, the last filled one in order; new names are added."""
+    from ..functions.text import plain
+
+    key = plain(F.col(name))
+    at = lambda c: F.max(F.when(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) != "", F.struct(order, F.col(c).alias("v"))))["v"].alias(c)
+    newest = rows.withColumn("_key", key).where("_key <> ''").groupBy("_key").agg(at(name).alias("_name"), *[at(c).alias(f"_{c}") for c in fields])
+    base = held.select(key.alias("_key"), F.col(name), *fields, F.lit(True).alias("_held"))
+    joined = base.join(newest, "_key", "full")
+    state = F.when(F.col("_held").isNull(), "inserted").when(F.col("_name").isNull(), "kept").otherwise("updated")
+    return joined.select(F.col("_key").alias("key"), F.coalesce(name, "_name").alias(name), *[F.coalesce(f"_{c}", c).alias(c) for c in fields], state.alias("state"))
+
+
+def validated(rows: DataFrame, row: str, ranges: dict[str, tuple[int, int]], lists: dict[str, Sequence[str]]) -> tuple[DataFrame, DataFrame]:
+    """(rows with values outside their range or list nulled, the log: row, field, raw_value, reason), both from one pass over the fields."""
+    good = {c: F.trim(F.col(c).cast("string")).try_cast("int").between(*b) for c, b in ranges.items()} | {c: F.lower(F.trim(c)).isin(*[v.lower() for v in vs]) for c, vs in lists.items()}
+    why = {c: f"not a whole number from {b[0]} to {b[1]}" for c, b in ranges.items()} | {c: "not an allowed value" for c in lists}
+    bad = {c: F.col(c).isNotNull() & ~F.coalesce(ok, F.lit(False)) for c, ok in good.items()}
+    entry = lambda c: F.when(bad[c], F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("raw_value"), F.lit(why[c]).alias("reason")))
+    log = rows.select(row, F.explode(F.array_compact(F.array(*map(entry, good)))).alias("e")).select(row, "e.*")
+    return rows.withColumns({c: F.when(~bad[c], F.col(c)) for c in good}), log
+
+
+def best_headers(rows: DataFrame, sheet: str, order: str, cells: str, known: Sequence[str], first: int = 8) -> DataFrame:
+    """sheet, header_row, fields: of a sheet's first rows the one that names the most known headers, the first of equals; headers compare by letters and digits."""
+    key = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
+    wanted = F.array(*[F.lit("".join(x for x in k.lower() if x.isalnum())) for k in known])
+    place = Window.partitionBy(sheet).orderBy(order)
+    top = rows.select(sheet, cells, F.row_number().over(place).alias("n")).where(F.col("n") <= first)
+    found = F.array_intersect(F.transform(F.col(cells), lambda c: key(F.coalesce(c, F.lit("")))), wanted)
+    best = top.withColumn("found", found).groupBy(sheet).agg(F.max(F.struct(F.size("found").alias("k"), (-F.col("n")).alias("n"), F.array_sort("found").alias("fields"))).alias("b"))
+    return best.where("b.k > 0").select(sheet, (-F.col("b.n")).alias("header_row"), F.array_join("b.fields", ",").alias("fields"))
+
+
+def folded_themes(value: Column, separator: str, names: dict[str, str]) -> Column:
+    """Sorted distinct themes of a cell, in lower case, each under the name it folds to."""
+    def folded(w):
+        out = F.when(F.lit(False), F.lit(None).cast("string"))
+        for k, v in names.items():
+            out = out.when(w == k, F.lit(v))
+        return out.otherwise(w)
+
+    parts = F.filter(F.transform(F.split(F.lower(value), separator), lambda w: F.trim(w)), lambda w: w != "")
+    return F.array_sort(F.array_distinct(F.transform(parts, folded)))

@@ -28,21 +28,22 @@ def completeness(fields: Sequence[str]) -> Column:
     return out
 
 
-def blocked_pairs(df: DataFrame, key: str, blocks: Column, most: int | None = None) -> DataFrame:
-    """a, b with a < b: distinct pairs of rows that share a block.
+#: Members of a block that meet in one task; a larger block is split into so many parts, and its pairs into tiles of two parts.
+BLOCK_PART = 2000
 
-    Blocks are meant to be rare tokens. With `most`, blocks of more rows are answered exactly by the next column of blocks
-    of the caller, never dropped here silently: their number is left to the caller through block_sizes().
-    """
-    exploded = df.select(F.col(key).alias("_id"), F.explode(F.array_distinct(blocks)).alias("_block"))
-    if most is not None:
-        exploded = exploded.join(block_sizes(df, blocks).where(F.col("n") <= most).select("_block"), "_block", "left_semi")
-    left, right = exploded.withColumnRenamed("_id", "a"), exploded.withColumnRenamed("_id", "b")
-    return left.join(right, "_block").where("a < b").select("a", "b").distinct()
 
+def blocked_pairs(df: DataFrame, key: str, blocks: Column, part: int = BLOCK_PART) -> DataFrame:
+    """a, b with a < b: distinct pairs of rows that share a block, all of them.
 
-def block_sizes(df: DataFrame, blocks: Column) -> DataFrame:
-    return df.select(F.explode(F.array_distinct(blocks)).alias("_block")).groupBy("_block").agg(F.count(F.lit(1)).alias("n"))
+    Blocks are meant to be rare tokens. The rows of a common one are dealt into parts on one side and met by every part on the other, so its pairs are made in many
+    tasks instead of one; none is dropped.
+    """
+    exploded = df.select(F.col(key).alias("_id"), F.explode(F.array_distinct(blocks)).alias("_block"))
+    sizes = exploded.groupBy("_block").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("_parts"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    keyed = exploded.join(sizes, "_block")
+    left = keyed.select(F.col("_id").alias("a"), "_block", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int").alias("_part"))
+    right = keyed.select(F.col("_id").alias("b"), "_block", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    return left.join(right, ["_block", "_part"]).where("a < b").select("a", "b").distinct()
 
 
 def lexical_features(a: Column, b: Column) -> dict[str, Column]:
@@ -57,46 +58,10 @@ def lexical_features(a: Column, b: Column) -> dict[str, Column]:
     }
 
 
-def mismatch_features(a: Column, b: Column) -> dict[str, Column]:
-    """What two names do not share: words on both sides, their number up to five, numbers, a strict part of a whole."""
-    x, y = (F.array_distinct(F.transform(T.words(T.norm_with_ampersand(n)), T.singular)) for n in (a, b))
-    only_a, only_b = F.array_except(x, y), F.array_except(y, x)
-    numbers = lambda ws: F.filter(ws, lambda w: w.rlike("^[0-9]+$"))
-    added = F.concat(only_a, only_b)
-    subset = (F.size(only_a) == 0) != (F.size(only_b) == 0)
-    structural = F.size(F.array_except(added, F.array(*map(F.lit, STRUCTURAL_WORDS)))) == 0
-    unit = F.arrays_overlap(added, F.array(*map(F.lit, SUB_UNIT_WORDS)))
-    pair = T.acronym_pair(a, b)
-    zero = lambda c: F.when(pair, F.lit(0)).otherwise(c.cast("int"))
-    return {
-        "unique_both": zero((F.size(only_a) > 0) & (F.size(only_b) > 0)),
-        "unique_count": zero(F.least(F.size(added), F.lit(5))),
-        "numeric_mismatch": zero(F.array_sort(numbers(x)) != F.array_sort(numbers(y))),
-        "hierarchy": zero(subset & ~structural & unit),
-    }
-
-
 def zone(score: Column, low: float = LOW, high: float = HIGH) -> Column:
     return F.when(score >= high, "high").when(score >= low, "review").otherwise("create")
 
 
-def edge_class(a: Column, b: Column) -> Column:
-    """merge, hierarchy or review for two names of a confirmed pair."""
-    x, y = F.array_distinct(T.words(T.plain(a))), F.array_distinct(T.words(T.plain(b)))
-    added = F.concat(F.array_except(x, y), F.array_except(y, x))
-    subset = (F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0)
-    structural = F.size(F.array_except(added, F.array(*map(F.lit, STRUCTURAL_WORDS)))) == 0
-    unit = F.arrays_overlap(added, F.array(*map(F.lit, SUB_UNIT_WORDS)))
-    return (
-        F.when((F.size(x) == 0) | (F.size(y) == 0), "review")
-        .when(T.acronym_pair(a, b), "merge")
-        .when(subset & structural, "merge")
-        .when(subset & unit, "hierarchy")
-        .when(T.jaccard(x, y) >= 0.6, "merge")
-        .otherwise("review")
-    )
-
-
 def direction(a: Column, b: Column) -> Column:
     """child_first where the first name's words are a strict superset of the other's, parent_first the other way round, else null."""
     x, y = F.array_distinct(T.words(T.plain(a))), F.array_distinct(T.words(T.plain(b)))
@@ -104,29 +69,6 @@ def direction(a: Column, b: Column) -> Column:
     return F.when((less == 0) & (more > 0), "child_first").when((more == 0) & (less > 0), "parent_first")
 
 
-def routed(rows: DataFrame, key: str, matches: Sequence[tuple[str, DataFrame, float, str]], score: Column | None = None, low: float = LOW) -> DataFrame:
-    """One row a key: decision, target, rule, score, from match tables (rule, (key, target), score of one match, decision of one match).
-
-    Rules apply in order; several targets under the first rule that matches go to review with the least target; without
-    matches the score decides between review and create.
-    """
-    found = None
-    for i, (rule, table, one, decision) in enumerate(matches):
-        own = table.select(F.col(key), F.col("target"), F.lit(i).alias("i"), F.lit(rule).alias("rule"), F.lit(one).alias("one"), F.lit(decision).alias("own"))
-        found = own if found is None else found.unionByName(own)
-    by_rule = found.groupBy(key, "i", "rule", "one", "own").agg(F.min("target").alias("target"), F.count_distinct("target").alias("n"))
-    best = by_rule.groupBy(key).agg(F.min(F.struct("i", "rule", "one", "own", "target", "n")).alias("m"))
-    joined = rows.join(best, key, "left")
-    fallback = F.lit(0.0) if score is None else F.coalesce(score, F.lit(0.0))
-    return joined.select(
-        key,
-        F.when(F.col("m").isNull(), F.when(fallback >= low, "review").otherwise("create")).when(F.col("m.n") > 1, "review").otherwise(F.col("m.own")).alias("decision"),
-        F.col("m.target").alias("target"),
-        F.coalesce("m.rule", F.when(fallback >= low, F.lit("score"))).alias("rule"),
-        F.when(F.col("m").isNull(), fallback).when(F.col("m.n") > 1, 1.0).otherwise(F.col("m.one")).alias("score"),
-    )
-
-
 def winners(members: DataFrame, cluster: str, key: str, order: Sequence[Column]) -> DataFrame:
     """cluster, winner, size: the first member of each cluster in the order."""
     w = Window.partitionBy(cluster).orderBy(*order)
@@ -169,3 +111,33 @@ def greedy_groups(df: DataFrame, block: Sequence[str], order: Sequence[str], key
 
 def natural_key(*parts: Column) -> Column:
     return F.concat_ws("|", *[F.coalesce(T.plain(p), F.lit("")) for p in parts])
+
+
+def description_features(pairs: DataFrame, weights: DataFrame, cities: Sequence[str], states: Sequence[str], dense: str | None = None) -> DataFrame:
+    """pairs (a, b, desc_a, desc_b) with tfidf, dense, overlap, place_conflict and both_present: how alike two descriptions are, all nought where either is missing.
+
+    weights: key, term, weight of every distinct description (search.tfidf() with the description as key); dense: a column of a model's similarity, where there is one. A city that both name differently is a conflict; states decide only where no city is
+    named by both.
+    """
+    side = lambda s: weights.select(F.col("key").alias(f"desc_{s}"), "term", F.col("weight").alias(f"_w{s}"))
+    cos = pairs.select("desc_a", "desc_b").distinct().join(side("a"), "desc_a").join(side("b"), ["desc_b", "term"]).groupBy("desc_a", "desc_b").agg(F.sum(F.col("_wa") * F.col("_wb")).alias("_cos"))
+    joined = pairs.join(cos, ["desc_a", "desc_b"], "left")
+    text = lambda s: F.coalesce(F.trim(f"desc_{s}"), F.lit(""))
+    both = (text("a") != "") & (text("b") != "")
+    tokens = lambda s: F.array_distinct(F.filter(T.words(T.plain(text(s))), lambda w: (F.length(w) > 2) & ~w.isin(*T.STOP_WORDS)))
+    named = lambda s, names: F.array_intersect(tokens(s), F.array(*map(F.lit, names)))
+    differ = lambda names: (F.size(named("a", names)) > 0) & (F.size(named("b", names)) > 0)
+    conflict = F.when(differ(cities), ~F.arrays_overlap(named("a", cities), named("b", cities))).when(differ(states), ~F.arrays_overlap(named("a", states), named("b", states))).otherwise(False)
+    zero = lambda c: F.when(both, c).otherwise(0.0)
+    own = F.lit(0.0) if dense is None else F.col(dense)
+    return joined.select("a", "b", zero(F.coalesce("_cos", F.lit(0.0))).alias("tfidf"), zero(own).alias("dense"), zero(T.jaccard(tokens("a"), tokens("b"))).alias("overlap"), zero(conflict.cast("double")).alias("place_conflict"), both.cast("int").alias("both_present"))
+
+
+def waiting(rows: DataFrame, pending: DataFrame, page: str, name: str) -> DataFrame:
+    """rows with waits: "page" where a pending item has the same address, else "name" where one has the same name, else null; addresses and names as keys."""
+    from ..functions import urls as U
+
+    pages = pending.select(U.key(F.col(page)).alias("_p")).where("_p <> ''").distinct().withColumn("_by_page", F.lit(True))
+    names = pending.select(T.plain(F.col(name)).alias("_n")).where("_n <> ''").distinct().withColumn("_by_name", F.lit(True))
+    joined = rows.withColumn("_p", U.key(F.coalesce(page, F.lit("")))).withColumn("_n", T.plain(F.coalesce(name, F.lit("")))).join(pages, "_p", "left").join(names, "_n", "left")
+    return joined.withColumn("waits", F.when(F.col("_by_page"), "page").when(F.col("_by_name"), "name")).drop("_p", "_n", "_by_page", "_by_name")

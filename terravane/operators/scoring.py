@@ -84,6 +84,24 @@ def check_weights(weights: dict[str, float], names: Sequence[str]) -> None:
         raise ValueError("weights must name every item, be positive and add to one")
 
 
+def weight_errors(weights: DataFrame, names: Sequence[str], tolerance: float = 1e-9) -> DataFrame:
+    """rubric, errors: what is wrong with each rubric of a weight table (rubric, item, weight), in a fixed order; empty where it may be used."""
+    known = F.array_sort(F.array(*map(F.lit, names)))
+    grouped = weights.groupBy("rubric").agg(F.array_sort(F.collect_set("item")).alias("items"), F.count(F.lit(1)).alias("n"), F.min("weight").alias("low"), F.sum("weight").alias("total"), F.count_if(F.col("weight").isNull()).alias("blank"))
+    lacking, extra = F.array_except(known, "items"), F.array_except("items", known)
+    said = F.array_compact(
+        F.array(
+            F.when(F.size(lacking) > 0, F.concat(F.lit("missing: "), F.array_join(lacking, ", "))),
+            F.when(F.size(extra) > 0, F.concat(F.lit("unknown: "), F.array_join(extra, ", "))),
+            F.when(F.col("n") > F.size("items"), "an item twice"),
+            F.when(F.col("blank") > 0, "no number"),
+            F.when(F.col("low") < 0, "negative"),
+            F.when(F.abs(F.col("total") - 1) > tolerance, "does not add to one"),
+        )
+    )
+    return grouped.select("rubric", F.array_join(said, "; ").alias("errors"))
+
+
 def rubric(items: Column, weights: dict[str, float]) -> Column:
     """Weighted sum of the true items of a map<string,boolean>; missing items are false."""
     return numbers.weighted_sum({k: F.coalesce(items[k], F.lit(False)).cast("double") for k in weights}, weights)
@@ -291,6 +309,32 @@ def currency(name: Column, page: Column, stated: Column, landed: Column, own_sit
     return F.when(F.coalesce(moved, F.lit(False)), "merged_or_renamed").when(gone, "defunct").otherwise(stale)
 
 
+def receipt(quote: Column, name: Column, own_site: Column) -> Column:
+    """Why a quote does not show that an organization received money, or null where it does: it gives, passes on, offers or administers money, or only names it.
+
+    Its own site may leave out who received; another's page must name the organization.
+    """
+    low, who = F.lower(F.coalesce(quote, F.lit(""))), F.lower(name)
+    we = r"(we|our (team|company|center|lab|project|research))"
+    got = r"(was|were|has been|have been) (awarded|granted|selected)|(received|receives|secured|won|wins|raised) (a |an |the |over |more than )?(\$|[0-9]|grant|award|funding|contract|investment)|(funded|supported|financed) by"
+    subject = low.rlike(rf"(^|[^a-z]){we} ([a-z]+ )?({got})") | F.regexp_like(low, F.concat(F.lit("(^|[^a-z])"), F.regexp_replace(who, "[^a-z0-9]+", "[^a-z0-9]+"), F.lit(rf"[^.]{{0,60}}({got})")))
+    opens = low.rlike(rf"^[^a-z]*({got})")
+    received = subject | (own_site & opens)
+    gives = low.rlike(rf"(^|[^a-z])({we}|our (program|fund|foundation)|the committee) (also |annually |now |will )?(awards?|awarded|grants?|granted|provides?|offers?|distributes?|administers?|funds?|gives?|invests?) ")
+    passed = low.rlike(r"(fund|support|award)(ed|s|ing)? (more than |over )?([0-9]+|several|many|dozens of) ([a-z]+ )?(projects|grants|studies|startups|communities|students)")
+    others = low.rlike(r"(to|for) (local |eligible |selected |our )?(applicants|recipients|grantees|members|communities|startups|students|nonprofits|schools)") & ~received
+    offered = low.rlike(r"(apply (now|by|today|online)|applications? (are|is|open|due|close)|request for proposals|call for proposals|accepting applications|eligibility|funding opportunit|is open to|are open to)") & ~received
+    runs = low.rlike(r"(on behalf of|administers?|administered|program administrator)") & ~received
+    return (
+        F.when(gives | passed | others, "gives it to others")
+        .when(offered, "advertises an opportunity")
+        .when(runs, "runs a programme for a funder")
+        .when(received & (own_site | F.contains(low, who)), None)
+        .when(~own_site, "another's page does not say who received it")
+        .otherwise("names the money only")
+    )
+
+
 def valid_rankings(rows: DataFrame, publishers: Sequence[str], available: DataFrame) -> DataFrame:
     """Distinct entity, system, rank, year, scope, subject, url of the entries that are whole and whose page was read.
 

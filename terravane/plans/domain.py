@@ -44,7 +44,7 @@ def _(t):
 
 @plan("tk02_keyword_top", f"WITH {KEYWORD_SQL} SELECT doc_id, score FROM kw")
 def _(t):
-    return Q.keyword_top(t.documents, "doc_id", "text", QUERY, 50)
+    return Q.keyword_top(R.spread(t.documents.select("doc_id", "text"), "doc_id"), "doc_id", "text", QUERY, 50)
 
 
 @plan(
@@ -53,7 +53,7 @@ def _(t):
     SELECT doc_id, round(sum(1.0 / (60 + rank)), 9) AS score, CAST(max(rank) FILTER (WHERE list = 1) AS INTEGER) AS rank_1, CAST(max(rank) FILTER (WHERE list = 2) AS INTEGER) AS rank_2 FROM r GROUP BY 1 ORDER BY score DESC, rank_1 NULLS LAST, rank_2 NULLS LAST, doc_id LIMIT 20""",
 )
 def tk03(t):
-    words = Q.keyword_top(t.documents, "doc_id", "text", QUERY, 50)
+    words = Q.keyword_top(R.spread(t.documents.select("doc_id", "text"), "doc_id"), "doc_id", "text", QUERY, 50)
     return Q.fused([vectors(t), words], "doc_id", [[F.col("distance"), F.col("doc_id")], [F.desc("score"), F.col("doc_id")]], 20)
 
 
@@ -192,17 +192,6 @@ def _(t):
     return t.customer.select("c_custkey", E.natural_key(F.col("c_name"), F.col("c_mktsegment")).alias("key"))
 
 
-@plan("er29_waiting_in_review", "SELECT DISTINCT p_partkey FROM part WHERE p_name IN (SELECT p_name FROM part WHERE p_size = 50) OR p_brand IN (SELECT p_brand FROM part WHERE p_partkey < 3)")
-def _(t):
-    waiting = t.part.where("p_size = 50").select("p_name").distinct()
-    pages = t.part.where("p_partkey < 3").select("p_brand").distinct()
-    own = t.part.select("p_partkey", "p_name", "p_brand")
-    return own.join(waiting, "p_name", "left_semi").select("p_partkey").union(own.join(pages, "p_brand", "left_semi").select("p_partkey")).distinct()
-
-
-# hierarchies and clusters
-
-
 @plan("cl00_families", "WITH RECURSIVE w AS (SELECT s_suppkey AS node, s_suppkey AS now, 0 AS depth FROM supplier UNION ALL SELECT node, CASE now WHEN 20 THEN 21 WHEN 21 THEN 20 ELSE now // 2 END, depth + 1 FROM w WHERE now > 0 AND depth < 40) SELECT node, CAST(CASE WHEN min(now) = 0 THEN 0 END AS BIGINT) AS root, min(now) = 0 AS resolved FROM w GROUP BY 1")
 def _(t):
     nodes = t.supplier.select("s_suppkey")
@@ -363,7 +352,13 @@ def ledger(t):
     return t.events.select("user_id", "event_type", F.col("event_id").alias("id"), F.sha2(F.col("value").cast("string"), 256).alias("hash"), (k() % 3).alias("confidence"), F.unix_micros(F.col("ts").cast("timestamp")).alias("read_at"), (k() % 10 == 0).alias("human"), F.unix_micros(F.col("ts").cast("timestamp")).alias("arrived"))
 
 
-@plan("fa01_fold")
+FOLD_SQL = f"""WITH RECURSIVE e AS (SELECT event_id AS id, user_id, event_type, sha256(CAST(value AS VARCHAR)) AS hash, {K} % 3 AS conf, ts, {K} % 10 = 0 AS human, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events),
+w AS (SELECT id, user_id, event_type, rn, 'accepted' AS outcome, id AS current_id, hash AS h, conf AS c, ts AS r, human AS m FROM e WHERE rn = 1
+ UNION ALL SELECT e.id, e.user_id, e.event_type, e.rn, o.outcome, CASE WHEN o.outcome = 'superseded' THEN e.id ELSE w.current_id END, CASE WHEN o.outcome = 'superseded' THEN e.hash ELSE h END, CASE WHEN o.outcome = 'superseded' THEN e.conf ELSE c END, CASE WHEN o.outcome = 'superseded' THEN e.ts ELSE r END, CASE WHEN o.outcome = 'superseded' THEN e.human ELSE m END
+ FROM w JOIN e ON e.user_id = w.user_id AND e.event_type = w.event_type AND e.rn = w.rn + 1, LATERAL (SELECT CASE WHEN e.hash = h THEN 'corroborated' WHEN m THEN 'pending_update' WHEN e.conf >= c AND e.ts > r THEN 'superseded' ELSE 'conflict_flagged' END AS outcome) o)"""
+
+
+@plan("fa01_fold", f"{FOLD_SQL} SELECT id, outcome, current_id FROM w")
 def _(t):
     return FA.fold(ledger(t), ["user_id", "event_type"])
 
@@ -463,28 +458,6 @@ def _(t):
     return C.sectioned(t.part, ["p_brand"], "p_partkey", F.col("p_size") == 50, F.col("p_name")).select("p_partkey", "section")
 
 
-@plan("et02_upsert_by_name", "SELECT p_name, max(p_partkey) AS p_partkey FROM part GROUP BY 1")
-def _(t):
-    return R.latest_value(t.part, ["p_name"], ["p_partkey"], ["p_partkey"])
-
-
-@plan("et03_quarantine", "SELECT p_partkey, 'p_size' AS field, CAST(p_size AS VARCHAR) AS raw_value, 'not an allowed value' AS reason FROM part WHERE p_size > 9")
-def _(t):
-    rows = t.part.select("p_partkey", F.col("p_size").cast("string").alias("p_size"))
-    return C.quarantined(rows, "p_size", [str(i) for i in range(1, 10)], "p_partkey")[1]
-
-
-@plan("et05_host_match", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS resolved FROM nation")
-def _(t):
-    typed = F.when(F.col("n_nationkey") % 2 == 0, F.lower(F.replace("n_name", F.lit("_"), F.lit(" ")))).otherwise("nation")
-    return C.resolved_name(t.nation.withColumn("typed", typed), t.nation, "typed", "n_name").select("n_nationkey", "resolved")
-
-
-@plan("et06_banners", "SELECT o_orderkey, last_value(CASE WHEN o_orderstatus = 'P' THEN o_orderpriority END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS section FROM orders QUALIFY o_orderstatus <> 'P'")
-def _(t):
-    return C.sectioned(t.orders, ["o_custkey"], "o_orderkey", F.col("o_orderstatus") == "P", F.col("o_orderpriority")).select("o_orderkey", "section")
-
-
 @plan("et07_narrative_items", "SELECT conv_id, turn, CAST(len(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '^[ \\t\\n\\r\\f\\v•*–-]+', ''))), lambda x: regexp_matches(x, '[A-Za-z].* .*[A-Za-z]'))) AS INTEGER) AS n FROM conversations")
 def _(t):
     return t.conversations.select("conv_id", "turn", F.size(C.narrative_items(F.col("text"))).alias("n"))

@@ -16,18 +16,10 @@ from ..operators import facts as FA
 from ..operators import places as P
 
 from ..operators import scoring as S
-from .domain import JACCARD_SQL, PAIRS_SQL, K, ledger, name_pairs, scored
+from .domain import FOLD_SQL, JACCARD_SQL, PAIRS_SQL, K, ledger, name_pairs, scored
 from .registry import plan
 
 
-@plan("sc09_header_names", "SELECT s_suppkey AS id, s_name AS name FROM supplier")
-def _(t):
-    from ..sources.uploads import renamed
-
-    raw = t.supplier.select(F.col("s_suppkey").alias("ID "), F.col("s_name").alias("Organization-Name"))
-    return renamed(raw, {"id": "id", "organization name": "name"})
-
-
 @plan("sk05_sheets_best_first", "SELECT p_type AS sheet, p_partkey, CAST(row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS INTEGER) AS line FROM part")
 def _(t):
     w = Window.partitionBy("p_type").orderBy(F.desc("p_retailprice"), "p_partkey")
@@ -58,33 +50,13 @@ def _(t):
     return pairs.groupBy("c_nationkey").applyInPandas(match, "hub bigint, matched bigint")
 
 
-@plan("er07_description_features", f"SELECT a, b, CASE WHEN length(a) > 8 AND length(b) > 8 THEN {JACCARD_SQL} ELSE 0.0 END AS jaccard, length(a) > 8 AND length(b) > 8 AS both FROM {PAIRS_SQL}")
-def _(t):
-    both = (F.length("a") > 8) & (F.length("b") > 8)
-    return name_pairs(t).select("a", "b", F.when(both, T.jaccard(F.split("a", " "), F.split("b", " "))).otherwise(0.0).alias("jaccard"), both.alias("both"))
-
-
 @plan("er30_official_candidates", "SELECT p_partkey, CASE WHEN p_size > 40 THEN 'high' WHEN p_size > 20 THEN 'medium' ELSE 'low' END AS confidence FROM part")
 def _(t):
     same = T.jaccard(F.split("p_name", " "), F.split("p_name", " ")) == 1
     return t.part.select("p_partkey", S.ladder([("high", same & (F.col("p_size") > 40)), ("medium", same & (F.col("p_size") > 20))], "low").alias("confidence"))
 
 
-@plan("ru05_checked_weights", "SELECT 5 AS rubrics")
-def _(t):
-    rubrics = [S.RELEVANCE_WEIGHTS, S.PRIORITY_WEIGHTS, S.COMBINED_WEIGHTS, S.EVENT_WEIGHTS, S.PERSON_WEIGHTS]
-    for weights in rubrics:
-        S.check_weights(weights, list(weights))
-    return t.spark.range(1).select(F.lit(len(rubrics)).alias("rubrics"))
-
-
-@plan("ru12_funding_receipt", "SELECT o_orderkey, o_orderkey % 2 = 0 AS received FROM orders")
-def _(t):
-    page = F.when(F.col("o_orderkey") % 2 == 0, "The team was awarded $2 million by the agency.").otherwise("The agency offers grants of $2 million.")
-    return t.orders.select("o_orderkey", F.lower(page).rlike(r"(was|were) awarded|received (a )?(grant|funding)|secured \$").alias("received"))
-
-
-@plan("sm05_fold_counts")
+@plan("sm05_fold_counts", f"{FOLD_SQL} SELECT outcome, count(*) AS n FROM w GROUP BY 1")
 def _(t):
     return FA.fold(ledger(t), ["user_id", "event_type"]).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 

@@ -169,11 +169,6 @@ def _(t):
     return t.supplier.select("s_suppkey", "s_name").orderBy("s_name")
 
 
-@plan("sk06_digest_counts", "SELECT o_orderstatus AS section, count(*) AS n, CAST(min(o_orderkey) AS BIGINT) AS first_key FROM orders GROUP BY 1")
-def _(t):
-    return t.orders.groupBy(F.col("o_orderstatus").alias("section")).agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_key"))
-
-
 @plan("pr01_first_filled", "SELECT s_suppkey, coalesce(nullif(trim(CASE WHEN s_suppkey % 3 = 0 THEN '  ' WHEN s_suppkey % 3 = 1 THEN NULL ELSE ' a ' END), ''), s_name) AS label FROM supplier")
 def _(t):
     odd = F.when(F.col("s_suppkey") % 3 == 0, "  ").when(F.col("s_suppkey") % 3 == 1, F.lit(None)).otherwise(" a ")

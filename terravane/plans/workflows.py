@@ -15,10 +15,9 @@ from ..operators import schedule as SM
 from ..operators import screening as X
 from ..sources.pages import listing_cards
 from .domain import SCORED, scored
-from .identities import ORG, W, named_pairs, organizations
+from .identities import W, named_pairs, organizations, quoted
 from .registry import plan
 from .scalars import LAT, LON, MILES, lat, lon
-from .screens import GENERIC
 
 # hubs: nations as hubs of a sector, suppliers as actors of two sectors
 
@@ -344,3 +343,149 @@ def _(t):
 @plan("ev09_false_merges", f"SELECT doc_id, score, label, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS place FROM {SCORED} WHERE score >= 0.5 AND label = 0")
 def _(t):
     return V.false_merges(scored(t), "label", "score", 0.5)
+
+
+# descriptions, reviews, rubrics, quotes, sheets and reports
+
+
+ABOUT = "CASE WHEN p_size % 6 = 0 THEN NULL ELSE 'Makes ' || p_name || ' of ' || lower(p_type) || ' kind in ' || CASE WHEN p_size > 30 THEN 'austin texas' WHEN p_size > 20 THEN 'reno nevada' ELSE 'ohio' END END"
+CITIES, REGIONS = ("austin", "reno"), ("texas", "nevada", "ohio")
+
+
+@plan(
+    "er07_description_features",
+    f"""WITH p AS (SELECT p_brand, p_partkey, {ABOUT} AS d FROM part), q AS (SELECT a.p_partkey AS a, b.p_partkey AS b, a.d AS da, b.d AS db FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey AND b.p_partkey - a.p_partkey < 60),
+    n AS (SELECT DISTINCT d FROM p WHERE d IS NOT NULL), tok AS (SELECT d, unnest(string_split(lower(d), ' ')) AS term FROM n), tf AS (SELECT d, term, count(*) AS tf FROM tok GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+    raw AS (SELECT d, term, (1 + ln(tf)) * (1 + ln((1 + (SELECT count(*) FROM n)) / (1 + df))) AS w FROM tf JOIN df USING (term)), ln AS (SELECT d, sqrt(sum(w * w)) AS l FROM raw GROUP BY 1), wt AS (SELECT d, term, w / l AS w FROM raw JOIN ln USING (d)),
+    cs AS (SELECT x.d AS da, y.d AS db, sum(x.w * y.w) AS c FROM (SELECT DISTINCT da, db FROM q) k JOIN wt x ON x.d = k.da JOIN wt y ON y.d = k.db AND y.term = x.term GROUP BY 1, 2),
+    t AS (SELECT q.a, q.b, c, q.da IS NOT NULL AND q.db IS NOT NULL AS both_present, list_distinct(list_filter(string_split(lower(coalesce(q.da, '')), ' '), lambda w: length(w) > 2 AND NOT list_contains({quoted(T.STOP_WORDS)}, w))) AS ta, list_distinct(list_filter(string_split(lower(coalesce(q.db, '')), ' '), lambda w: length(w) > 2 AND NOT list_contains({quoted(T.STOP_WORDS)}, w))) AS tb FROM q LEFT JOIN cs ON cs.da = q.da AND cs.db = q.db),
+    z AS (SELECT *, list_intersect(ta, {quoted(CITIES)}) AS ca, list_intersect(tb, {quoted(CITIES)}) AS cb, list_intersect(ta, {quoted(REGIONS)}) AS sa, list_intersect(tb, {quoted(REGIONS)}) AS sb FROM t)
+    SELECT a, b, CAST(floor(CASE WHEN both_present THEN coalesce(c, 0) ELSE 0 END * 1e5 + 0.5) AS BIGINT) AS tfidf_e5, CASE WHEN both_present THEN len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))) ELSE 0 END AS overlap,
+    CAST(CASE WHEN NOT both_present THEN 0 WHEN len(ca) > 0 AND len(cb) > 0 THEN CAST(len(list_intersect(ca, cb)) = 0 AS INT) WHEN len(sa) > 0 AND len(sb) > 0 THEN CAST(len(list_intersect(sa, sb)) = 0 AS INT) ELSE 0 END AS DOUBLE) AS place_conflict, CAST(both_present AS INTEGER) AS both_present FROM z""",
+)
+def _(t):
+    from ..operators import entity as E
+    from ..operators import search as Q
+
+    rows = t.part.select("p_brand", "p_partkey", F.expr(ABOUT).alias("d"))
+    a, b = (rows.select("p_brand", F.col("p_partkey").alias(s), F.col("d").alias(f"desc_{s}")) for s in "ab")
+    pairs = a.join(b, "p_brand").where("a < b AND b - a < 60")  # the pairs to compare: parts of a brand that were listed near each other
+    weights = Q.tfidf(rows.select(F.col("d").alias("key")).where("d IS NOT NULL").distinct(), "key", F.split(F.lower("key"), " "))
+    out = E.description_features(pairs, weights, CITIES, REGIONS)
+    return out.select("a", "b", F.floor(F.col("tfidf") * 1e5 + 0.5).alias("tfidf_e5"), "overlap", "place_conflict", "both_present")
+
+
+@plan(
+    "er29_waiting_in_review",
+    """WITH r AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS name FROM pages), k AS (SELECT *, regexp_replace(regexp_replace(lower(trim(url)), '^[a-z][a-z0-9+.-]*://(www\\.)?', ''), '/+$', '') AS u, trim(regexp_replace(strip_accents(lower(name)), '[^a-z0-9]+', ' ', 'g')) AS n FROM r),
+    p AS (SELECT * FROM k WHERE contains(url, '/es/') OR contains(url, 'utm_')) SELECT page_id, CASE WHEN u IN (SELECT u FROM p) THEN 'page' WHEN n IN (SELECT n FROM p WHERE n <> '') THEN 'name' END AS waits FROM k WHERE page_id % 2 = 1""",
+)
+def _(t):
+    from ..operators import entity as E
+
+    rows = t.pages.select("page_id", "url", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("name"))
+    pending = rows.where(F.contains("url", F.lit("/es/")) | F.contains("url", F.lit("utm_")))
+    return E.waiting(rows.where("page_id % 2 = 1"), pending, "url", "name").select("page_id", "waits")
+
+
+@plan(
+    "ru05_weight_errors",
+    """WITH w AS (SELECT user_id AS rubric, CASE WHEN event_type = 'error' AND user_id % 3 = 0 THEN 'other' ELSE event_type END AS item, CASE WHEN user_id % 7 = 0 THEN -0.2 ELSE 0.2 END AS weight FROM (SELECT DISTINCT user_id, event_type FROM events WHERE value > 30)),
+    g AS (SELECT rubric, list_sort(list(DISTINCT item)) AS items, min(weight) AS low, sum(weight) AS total FROM w GROUP BY 1)
+    SELECT rubric, concat_ws('; ', CASE WHEN NOT list_has_all(items, ['click', 'error', 'purchase', 'signup', 'view']) THEN 'missing: ' || array_to_string(list_filter(['click', 'error', 'purchase', 'signup', 'view'], lambda x: NOT list_contains(items, x)), ', ') END,
+    CASE WHEN list_contains(items, 'other') THEN 'unknown: other' END, CASE WHEN low < 0 THEN 'negative' END, CASE WHEN abs(total - 1) > 1e-9 THEN 'does not add to one' END) AS errors FROM g""",
+)
+def _(t):
+    from ..operators import scoring as S
+
+    for weights in (S.RELEVANCE_WEIGHTS, S.PRIORITY_WEIGHTS, S.COMBINED_WEIGHTS, S.EVENT_WEIGHTS, S.PERSON_WEIGHTS):
+        S.check_weights(weights, list(weights))
+    rows = t.events.where("value > 30").select("user_id", "event_type").distinct()
+    item = F.when((F.col("event_type") == "error") & (F.col("user_id") % 3 == 0), "other").otherwise(F.col("event_type"))
+    table = rows.select(F.col("user_id").alias("rubric"), item.alias("item"), F.when(F.col("user_id") % 7 == 0, -0.2).otherwise(0.2).alias("weight"))
+    return S.weight_errors(table, ["click", "error", "purchase", "signup", "view"])
+
+
+@plan("ru12_funding_receipt")
+def _(t):
+    from ..operators import scoring as S
+
+    amount = F.concat(F.lit("$"), F.round(F.col("o_totalprice")).cast("bigint").cast("string"))
+    said = F.element_at(
+        F.array(
+            F.concat(F.lit("We received "), amount, F.lit(" from the agency.")), F.concat(F.lit("Apply now for grants of "), amount), F.concat(F.lit("Our foundation awards "), amount, F.lit(" to local startups")), F.concat(F.col("c_name"), F.lit(" was awarded "), amount),
+            F.concat(amount, F.lit(" on behalf of the state")), F.concat(F.lit("A budget of "), amount), F.concat(F.lit("It funded 34 projects with "), amount), F.concat(F.lit("Received a grant of "), amount),
+        ),
+        F.pmod(F.xxhash64("o_orderkey"), F.lit(8)).cast("int") + 1,
+    )
+    rows = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey"))
+    return rows.select("o_orderkey", S.receipt(said, F.col("c_name"), F.col("c_acctbal") > 0).alias("reason"))
+
+
+@plan(
+    "et02_upsert_by_name",
+    f"""WITH h AS (SELECT DISTINCT lower({W}) AS key, {W} AS name FROM part WHERE p_size < 2), hv AS (SELECT key, name, 'old' AS brand, CAST(NULL AS VARCHAR) AS kind FROM h),
+    r AS (SELECT lower(p_name) AS key, p_name AS name, p_partkey AS k, CASE WHEN p_size % 2 = 0 THEN p_brand END AS brand, CASE WHEN p_size % 5 = 0 THEN ' ' ELSE p_type END AS kind FROM part WHERE p_size BETWEEN 3 AND 5),
+    n AS (SELECT key, arg_max(name, k) AS name, arg_max(brand, k) FILTER (WHERE brand IS NOT NULL) AS brand, arg_max(kind, k) FILTER (WHERE trim(kind) <> '') AS kind FROM r GROUP BY 1)
+    SELECT coalesce(hv.key, n.key) AS key, coalesce(hv.name, n.name) AS name, coalesce(n.brand, hv.brand) AS brand, coalesce(n.kind, hv.kind) AS kind, CASE WHEN hv.key IS NULL THEN 'inserted' WHEN n.key IS NULL THEN 'kept' ELSE 'updated' END AS state FROM hv FULL JOIN n ON n.key = hv.key""",
+)
+def _(t):
+    held = t.part.where("p_size < 2").select(F.expr(W).alias("name")).distinct().select("name", F.lit("old").alias("brand"), F.lit(None).cast("string").alias("kind"))
+    rows = t.part.where("p_size BETWEEN 3 AND 5").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("k"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("brand"), F.when(F.col("p_size") % 5 == 0, " ").otherwise(F.col("p_type")).alias("kind"))
+    return C.upsert_by_name(held, rows, "name", "k", ["brand", "kind"])
+
+
+@plan(
+    "et03_quarantine",
+    """SELECT p_partkey, 'trl' AS field, CAST(p_size AS VARCHAR) AS raw_value, 'not a whole number from 1 to 9' AS reason FROM part WHERE p_size > 9 OR p_size < 1 UNION ALL SELECT p_partkey, 'stage', p_type, 'not an allowed value' FROM part WHERE p_type NOT IN ('SMALL', 'LARGE', 'ECONOMY')""",
+)
+def _(t):
+    rows = t.part.select("p_partkey", F.col("p_size").cast("string").alias("trl"), F.col("p_type").alias("stage"))
+    return C.validated(rows, "p_partkey", {"trl": (1, 9)}, {"stage": ["small", "large", "economy"]})[1]
+
+
+@plan(
+    "et05_event_rows",
+    """WITH e AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'P' THEN lower(replace(n_name, '_', ' ')) WHEN 'F' THEN n_name || ' board' ELSE 'nobody' END AS host, [1 + o_orderkey % 3, 2, 3, 1 + o_custkey % 4, 1, 2] AS raw, CASE WHEN o_totalprice > 200000 THEN 'Tier 1' ELSE 'unrated' END AS tier, n_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey)
+    SELECT o_orderkey, host, CASE WHEN host <> 'nobody' THEN n_name END AS resolved, CASE WHEN raw[4] <= 3 THEN CAST(list_sum(raw) AS INTEGER) END AS total, CASE WHEN tier = 'Tier 1' THEN 'tier_1' END AS tier FROM e""",
+)
+def _(t):
+    from ..operators import scoring as S
+
+    rows = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).join(t.nation, F.col("n_nationkey") == F.col("c_nationkey"))
+    host = F.when(F.col("o_orderstatus") == "P", F.lower(F.replace("n_name", F.lit("_"), F.lit(" ")))).when(F.col("o_orderstatus") == "F", F.concat("n_name", F.lit(" board"))).otherwise("nobody")
+    raw = F.array(*[x.cast("string") for x in (1 + F.col("o_orderkey") % 3, F.lit(2), F.lit(3), 1 + F.col("o_custkey") % 4, F.lit(1), F.lit(2))])
+    sheet = S.score_sheet(raw, F.when(F.col("o_totalprice") > 200000, "Tier 1").otherwise("unrated"))
+    rows = rows.select("o_orderkey", host.alias("host"), sheet.alias("s"))
+    return C.resolved_hub(rows, t.nation.select("n_name"), "host", "n_name").select("o_orderkey", "host", "resolved", "s.total", "s.tier")
+
+
+@plan(
+    "et06_banners",
+    """WITH b AS (SELECT o_custkey, o_orderkey, o_orderstatus, o_orderpriority, last_value(CASE WHEN o_orderstatus = 'P' THEN o_orderpriority END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS section FROM orders)
+    SELECT o_orderkey, section, array_to_string(list_sort(list_distinct(list_transform(list_filter(string_split(lower(o_orderpriority), '-'), lambda x: x <> ''), lambda x: CASE WHEN x IN ('urgent', 'high') THEN 'pressing' ELSE trim(x) END))), ',') AS themes FROM b WHERE o_orderstatus <> 'P'""",
+)
+def _(t):
+    rows = C.sectioned(t.orders, ["o_custkey"], "o_orderkey", F.col("o_orderstatus") == "P", F.col("o_orderpriority"))
+    return rows.select("o_orderkey", "section", F.array_join(C.folded_themes(F.col("o_orderpriority"), "-", {"urgent": "pressing", "high": "pressing"}), ",").alias("themes"))
+
+
+@plan(
+    "sc09_header_rows",
+    """WITH r AS (SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n, list_distinct(list_filter([split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), lower(p_type)], lambda w: list_contains(['red', 'widget', 'small', 'gear', 'promo'], w))) AS f FROM part),
+    b AS (SELECT p_brand, n, list_sort(f) AS f, row_number() OVER (PARTITION BY p_brand ORDER BY len(f) DESC, n) AS k FROM r WHERE n <= 8) SELECT p_brand, CAST(n AS INTEGER) AS header_row, array_to_string(f, ',') AS fields FROM b WHERE k = 1 AND len(f) > 0""",
+)
+def _(t):
+    rows = t.part.select("p_brand", "p_partkey", F.array(F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit(" ")), F.upper(F.split_part("p_name", F.lit(" "), F.lit(2))), F.concat(F.lit("-"), "p_type")).alias("cells"))
+    return C.best_headers(rows, "p_brand", "p_partkey", "cells", ["Red", "Widget", "Small", "Gear", "Promo"])
+
+
+@plan(
+    "sk06_digest_lines",
+    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_name) AS k FROM customer)
+    SELECT c_mktsegment AS section, 1 AS place, '## ' || c_mktsegment AS line FROM customer GROUP BY 1 UNION ALL SELECT c_mktsegment, 2, count(*) || ' records' FROM customer GROUP BY 1 UNION ALL SELECT c_mktsegment, CAST(k + 2 AS INTEGER), '- ' || c_name FROM r WHERE k <= 3""",
+)
+def _(t):
+    from ..sources.sinks import digest_lines
+
+    return digest_lines(t.customer, "c_mktsegment", "c_name", "c_acctbal")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,3 +41,12 @@ def keep_delete(rows: DataFrame, rules: Sequence[tuple[str, Column]]) -> DataFra
     for name, holds in rules:
         reason = reason.when(F.coalesce(holds, F.lit(False)), F.lit(name))
     return rows.withColumn("reason", reason).withColumn("part", F.when(F.col("reason").isNull(), "keep").otherwise("delete"))
+
+
+def digest_lines(rows: DataFrame, section: str, name: str, score: str, top: int = 3) -> DataFrame:
+    """section, place, line: a report's lines, as Markdown: a heading, the count, and the best `top` names of each section, ties by name."""
+    ranked = rows.withColumn("_k", F.row_number().over(Window.partitionBy(section).orderBy(F.desc(score), name)))
+    best = ranked.where(F.col("_k") <= top).select(F.col(section).alias("section"), (F.col("_k") + 2).alias("place"), F.concat(F.lit("- "), F.col(name).cast("string")).alias("line"))
+    counted = rows.groupBy(F.col(section).alias("section")).agg(F.count(F.lit(1)).alias("n"))
+    heads = counted.select("section", F.explode(F.array(F.struct(F.lit(1).alias("place"), F.concat(F.lit("## "), F.col("section").cast("string")).alias("line")), F.struct(F.lit(2).alias("place"), F.concat(F.col("n").cast("string"), F.lit(" records")).alias("line")))).alias("e")).select("section", "e.place", "e.line")
+    return heads.unionByName(best)

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from terravane.functions import text as T
-from terravane.operators import evaluation, facts, places, scoring
+from terravane.operators import entity, evaluation, facts, places, scoring
 
 LETTERS = st.text("abc ", max_size=9)
 
@@ -156,3 +156,23 @@ def test_weights_and_thresholds_are_checked():
         except ValueError:
             continue
         raise AssertionError(bad)
+
+
+def test_receipts_of_funding(spark):
+    cases = [
+        ("We received $2 million from the agency.", True, None), ("Received a grant of $2 million", True, None), ("Received a grant of $2 million", False, "another's page does not say who received it"), ("Rho Lab was awarded $5 million", False, None), ("The Rho-Lab of Tau was selected for $5 million", True, None),
+        ("Apply now for grants of $3,000", True, "advertises an opportunity"), ("Our foundation awards $3,000 to local startups", True, "gives it to others"), ("It funded 34 projects with $9 million", True, "gives it to others"), ("$4 million on behalf of the state", True, "runs a programme for a funder"),
+        ("A budget of $4 million", True, "names the money only"), ("Acme was awarded $5 million", False, "another's page does not say who received it"), (None, True, "names the money only"),
+    ]
+    frame = spark.createDataFrame([(i, q, own) for i, (q, own, _) in enumerate(cases)], "i int, quote string, own boolean")
+    got = {r.i: r.x for r in frame.select("i", scoring.receipt(F.col("quote"), F.lit("Rho Lab"), F.col("own")).alias("x")).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for *_, want in cases]
+
+
+def test_pairs_of_a_common_block_are_whole(spark):
+    rows = [(f"n{i:03}", ["the", f"w{i % 7}"] if i % 3 else [f"w{i % 7}"]) for i in range(90)]
+    frame = spark.createDataFrame(rows, "k string, ws array<string>")
+    want = {(a, b) for (a, x), (b, y) in itertools.combinations(sorted(rows), 2) if set(x) & set(y)}
+    for part in (3, 2000):
+        got = entity.blocked_pairs(frame, "k", F.col("ws"), part).collect()
+        assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
