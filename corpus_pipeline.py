@@ -2,6 +2,12 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and reread as the next one's docs. All but the last return the columns of documents.
+
+Defined cases: columns of docs beyond those of documents are not read and not returned, so none can clash; an empty table gives an empty
+result in every stage. A null text counts as empty for the classifier, the n-gram join and packing, and stays null through line dedup and redaction,
+where there is nothing to take out; its n_chars is null. Null and repeated ids are kept: rows are told apart by file and place, each is scored, cleaned and
+packed for itself, and of a near-duplicate class the row with the least id, file and place stays (rows with null ids last). Texts of any length go whole through every stage. A document
+without words is a class of its own.
 """
 
 from __future__ import annotations
@@ -41,16 +47,17 @@ def scored_rows(docs: DataFrame, model) -> DataFrame:
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their hosts' boilerplate lines."""
-    return _as_documents(line_dedup(docs))
+    return _as_documents(line_dedup(docs.select(*COLUMNS)))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with a unique, stable _key of each row that sorts by doc_id: its id, file and place in the file."""
+    """The columns of documents with a unique, stable _key of each row that sorts by doc_id: its id, file and place in the file."""
+    place = [F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at")]
     try:
-        place = docs.select("*", F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+        placed = docs.select(*COLUMNS, *place)
     except AnalysisException:  # not a plain scan of files
-        place = written(docs, "rows").select("*", F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
-    return place.select(*docs.columns, F.struct("doc_id", "_file", "_at").alias("_key"))
+        placed = written(docs.select(*COLUMNS), "rows").select(*COLUMNS, *place)
+    return placed.select(*COLUMNS, F.struct("doc_id", "_file", "_at").alias("_key"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
