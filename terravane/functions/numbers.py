@@ -10,9 +10,9 @@ EARTH_RADIUS_MILES = 3958.7613
 
 
 def haversine_miles(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle distance; rounding errors beyond the antipode are clipped."""
+    """Great-circle distance, null where a coordinate is; rounding errors beyond the antipode are clipped."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * EARTH_RADIUS_MILES * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return 2 * EARTH_RADIUS_MILES * F.asin(F.sqrt(F.when(a > 1, 1.0).otherwise(a)))
 
 
 def weighted_sum(values: dict[str, Column], weights: dict[str, float]) -> Column:

@@ -433,3 +433,24 @@ def linked_people(people: DataFrame, actors: DataFrame, least: float = 85) -> Da
     by_title = runs.join(starts, "_w").where(F.contains("_title", F.col("_name"))).select("person", "actor", F.lit(100.0).alias("score"))
     best = by_name.union(by_title).groupBy("person").agg(F.max(F.struct("score", (-F.col("actor")).alias("_t"))).alias("_b"))
     return best.select("person", (-F.col("_b._t")).alias("actor"), F.col("_b.score").alias("score"))
+
+
+def official_matches(actors: DataFrame, candidates: DataFrame, providers: Sequence[str], confidence: float = 0.88) -> DataFrame:
+    """actor, outcome, candidate, provider, confidence: what registers say of an actor, by strict matches alone.
+
+    actors: actor, name; candidates: candidate, name, provider, website. A candidate matches by the same name, by the same name without brackets where the actor has none, or where the actor's
+    brackets are its own initials and the candidate has none. Matches that lead to different addresses are a conflict; else the first provider in order wins, then the closer name, then the candidate.
+    """
+    base = lambda c: T.plain(F.regexp_replace(c, r"\([^)]*\)", " "))
+    a = actors.select("actor", F.col("name").alias("_an"), base(F.col("name")).alias("_base"))
+    c = candidates.where(F.col("provider").isin(*providers)).select("candidate", "provider", F.col("name").alias("_cn"), base(F.col("name")).alias("_base"), U.key(F.coalesce("website", F.lit(""))).alias("_url"))
+    j = a.where("_base <> ''").join(c, "_base")
+    notes, other = T.bracketed(F.col("_an")), T.bracketed(F.col("_cn"))
+    own_initials = F.forall(notes, lambda n: F.regexp_replace(n, "[^a-z0-9]", "") == T.acronym(F.col("_base")))
+    strict = (T.plain(F.col("_an")) == T.plain(F.col("_cn"))) | (F.size(notes) == 0) | ((F.size(other) == 0) & own_initials)
+    order = F.array_position(listed(providers), F.col("provider"))
+    found = j.where(strict).withColumn("_rank", F.struct(order.alias("o"), (-T.name_similarity(F.col("_an"), F.col("_cn"))).alias("s"), "candidate", "provider"))
+    one = found.groupBy("actor").agg(F.min("_rank").alias("b"), F.count_distinct(F.when(F.col("_url") != "", F.col("_url"))).alias("n"))
+    clear = F.col("n") <= 1
+    pick = lambda c, name: F.when(clear, c).alias(name)
+    return one.select("actor", F.when(clear, "matched").otherwise("conflict").alias("outcome"), pick(F.col("b.candidate"), "candidate"), pick(F.col("b.provider"), "provider"), pick(F.lit(confidence), "confidence"))

@@ -165,6 +165,20 @@ def reassessed(actors: DataFrame, hubs: DataFrame, members: DataFrame) -> tuple[
     return memberships, best.select("actor", F.col("hub_sector").alias("sector"), F.col("b.hub").alias("hub"), F.col("b.miles").alias("miles"))
 
 
+def topic_proposals(hubs: DataFrame, members: DataFrame, centers: DataFrame, by_name: dict[str, str], radius: float = RADIUS_MILES) -> DataFrame:
+    """hub, topic, basis, needs_review, members, located, outside: the only primary tag of a hub is its topic; else the name may give one, for review; else none.
+
+    hubs: hub, name, tags (array); members: hub, lat, lon; centers: hub, center_lat, center_lon, as density_center() finds them. outside counts located members beyond the radius of the center.
+    """
+    far = haversine_miles(F.col("center_lat"), F.col("center_lon"), F.col("lat"), F.col("lon")) > radius
+    counted = members.join(centers, "hub", "left").groupBy("hub").agg(F.count(F.lit(1)).alias("members"), F.count("lat").alias("located"), F.count_if(far).alias("outside"))
+    single = F.size("tags") == 1
+    named = F.coalesce(*[F.when(F.col("name") == k, F.lit(v)) for k, v in by_name.items()], F.lit(None).cast("string"))
+    topic = F.when(single, F.get("tags", F.lit(0))).otherwise(named)
+    basis = F.when(single, "single primary tag").when(named.isNotNull(), "hub name only").otherwise("no deterministic basis")
+    return hubs.join(counted, "hub", "left").select("hub", topic.alias("topic"), basis.alias("basis"), (~single).alias("needs_review"), F.coalesce("members", F.lit(0)).alias("members"), F.coalesce("located", F.lit(0)).alias("located"), F.coalesce("outside", F.lit(0)).alias("outside"))
+
+
 def stated_places(text: Column, states: dict[str, str]) -> Column:
     """array of struct(strength, state, city, headquarters): places that a page ties to an organization, sentence by sentence, strongest first.
 

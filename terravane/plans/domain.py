@@ -116,12 +116,6 @@ def _(t):
     return name_pairs(t)
 
 
-@plan("jn13_upper_triangle", f"SELECT a, b FROM {PAIRS_SQL} WHERE {JACCARD_SQL} >= 0.6")
-def _(t):
-    x, y = F.split("a", " "), F.split("b", " ")
-    return name_pairs(t).where(T.jaccard(x, y) >= 0.6)
-
-
 @plan("jn14_domain_suffix_join", "WITH h AS (SELECT page_id, split_part(split_part(url, '://', 2), '/', 1) AS host FROM pages), d AS (SELECT DISTINCT array_to_string(string_split(host, '.')[-3:], '.') AS domain FROM h WHERE page_id % 7 = 0) SELECT DISTINCT page_id FROM h JOIN d ON host = domain OR ends_with(host, '.' || domain)")
 def _(t):
     hosts = t.pages.select("page_id", F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1)).alias("host"))
@@ -229,10 +223,34 @@ def _(t):
     return P.radius_join(actors(t), hubs(t), 400.0, ["sector"]).where("hub <> actor % 25").select("actor", "hub")
 
 
-@plan("cl01_density_center")
+SPOT = "(SELECT c_nationkey % 5 AS cluster, c_nationkey, " + LAT.format("c_nationkey") + " AS lat, " + LON.format("c_nationkey") + " AS lon, 'city ' || c_nationkey AS city, count(*) AS n FROM customer GROUP BY ALL)"
+CENTER_SQL = f"""near AS (SELECT a.cluster, a.city, a.lat, a.lon, b.n, {MILES.format('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS d FROM {SPOT} a JOIN {SPOT} b ON a.cluster = b.cluster),
+ranked AS (SELECT cluster, city, lat, lon, sum(CASE WHEN d <= 50 THEN n ELSE 0 END) AS core, row_number() OVER (PARTITION BY cluster ORDER BY sum(CASE WHEN d <= 50 THEN n ELSE 0 END) DESC, round(sum(d * n) / sum(n), 6), city, lat, lon) AS k FROM near WHERE d <= 200 GROUP BY 1, 2, 3, 4)"""
+
+
+def spots(t):
+    return t.customer.select((F.col("c_nationkey") % 5).alias("cluster"), lat("c_nationkey").alias("lat"), lon("c_nationkey").alias("lon"), F.lit("ST").alias("state"), F.concat(F.lit("city "), F.col("c_nationkey").cast("string")).alias("city"), "c_custkey", "c_acctbal", "c_mktsegment")
+
+
+@plan("cl01_density_center", f"WITH {CENTER_SQL} SELECT cluster, city, CAST(core AS BIGINT) AS core FROM ranked WHERE k = 1")
 def _(t):
-    members = t.customer.select((F.col("c_nationkey") % 5).alias("cluster"), lat("c_nationkey").alias("lat"), lon("c_nationkey").alias("lon"), F.lit("ST").alias("state"), F.concat(F.lit("city "), F.col("c_nationkey").cast("string")).alias("city"))
-    return P.density_center(members, "cluster").select("cluster", "city", "core")
+    return P.density_center(spots(t), "cluster").select("cluster", "city", "core")
+
+
+@plan(
+    "cl12_topic_proposal",
+    f"""WITH {CENTER_SQL}, m AS (SELECT c_nationkey % 5 AS cluster, {LAT.format('c_nationkey')} AS lat2, {LON.format('c_nationkey')} AS lon2, c_acctbal, c_mktsegment FROM customer),
+    g AS (SELECT cluster, list(DISTINCT c_mktsegment) FILTER (WHERE c_acctbal > 9990) AS tags, count(*) AS members, count(*) FILTER (WHERE c_acctbal > 0) AS located FROM m GROUP BY 1),
+    o AS (SELECT m.cluster, count(*) FILTER (WHERE {MILES.format('lat', 'lon', 'lat2', 'lon2')} > 200 AND c_acctbal > 0) AS outside FROM m JOIN ranked r ON r.cluster = m.cluster AND k = 1 GROUP BY 1)
+    SELECT g.cluster AS hub, CASE WHEN len(tags) = 1 THEN tags[1] WHEN g.cluster = 3 THEN 'WATER' END AS topic, CASE WHEN len(tags) = 1 THEN 'single primary tag' WHEN g.cluster = 3 THEN 'hub name only' ELSE 'no deterministic basis' END AS basis, coalesce(len(tags), 0) <> 1 AS needs_review, members, located, outside FROM g JOIN o ON o.cluster = g.cluster""",
+)
+def _(t):
+    rows = spots(t)
+    tags = rows.groupBy(F.col("cluster").alias("hub")).agg(F.collect_set(F.when(F.col("c_acctbal") > 9990, F.col("c_mktsegment"))).alias("tags"))
+    hubs = tags.withColumn("name", F.concat(F.lit("Hub "), F.col("hub").cast("string")))
+    center = P.density_center(rows, "cluster")  # all members give the center; those of a positive balance have a place of their own
+    own = rows.select(F.col("cluster").alias("hub"), F.when(F.col("c_acctbal") > 0, F.col("lat")).alias("lat"), F.when(F.col("c_acctbal") > 0, F.col("lon")).alias("lon"))
+    return P.topic_proposals(hubs, own, center.select(F.col("cluster").alias("hub"), F.col("lat").alias("center_lat"), F.col("lon").alias("center_lon")), {"Hub 3": "WATER"})
 
 
 @plan("cl02_new_clusters")
@@ -272,13 +290,6 @@ def _(t):
     return rows.select("actor", P.drifted(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"), F.col("actor") % 2 == 0).alias("drifted"))
 
 
-@plan("cl12_topic_proposal", "SELECT n_regionkey, CASE WHEN count(DISTINCT c_mktsegment) FILTER (WHERE c_acctbal > 9900) = 1 THEN max(c_mktsegment) FILTER (WHERE c_acctbal > 9900) ELSE 'none' END AS topic FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1")
-def _(t):
-    rich = F.when(F.col("c_acctbal") > 9900, F.col("c_mktsegment"))
-    rows = t.customer.join(t.nation, F.col("n_nationkey") == F.col("c_nationkey"))
-    return rows.groupBy("n_regionkey").agg(F.when(F.count_distinct(rich) == 1, F.max(rich)).otherwise("none").alias("topic"))
-
-
 @plan("cl13_single_primary", "SELECT l_suppkey, count(DISTINCT p_brand) AS links, CASE WHEN count(DISTINCT p_brand) = 1 THEN min(p_brand) END AS primary_brand FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size = 50 GROUP BY 1")
 def _(t):
     rows = t.lineitem.select("l_suppkey", "l_partkey").join(t.part.where("p_size = 50").select("p_partkey", "p_brand"), F.col("p_partkey") == F.col("l_partkey"))

@@ -241,3 +241,31 @@ def _(t):
     rows = persons(t).select(F.col("c_custkey").alias("person"), F.col("affiliation").alias("organization"), F.concat(F.lit("head of "), F.col("role"), F.lit(" at "), F.coalesce("affiliation", F.lit("home"))).alias("title"))
     actors = held_organizations(t).select(F.col("target").alias("actor"), "name")
     return I.linked_people(rows.withColumn("organization", F.when(F.col("person") % 2 == 0, F.col("organization"))), actors)
+
+
+@plan("jn13_upper_triangle", f"WITH {DESCRIBED} SELECT a, b FROM p WHERE len(list_intersect(wa, wb)) / len(list_distinct(list_concat(wa, wb))) >= 0.6")
+def _(t):
+    return named_pairs(t).where(T.jaccard(F.col("_words_a"), F.col("_words_b")) >= 0.6).select("a", "b")
+
+
+REGISTERED = f"CASE WHEN p_size % 2 = 0 THEN {ORG} ELSE regexp_replace({ORG}, ' [(].*', '') || CASE WHEN p_size > 40 THEN ' (UX)' ELSE '' END END"
+PROVIDER = "CASE WHEN p_size < 15 THEN 'openalex' WHEN p_size < 30 THEN 'ror' WHEN p_size < 40 THEN 'sec' ELSE 'wikidata' END"
+BARE = "trim(regexp_replace(lower(regexp_replace({}, '[(][^)]*[)]', ' ', 'g')), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@plan(
+    "er30_official_candidates",
+    rf"""WITH a AS (SELECT p_partkey AS actor, {ORG} AS an FROM part WHERE p_partkey % 5 = 0), c AS (SELECT p_partkey AS candidate, {REGISTERED} AS cn, {PROVIDER} AS provider, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE lower(replace(p_name, ' ', '-')) || '.example.org' END AS url FROM part WHERE p_partkey % 5 <> 0),
+    a2 AS (SELECT *, {BARE.format('an')} AS base, {PLAIN.format('an')} AS ap, list_filter(list_transform(regexp_extract_all(an, '[(]([^)]*)[)]', 1), lambda x: {PLAIN.format('x')}), lambda x: x <> '') AS notes FROM a), c2 AS (SELECT *, {BARE.format('cn')} AS base, {PLAIN.format('cn')} AS cp, contains(cn, '(') AS bracketed FROM c WHERE provider IN ('ror', 'openalex', 'wikidata')),
+    w AS (SELECT *, list_filter(string_split(base, ' '), lambda x: NOT list_contains({quoted(T.STOP_WORDS)}, x)) AS bw FROM a2 WHERE base <> ''), i AS (SELECT *, CASE WHEN len(bw) >= 2 THEN array_to_string(list_transform(bw, lambda x: substr(x, 1, 1)), '') ELSE '' END AS ini FROM w),
+    j AS (SELECT actor, candidate, provider, url, an, cn, list_filter(list_distinct(string_split(ap, ' ')), lambda x: length(x) >= 4 AND NOT list_contains({quoted(T.STOP_WORDS)}, x)) AS da, list_filter(list_distinct(string_split(cp, ' ')), lambda x: length(x) >= 4 AND NOT list_contains({quoted(T.STOP_WORDS)}, x)) AS dc
+     FROM i JOIN c2 ON c2.base = i.base WHERE ap = cp OR len(notes) = 0 OR (NOT bracketed AND len(list_filter(notes, lambda n: replace(n, ' ', '') <> ini)) = 0)),
+    s AS (SELECT *, CASE WHEN least(len(da), len(dc)) > 0 THEN len(list_intersect(da, dc)) / least(len(da), len(dc)) ELSE 0.0 END AS sim, list_position(['ror', 'openalex', 'wikidata'], provider) AS o FROM j),
+    g AS (SELECT actor, arg_min(candidate, (o, -sim, candidate)) AS candidate, arg_min(provider, (o, -sim, candidate)) AS provider, count(DISTINCT nullif(url, '')) AS n FROM s GROUP BY 1)
+    SELECT actor, CASE WHEN n <= 1 THEN 'matched' ELSE 'conflict' END AS outcome, CASE WHEN n <= 1 THEN candidate END AS candidate, CASE WHEN n <= 1 THEN provider END AS provider, CASE WHEN n <= 1 THEN 0.88::DOUBLE END AS confidence FROM g""",
+)
+def _(t):
+    actors = organizations(t).where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("actor"), "name")
+    site = F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.concat(F.lit("https://www."), F.lower(F.replace("p_name", F.lit(" "), F.lit("-"))), F.lit(".example.org/")))
+    held = t.part.where("p_partkey % 5 <> 0").select(F.col("p_partkey").alias("candidate"), F.expr(REGISTERED).alias("name"), F.expr(PROVIDER).alias("provider"), site.alias("website"))
+    return I.official_matches(actors, held, ["ror", "openalex", "wikidata"])

@@ -50,12 +50,6 @@ def _(t):
     return pairs.groupBy("c_nationkey").applyInPandas(match, "hub bigint, matched bigint")
 
 
-@plan("er30_official_candidates", "SELECT p_partkey, CASE WHEN p_size > 40 THEN 'high' WHEN p_size > 20 THEN 'medium' ELSE 'low' END AS confidence FROM part")
-def _(t):
-    same = T.jaccard(F.split("p_name", " "), F.split("p_name", " ")) == 1
-    return t.part.select("p_partkey", S.ladder([("high", same & (F.col("p_size") > 40)), ("medium", same & (F.col("p_size") > 20))], "low").alias("confidence"))
-
-
 @plan("sm05_fold_counts", f"{FOLD_SQL} SELECT outcome, count(*) AS n FROM w GROUP BY 1")
 def _(t):
     return FA.fold(ledger(t), ["user_id", "event_type"]).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))

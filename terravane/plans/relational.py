@@ -317,11 +317,15 @@ def _(t):
     return rows.groupBy("l_suppkey").agg(codes.alias("c")).select("l_suppkey", F.array_join("c", ",").alias("codes"), (F.size("c") > 0).alias("in_sector"))
 
 
-@plan("fi17_formula_cells", "SELECT doc_id FROM documents WHERE regexp_matches(ltrim(text), '^[=+@-]')")
+CELL = "CASE WHEN o_totalprice < 50000 THEN ' =' || o_orderpriority WHEN o_totalprice < 80000 THEN '@' || o_orderstatus WHEN o_totalprice < 90000 THEN '-' || o_custkey WHEN o_totalprice < 100000 THEN NULL ELSE o_orderpriority || '=' END"
+
+
+@plan("fi17_formula_cells", f"SELECT o_orderkey, c AS cell FROM (SELECT o_orderkey, {CELL} AS c FROM orders) WHERE regexp_matches(ltrim(c), '^[=+@-]')")
 def _(t):
     from ..functions.text import formula_like
 
-    return t.documents.where(formula_like(F.col("text"))).select("doc_id")
+    cells = t.orders.select("o_orderkey", F.expr(CELL.replace("o_custkey", "CAST(o_custkey AS STRING)")).alias("cell"))
+    return cells.where(formula_like(F.col("cell")))
 
 
 @plan("fi18_review_list", "SELECT event_id FROM events WHERE event_type IN ('error', 'signup') AND CAST(json_extract_string(props, '$.k') AS BIGINT) BETWEEN 10 AND 20 AND CAST(user_id AS VARCHAR) LIKE '1%'")
@@ -767,6 +771,9 @@ def _(t):
     return kept.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("l")).select("doc_id", F.array_join("l.line", "\n").alias("text"))
 
 
-@plan("se07_difference_with_reason", "SELECT c_custkey, 'no order' AS reason FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@plan("se07_difference_with_reason", "SELECT c_custkey, 'no urgent order' AS reason FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def _(t):
-    return R.difference(t.customer.select("c_custkey"), t.orders.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"], "no order")
+    urgent = t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return R.difference(t.customer.select("c_custkey"), urgent, ["c_custkey"], "no urgent order")
+
+
