@@ -42,13 +42,13 @@ def boilerplate(docs: DataFrame, host: Column, text: Column, max_ratio: float =
     pages = docs.select(host.alias("host"), text.alias("text"))
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).withColumnRenamed("host", "_of")
     keys = F.array_distinct(F.filter(F.transform(F.split("text", "\n"), _key), lambda k: k != ""))
-    lines = pages.select("host", F.explode(keys).alias("key")).select("host", _digest(F.col("key")).alias("line"))
+    lines = pages.select("host", F.explode(keys).alias("key")).select("host", F.unhex(_digest(F.col("key"))).alias("line"))  # half the bytes to shuffle
     often = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return (
         often.join(totals, F.col("host").eqNullSafe(F.col("_of")))
         .where(F.col("n") - 1 > max_ratio * (F.col("pages") - 1))
         .groupBy("host")
-        .agg(F.collect_list("line").alias("lines"))
+        .agg(F.collect_list(F.lower(F.hex("line"))).alias("lines"))
     )
 
 
