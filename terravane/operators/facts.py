@@ -41,8 +41,7 @@ def fold(facts: DataFrame, keys: Sequence[str]) -> DataFrame:
     any number of facts stream through in Arrow batches sorted by the shuffle, and only the current fact is held.
     """
     kept = facts.select(*keys, "id", "hash", "confidence", "read_at", "human", "arrived")
-    parts = max(1, int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = kept.repartition(parts, *keys).sortWithinPartitions(*keys, "arrived", "id")
+    ordered = kept.repartition(*keys).sortWithinPartitions(*keys, "arrived", "id")
     n = len(keys)
 
     def run(frames):

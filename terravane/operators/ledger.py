@@ -84,3 +84,24 @@ def run_label(run: Column, said: Column, entity: Column, at: Column) -> Column:
     asked = F.trim(F.regexp_extract(said, r"^Discovery request:\s*(.+?)\s*(·|$)", 1))
     name = F.when(checks, "Map checks").when(run.startswith("datafeed:"), F.regexp_replace(said, r" · (manual entry|[^·]+\.(xlsx|xlsm|xls|csv))$", "")).when(asked != "", asked).otherwise(said)
     return F.struct(kind.alias("kind"), trigger.alias("trigger"), F.when(checks, "map-checks").otherwise(run).alias("run_group"), F.concat_ws(" · ", name, F.date_format(at, "MM/dd/yyyy")).alias("label"))
+
+
+def import_operations(runs: DataFrame, completions: DataFrame, owners: DataFrame) -> DataFrame:
+    """source, reference, person, because, basis, cost of imports: runs (run, status, cost) go to who started the completion (run, person), else to who owns the import (run, person)."""
+    j = runs.join(completions.select("run", F.col("person").alias("_started")), "run", "left").join(owners.select("run", F.col("person").alias("_owner")), "run", "left")
+    because = F.when(F.col("_started").isNotNull(), "started the completion").when(F.col("_owner").isNotNull(), "owns the import")
+    return j.select(F.lit("scrape_run").alias("source"), F.col("run").alias("reference"), F.coalesce("_started", "_owner", F.lit(-1)).cast("bigint").alias("person"), because.alias("because"), basis(F.col("status")).alias("basis"), F.round("cost", 2).alias("cost"))
+
+
+def map_operations(runs: DataFrame, calls: DataFrame, searches: DataFrame, owners: DataFrame) -> DataFrame:
+    """source, reference, person, because, basis, cost of maps and people searches: what their calls cost and what open calls hold in reserve, in millionths.
+
+    runs: run, status, search (whether it is a people search); calls: run, cost, reserved (millionths), finished; searches: run, person; owners: run, person. A run without calls has no line. Open reserves make an estimate.
+    """
+    held = F.sum(F.when(F.col("cost").isNull() & ~F.col("finished"), F.col("reserved")).otherwise(0))
+    spent = calls.groupBy("run").agg(F.coalesce(F.sum("cost"), F.lit(0)).alias("_cost"), held.alias("_held"))
+    j = runs.join(spent, "run").join(searches.select("run", F.col("person").alias("_searcher")), "run", "left").join(owners.select("run", F.col("person").alias("_owner")), "run", "left")
+    person = F.when(F.col("search"), F.col("_searcher")).otherwise(F.col("_owner"))
+    because = F.when(person.isNotNull(), F.when(F.col("search"), "started the search").otherwise("owns the map"))
+    how = F.when(F.col("_held") > 0, "estimate (calls still running)").otherwise(basis(F.col("status")))
+    return j.select(F.lit("map_calls").alias("source"), F.col("run").alias("reference"), F.coalesce(person, F.lit(-1)).cast("bigint").alias("person"), because.alias("because"), how.alias("basis"), F.round((F.col("_cost") + F.col("_held")) / 1e6, 6).alias("cost"))

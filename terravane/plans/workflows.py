@@ -155,6 +155,36 @@ def _(t):
     return L.operations(runs, checks, presses, owners, asks)
 
 
+@plan(
+    "cu07_imports",
+    """WITH d AS (SELECT event_id AS k, user_id AS p FROM events WHERE event_type = 'signup'), o AS (SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 4000)
+    SELECT 'scrape_run' AS source, o_orderkey AS reference, coalesce(d.p, c_custkey, -1) AS person, CASE WHEN d.p IS NOT NULL THEN 'started the completion' WHEN c_custkey IS NOT NULL THEN 'owns the import' END AS because, CASE o_orderstatus WHEN 'O' THEN 'in progress' WHEN 'P' THEN 'partial run' ELSE 'final' END AS basis, round(o_totalprice, 2) AS cost
+    FROM orders LEFT JOIN d ON d.k = o_orderkey LEFT JOIN o ON c_custkey = o_custkey""",
+)
+def _(t):
+    runs = t.orders.select(F.col("o_orderkey").alias("run"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("cost"))
+    started = t.events.where("event_type = 'signup'").select(F.col("event_id").alias("run"), F.col("user_id").alias("person"))
+    owners = t.orders.join(t.customer.where("c_acctbal > 4000"), F.col("c_custkey") == F.col("o_custkey")).select(F.col("o_orderkey").alias("run"), F.col("c_custkey").alias("person"))
+    return L.import_operations(runs, started, owners)
+
+
+@plan(
+    "cu07_map_calls",
+    """WITH c AS (SELECT l_orderkey AS k, sum(CASE WHEN l_returnflag = 'R' THEN 0 ELSE CAST(floor(l_quantity * 1000) AS BIGINT) END) AS cost, sum(CASE WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN l_linenumber * 1000 ELSE 0 END) AS held FROM lineitem GROUP BY 1),
+    s AS (SELECT event_id, user_id FROM events WHERE event_type = 'purchase')
+    SELECT 'map_calls' AS source, o_orderkey AS reference, coalesce(CASE WHEN o_orderpriority = '2-HIGH' THEN s.user_id ELSE c_custkey END, -1) AS person,
+    CASE WHEN o_orderpriority = '2-HIGH' THEN CASE WHEN s.user_id IS NOT NULL THEN 'started the search' END WHEN c_custkey IS NOT NULL THEN 'owns the map' END AS because,
+    CASE WHEN held > 0 THEN 'estimate (calls still running)' WHEN o_orderstatus = 'O' THEN 'in progress' WHEN o_orderstatus = 'P' THEN 'partial run' ELSE 'final' END AS basis, round((cost + held) / 1e6, 6) AS cost
+    FROM orders JOIN c ON k = o_orderkey LEFT JOIN s ON event_id = o_orderkey LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0""",
+)
+def _(t):
+    runs = t.orders.select(F.col("o_orderkey").alias("run"), F.col("o_orderstatus").alias("status"), (F.col("o_orderpriority") == "2-HIGH").alias("search"))
+    calls = t.lineitem.select(F.col("l_orderkey").alias("run"), F.when(F.col("l_returnflag") != "R", F.floor(F.col("l_quantity") * 1000)).alias("cost"), (F.col("l_linenumber") * 1000).cast("bigint").alias("reserved"), (F.col("l_linestatus") == "F").alias("finished"))
+    searches = t.events.where("event_type = 'purchase'").select(F.col("event_id").alias("run"), F.col("user_id").alias("person"))
+    owners = t.orders.join(t.customer.where("c_acctbal > 0"), F.col("c_custkey") == F.col("o_custkey")).select(F.col("o_orderkey").alias("run"), F.col("c_custkey").alias("person"))
+    return L.map_operations(runs, calls, searches, owners)
+
+
 @plan(
     "cu08_run_labels",
     """WITH r AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'datafeed:' || user_id WHEN 'click' THEN 'actor-update:' || user_id WHEN 'signup' THEN 'v2-review:topic' || user_id % 3 ELSE CAST(event_id AS VARCHAR) END AS run, CASE WHEN event_type = 'error' THEN 'Open-web event discovery weekly' WHEN value > 40 THEN 'Explore and Map: water · team.xlsx' ELSE 'Discovery request: pumps · 3 hubs' END AS said, ts, value FROM events)
