@@ -309,26 +309,30 @@ def currency(name: Column, page: Column, stated: Column, landed: Column, own_sit
     return F.when(F.coalesce(moved, F.lit(False)), "merged_or_renamed").when(gone, "defunct").otherwise(stale)
 
 
+#: Patterns of quotes about money, over lower case: who speaks, what receiving says, and what giving, passing on, offering and administering say.
+WE = "(we|our (team|company|center|lab|project|research))"
+GOT = r"((was|were|has been|have been) (awarded|granted|selected)|(received|receives|secured|won|wins|raised) (a |an |the |over |more than )?(\$|[0-9]|grant|award|funding|contract|investment)|(funded|supported|financed) by)"
+WE_GOT = f"(^|[^a-z]){WE} ([a-z]+ )?{GOT}"
+OPENS = f"^[^a-z]*{GOT}"
+GIVES = f"(^|[^a-z])({WE}|our (program|fund|foundation)|the committee) (also |annually |now |will )?(awards?|awarded|grants?|granted|provides?|offers?|distributes?|administers?|funds?|gives?|invests?) "
+PASSES = "(fund|support|award)(ed|s|ing)? (more than |over )?([0-9]+|several|many|dozens of) ([a-z]+ )?(projects|grants|studies|startups|communities|students)"
+TO_OTHERS = "(to|for) (local |eligible |selected |our )?(applicants|recipients|grantees|members|communities|startups|students|nonprofits|schools)"
+OFFERS = "(apply (now|by|today|online)|applications? (are|is|open|due|close)|request for proposals|call for proposals|accepting applications|eligibility|funding opportunit|is open to|are open to)"
+ADMINISTERS = "(on behalf of|administers?|administered|program administrator)"
+
+
 def receipt(quote: Column, name: Column, own_site: Column) -> Column:
     """Why a quote does not show that an organization received money, or null where it does: it gives, passes on, offers or administers money, or only names it.
 
     Its own site may leave out who received; another's page must name the organization.
     """
     low, who = F.lower(F.coalesce(quote, F.lit(""))), F.lower(name)
-    we = r"(we|our (team|company|center|lab|project|research))"
-    got = r"(was|were|has been|have been) (awarded|granted|selected)|(received|receives|secured|won|wins|raised) (a |an |the |over |more than )?(\$|[0-9]|grant|award|funding|contract|investment)|(funded|supported|financed) by"
-    subject = low.rlike(rf"(^|[^a-z]){we} ([a-z]+ )?({got})") | F.regexp_like(low, F.concat(F.lit("(^|[^a-z])"), F.regexp_replace(who, "[^a-z0-9]+", "[^a-z0-9]+"), F.lit(rf"[^.]{{0,60}}({got})")))
-    opens = low.rlike(rf"^[^a-z]*({got})")
-    received = subject | (own_site & opens)
-    gives = low.rlike(rf"(^|[^a-z])({we}|our (program|fund|foundation)|the committee) (also |annually |now |will )?(awards?|awarded|grants?|granted|provides?|offers?|distributes?|administers?|funds?|gives?|invests?) ")
-    passed = low.rlike(r"(fund|support|award)(ed|s|ing)? (more than |over )?([0-9]+|several|many|dozens of) ([a-z]+ )?(projects|grants|studies|startups|communities|students)")
-    others = low.rlike(r"(to|for) (local |eligible |selected |our )?(applicants|recipients|grantees|members|communities|startups|students|nonprofits|schools)") & ~received
-    offered = low.rlike(r"(apply (now|by|today|online)|applications? (are|is|open|due|close)|request for proposals|call for proposals|accepting applications|eligibility|funding opportunit|is open to|are open to)") & ~received
-    runs = low.rlike(r"(on behalf of|administers?|administered|program administrator)") & ~received
+    named = F.concat(F.lit("(^|[^a-z])"), F.regexp_replace(who, "[^a-z0-9]+", "[^a-z0-9]+"), F.lit(f"[^.]{{0,60}}{GOT}"))
+    received = low.rlike(WE_GOT) | F.regexp_like(low, named) | (own_site & low.rlike(OPENS))
     return (
-        F.when(gives | passed | others, "gives it to others")
-        .when(offered, "advertises an opportunity")
-        .when(runs, "runs a programme for a funder")
+        F.when(low.rlike(GIVES) | low.rlike(PASSES) | (low.rlike(TO_OTHERS) & ~received), "gives it to others")
+        .when(low.rlike(OFFERS) & ~received, "advertises an opportunity")
+        .when(low.rlike(ADMINISTERS) & ~received, "runs a programme for a funder")
         .when(received & (own_site | F.contains(low, who)), None)
         .when(~own_site, "another's page does not say who received it")
         .otherwise("names the money only")

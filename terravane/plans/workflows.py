@@ -201,7 +201,15 @@ def _(t):
     return t.events.select("event_id", L.run_label(run, said, entity, F.col("ts")).alias("l")).select("event_id", "l.kind", "l.trigger", "l.run_group", "l.label")
 
 
-@plan("jn15_first_unused")
+@plan(
+    "jn15_first_unused",
+    """WITH RECURSIVE r AS (SELECT user_id, event_id AS run, ts AS ran, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE event_type = 'view'),
+    p AS (SELECT user_id, list(event_id ORDER BY ts, event_id) AS ids, list(ts ORDER BY ts, event_id) AS pressed FROM events WHERE event_type = 'click' GROUP BY 1),
+    w AS (SELECT user_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS run, CAST(NULL AS BIGINT) AS press, CAST([] AS BIGINT[]) AS used FROM p
+     UNION ALL SELECT w.user_id, r.rn, r.run, l.pick, CASE WHEN l.pick IS NULL THEN w.used ELSE list_append(w.used, l.pick) END FROM w JOIN r ON r.user_id = w.user_id AND r.rn = w.rn + 1 JOIN p ON p.user_id = w.user_id,
+      LATERAL (SELECT list_filter(p.ids, lambda x, i: NOT list_contains(w.used, x) AND r.ran >= p.pressed[i] - INTERVAL 60 SECOND AND r.ran <= p.pressed[i] + INTERVAL 30 MINUTE)[1] AS pick) l)
+    SELECT run, press FROM w WHERE press IS NOT NULL""",
+)
 def _(t):
     runs = t.events.where("event_type = 'view'").select("user_id", F.col("event_id").alias("run"), F.col("ts").alias("ran"))
     presses = t.events.where("event_type = 'click'").select("user_id", F.col("event_id").alias("press"), F.col("ts").alias("pressed"))
@@ -436,20 +444,27 @@ def _(t):
     return S.weight_errors(table, ["click", "error", "purchase", "signup", "view"])
 
 
-@plan("ru12_funding_receipt")
+QUOTES = ("We received {} from the agency.", "Apply now for grants of {}", "Our foundation awards {} to local startups", "@ was awarded {}", "{} on behalf of the state", "A budget of {}", "It funded 34 projects with {}", "Received a grant of {}", "@, of Tau, was selected for {} of aid", "{} for eligible schools")
+QUOTE = "replace(replace(CASE o_orderkey % 10 " + " ".join(f"WHEN {i} THEN '{q}'" for i, q in enumerate(QUOTES)) + " END, '{}', '$' || CAST(CAST(round(o_totalprice) AS BIGINT) AS STRING)), '@', c_name)"
+
+
+def ru12_sql() -> str:
+    from ..operators import scoring as S
+
+    has = lambda p: f"regexp_matches(low, '{p}')"
+    named = "regexp_matches(low, '(^|[^a-z])' || regexp_replace(who, '[^a-z0-9]+', '[^a-z0-9]+', 'g') || '[^.]{0,60}" + S.GOT + "')"
+    return f"""WITH q AS (SELECT o_orderkey, lower({QUOTE}) AS low, lower(c_name) AS who, c_acctbal > 0 AS own FROM orders JOIN customer ON c_custkey = o_custkey),
+    r AS (SELECT *, {has(S.WE_GOT)} OR {named} OR (own AND {has(S.OPENS)}) AS got FROM q)
+    SELECT o_orderkey, CASE WHEN {has(S.GIVES)} OR {has(S.PASSES)} OR ({has(S.TO_OTHERS)} AND NOT got) THEN 'gives it to others' WHEN {has(S.OFFERS)} AND NOT got THEN 'advertises an opportunity' WHEN {has(S.ADMINISTERS)} AND NOT got THEN 'runs a programme for a funder'
+    WHEN got AND (own OR contains(low, who)) THEN NULL WHEN NOT own THEN 'another''s page does not say who received it' ELSE 'names the money only' END AS reason FROM r"""
+
+
+@plan("ru12_funding_receipt", ru12_sql())
 def _(t):
     from ..operators import scoring as S
 
-    amount = F.concat(F.lit("$"), F.round(F.col("o_totalprice")).cast("bigint").cast("string"))
-    said = F.element_at(
-        F.array(
-            F.concat(F.lit("We received "), amount, F.lit(" from the agency.")), F.concat(F.lit("Apply now for grants of "), amount), F.concat(F.lit("Our foundation awards "), amount, F.lit(" to local startups")), F.concat(F.col("c_name"), F.lit(" was awarded "), amount),
-            F.concat(amount, F.lit(" on behalf of the state")), F.concat(F.lit("A budget of "), amount), F.concat(F.lit("It funded 34 projects with "), amount), F.concat(F.lit("Received a grant of "), amount),
-        ),
-        F.pmod(F.xxhash64("o_orderkey"), F.lit(8)).cast("int") + 1,
-    )
     rows = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey"))
-    return rows.select("o_orderkey", S.receipt(said, F.col("c_name"), F.col("c_acctbal") > 0).alias("reason"))
+    return rows.select("o_orderkey", S.receipt(F.expr(QUOTE), F.col("c_name"), F.col("c_acctbal") > 0).alias("reason"))
 
 
 @plan(
