@@ -92,35 +92,35 @@ def resolved_name(df: DataFrame, names: DataFrame, typed: str, known: str) -> Da
     return out.withColumn("resolved", F.coalesce("_exact", "_prefix")).drop("_typed", "_slug", "_exact", "_prefix")
 
 
-def field_errors(values: dict[str, Column], fields: Sequence[dict]) -> Column:
-    """Messages for a row's cells against a contract of fields, in order: formulas, lengths and required cells first, then addresses, dates and lists of values.
+def field_errors(rows: DataFrame, values: dict[str, Column], fields: Sequence[dict], name: str = "errors") -> DataFrame:
+    """rows with the messages of their cells against a contract of fields, in order: formulas, lengths and required cells first, then addresses, dates and lists of values.
 
-    A field: key, header, kind (text, url, date, enum), required, most (length), allowed. A cell that starts like a formula is treated as empty.
+    A field: key, header, kind (text, url, date, enum), required, most (length), allowed. A cell that starts like a formula is treated as empty. Cells are
+    cleaned in a projection of their own, so each is cleaned once however many rules read it.
     """
     from ..functions import dates as D
     from ..functions import text as T
     from ..functions import urls as U
 
+    cleaned = rows.select("*", *[F.trim(F.regexp_replace(F.coalesce(values[f["key"]], F.lit("")), r"\s+", " ")).alias(f"_c_{f['key']}") for f in fields])
     first, second = [], []
     for f in fields:
-        raw = F.trim(F.regexp_replace(F.coalesce(values[f["key"]], F.lit("")), r"\s+", " "))
-        formula = T.formula_like(raw)
-        cell = F.when(formula, "").otherwise(raw)
-        head = f["header"]
-        first.append(F.when(formula, F.concat(F.lit(f"{head} starts like a formula ('"), F.substring(raw, 1, 12), F.lit("...'). Type the value itself."))))
+        cell, head = F.col(f"_c_{f['key']}"), f["header"]
+        formula = T.formula_like(cell)
+        sound = ~formula & (cell != "")
+        first.append(F.when(formula, F.concat(F.lit(f"{head} starts like a formula ('"), F.substring(cell, 1, 12), F.lit("...'). Type the value itself."))))
         if f.get("most"):
-            first.append(F.when(F.length(cell) > f["most"], F.lit(f"{head} is longer than {f['most']} characters.")))
+            first.append(F.when(~formula & (F.length(cell) > f["most"]), F.lit(f"{head} is longer than {f['most']} characters.")))
         if f.get("required"):
-            first.append(F.when(~formula & (cell == ""), F.lit(f"{head} is required.")))
+            first.append(F.when(cell == "", F.lit(f"{head} is required.")))
         if f["kind"] == "url":
-            second.append(F.when((cell != "") & U.typed(cell).isNull(), F.lit(f"{head} is not a web address.")))
+            second.append(F.when(sound & U.typed(cell).isNull(), F.lit(f"{head} is not a web address.")))
         elif f["kind"] == "date":
-            second.append(F.when((cell != "") & D.us_date(cell).isNull(), F.concat(F.lit(f"{head} '"), cell, F.lit("' is not a date: use MM/DD/YYYY."))))
+            second.append(F.when(sound & D.us_date(cell).isNull(), F.concat(F.lit(f"{head} '"), cell, F.lit("' is not a date: use MM/DD/YYYY."))))
         elif f["kind"] == "enum":
-            bare = lambda x: F.regexp_replace(F.lower(x), r"[\s_-]+", "")
             known = [a.lower().replace(" ", "").replace("_", "").replace("-", "") for a in f["allowed"]]
-            second.append(F.when((cell != "") & ~bare(cell).isin(*known), F.concat(F.lit(f"{head} '"), cell, F.lit("' is not an allowed value."))))
-    return F.array_compact(F.array(*first, *second))
+            second.append(F.when(sound & ~F.regexp_replace(F.lower(cell), r"[\s_-]+", "").isin(*known), F.concat(F.lit(f"{head} '"), cell, F.lit("' is not an allowed value."))))
+    return cleaned.withColumn(name, F.array_compact(F.array(*first, *second))).drop(*[f"_c_{f['key']}" for f in fields])
 
 
 def resolved_hub(rows: DataFrame, hubs: DataFrame, typed: str, name: str) -> DataFrame:

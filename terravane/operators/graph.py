@@ -40,21 +40,42 @@ def descendants(edges: DataFrame, child: str, parent: str, view: str = "terravan
 
 
 def components(edges: DataFrame, a: str, b: str, most_rounds: int = 50) -> DataFrame:
-    """node, root: least node of each component, by label passing with pointer jumping; lineage is cut by checkpoints."""
-    both = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    both = both.unionAll(both.select("b", "a")).distinct()
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "node")
+    """node, root: least node of each component, by hooking and contraction; lineage is cut by checkpoints.
+
+    A round hooks every node to its least neighbour, follows those pointers to their ends by doubling, and replaces the ends of all edges by what they lead to. Edges inside what has met
+    fall away, so a round works on the edges that are left; a component's local minima, at most half of its nodes, are what the next round sees. Only counts come to the driver.
+    """
     _checkpoint_dir(edges.sparkSession)
-    both, labels = both.checkpoint(), labels.checkpoint()
+    left = edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct().checkpoint()
+    known = None
+    for _ in range(most_rounds):
+        if not left.limit(1).count():
+            break
+        hooked = _followed(left.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root")).checkpoint(), most_rounds)
+        end = lambda side: hooked.select(F.col("node").alias(side), F.col("root").alias(f"_{side}"))
+        moved = left.join(end("lo"), "lo", "left").join(end("hi"), "hi", "left").select(F.coalesce("_lo", "lo").alias("x"), F.coalesce("_hi", "hi").alias("y"))
+        left = moved.where("x <> y").select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).distinct().checkpoint()
+        if known is None:
+            known = hooked
+        else:
+            after = hooked.select(F.col("node").alias("root"), F.col("root").alias("_to"))
+            known = known.join(after, "root", "left").select("node", F.coalesce("_to", "root").alias("root")).unionByName(hooked).checkpoint()
+    else:
+        raise RuntimeError("components did not settle")
+    if known is None:  # no edges: no nodes
+        return left.select(F.col("lo").alias("node"), F.col("hi").alias("root"))
+    return known.unionByName(known.select(F.col("root").alias("node"), "root").distinct())
+
+
+def _followed(pointers: DataFrame, most_rounds: int) -> DataFrame:
+    """node, root with every pointer replaced by the end of its chain; chains lead to lesser nodes, so there are no circles."""
     for _ in range(most_rounds):
-        heard = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("m"))
-        passed = labels.join(heard, labels.node == heard.a, "left").select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
-        up = labels.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-        new = passed.join(up, F.col("root") == F.col("_n"), "left").select("node", "old", F.least("root", "_r").alias("root")).checkpoint()
-        labels = new.select("node", "root")
-        if not new.where("old <> root").limit(1).count():
-            return labels
-    raise RuntimeError("components did not settle")
+        ahead = pointers.select(F.col("node").alias("root"), F.col("root").alias("_next"))
+        stepped = pointers.join(ahead, "root", "left").select("node", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("_moved")).checkpoint()
+        pointers = stepped.select("node", "root")
+        if not stepped.where("_moved").limit(1).count():
+            return pointers
+    raise RuntimeError("pointers did not settle")
 
 
 def _checkpoint_dir(spark) -> None:

@@ -121,7 +121,7 @@ def _(t):
         "start": F.when(F.col("o_totalprice") < 50000, None).when(F.col("o_totalprice") < 150000, F.date_format(d, "MM/dd/yyyy")).when(F.col("o_totalprice") < 300000, F.date_format(d, "yyyy-MM-dd")).otherwise(F.date_format(d, "yyyy-MM-dd' 10:30'")),
         "priority": F.col("o_orderpriority"), "note": F.when(F.col("o_custkey") % 9 == 0, "=SUM(A1)").otherwise("fine"),
     }
-    return t.orders.select("o_orderkey", F.array_join(C.field_errors(values, FIELDS), " ").alias("errors"))
+    return C.field_errors(t.orders, values, FIELDS).select("o_orderkey", F.array_join("errors", " ").alias("errors"))
 
 
 @plan(

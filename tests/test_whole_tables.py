@@ -4,6 +4,7 @@ import random
 import re
 
 from terravane import plans
+from terravane.operators import graph
 from terravane.sources.uploads import upload_rows
 
 
@@ -83,3 +84,26 @@ def test_uploads_are_refused_whole(spark):
     assert {r.file: r.refused for r in got} == {
         "ok": None, "long": "Row 4: a value in 'text' is longer than 4000 characters.", "many": "The file has more than 1000 records. Split it into several files."
     }
+
+
+def test_components_of_chains_and_nothing(spark):
+    chain = [(i, i + 1) for i in range(300)] + [(5, 5), (None, 1), (900, 901), (902, 901), (901, 900), (1000, 1000)]
+    for edges in (chain, [(b, a) for a, b in chain]):
+        got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(3), "a", "b").collect()}
+        assert got == {**{i: 0 for i in range(301)}, 900: 900, 901: 900, 902: 900}
+    assert graph.components(spark.createDataFrame([(1, 1)], "a bigint, b bigint"), "a", "b").count() == 0
+    rng = random.Random(8)
+    edges = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(330)]
+    up = {}
+
+    def root(n):
+        while up.setdefault(n, n) != n:
+            n = up[n]
+        return n
+
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((root(a), root(b)))
+            up[y] = x
+    rows = graph.components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b").collect()
+    assert {r.node: r.root for r in rows} == {n: root(n) for n in list(up)} and len(rows) == len(up)
