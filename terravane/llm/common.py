@@ -75,9 +75,9 @@ def _clean() -> None:
             return
 
 
-def in_batches(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow in batches of at most BATCH_BYTES, whatever the length of the rows (a setting of the session)."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+def in_batches(df: DataFrame, run, schema, most: int = BATCH_BYTES) -> DataFrame:
+    """df.mapInArrow in batches of at most so many bytes, whatever the length of the rows (a setting of the session)."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
     return df.mapInArrow(run, schema)
 
 

@@ -45,7 +45,7 @@ _LEFTOVER_BIT = 1 << 61
 #: White space of any kind, for patterns of Arrow.
 _SPACE = r"[\s\pZ\x{85}\x{1c}-\x{1f}]"
 #: Bytes of text encoded at once.
-SLICE = 4 << 20
+SLICE = 6 << 20
 
 
 class ByteBPE:
@@ -56,7 +56,7 @@ class ByteBPE:
     """
 
     #: Bytes of chunks encoded in one string.
-    JOINED = 1 << 16
+    JOINED = 1 << 13
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -224,7 +224,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             closed(pieces)
         yield closed.batch()
 
-    pieces = written(in_batches(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_col), first, _PIECES), "pieces")
+    pieces = written(in_batches(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_col), first, _PIECES, SLICE), "pieces")
     left = pieces.where(F.col("part").isNotNull())
     merged = left.groupBy(F.floor(F.col("part") / MERGED_PARTITIONS)).applyInArrow(lambda t: pa.Table.from_batches(list(merge(t.to_batches())), _batch([]).schema), _PIECES)
     return pieces.where(F.col("part").isNull()).unionByName(merged).drop("part")
