@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, exact_dedup, html_extract, line_dedup, ngram_join, packing, quality_cnn, quality_rules, secret_crf
+from . import bpe, chat_format, exact_dedup, hard_negatives, html_extract, line_dedup, ngram_join, packing, quality_cnn, quality_rules, secret_crf, simhash, turn_repair
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_secret_scan": secret_crf.op8_secret_scan,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_quality_cnn": quality_cnn.op10_quality_cnn,
+        "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+        "op12_simhash": simhash.op12_simhash,
+        "op13_turn_repair": turn_repair.op13_turn_repair,
     }
 
 
@@ -26,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_chat_format": chat_format.SQL,
         "op6_exact_dedup": exact_dedup.SQL,
         "op9_quality_rules": quality_rules.SQL,
+        "op11_hard_negatives": hard_negatives.SQL,
     }

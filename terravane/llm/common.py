@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
+#: The folder of a local application that names none, by application id.
+_LOCAL_DIRS: dict[str, str] = {}
 #: Most bytes of one Arrow batch on its way to a Python worker, or one row of any size: it bounds both sides' memory.
 BATCH_BYTES = 4 << 20
 
@@ -23,18 +26,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent, a local session (tests) gets a fresh local folder, once; on a cluster that is an error.
+    Where the setting is absent, a local session (tests) gets a fresh local folder, once an application; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             found = held.get()
-        elif spark.sparkContext.master.startswith("local"):
-            found = Path(tempfile.mkdtemp(prefix="terravane-")).as_uri()
+        elif re.match(r"local(\[|$)", spark.sparkContext.master):
+            own = spark.sparkContext.applicationId
+            if own not in _LOCAL_DIRS:
+                _LOCAL_DIRS[own] = Path(tempfile.mkdtemp(prefix="terravane-")).as_uri()
+            found = _LOCAL_DIRS[own]
         else:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
