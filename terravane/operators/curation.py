@@ -45,6 +45,16 @@ def file_duplicates(rows: DataFrame, file: str, row: str, keys: str, valid: str)
     return rows.select(file, row, keys, valid).groupBy(file).applyInPandas(scan, "row bigint, duplicate_of bigint")
 
 
+def exact_duplicates(rows: DataFrame, key: str, name: str, site: str) -> DataFrame:
+    """rows with by_name and by_site: the least key of a row of the same name in lower case, and of the same address; null where the row has none.
+
+    A duplicate is a row with a lesser one. Two aggregates joined back: each row tells its group's least key, so a group of any size costs its rows, not its pairs.
+    """
+    by_name = rows.where(F.col(name).isNotNull()).groupBy(F.lower(name).alias("_n")).agg(F.min(key).alias("by_name"))
+    by_site = rows.where(F.col(site).isNotNull()).groupBy(F.col(site).alias("_s")).agg(F.min(key).alias("by_site"))
+    return rows.withColumn("_n", F.lower(name)).withColumn("_s", F.col(site)).join(by_name, "_n", "left").join(by_site, "_s", "left").drop("_n", "_s")
+
+
 def batch_state(rows: DataFrame, imported: DataFrame, key: str) -> DataFrame:
     """rows with state new or already imported, by the digest of the key."""
     digest = F.sha2(F.col(key).cast("string"), 256)

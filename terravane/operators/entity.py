@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .similarity import containment_pairs, set_pairs
 
 #: Words that describe a part of an organization, and words that add structure only.
 SUB_UNIT_WORDS = ("department", "school", "college", "center", "centre", "lab", "laboratory", "division", "office", "institute")
@@ -46,6 +47,17 @@ def blocked_pairs(df: DataFrame, key: str, blocks: Column, part: int = BLOCK_PAR
     return left.join(right, ["_block", "_part"]).where("a < b").select("a", "b").distinct()
 
 
+def duplicate_names(names: DataFrame, name: str, least: float) -> DataFrame:
+    """a, b, reason with a < b: distinct names of which one, without spaces and of 5 letters or more, stands inside the other, or whose words have a Jaccard similarity of `least`."""
+    rows = names.select(F.col(name).alias("a")).distinct().select("a", F.replace("a", F.lit(" "), F.lit("")).alias("c"))
+    within = containment_pairs(rows, "c").unionByName(rows.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND length(c) >= 5").select(F.col("c").alias("inner"), F.col("c").alias("outer")))
+    other = rows.select(F.col("a").alias("b"), F.col("c").alias("outer"))
+    inside = rows.withColumnRenamed("c", "inner").join(within, "inner").join(other, "outer").where("a <> b")
+    told = inside.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit("containment").alias("reason"))
+    words = set_pairs(rows.select("a", F.split("a", " ").alias("w")).withColumnRenamed("a", "k"), "k", "w", least).select("a", "b", F.lit("words").alias("reason"))
+    return told.union(words).groupBy("a", "b").agg(F.min("reason").alias("reason"))
+
+
 def lexical_features(a: Column, b: Column) -> dict[str, Column]:
     """acronym_match, containment, jaccard, length_ratio of two names."""
     x, y = F.array_distinct(T.words(T.normalize_name(a))), F.array_distinct(T.words(T.normalize_name(b)))

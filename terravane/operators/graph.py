@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,8 +83,12 @@ def _followed(pointers: DataFrame, most_rounds: int) -> DataFrame:
 
 
 def _checkpoint_dir(spark) -> None:
-    """The folder of spark.checkpoint.dir, which a cluster sets, becomes the checkpoint folder; only a session without one gets its own."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terravane-"))
+    """The folder of spark.checkpoint.dir, which a cluster sets, becomes the checkpoint folder; only a local session without one gets its own."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        return
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = Path(tempfile.mkdtemp(prefix="terravane-")).as_uri()
+    spark.sparkContext.setCheckpointDir(found)

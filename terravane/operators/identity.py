@@ -8,12 +8,14 @@ rules left open.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
+from .similarity import edit_join, edit_pairs, subset_pairs
 
 #: Words without identity, words that tell institutions apart, states and regions, parts of an organization, words that only
 #: add structure, short forms, and numbers in words.
@@ -200,13 +202,15 @@ def route_actors(rows: DataFrame, held: DataFrame, scores: DataFrame, low: float
 def route_events(rows: DataFrame, held: DataFrame) -> DataFrame:
     """id, decision, target, score: the natural key absorbs; a close title on the same day, or a closer one in the same year, is reviewed; else new.
 
-    rows: id, key, title, day; held: target, key, title, day. Titles are compared once for each pair of distinct titles that share a word,
-    and the pairs that are close enough meet the records by title and day or year.
+    rows: id, key, title, day; held: target, key, title, day. Distinct titles are joined by spelling, and
+    the pairs that are close enough meet the records by title and day or year. A title without letters or digits is close to none.
     """
     same = rows.join(held.select("key", "target"), "key").groupBy("id").agg(F.min("target").alias("_same"))
-    titles = lambda rs, n: rs.select(F.col("title").alias(n)).distinct().withColumn("_w", F.explode(F.array_distinct(T.words(T.plain(F.col(n))))))
-    pairs = titles(rows, "title").join(titles(held, "_title2"), "_w").drop("_w").distinct()
-    close = pairs.withColumn("sim", T.sequence_ratio(T.plain(F.col("title")), T.plain(F.col("_title2")))).where(F.col("sim") >= min(SAME_DAY_TITLE, SAME_YEAR_TITLE))
+    titles = lambda rs, n: rs.select(F.col("title").alias(n), T.plain(F.col("title")).alias(f"_p{n}")).distinct()
+    mine, theirs = titles(rows, "title"), titles(held, "_title2")
+    met = edit_join(mine, theirs, "_ptitle", "_p_title2", int(100 * min(SAME_DAY_TITLE, SAME_YEAR_TITLE)))  # a sequence ratio is no greater than the indel ratio
+    rated = met.withColumn("sim", T.sequence_ratio(F.col("_ptitle"), F.col("_p_title2"))).where(F.col("sim") >= min(SAME_DAY_TITLE, SAME_YEAR_TITLE))
+    close = mine.join(rated, "_ptitle").join(theirs, "_p_title2").select("title", "_title2", "sim")
     theirs = held.select("target", F.col("title").alias("_title2"), F.col("day").alias("_day2"))
     mine = rows.where("day IS NOT NULL").select("id", "title", "day").join(close, "title")
     on_day = mine.join(theirs, [mine["_title2"] == theirs["_title2"], mine["day"] == theirs["_day2"]]).where(F.col("sim") >= SAME_DAY_TITLE).select("id", "target", "sim")
@@ -274,9 +278,10 @@ def import_actors(rows: DataFrame, held: DataFrame) -> DataFrame:
     by_name = named(rows, "id", "name", "others", core).join(cores, "_name").groupBy("id").agg(F.min("target").alias("_same"))
     own = rows.select("id", T.core_name(F.col("name")).alias("_own"))
     first = own.withColumn("_w", F.get(F.filter(T.words(F.col("_own")), lambda w: F.length(w) > 2), F.lit(0))).where("_w IS NOT NULL")
-    tokens = cores.withColumn("_w", F.explode(F.array_distinct(T.words(F.col("_name")))))
-    near = first.join(tokens, "_w").select("id", "target", "_own", "_name").distinct()
-    near = near.join(by_site, "id", "left_anti").join(by_name, "id", "left_anti").withColumn("r", T.token_sort_ratio(F.col("_own"), F.col("_name"))).where(F.col("r") >= POSSIBLE)
+    first, cores = first.withColumn("_sorted", in_order(F.col("_own"))), cores.withColumn("_sorted2", in_order(F.col("_name")))
+    met = edit_join(first, cores, "_sorted", "_sorted2", POSSIBLE).select("_sorted", "_sorted2", F.col("ratio").alias("r"))
+    near = first.join(met, "_sorted").join(cores, "_sorted2").where(F.array_contains(T.words(F.col("_name")), F.col("_w"))).select("id", "target", "r")
+    near = near.join(by_site, "id", "left_anti").join(by_name, "id", "left_anti")
     close = near.groupBy("id").agg(F.max(F.struct("r", (-F.col("target")).alias("_t"))).alias("_near"))
     j = rows.select("id").join(by_site, "id", "left").join(by_name, "id", "left").join(close, "id", "left")
     return j.select(
@@ -290,6 +295,65 @@ def import_actors(rows: DataFrame, held: DataFrame) -> DataFrame:
 # duplicates on a map
 
 
+def in_order(value: Column) -> Column:
+    """The words of a plain name in alphabetical order."""
+    return F.array_join(F.array_sort(T.words(value)), " ")
+
+
+def meeting(rows: DataFrame, left: Column, right: Column | None = None) -> DataFrame:
+    """k, k2 with k < k2: records with a filled value in common among two arrays of strings, the second's of the other record."""
+    x = rows.select(F.col("k").alias("x"), F.explode(F.array_distinct(left)).alias("v")).where("v <> ''")
+    y = rows.select(F.col("k").alias("y"), F.explode(F.array_distinct(left if right is None else right)).alias("v")).where("v <> ''")
+    return x.join(y, "v").where("x <> y").select(F.least("x", "y").alias("k"), F.greatest("x", "y").alias("k2"))
+
+
+def spelled(rows: DataFrame, value: Column, least: int) -> DataFrame:
+    """k, k2 with k < k2: records whose values are equal or of an indel ratio of `least`."""
+    own = rows.select("k", value.alias("v")).where("v <> ''")
+    met = edit_pairs(own, "v", least)
+    near = own.withColumnRenamed("v", "a").join(met, "a").join(own.select(F.col("k").alias("o"), F.col("v").alias("b")), "b").select(F.least("k", "o").alias("k"), F.greatest("k", "o").alias("k2"))
+    return meeting(rows, F.array(value)).union(near)
+
+
+def paired(rows: DataFrame, pairs: Sequence[DataFrame], columns: Sequence[str]) -> DataFrame:
+    """k, k2 of all the pairs, each once, with the columns of both records with _a and _b."""
+    every = reduce(DataFrame.union, pairs).distinct()
+    side = lambda s, k: rows.select(F.col("k").alias(k), *[F.col(c).alias(f"{c}_{s}") for c in columns])
+    return every.join(side("a", "k"), "k").join(side("b", "k2"), "k2")
+
+
+def actor_duplicates(rows: DataFrame) -> DataFrame:
+    """k, k2, decision: all pairs of organizations (k, name, others, website) that actor_match() merges or flags, each from a join on what its rule needs."""
+    plain, alternates = T.plain(F.col("name")), F.transform(F.coalesce("others", F.array().cast("array<string>")), T.plain)
+    long = F.filter(alternates, lambda n: F.length(n) >= LEAST_ALIAS)
+    pairs = [
+        spelled(rows, plain, CLOSE_NAME),
+        spelled(rows, in_order(plain), REORDERED),
+        meeting(rows, long),
+        meeting(rows, F.concat(T.bracketed(F.col("name")), F.array(plain)), long),
+        meeting(rows, F.array(T.normalize_name(F.col("name")))),
+        meeting(rows, F.array(F.coalesce(U.homepage(F.col("website")), F.lit("")))),
+    ]
+    bare = rows.where(T.normalize_name(F.col("name")) == "")  # names that are brackets alone have the same bare name, none
+    return actor_match(paired(rows, [*pairs, meeting(bare, F.array(F.lit("none")))], ["name", "others", "website"])).where("decision IS NOT NULL").select("k", "k2", "decision")
+
+
+def event_duplicates(rows: DataFrame) -> DataFrame:
+    """k, k2, decision: all pairs of events (k, name, website) that event_match() merges or flags."""
+    core, bare = T.series_key(F.col("name")), T.series_key(F.regexp_replace(F.col("name"), r"\([^)]*\)", " "))
+    own = rows.select("k", core.alias("c"))
+    within = subset_pairs(own.select("c").distinct().select("c", T.words(F.col("c")).alias("w")), "c", "w")
+    inside = own.join(within.withColumnRenamed("small", "c"), "c").select("k", "big").join(own.select(F.col("k").alias("o"), F.col("c").alias("big")), "big").where("k <> o").select(F.least("k", "o").alias("k"), F.greatest("k", "o").alias("k2"))
+    pairs = [spelled(rows, core, CLOSE_NAME), inside, meeting(rows, F.array(bare)), meeting(rows, F.array(U.key(F.coalesce(F.col("website"), F.lit("")))))]
+    return event_match(paired(rows, pairs, ["name", "website"])).where("decision IS NOT NULL").select("k", "k2", "decision")
+
+
+def person_duplicates(rows: DataFrame) -> DataFrame:
+    """k, k2: all pairs of people (k, name, website) that person_match() finds the same."""
+    pairs = [spelled(rows, T.plain(F.col("name")), CLOSE_NAME), meeting(rows, F.array(U.key(F.coalesce(F.col("website"), F.lit("")))))]
+    return person_match(paired(rows, pairs, ["name", "website"])).where("same").select("k", "k2")
+
+
 def actor_match(pairs: DataFrame) -> DataFrame:
     """pairs with decision: MERGE, FLAG or null for two organizations, columns name, others (array), website of each side with _a and _b.
 

@@ -89,6 +89,17 @@ def latest_value(df: DataFrame, keys: Sequence[str], values: Sequence[str], orde
     return df.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_best.{c}").alias(c) for c in values])
 
 
+def one_per_domain(rows: DataFrame, key: str, domain: Column, fit: str, state: str, accepted: str = "accepted") -> DataFrame:
+    """rows with duplicate_of: of the accepted rows of a domain the fittest stays (no fit counts -1, the least key wins a tie), the others are in state "duplicate" of it.
+
+    The winners are one aggregate with map-side combine, joined back, so a domain of any size is never sorted in one task.
+    """
+    placed = rows.withColumn("_domain", F.when(F.col(state) == accepted, F.nullif(domain, F.lit(""))))
+    best = placed.where("_domain IS NOT NULL").groupBy("_domain").agg(F.max_by(key, F.struct(F.coalesce(F.col(fit), F.lit(-1)), -F.col(key))).alias("_best"))
+    loses = F.col("_best").isNotNull() & (F.col("_best") != F.col(key))
+    return placed.join(best, "_domain", "left").withColumns({state: F.when(loses, "duplicate").otherwise(F.col(state)), "duplicate_of": F.when(loses, F.col("_best"))}).drop("_domain", "_best")
+
+
 def with_total(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0, total: str = "total") -> DataFrame:
     """A page of rows with the count of all rows beside each; the count is an aggregate, not a window over one partition."""
     page = df.orderBy(*order).offset(offset).limit(limit)

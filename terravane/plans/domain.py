@@ -124,12 +124,13 @@ def _(t):
     return R.on_domains(hosts, "host", held, "domain").select("page_id")
 
 
-@plan("er02_duplicate_names", f"SELECT a, b, CASE WHEN contains(replace(a, ' ', ''), replace(b, ' ', '')) OR contains(replace(b, ' ', ''), replace(a, ' ', '')) THEN 'containment' WHEN {JACCARD_SQL} >= 0.3 THEN 'words' END AS reason FROM {PAIRS_SQL}")
+@plan(
+    "er02_duplicate_names",
+    f"""SELECT a, b, CASE WHEN least(length(replace(a, ' ', '')), length(replace(b, ' ', ''))) >= 5 AND (contains(replace(a, ' ', ''), replace(b, ' ', '')) OR contains(replace(b, ' ', ''), replace(a, ' ', ''))) THEN 'containment' WHEN {JACCARD_SQL} >= 0.3 THEN 'words' END AS reason
+    FROM (SELECT a.name AS a, b.name AS b FROM {NAMES} a JOIN {NAMES} b ON a.name < b.name) WHERE reason IS NOT NULL""",
+)
 def _(t):
-    ca, cb = F.replace("a", F.lit(" "), F.lit("")), F.replace("b", F.lit(" "), F.lit(""))
-    short = F.least(F.length(ca), F.length(cb)) >= 5
-    reason = F.when(short & (F.contains(ca, cb) | F.contains(cb, ca)), "containment").when(T.jaccard(F.split("a", " "), F.split("b", " ")) >= 0.3, "words")
-    return name_pairs(t).select("a", "b", reason.alias("reason"))
+    return E.duplicate_names(names(t), "name", 0.3)
 
 
 @plan("er03_ranked_candidates", f"SELECT a, b, CAST(row_number() OVER (ORDER BY j DESC, a, b) AS INTEGER) AS position FROM (SELECT a, b, {JACCARD_SQL} AS j FROM {PAIRS_SQL}) ORDER BY position LIMIT 150")
@@ -430,10 +431,17 @@ def _(t):
     return t.orders.select("o_orderkey", L.basis(F.col("o_orderstatus")).alias("basis"))
 
 
-@plan("cu09_exact_duplicates", "SELECT DISTINCT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND lower(a.p_name) = lower(b.p_name) AND a.p_brand = b.p_brand")
+@plan(
+    "cu09_exact_duplicates",
+    """WITH r AS (SELECT p_partkey AS key, CASE WHEN p_size > 2 THEN CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END END AS name, CASE WHEN p_size % 3 > 0 THEN 'https://' || lower(p_brand) || '.example.org/' || p_size || '/' || p_type END AS site FROM part)
+    SELECT key, lower(name) AS name, CASE WHEN name IS NOT NULL THEN min(key) OVER (PARTITION BY lower(name)) END AS by_name, CASE WHEN site IS NOT NULL THEN min(key) OVER (PARTITION BY site) END AS by_site FROM r QUALIFY by_name < key OR by_site < key""",
+)
 def _(t):
-    own = t.part.select(F.col("p_partkey").alias("a"), F.lower("p_name").alias("n"), "p_brand")
-    return own.join(own.withColumnRenamed("a", "b"), ["n", "p_brand"]).where("a < b").select("a", "b").distinct()
+    name = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name"))
+    site = F.concat(F.lit("https://"), F.lower("p_brand"), F.lit(".example.org/"), F.col("p_size"), F.lit("/"), "p_type")
+    rows = t.part.select(F.col("p_partkey").alias("key"), F.when(F.col("p_size") > 2, name).alias("name"), F.when(F.col("p_size") % 3 > 0, site).alias("site"))
+    found = C.exact_duplicates(rows, "key", "name", "site")
+    return found.where("by_name < key OR by_site < key").select("key", F.lower("name").alias("name"), "by_name", "by_site")
 
 
 # schedules

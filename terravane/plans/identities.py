@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import identity as I
+from ..operators.similarity import set_pairs
 from .registry import plan
 
 #: Organizations as sheets name them, made from the parts table: wholes, parts of them, places, numbers, short forms.
@@ -174,29 +175,25 @@ def _(t):
     return I.import_actors(organizations(t).where("p_partkey % 2 = 1").withColumnRenamed("p_partkey", "id"), held_organizations(t))
 
 
-def sided(t):
-    """Pairs of organizations of one word in common, with names, alternates and sites of both."""
+def listed_once(t):
+    """Organizations by name: k, name, others, website."""
     rows = organizations(t).groupBy("name").agg(F.min("p_partkey").alias("k"), F.min(F.get("others", F.lit(0))).alias("o"), F.min("website").alias("website"))
-    rows = rows.select("k", "name", F.when(F.col("o").isNotNull(), F.array("o")).alias("others"), "website")
-    words = rows.select("k", F.explode(F.filter(T.words(T.plain(F.col("name"))), lambda w: F.length(w) >= 3)).alias("_w"))
-    common = words.join(words.withColumnRenamed("k", "k2"), "_w").where("k < k2").select("k", "k2").distinct()
-    side = lambda s, k: rows.select(F.col("k").alias(k), *[F.col(c).alias(f"{c}_{s}") for c in ("name", "others", "website")])
-    return common.join(side("a", "k"), "k").join(side("b", "k2"), "k2")
+    return rows.select("k", "name", F.when(F.col("o").isNotNull(), F.array("o")).alias("others"), "website")
 
 
 @plan("er15_actor_duplicates")
 def _(t):
-    return I.actor_match(sided(t)).where("decision IS NOT NULL").select("k", "k2", "decision")
+    return I.actor_duplicates(listed_once(t))
 
 
 @plan("er16_event_duplicates")
 def _(t):
-    return I.event_match(sided(t)).where("decision IS NOT NULL").select("k", "k2", "decision")
+    return I.event_duplicates(listed_once(t))
 
 
 @plan("er17_person_duplicates")
 def _(t):
-    return I.person_match(sided(t)).where("same").select("k", "k2")
+    return I.person_duplicates(listed_once(t))
 
 
 @plan(
@@ -243,9 +240,10 @@ def _(t):
     return I.linked_people(rows.withColumn("organization", F.when(F.col("person") % 2 == 0, F.col("organization"))), actors)
 
 
-@plan("jn13_upper_triangle", f"WITH {DESCRIBED} SELECT a, b FROM p WHERE len(list_intersect(wa, wb)) / len(list_distinct(list_concat(wa, wb))) >= 0.6")
+@plan("jn13_upper_triangle", f"WITH {DESCRIBED.split(', p AS' if ', p AS' in DESCRIBED else ',' + chr(10) + 'p AS')[0]} SELECT a.name AS a, b.name AS b FROM d a JOIN d b ON a.name < b.name AND len(a.wd) > 0 AND len(b.wd) > 0 AND len(list_intersect(a.wd, b.wd)) / len(list_distinct(list_concat(a.wd, b.wd))) >= 0.6")
 def _(t):
-    return named_pairs(t).where(T.jaccard(F.col("_words_a"), F.col("_words_b")) >= 0.6).select("a", "b")
+    rows = I.described(organizations(t).select("name").distinct(), "name")
+    return set_pairs(rows, "name", "_words", 0.6).select("a", "b")
 
 
 REGISTERED = f"CASE WHEN p_size % 2 = 0 THEN {ORG} ELSE regexp_replace({ORG}, ' [(].*', '') || CASE WHEN p_size > 40 THEN ' (UX)' ELSE '' END END"

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import urls as U
 from ..operators import relational as R
 from .registry import plan
 
@@ -715,12 +716,16 @@ def _(t):
     return rows.join(best, "domain").select("page_id", F.col("b.page_id").alias("kept_id"))
 
 
-@plan("tk12_accepted_domains", "SELECT page_id, CASE WHEN rn = 1 THEN 'accepted' ELSE 'duplicate' END AS state FROM (SELECT page_id, row_number() OVER (PARTITION BY split_part(split_part(url, '://', 2), '/', 1) ORDER BY coalesce(CASE WHEN page_id % 4 > 0 THEN page_id % 4 END, -1) DESC, page_id) AS rn FROM pages)")
+@plan(
+    "tk12_accepted_domains",
+    """WITH p AS (SELECT page_id, CASE WHEN page_id % 4 > 0 THEN page_id % 4 END AS fit, page_id % 5 > 0 AS accepted, string_split(split_part(split_part(url, '://', 2), '/', 1), '.') AS l FROM pages),
+    d AS (SELECT *, CASE WHEN NOT accepted THEN NULL WHEN len(l) > 2 AND length(l[-1]) = 2 AND list_contains(['ac', 'co', 'com', 'edu', 'gov', 'net', 'org'], l[-2]) THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS domain FROM p)
+    SELECT page_id, CASE WHEN NOT accepted THEN 'rejected' WHEN domain IS NULL OR first_value(page_id) OVER w = page_id THEN 'accepted' ELSE 'duplicate' END AS state, CASE WHEN domain IS NOT NULL AND first_value(page_id) OVER w <> page_id THEN first_value(page_id) OVER w END AS duplicate_of
+    FROM d WINDOW w AS (PARTITION BY domain ORDER BY coalesce(fit, -1) DESC, page_id)""",
+)
 def _(t):
-    host = F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1))
-    fit = F.coalesce(F.when(F.col("page_id") % 4 > 0, F.col("page_id") % 4), F.lit(-1))
-    w = Window.partitionBy(host).orderBy(fit.desc(), "page_id")
-    return t.pages.select("page_id", F.when(F.row_number().over(w) == 1, "accepted").otherwise("duplicate").alias("state"))
+    rows = t.pages.select("page_id", "url", F.when(F.col("page_id") % 4 > 0, F.col("page_id") % 4).alias("fit"), F.when(F.col("page_id") % 5 > 0, "accepted").otherwise("rejected").alias("state"))
+    return R.one_per_domain(rows, "page_id", U.registrable(F.col("url")), "fit", "state").select("page_id", "state", "duplicate_of")
 
 
 @plan("tk13_first_seen_cap", "SELECT url, first_id, CASE WHEN rn <= 200 THEN 'kept' ELSE 'capped' END AS state FROM (SELECT url, min(page_id) AS first_id, row_number() OVER (ORDER BY min(page_id)) AS rn FROM pages GROUP BY 1)")
