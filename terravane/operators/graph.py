@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-from pathlib import Path
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
+
 
 def families(nodes: DataFrame, edges: DataFrame, node: str, child: str, parent: str, depth: int = 32) -> DataFrame:
     """node, root, resolved: the one root that all paths upward reach; cycles, several roots and paths over `depth` fail closed.
@@ -83,12 +81,7 @@ def _followed(pointers: DataFrame, most_rounds: int) -> DataFrame:
 
 
 def _checkpoint_dir(spark) -> None:
-    """The folder of spark.checkpoint.dir, which a cluster sets, becomes the checkpoint folder; only a local session without one gets its own."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = Path(tempfile.mkdtemp(prefix="terravane-")).as_uri()
-    spark.sparkContext.setCheckpointDir(found)
+    """The shared folder becomes the checkpoint folder, unless one is set."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        folder = shared_folder(spark)
+        spark.sparkContext.setCheckpointDir(folder)

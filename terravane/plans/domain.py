@@ -11,12 +11,14 @@ from ..operators import entity as E
 from ..operators import evaluation as V
 from ..operators import facts as FA
 from ..operators import graph as G
+from ..operators import index as X
 from ..operators import ledger as L
 from ..operators import places as P
 from ..operators import relational as R
 from ..operators import schedule as SM
 from ..operators import scoring as S
 from ..operators import search as Q
+from ..sources.shared import fresh_path
 from .registry import plan
 from .scalars import LAT, LON, MILES, lat, lon
 
@@ -47,6 +49,22 @@ def _(t):
     return Q.keyword_top(R.spread(t.documents.select("doc_id", "text"), "doc_id"), "doc_id", "text", QUERY, 50)
 
 
+@plan("tk01_vector_index")
+def _(t):
+    rows = t.embeddings.select("vec_id", "embedding")
+    centroids, probes = X.fitted_centroids(rows, "vec_id", "embedding")
+    index = X.write_vector_index(rows, "vec_id", "embedding", centroids, fresh_path(rows.sparkSession, "vectors"))
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "embedding")
+    return X.vector_index_top(index, asked, "vec_id", "embedding", centroids, probes, 10)
+
+
+@plan("tk02_block_max", f"WITH {KEYWORD_SQL} SELECT doc_id, score FROM kw")
+def _(t):
+    docs = R.spread(t.documents.select("doc_id", "text"), "doc_id")
+    index = X.write_postings(docs, "doc_id", "text", fresh_path(docs.sparkSession, "postings"))
+    return X.block_max_top(index, QUERY, docs.count(), 50, "doc_id")
+
+
 @plan(
     "tk03_hybrid_rrf",
     f"""WITH {KEYWORD_SQL}, {VECTOR_SQL}, r AS (SELECT doc_id, row_number() OVER (ORDER BY distance, doc_id) AS rank, 1 AS list FROM vec UNION ALL SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id), 2 FROM kw)
