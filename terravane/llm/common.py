@@ -81,8 +81,15 @@ def _clean() -> None:
 
 
 def in_batches(df: DataFrame, run, schema, most: int = BATCH_BYTES) -> DataFrame:
-    """df.mapInArrow in batches of at most so many bytes, whatever the length of the rows (a setting of the session)."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+    """df.mapInArrow in batches of at most so many bytes, whatever the length of the rows.
+
+    The bound is a setting of the session, read when the plan runs. It is only ever lowered, so a plan that has not run yet keeps its bound, and
+    so does a caller who set a lower one.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", conf.get(name) or "")
+    if not (now and 0 < int(now[1]) <= most):
+        conf.set(name, str(most))
     return df.mapInArrow(run, schema)
 
 

@@ -1,9 +1,8 @@
 """Line dedup: site-relative frequency.
 
 For each host, the pages that hold a line are divided by the pages of the host, and lines above the boilerplate ratio are
-dropped. The page itself does not count on either side: a line is boilerplate where more than that share of the host's other pages
-hold it, so a line of one page alone never is, however few pages the host has. Lines are counted by digest with map-side combine, so a hot host or a line on every page is summed before the
-shuffle. A line above the ratio r is on about r of its host's pages at least, so a host with L lines a page has at most L / r
+dropped. A line of one page alone repeats nowhere and stays, however few pages its host has. Lines are counted by digest with map-side combine, so a hot host or a line on every page is summed before the
+shuffle. A line above the ratio r is on a share r of its host's pages at least, so a host with L lines a page has at most L / r
 such lines: the digests of a host fit one row. Those rows are joined back to the pages, by broadcast if their measured
 size is small and else by a join salted so that a hot host is spread; no page text is ever shuffled by host.
 
@@ -20,9 +19,9 @@ from pyspark.sql import functions as F
 from ..operators.relational import spread
 from .common import table, written
 
-#: A line on more than this share of its host's other pages is boilerplate.
+#: A line on more than this share of its host's pages is boilerplate.
 MAX_RATIO = 0.05
-#: Boilerplate digests are broadcast up to this number in all (16 bytes each), and joined by salted shuffle beyond.
+#: Boilerplate digests are broadcast up to this number in all (32 characters each), and joined by salted shuffle beyond.
 BROADCAST_LINES = 1_000_000
 SALTS = 32
 _SPACE = " \t\n\x0b\x0c\r"
@@ -46,39 +45,34 @@ def boilerplate(docs: DataFrame, host: Column, text: Column, max_ratio: float =
     often = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return (
         often.join(totals, F.col("host").eqNullSafe(F.col("_of")))
-        .where(F.col("n") - 1 > max_ratio * (F.col("pages") - 1))
+        .where(F.col("n") > max_ratio * F.col("pages"))
         .groupBy("host")
         .agg(F.collect_list(F.lower(F.hex("line"))).alias("lines"))
     )
 
 
 def line_dedup(docs: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO) -> DataFrame:
-    """docs with the boilerplate lines taken out of text_col; two more columns, _lines_in and _lines_out, count lines."""
-    host = F.col(host_col)
-    found = written(boilerplate(docs, host, F.col(text_col), max_ratio), "boilerplate")
+    """docs with the boilerplate lines taken out of text_col; two more columns, _lines_in and _lines_out, count lines, in place of columns of these names."""
+    found = written(boilerplate(docs, F.col(host_col), F.col(text_col), max_ratio), "boilerplate")
     n = found.agg(F.sum(F.size("lines"))).first()[0] or 0
-    found = found.select(F.col("host").alias("_ld_host"), F.col("lines").alias("_ld_lines"))
-    same = host.eqNullSafe(F.col("_ld_host"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # names of the input stand inside and meet none of this operator's
+    host, text = F.col("row").getField(host_col), F.col("row").getField(text_col)
+    same = host.eqNullSafe(F.col("of_host"))
+    found = found.select(F.col("host").alias("of_host"), F.col("lines").alias("known"))
     if n <= BROADCAST_LINES:
-        joined = docs.join(F.broadcast(found), same, "left")
+        joined = rows.join(F.broadcast(found), same, "left")
     else:
-        salted = found.withColumn("_ld_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        with_salt = docs.withColumn("_ld_of", F.pmod(F.xxhash64(text_col), F.lit(SALTS)).cast("int"))
-        joined = with_salt.join(salted, same & (F.col("_ld_of") == F.col("_ld_salt")), "left").drop("_ld_of", "_ld_salt")
-    lines = F.split(text_col, "\n")
+        salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.join(salted, same & (F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int") == F.col("salt")), "left")
+    lines = F.split(text, "\n")
     digests = F.transform(lines, lambda x: _digest(_key(x)))
     # the page's own boilerplate first, by hash set: a page costs its lines and its host's list, not their product
-    hits = F.when(F.col("_ld_lines").isNotNull() & F.col(text_col).isNotNull(), F.array_intersect(digests, "_ld_lines"))
-    known = joined.withColumn("_ld_hits", hits)
-    cut = F.coalesce(F.size("_ld_hits"), F.lit(0)) > 0
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_ld_hits"), _digest(_key(x))))
-    return (
-        known.withColumn("_lines_in", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("bigint"))
-        .withColumn("_ld_kept", F.when(cut, kept))
-        .withColumn("_lines_out", F.when(cut, F.size("_ld_kept")).otherwise(F.col("_lines_in")).cast("bigint"))
-        .withColumn(text_col, F.when(cut, F.array_join("_ld_kept", "\n")).otherwise(F.col(text_col)))
-        .drop("_ld_kept", "_ld_hits", "_ld_host", "_ld_lines")
-    )
+    known = joined.select("row", F.when(F.col("known").isNotNull() & text.isNotNull(), F.array_intersect(digests, "known")).alias("hits"))
+    cut = F.coalesce(F.size("hits"), F.lit(0)) > 0
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("hits"), _digest(_key(x))))
+    told = known.select("row", F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("bigint").alias("lines_in"), F.when(cut, kept).alias("kept"))
+    out = [F.when(F.col("kept").isNotNull(), F.array_join("kept", "\n")).otherwise(text).alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("_lines_in", "_lines_out")]
+    return told.select(*out, F.col("lines_in").alias("_lines_in"), F.when(F.col("kept").isNotNull(), F.size("kept")).otherwise(F.col("lines_in")).cast("bigint").alias("_lines_out"))
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -95,7 +89,7 @@ WITH l AS (
 h AS (SELECT source AS host, count(*) AS pages FROM documents GROUP BY 1),
 b AS (
   SELECT x.host, x.key FROM (SELECT host, key, count(DISTINCT doc_id) AS n FROM l WHERE key <> '' GROUP BY 1, 2) x JOIN h ON h.host IS NOT DISTINCT FROM x.host
-  WHERE n - 1 > 0.05 * (pages - 1)
+  WHERE n > 1 AND n > 0.05 * pages
 ),
 k AS (SELECT l.doc_id, i, line, b.key IS NULL AS stays FROM l LEFT JOIN b ON b.host IS NOT DISTINCT FROM l.host AND b.key = l.key)
 SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE stays), '') AS text,

@@ -4,8 +4,8 @@ Learned filters slide over the UTF-8 bytes of the whole document; a filter's res
 entries, one for each byte of its width. Responses are max-pooled over chunks of two blocks that overlap by one, a linear
 layer gives each chunk a logit, and the mean logit of all chunks gives the document's probability.
 
-The network is fitted on the driver on a bounded, documented sample of labelled rows (TRAIN_ROWS a class, TRAIN_CHUNKS
-chunks of each, cut out on the executors), drawn by hash of the id, from rows outside the held-out fold only. Scoring
+The network is fitted on the driver on a bounded, documented sample of labelled rows (TRAIN_ROWS a class), whole texts, drawn by hash of the
+id, from rows outside the held-out fold only. A step draws some chunks of each of its texts anew, from the whole text, so what a fit sees is no prefix and no fixed part. Scoring
 reads every byte of every document in Arrow batches and shuffles nothing; the model is a constant of 80 KB.
 
 Defined cases: null text counts as empty, and an empty text is one padding byte; without labels of both classes every
@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 
 from ..operators.relational import spread
 from .chunks import text_slices
-from .common import in_batches, table
+from .common import in_batches, table, text_of
 
 BLOCK = 256  # a chunk is two blocks, and starts at each block
 WIDTH, FILTERS = 5, 16
-#: Bounds of the sample that is fitted: rows of each class, chunks of each row.
-TRAIN_ROWS, TRAIN_CHUNKS = 1500, 4
+#: The bound of the sample that is fitted: rows of each class.
+TRAIN_ROWS = 1500
+#: Chunks of a text that a step of the fit draws.
+DRAWN = 4
 STEPS, BATCH_ROWS, RATE, DECAY = 400, 50, 0.02, 1e-4
 THRESHOLD = 0.7
 #: Positions whose responses are held at once.
@@ -90,38 +92,36 @@ class ByteCNN:
         chunk, owner = chunk[~last_of_many].astype(np.float64), owner[~last_of_many]
         return np.bincount(owner, chunk, len(texts)) / np.bincount(owner, minlength=len(texts))
 
-    def fit(self, rows: list[list[bytes]], labels: np.ndarray, seed: int = 11) -> None:
-        """Adam on the logistic loss of documents given as up to TRAIN_CHUNKS chunks each, classes weighted equally."""
+    def fit(self, texts: list[bytes], labels: np.ndarray, seed: int = 11) -> None:
+        """Adam on the logistic loss of whole documents, DRAWN random chunks of each a step, classes weighted equally."""
         size = 2 * BLOCK + WIDTH - 1
-        chunks = np.zeros((sum(map(len, rows)), size), np.uint8)
-        owner = np.empty(len(chunks), np.int64)
-        i = 0
-        for d, own in enumerate(rows):
-            for c in own:
-                chunks[i, : min(len(c), size)] = np.frombuffer(c[:size], np.uint8)
-                owner[i] = d
-                i += 1
-        counts = np.bincount(owner, minlength=len(rows))
-        firsts = np.concatenate([[0], np.cumsum(counts)])
+        lengths = np.array([max(1, len(t)) for t in texts])
+        at = np.concatenate([[0], np.cumsum(lengths + size)])  # each text is followed by a chunk of padding
+        data = np.zeros(at[-1], np.uint8)
+        for a, t in zip(at, texts):
+            data[a : a + len(t)] = np.frombuffer(t, np.uint8)
+        starts = -(-np.maximum(1, lengths - BLOCK) // BLOCK)  # as many as there are chunks in scoring
         share = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-9), 0.5 / max(1 - labels.mean(), 1e-9))
         params = [self.tables, self.bias, self.weight, self.offset]
         m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
         rng = np.random.default_rng(seed)
-        order = rng.permutation(len(rows))
+        order = rng.permutation(len(texts))
         while t < STEPS:
             for s in range(0, len(order), BATCH_ROWS):
                 docs = order[s : s + BATCH_ROWS]
-                take = np.concatenate([np.arange(firsts[d], firsts[d + 1]) for d in docs])
-                local = np.repeat(np.arange(len(docs)), counts[docs])
-                x = chunks[take]
+                drawn = [rng.permutation(starts[d])[:DRAWN] if starts[d] <= 4 * DRAWN else rng.integers(0, starts[d], DRAWN) for d in docs]
+                counts = np.array([len(c) for c in drawn])
+                local = np.repeat(np.arange(len(docs)), counts)
+                first = at[docs][local] + np.concatenate(drawn) * BLOCK
+                x = data[first[:, None] + np.arange(size)]
                 r = self.responses(x)
                 where = r.argmax(axis=1)  # chunk, filter -> position
                 peak = np.take_along_axis(r, where[:, None, :], axis=1)[:, 0, :] + self.bias
                 hidden = np.maximum(peak, 0)
-                logit = np.bincount(local, hidden @ self.weight, len(docs)) / counts[docs] + self.offset[0]
+                logit = np.bincount(local, hidden @ self.weight, len(docs)) / counts + self.offset[0]
                 p = 1 / (1 + np.exp(-logit))
                 g = ((p - labels[docs]) * share[docs] / len(docs)).astype(np.float32)
-                gc = (g / counts[docs])[local].astype(np.float32)
+                gc = (g / counts)[local].astype(np.float32)
                 back = gc[:, None] * self.weight * (peak > 0)
                 grads = [np.zeros_like(self.tables), back.sum(0), hidden.T @ gc, np.array([g.sum()], np.float32)]
                 f = np.broadcast_to(np.arange(FILTERS), where.shape)
@@ -133,7 +133,7 @@ class ByteCNN:
                     m[j] = 0.9 * m[j] + 0.1 * d
                     v[j] = 0.999 * v[j] + 0.001 * d * d
                     q -= (RATE * (1 - 0.9 * t / max(t, STEPS)) * (m[j] / (1 - 0.9**t)) / (np.sqrt(v[j] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
-            order = rng.permutation(len(rows))
+            order = rng.permutation(len(texts))
 
 
 def usable_labels(labels: DataFrame) -> DataFrame:
@@ -143,33 +143,21 @@ def usable_labels(labels: DataFrame) -> DataFrame:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, quality, chunks (array of binary): at most TRAIN_ROWS ids a class, none of the held-out fold, one row each, however often an id repeats."""
+    """doc_id, quality, text: at most TRAIN_ROWS ids a class, none of the held-out fold, one row each, the least text, however often an id repeats."""
     usable = usable_labels(labels)
     picked = [usable.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS) for q in (0, 1)]
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").select("doc_id", "quality", "text")
-
-    def cut(batches):
-        size = 2 * BLOCK + WIDTH - 1
-        for part, texts in text_slices(batches, 2):
-            chunks = []
-            for text in texts.to_pylist():
-                data = text.encode("utf-8")
-                last = max(0, len(data) - size)
-                n = min(TRAIN_CHUNKS, 1 + len(data) // BLOCK)
-                chunks.append([data[a : a + size] for a in (last * i // max(1, n - 1) for i in range(n))])
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(chunks, pa.list_(pa.binary()))], ["doc_id", "quality", "chunks"])
-
-    return in_batches(rows, cut, "doc_id bigint, quality int, chunks array<binary>").groupBy("doc_id", "quality").agg(F.min("chunks").alias("chunks"))
+    rows = docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
+    return rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> ByteCNN | float:
     """The fitted network; the smoothed share of label 1 where labels of both classes are missing."""
-    rows = sorted(((r.doc_id, r.quality, [bytes(c) for c in r.chunks]) for r in training_sample(docs.select(F.col("doc_id").cast("bigint"), "text"), labels).collect()), key=lambda r: (r[0], r[2]))
+    rows = sorted(tuple(r) for r in training_sample(docs.select(F.col("doc_id").cast("bigint"), "text"), labels).collect())
     y = np.array([r[1] for r in rows], np.float64)
     if len(set(y.tolist())) < 2:
         return (float(y.sum()) + 1) / (len(y) + 2)
     net = ByteCNN()
-    net.fit([r[2] for r in rows], y)
+    net.fit([r[2].encode() for r in rows], y)
     # classes count equally in the fit; the offset brings back their odds among all usable labels, which decide texts too short to tell
     zeros, ones = usable_labels(labels).agg(F.sum(1 - F.col("quality")), F.sum("quality")).first()
     net.offset += np.float32(np.log(max(1, ones) / max(1, zeros)))

@@ -1,8 +1,9 @@
 """Quality rules, native: per-document rule counts, host-level verdicts with an empirical beta prior.
 
 Every count is a DataFrame expression over the whole text of one row, O(n log n) in its words. Rule failures are summed by
-host (map-side combine), each host's failure rate is shrunk towards the rate of all hosts by a beta prior fitted by
-moments, and hosts whose shrunk rate is too high are joined back; their documents go.
+host (map-side combine), each host's failure rate is shrunk towards the rate of all documents by a beta prior, and hosts whose shrunk rate
+stands far above the prior are joined back; their documents go. The prior is fitted by moments that take each host's number of documents into account, so the noise
+of small hosts does not count as spread between hosts.
 
 Defined cases: null text has no words and fails; a null host is a host of its own, apart from the empty one; a table of one host, or hosts of equal
 rates, uses the fallback prior strength; an empty table gives an empty result; rows of one id are judged one by one.
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.relational import spread
-from .common import let, table, text_of, written
+from .common import let, small, table, text_of, written
 
 #: The white space of the word rule, and the symbols counted.
 SPACE = " \t\n\x0b\x0c\r"
@@ -26,11 +27,11 @@ MAX_REPEAT_PERCENT = 50
 #: Extra rules that only count towards the host: symbols over words, repeated lines over lines with words.
 MAX_SYMBOLS_PER_WORD = 0.5
 MAX_DUP_LINES = 0.3
-#: A host goes when its shrunk failure rate is above this.
-MAX_HOST_RATE = 0.6
+#: A host goes when its shrunk failure rate is above the prior's mean by so many of its standard deviations, but never below the first of these rates and always above the second.
+MAX_DEVIATIONS, LEAST_HOST_RATE, MOST_HOST_RATE = 3.0, 0.25, 0.6
 #: Pseudo-documents of the prior where moments cannot be fitted, and the bounds of what is fitted.
 FALLBACK_STRENGTH, LEAST_STRENGTH, MOST_STRENGTH = 20.0, 2.0, 1000.0
-#: Rejected hosts up to this number are broadcast (their names alone); beyond it the join shuffles.
+#: Hosts up to this number are broadcast (their names and rates); beyond it the join shuffles.
 BROADCAST_HOSTS = 100_000
 
 
@@ -99,7 +100,7 @@ def rule_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def host_rates(counts: DataFrame) -> DataFrame:
-    """host, n_docs, n_failed, rate, shrunk: failures of any rule by host, with the rate shrunk by the fitted beta prior."""
+    """host, n_docs, n_failed, rate, shrunk, rejected: failures of any rule by host, with the rate shrunk by the fitted beta prior."""
     failed = (
         F.col("base_failed")
         | (F.col("n_symbols") > MAX_SYMBOLS_PER_WORD * F.col("n_words"))
@@ -107,26 +108,35 @@ def host_rates(counts: DataFrame) -> DataFrame:
     )
     hosts = counts.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(failed.cast("bigint")).alias("n_failed"))
     hosts = written(hosts.withColumn("rate", F.col("n_failed") / F.col("n_docs")), "hosts")
-    m, v = hosts.agg(F.avg("rate"), F.var_pop("rate")).first()  # one row of two numbers
-    m = m if m is not None else 0.0
-    strength = m * (1 - m) / v - 1 if v else FALLBACK_STRENGTH
-    strength = min(max(strength, LEAST_STRENGTH), MOST_STRENGTH)
-    return hosts.withColumn("shrunk", (F.col("n_failed") + m * strength) / (F.col("n_docs") + strength))
+    n, x, squares, k = hosts.agg(F.sum("n_docs"), F.sum("n_failed"), F.sum(F.col("n_docs").cast("double") * F.col("n_docs")), F.count(F.lit(1))).first()  # one row of numbers
+    m = x / n if n else 0.0
+    s = hosts.agg(F.sum(F.col("n_docs") * (F.col("rate") - m) ** 2)).first()[0] or 0.0
+    strength = prior_strength(m, s, n or 0, squares or 0.0, k)
+    limit = min(MOST_HOST_RATE, max(LEAST_HOST_RATE, m + MAX_DEVIATIONS * (m * (1 - m) / (strength + 1)) ** 0.5))
+    return hosts.withColumn("shrunk", (F.col("n_failed") + m * strength) / (F.col("n_docs") + strength)).withColumn("rejected", F.col("shrunk") > limit)
+
+
+def prior_strength(m: float, s: float, n: int, squares: float, k: int) -> float:
+    """Pseudo-documents of the beta prior by moments: of s, the weighted squares of rates around m, k - 1 times m (1 - m) is the sampling noise of k hosts; the rest is the spread between them."""
+    room = n - squares / n - (k - 1) if n else 0.0
+    if not 0 < m < 1 or room <= 0:
+        return FALLBACK_STRENGTH
+    share = (s - m * (1 - m) * (k - 1)) / (m * (1 - m) * room)
+    return MOST_STRENGTH if share <= 0 else min(max(1 / share - 1, LEAST_STRENGTH), MOST_STRENGTH)
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The counts of rule_counts with `kept`: false if the document fails the base rules or its host is rejected."""
+    """The counts of rule_counts with host_rate, host_shrunk and kept: false if the document fails the base rules or its host is rejected."""
     counts = written(rule_counts(docs, id_col, text_col, host_col), "rule-counts")
-    bad = host_rates(counts).where(F.col("shrunk") > MAX_HOST_RATE).select(F.col("host").alias("_bad"), F.lit(True).alias("_host_bad"))
-    if bad.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
-        bad = F.broadcast(bad)
-    judged = counts.join(bad, counts.host.eqNullSafe(F.col("_bad")), "left")
-    return judged.withColumn("kept", ~F.col("base_failed") & F.col("_host_bad").isNull()).drop("_bad", "_host_bad")
+    rates = written(host_rates(counts).select(F.col("host").alias("_of"), F.col("rate").alias("host_rate"), F.col("shrunk").alias("host_shrunk"), "rejected"), "rates")
+    judged = counts.join(small(rates, BROADCAST_HOSTS), counts.host.eqNullSafe(F.col("_of")), "left")
+    return judged.withColumn("kept", ~F.col("base_failed") & ~F.col("rejected")).drop("_of", "rejected")
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
     return quality_rules(spread(table(spark, sf_dir, "documents"), "doc_id")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.floor(F.col("host_rate") * 1e6 + 0.5).alias("host_rate_e6"), F.floor(F.col("host_shrunk") * 1e6 + 0.5).alias("host_shrunk_e6")
     )
 
 
@@ -156,10 +166,12 @@ h AS (
   SELECT host, count(*) AS n, count(*) FILTER (WHERE base_failed OR n_symbols > 0.5 * n_words OR n_dup_lines > 0.3 * n_lines) AS x
   FROM f GROUP BY host
 ),
-p AS (SELECT avg(x / n) AS m, var_pop(x / n) AS v FROM h),
-s AS (SELECT m, least(greatest(CASE WHEN v > 0 THEN m * (1 - m) / v - 1 ELSE 20.0 END, 2.0), 1000.0) AS k FROM p),
-bad AS (SELECT host, true AS gone FROM h, s WHERE (x + m * k) / (n + k) > 0.6)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND gone IS NULL AS kept
-FROM f LEFT JOIN bad ON bad.host IS NOT DISTINCT FROM f.host
+t AS (SELECT sum(n)::DOUBLE AS n, sum(x) / sum(n) AS m, sum(n::DOUBLE * n) AS q, count(*) AS k FROM h),
+p AS (SELECT any_value(t.n) AS n, any_value(m) AS m, any_value(q) AS q, any_value(k) AS k, sum(h.n * (h.x / h.n - m) ** 2) AS s FROM h, t),
+u AS (SELECT m, n - q / n - (k - 1) AS room, (s - m * (1 - m) * (k - 1)) / nullif(m * (1 - m) * (n - q / n - (k - 1)), 0) AS share FROM p),
+s AS (SELECT m, CASE WHEN NOT (m > 0 AND m < 1) OR room <= 0 THEN 20.0 WHEN share <= 0 THEN 1000.0 ELSE least(greatest(1 / share - 1, 2.0), 1000.0) END AS k FROM u),
+r AS (SELECT host, x / n AS rate, (x + m * k) / (n + k) AS shrunk, least(0.6, greatest(0.25, m + 3 * sqrt(m * (1 - m) / (k + 1)))) AS most FROM h, s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND shrunk <= most AS kept,
+       CAST(floor(rate * 1e6 + 0.5) AS BIGINT) AS host_rate_e6, CAST(floor(shrunk * 1e6 + 0.5) AS BIGINT) AS host_shrunk_e6
+FROM f LEFT JOIN r ON r.host IS NOT DISTINCT FROM f.host
 """

@@ -113,15 +113,36 @@ def test_quality_rules_hosts(spark):
     assert quality_rules.quality_rules(docs(spark, [])).count() == 0
 
 
+def test_quality_rules_prior(spark):
+    """Hosts that differ by chance alone: a host of three documents of which two fail stays, one of three hundred that fails as often goes."""
+    good, rng = " ".join(f"w{i}" for i in range(60)), random.Random(2)
+    rows = [(i, "short" if rng.random() < 0.1 else good, f"g{i % 40}") for i in range(4000)]
+    rows += [(5000 + i, "short" if i < 2 else good, "tiny") for i in range(3)] + [(6000 + i, "short" if i % 5 < 4 else good, "large") for i in range(300)]
+    out = quality_rules.quality_rules(docs(spark, rows)).collect()
+    host = {r.host: (r.host_rate, r.host_shrunk) for r in out}
+    assert host["tiny"][0] > 0.6 and host["large"][0] > 0.6  # by raw rates both would go
+    assert host["tiny"][1] < 0.5 and host["large"][1] > 0.7
+    assert all(r.kept == (not r.base_failed) for r in out if r.host != "large") and not any(r.kept for r in out if r.host == "large")
+    counts = quality_rules.rule_counts(docs(spark, rows))
+    n, x = collections.Counter(h for _, _, h in rows), collections.Counter(h for _, t, h in rows if t == "short")
+    m, k = sum(x.values()) / sum(n.values()), len(n)
+    s = sum(n[h] * (x[h] / n[h] - m) ** 2 for h in n)
+    share = (s - m * (1 - m) * (k - 1)) / (m * (1 - m) * (sum(n.values()) - sum(v * v for v in n.values()) / sum(n.values()) - (k - 1)))
+    for r in quality_rules.host_rates(counts).collect():
+        assert abs(r.shrunk - (x[r.host] + m * (1 / share - 1)) / (n[r.host] + 1 / share - 1)) < 1e-9
+
+
 # line dedup
 
 
 def test_line_dedup(spark):
     rows = [(i, f"menu\nbody {i}\n  menu \n\nend", "h") for i in range(20)] + [(100, "menu\nbody", "other"), (101, None, "h"), (102, "", None), (103, "menu", "h")]
-    out = {r.doc_id: r for r in line_dedup.line_dedup(docs(spark, rows, ["_lines", "host", "line", "lines", "n", "_of"]), max_ratio=0.5).collect()}
+    out = {r.doc_id: r for r in line_dedup.line_dedup(docs(spark, rows, ["_lines", "host", "line", "lines", "n", "_of", "_ld_host", "_ld_lines", "_ld_of", "row", "known", "hits", "of_host", "kept", "lines_in", "a.b"]), max_ratio=0.5).collect()}
     assert out[0].text == "body 0\n" and out[0]._lines_in == 5 and out[0]._lines_out == 2
     assert out[100].text == "menu\nbody" and out[101].text is None and out[102].text == "" and out[103].text == ""
-    assert out[0].host == "clash" and len(out) == len(rows)
+    assert out[0].host == "clash" and out[0]["a.b"] == "clash" and len(out) == len(rows)
+    again = line_dedup.line_dedup(docs(spark, rows, ["_lines_in"]), max_ratio=0.5)
+    assert again.columns[-2:] == ["_lines_in", "_lines_out"] and again.columns.count("_lines_in") == 1
     assert line_dedup.line_dedup(docs(spark, [])).count() == 0
 
 
@@ -129,7 +150,7 @@ def brute_lines(rows, ratio):
     pages, holds = collections.Counter(h for _, _, h in rows), collections.Counter()
     for _, t, h in rows:
         holds.update((h, k) for k in {x.strip(" \t\n\x0b\x0c\r") for x in (t or "").split("\n")} if k)
-    gone = {(h, k) for (h, k), n in holds.items() if n - 1 > ratio * (pages[h] - 1)}
+    gone = {(h, k) for (h, k), n in holds.items() if n > 1 and n > ratio * pages[h]}
     return [(i, None if t is None else "\n".join(x for x in t.split("\n") if (h, x.strip(" \t\n\x0b\x0c\r")) not in gone), h) for i, t, h in rows]
 
 
