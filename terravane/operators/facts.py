@@ -178,10 +178,13 @@ def verified(value: Column, quote: Column, page: Column) -> Column:
     return F.when((F.coalesce(F.trim(quote), F.lit("")) != "") & T.quote_on_page(quote, page), value)
 
 
-def verified_items(items: Column, quote: Column, page: Column) -> Column:
-    """struct(kept, dropped): list items that stand on the page, or that a quote on the page backs."""
-    on_page = (F.coalesce(F.trim(quote), F.lit("")) != "") & T.quote_on_page(quote, page)
-    holds = lambda i: (F.contains(T.plain(page), T.plain(i)) & (T.plain(i) != "")) | (on_page & supported(i, quote))
+def verified_items(items: Column, quote: Column, page: Column, least: int = 4) -> Column:
+    """struct(kept, dropped): list items that the page states, whole or up to their first comma, or all of whose words of `least` letters a quote on the page says."""
+    backed = F.when((F.coalesce(F.trim(quote), F.lit("")) != "") & T.quote_on_page(quote, page), quote).otherwise("")
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1)))
+    longer = lambda i: F.filter(words(i), lambda w: F.length(w) >= least)
+    said_all = lambda i: (F.size(longer(i)) > 0) & (F.size(F.array_except(longer(i), words(backed))) == 0)
+    holds = lambda i: F.coalesce(T.quote_on_page(i, page) | T.quote_on_page(F.split_part(i, F.lit(","), F.lit(1)), page) | said_all(i), F.lit(False))
     said = F.filter(F.transform(items, lambda i: F.trim(i)), lambda i: i != "")
     return F.struct(F.filter(said, holds).alias("kept"), F.filter(said, lambda i: ~holds(i)).alias("dropped"))
 

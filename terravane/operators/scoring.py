@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers
+from ..functions import text as T
+from ..functions import urls as U
+from .identity import PARTS, QUALIFIERS, STRUCTURAL
 
 #: Weights of the rubrics and the bounds of their bands.
 RELEVANCE_WEIGHTS = {
@@ -235,8 +238,6 @@ def actor_quality(record: dict[str, Column], page_url: Column, score: Column, pr
     a score below the lower bound. Held: no site, another's page, thin or no substantive evidence, a description of a page or a weak one, no place, a unit read for its parent, unreliable identity or topic,
     a focus not met, a score below the upper bound, or a low priority.
     """
-    from ..functions import urls as U
-
     text = lambda k: F.trim(F.coalesce(record[k], F.lit("")))
     name, about, states = text("name"), text("description"), list(scope_states)
     items = F.coalesce(present, F.array().cast("array<string>"))
@@ -279,26 +280,48 @@ def actor_quality(record: dict[str, Column], page_url: Column, score: Column, pr
     return F.struct(decision.alias("decision"), F.when(F.size(bad) > 0, bad).otherwise(unsure).alias("codes"))
 
 
-#: What says that an organization stopped or became another; narrow, so that "acquired funding" is none of it.
-DEFUNCT = (
-    r"(?i)(^|[^a-z])((merged|consolidated) (with|into)|was (acquired|purchased|bought) by|(is|are) now (part of|a (division|subsidiary) of|known as)|formerly known as"
-    r"|(has|have) (ceased|discontinued) (operations|trading|business)|ceased operations|(has|have) (closed|shut) (its|their) doors|no longer (in operation|operating|in business)|was dissolved)([^a-z]|$)"
-)
-GENERIC_NAME = tuple(
-    "the and for of inc llc corp company co group energy power center centre institute university college association foundation council network services service solutions systems technologies technology public national american new lab laboratory program agency department office".split()
-)
+def one_of(*words: str) -> str:
+    """A pattern of alternatives."""
+    return "(" + "|".join(words) + ")"
+
+
+def past(*verbs: str) -> list[str]:
+    """Regular past forms."""
+    return [v + ("d" if v.endswith("e") else "ed") for v in verbs]
+
+
+def end_pattern() -> str:
+    """Sentences that say that an organization is no more: it joined another, was bought, goes by another name, or stopped.
+
+    Each rule is what happened and what has to follow it, so that "acquired funding" and "closed a round" are none of it.
+    """
+    has, been = one_of("has", "have", "had"), one_of("was", "were", "been")
+    work = one_of("operation", "operations", "trading", "business", "work", "activities")
+    rules = [
+        one_of(*past("merge", "consolidate", "amalgamate"), "folded") + " " + one_of("with", "into"),
+        been + " " + one_of(*past("acquire", "purchase"), "bought", "taken over") + " by",
+        one_of("is", "are") + " now " + one_of("known as", "part of", "an? " + one_of("division", "subsidiary", "unit") + " of"),
+        "formerly known as",
+        one_of("ceased", has + " " + one_of(*past("cease", "discontinue"), "stopped", "wound down")) + " (all )?" + work,
+        has + " " + one_of("closed", "shut") + " " + one_of("its", "their") + " doors",
+        "no longer " + one_of("operating", "in operation", "in business", "exists", "active"),
+        one_of("was", "were", has + " been") + " (formally )?dissolved",
+    ]
+    return "(?i)(^|[^a-z])" + one_of(*rules) + "([^a-z]|$)"
+
 
+DEFUNCT = end_pattern()
+#: Words that a sentence about another organization may share with a name: the tables of words without identity, of kinds and of parts.
+COMMON_WORDS = tuple(sorted({*T.STOP_WORDS, *T.LEGAL_WORDS, *STRUCTURAL, *QUALIFIERS, *PARTS, "association", "foundation", "council", "network", "agency", "service", "services", "energy", "power", "new", "public", "solutions", "systems"}))
 
-def currency(name: Column, page: Column, stated: Column, landed: Column, own_site: Column, year: int, stale_years: int = 4) -> Column:
+
+def currency(name: Column, page: Column, stated: Column, landed: Column, own_site: Column, year: int, stale_years: int = 4, common: Sequence[str] = COMMON_WORDS) -> Column:
     """merged_or_renamed, defunct, outdated_source, stale_own_site, or null for an organization that looks current.
 
     In order: its stated site leads to another domain; a sentence that names it says that it stopped; the newest year of the page, none after `year`, is
     `stale_years` back, on another's page or on its own. A sentence names it by a distinctive word or by its capitals.
     """
-    from ..functions import text as T
-    from ..functions import urls as U
-
-    own = F.filter(T.words(T.plain(name)), lambda w: (F.length(w) >= 3) & ~w.isin(*GENERIC_NAME))
+    own = F.filter(T.words(T.plain(name)), lambda w: (F.length(w) >= 3) & ~w.isin(*common))
     capitals = F.regexp_replace(F.array_join(F.transform(F.regexp_extract_all(name, F.lit("([A-Za-z]+)"), F.lit(1)), lambda w: F.substring(w, 1, 1)), ""), "[^A-Z]", "")
     names = lambda s: F.arrays_overlap(own, T.words(T.plain(s))) | ((F.length(capitals) >= 3) & F.contains(s, capitals))
     gone = F.exists(F.split(F.coalesce(page, F.lit("")), "[.]"), lambda s: s.rlike(DEFUNCT) & names(s))
@@ -309,31 +332,75 @@ def currency(name: Column, page: Column, stated: Column, landed: Column, own_sit
     return F.when(F.coalesce(moved, F.lit(False)), "merged_or_renamed").when(gone, "defunct").otherwise(stale)
 
 
-#: Patterns of quotes about money, over lower case: who speaks, what receiving says, and what giving, passing on, offering and administering say.
-WE = "(we|our (team|company|center|lab|project|research))"
-GOT = r"((was|were|has been|have been) (awarded|granted|selected)|(received|receives|secured|won|wins|raised) (a |an |the |over |more than )?(\$|[0-9]|grant|award|funding|contract|investment)|(funded|supported|financed) by)"
-WE_GOT = f"(^|[^a-z]){WE} ([a-z]+ )?{GOT}"
+# quotes about money, over lower case: who speaks, what receiving says, and what giving, passing on, offering and administering say
+
+#: Bodies that "the ..." stands for, and what money comes as.
+BODIES = ("agency", "association", "center", "centre", "college", "company", "council", "district", "foundation", "initiative", "institute", "lab", "laboratory", "network", "organisation", "organization", "program", "programme", "project", "school", "team", "university", "utility")
+MONEY = ("award", "donation", "funding", "gift", "grant", "investment", "support")
+OWN_BODIES = one_of("team", "company", "cent(er|re)", "lab", "project", "program(me)?", "research", "work", "organi[sz]ation")
+SPEAKER = one_of("we", "us", "it", "our( " + OWN_BODIES + ")?", "the " + one_of(*BODIES))
+_GAINED = one_of(*[stem + one_of(*ends) for stem, ends in (("receiv", ("ed", "es", "ing")), ("secur", ("ed", "es", "ing")), ("rais", ("ed", "es", "ing")), ("land", ("ed", "s", "ing")))], "recipient of", "won", "wins", "winning", "earned", "obtained")
+_CHOSEN = one_of(*past("award"), "granted", "funded", "selected", "chosen")
+#: Gains, being chosen, being chosen for something, and closing a round of investment.
+GOT = one_of(_GAINED, one_of("is", "are", "was", "were", "been", "being") + " ([a-z]+ )?" + _CHOSEN, one_of("selected", "chosen", "awarded", "granted") + " " + one_of("for", "to receive", "an?", "[$]"), "closed " + one_of("an?", "its", "our") + "[^.]{0,40} round")
+#: Up to 60 characters of a sentence may stand between who received and that they did; or the quote begins with it.
+WE_GOT = f"(^|[^a-z]){SPEAKER}[^a-z][^.]{{0,60}}{GOT}([^a-z]|$)"
 OPENS = f"^[^a-z]*{GOT}"
-GIVES = f"(^|[^a-z])({WE}|our (program|fund|foundation)|the committee) (also |annually |now |will )?(awards?|awarded|grants?|granted|provides?|offers?|distributes?|administers?|funds?|gives?|invests?) "
-PASSES = "(fund|support|award)(ed|s|ing)? (more than |over )?([0-9]+|several|many|dozens of) ([a-z]+ )?(projects|grants|studies|startups|communities|students)"
-TO_OTHERS = "(to|for) (local |eligible |selected |our )?(applicants|recipients|grantees|members|communities|startups|students|nonprofits|schools)"
-OFFERS = "(apply (now|by|today|online)|applications? (are|is|open|due|close)|request for proposals|call for proposals|accepting applications|eligibility|funding opportunit|is open to|are open to)"
-ADMINISTERS = "(on behalf of|administers?|administered|program administrator)"
+#: Where the money came from, whoever speaks.
+SOURCE = "(^|[^a-z])" + one_of(
+    one_of("funded", "supported", "sponsored", "financed", "backed", "underwritten", "made possible") + "( in part)?( [a-z]+)? (by|through)",
+    "with ([a-z]+ ){0,2}" + one_of("funding", "support", "grants?", "an award", "investment") + " (from|by)",
+    "thanks to (an?|the) [^.]{0,60}" + one_of("grant", "award", "gift", "investment"),
+) + "([^a-z]|$)"
+#: Whom money goes on to, what it pays for when it is passed on, verbs of giving and acting on a receiver, and phrases of offers and of running a programme for another.
+TAKERS = ("applicants", "awardees", "communities", "grantees", "members", "municipalities", "non-?profits", "organi[sz]ations", "projects", "recipients", "researchers", "scholars", "schools", "small businesses", "startups", "students", "utilities")
+PAID_FOR = ("communities", "grants", "organi[sz]ations", "projects", "researchers", "scholarships", "startups", "students", "studies")
+GIVING = ("administer", "award", "disburse", "distribute", "fund", "give", "gave", "grant", "invest", "manage", "offer", "provide", "make (grants|awards|investments)")
+ACTING = ("allocated", "awarded", "chose", "committed", "contributed", "donated", "gave", "granted", "invested", "provided", "selected", "selects")
+OFFERING = ("accepting applications", "application deadline", "applications? (are|is|now|open|due|close)", "apply", "eligib(ility|le (applicants|entities|organi[sz]ations))", "(funding|grant) opportunit(y|ies)", "(is|are) open to", "(request|call) for (proposals|applications)", "rfps?")
+RUNNING = ("administer(s|ed)?", "manages? the", "on behalf of", "program(me)? administrator")
+
+
+def word(pattern: str) -> str:
+    """The pattern between letters of no word."""
+    return f"(^|[^a-z]){pattern}([^a-z]|$)"
+
+
+_MANY = one_of("[0-9]+", "several", "many", one_of("dozens", "hundreds") + " of")
+GIVES = word(one_of("we", "our ([a-z]+ ){0,2}" + one_of("program(me)?s?", "fund", "foundation", "committee"), "the committee") + " (also |annually |now |will |plans? to )?" + one_of(*[g.replace("make ", "makes? ") if " " in g else g + "(e?d|s)?" for g in GIVING]))
+PASSES = word(one_of("fund", "support", "award") + "(ed|s|ing)? (more than |over )?" + _MANY + " ([a-z]+ )?" + one_of(*PAID_FOR))
+TO_OTHERS = word(one_of("to", "for") + " ([0-9]+ |local |eligible |qualifying |selected |our |its )?" + one_of(*TAKERS))
+OFFERS, ADMINISTERS = word(one_of(*OFFERING)), word(one_of(*RUNNING))
+#: What a funder does to a name or to "us", and what is addressed to a name: (before the name, after it).
+TO_NAME = (one_of(*ACTING) + "[^.]{0,80} ", "")
+FOR_NAME = (f"{one_of(*MONEY)}s? (to|for) (the )?", "")
+TO_US = f"{TO_NAME[0]}(us([^a-z]|$)|our {OWN_BODIES})"
+TRADES_AS = "(d/b/a|dba|doing business as|trading as|operating as) "
+
+
+def name_pattern(name: Column) -> Column:
+    """A pattern of a name in lower case, any signs between its words; one that matches nothing for a name without letters or digits."""
+    words = F.array_join(F.filter(F.split(F.lower(name), "[^a-z0-9]+"), lambda w: w != ""), "[^a-z0-9]+")
+    return F.when(words == "", "[^\\s\\S]").otherwise(words)
 
 
 def receipt(quote: Column, name: Column, own_site: Column) -> Column:
-    """Why a quote does not show that an organization received money, or null where it does: it gives, passes on, offers or administers money, or only names it.
+    """Why a quote does not show that an organization received money, or null where it does: another company trades under its name; it gives, passes on, offers or administers money, or only names it.
 
-    Its own site may leave out who received; another's page must name the organization.
+    Received it has if a speaker or its name stands before a gain, if the quote says where the money came from or addresses it to the name, or if a funder acts on the name or on "us". Its own site may
+    leave out who received; another's page must name the organization.
     """
-    low, who = F.lower(F.coalesce(quote, F.lit(""))), F.lower(name)
-    named = F.concat(F.lit("(^|[^a-z])"), F.regexp_replace(who, "[^a-z0-9]+", "[^a-z0-9]+"), F.lit(f"[^.]{{0,60}}{GOT}"))
-    received = low.rlike(WE_GOT) | F.regexp_like(low, named) | (own_site & low.rlike(OPENS))
+    low, who = F.lower(F.coalesce(quote, F.lit(""))), name_pattern(name)
+    around = lambda before, after: F.regexp_like(low, F.concat(F.lit(f"(^|[^a-z0-9]){before}"), who, F.lit(f"{after}([^a-z0-9]|$)")))
+    named = F.regexp_like(low, F.concat(F.lit("(^|[^a-z0-9])"), who, F.lit(f"[^a-z0-9][^.]{{0,60}}{GOT}([^a-z]|$)")))
+    received = low.rlike(WE_GOT) | named | low.rlike(SOURCE) | around(*FOR_NAME) | around(*TO_NAME) | low.rlike(TO_US) | (own_site & low.rlike(OPENS))
+    says = around("", "")
     return (
-        F.when(low.rlike(GIVES) | low.rlike(PASSES) | (low.rlike(TO_OTHERS) & ~received), "gives it to others")
+        F.when(around(TRADES_AS, ""), "went to a company that trades under the name")
+        .when(low.rlike(GIVES) | low.rlike(PASSES) | (low.rlike(TO_OTHERS) & ~received), "gives it to others")
         .when(low.rlike(OFFERS) & ~received, "advertises an opportunity")
         .when(low.rlike(ADMINISTERS) & ~received, "runs a programme for a funder")
-        .when(received & (own_site | F.contains(low, who)), None)
+        .when(received & (own_site | says), None)
         .when(~own_site, "another's page does not say who received it")
         .otherwise("names the money only")
     )

@@ -263,6 +263,26 @@ def _(t):
     return rows.select("p_name", "c.outcome", F.size("c.added").cast("bigint").alias("n_added"), F.size("c.merged").cast("bigint").alias("n_merged"))
 
 
+@plan(
+    "fa05_compared_parts",
+    f"""WITH r AS (SELECT p_partkey, p_type, nullif(p_brand || CASE WHEN p_size > 25 THEN ' works' ELSE '' END, '') AS b1, CASE WHEN p_size % 4 > 0 THEN lower(p_type) || ' ' || (p_size % 3) END AS b2, lag(p_brand || CASE WHEN p_size > 25 THEN ' works' ELSE '' END) OVER w AS a1, lag(CASE WHEN p_size % 4 > 0 THEN lower(p_type) || ' ' || (p_size % 3) END) OVER w AS a2, row_number() OVER w AS n FROM part WINDOW w AS (PARTITION BY p_name ORDER BY p_partkey)),
+    x AS (SELECT p_partkey, p_type, 'brand' AS part, a1 AS old, b1 AS new FROM r WHERE n > 1 UNION ALL SELECT p_partkey, p_type, 'kind', a2, b2 FROM r WHERE n > 1),
+    q AS (SELECT *, coalesce(trim(old), '') = '' AS no_old, coalesce(trim(new), '') = '' AS no_new, {FIGURES.format('old')} AS na, {FIGURES.format('new')} AS nb, {SAID.format('old')} AS wa, {SAID.format('new')} AS wb FROM x),
+    j AS (SELECT *, len(list_intersect(wa, wb)) AS i, len(list_filter(na, lambda n: NOT list_contains(nb, n))) = 0 AS a_in_b, len(list_filter(nb, lambda n: NOT list_contains(na, n))) = 0 AS b_in_a FROM q),
+    f AS (SELECT *, na = nb AND CASE WHEN len(wa) = 0 OR len(wb) = 0 THEN len(na) > 0 OR (len(wa) = 0 AND len(wb) = 0) ELSE i / least(len(wa), len(wb)) >= 0.7 END AS same, a_in_b AND (len(na) > 0 OR len(wa) > 0) AND i >= 0.7 * len(wa) AS new_covers, b_in_a AND (len(nb) > 0 OR len(wb) > 0) AND i >= 0.7 * len(wb) AS old_covers FROM j),
+    o AS (SELECT *, CASE WHEN no_old AND no_new THEN NULL WHEN no_new THEN 'not_restated' WHEN no_old OR (same AND new_covers AND len(wb) > len(wa)) THEN 'additional' WHEN same OR old_covers THEN 'confirmed' WHEN new_covers THEN 'additional' ELSE 'changed' END AS outcome FROM f),
+    g AS (SELECT p_partkey, any_value(p_type) AS p_type, max(outcome) FILTER (WHERE part = 'brand') AS brand, max(outcome) FILTER (WHERE part = 'kind') AS kind, bool_or(coalesce(outcome = 'changed', false)) AS changed, bool_or(coalesce(outcome = 'additional', false)) AS added, max(old) FILTER (WHERE part = 'kind') AS old_kind, max(new) FILTER (WHERE part = 'kind') AS new_kind FROM o GROUP BY 1)
+    SELECT p_partkey, CASE WHEN changed THEN 'changed' WHEN added THEN 'additional' ELSE 'corroborated' END AS outcome, brand, kind, CASE WHEN NOT changed AND NOT added THEN old_kind WHEN changed AND p_type NOT IN ('SMALL', 'LARGE') THEN new_kind WHEN kind IN ('confirmed', 'not_restated') THEN old_kind ELSE coalesce(new_kind, old_kind) END AS merged_kind FROM g""",
+)
+def _(t):
+    w = Window.partitionBy("p_name").orderBy("p_partkey")
+    brand, kind = F.concat("p_brand", F.when(F.col("p_size") > 25, " works").otherwise("")), F.when(F.col("p_size") % 4 > 0, F.concat_ws(" ", F.lower("p_type"), (F.col("p_size") % 3).cast("string")))
+    rows = t.part.select("p_partkey", "p_type", brand.alias("b1"), kind.alias("b2"), F.lag(brand).over(w).alias("a1"), F.lag(kind).over(w).alias("a2"), F.row_number().over(w).alias("n")).where("n > 1")
+    told = rows.select("p_partkey", FA.compared_parts({"brand": F.col("a1"), "kind": F.col("a2")}, {"brand": F.col("b1"), "kind": F.col("b2")}, F.col("p_type").isin("SMALL", "LARGE")).alias("c"))
+    of = lambda part: F.get(F.transform(F.filter("c.parts", lambda p: p["part"] == part), lambda p: p["outcome"]), F.lit(0))
+    return told.select("p_partkey", "c.outcome", of("brand").alias("brand"), of("kind").alias("kind"), F.col("c.merged.kind").alias("merged_kind"))
+
+
 @plan(
     "fa06_supported",
     f"""WITH {READ} SELECT p_partkey, b_in_a AND CASE WHEN len(wb) = 0 THEN len(nb) > 0 ELSE i >= 0.6 * len(wb) END AS supported FROM f""",
@@ -271,19 +291,23 @@ def _(t):
     return readings(t).select("p_partkey", FA.supported(F.col("new"), F.col("old")).alias("supported"))
 
 
+ON_PAGE = "(({0} <> '' AND contains(page, {0})) OR (len(list_distinct(list_filter(string_split({0}, ' '), lambda w: length(w) > 2))) >= 4 AND len(list_intersect(list_distinct(list_filter(string_split({0}, ' '), lambda w: length(w) > 2)), string_split(page, ' '))) >= 0.8 * len(list_distinct(list_filter(string_split({0}, ' '), lambda w: length(w) > 2)))))"
+LATIN = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+'))"
+
+
 @plan(
     "fa08_verified",
-    f"""WITH d AS (SELECT doc_id, text, string_split_regex(text, '[ \\n]+') AS w, (SELECT any_value(o.text) FROM documents o WHERE o.doc_id = documents.doc_id + 1) AS other FROM documents),
-    i AS (SELECT doc_id, {PLAIN.format('text')} AS page, array_to_string(w[2:7], ' ') AS quote, list_filter([trim(array_to_string(w[3:5], ' ')), trim(array_to_string(string_split_regex(coalesce(other, ''), '[ \\n]+')[1:3], ' ')), 'zzqx 99'], lambda x: x <> '') AS items FROM d),
-    k AS (SELECT doc_id, items, page, quote, list_transform(items, lambda x: [trim(regexp_replace(strip_accents(lower(x)), '[^a-z0-9]+', ' ', 'g')), x]) AS p FROM i),
-    q AS (SELECT doc_id, p, page, quote, {PLAIN.format('quote')} AS pq FROM k)
-    SELECT doc_id, len(list_filter(p, lambda x: (x[1] <> '' AND contains(page, x[1])) OR (trim(quote) <> '' AND pq <> '' AND contains(page, pq) AND len(list_filter({FIGURES.format('x[2]')}, lambda n: NOT list_contains({FIGURES.format('quote')}, n))) = 0
-     AND CASE WHEN len({SAID.format('x[2]')}) = 0 THEN len({FIGURES.format('x[2]')}) > 0 ELSE len(list_intersect({SAID.format('x[2]')}, {SAID.format('quote')})) >= 0.6 * len({SAID.format('x[2]')}) END))) AS kept, len(p) AS said FROM q""",
+    f"""WITH d AS (SELECT a.doc_id, coalesce(a.text, '') AS text, string_split_regex(coalesce(a.text, ''), '[ \n]+') AS w, string_split_regex(coalesce(o.text, ''), '[ \n]+') AS v FROM documents a LEFT JOIN documents o ON o.doc_id = a.doc_id + 1),
+    k AS (SELECT doc_id, {PLAIN.format('text')} AS page, array_to_string(w[2:7], ' ') AS quote, [array_to_string(w[3:5], ' '), array_to_string(v[1:3], ' '), array_to_string(w[4:6], ' ') || ', ' || array_to_string(v[2:9], ' '), concat_ws(' ', w[7], w[3]), 'zzqx 99'] AS said FROM d),
+    q AS (SELECT *, CASE WHEN trim(quote) <> '' AND {ON_PAGE.format(PLAIN.format('quote'))} THEN quote ELSE '' END AS backed FROM k),
+    i AS (SELECT doc_id, page, backed, unnest(list_filter(list_transform(said, lambda x: trim(x)), lambda x: x <> '')) AS item FROM q),
+    p AS (SELECT doc_id, page, {PLAIN.format('item')} AS whole, {PLAIN.format("split_part(item, ',', 1)")} AS head, list_filter({LATIN.format('item')}, lambda w: length(w) > 3) AS iw, {LATIN.format('backed')} AS bw FROM i)
+    SELECT doc_id, count(*) FILTER (WHERE {ON_PAGE.format('whole')} OR {ON_PAGE.format('head')} OR (len(iw) > 0 AND len(list_intersect(iw, bw)) = len(iw))) AS kept, count(*) AS said FROM p GROUP BY 1""",
 )
 def _(t):
-    ws = F.split("text", "[ \\n]+")
-    other = F.col("other")
-    following = t.documents.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
-    rows = t.documents.select("doc_id", "text").join(following, "doc_id", "left").select("doc_id", "text", F.array_join(F.slice(ws, 2, 6), " ").alias("quote"), F.array_join(F.slice(ws, 3, 3), " ").alias("mine"), F.array_join(F.slice(F.split(F.coalesce(other, F.lit("")), "[ \\n]+"), 1, 3), " ").alias("theirs"))
-    v = FA.verified_items(F.array("mine", "theirs", F.lit("zzqx 99")), F.col("quote"), F.col("text"))
+    following = t.documents.select((F.col("doc_id") - 1).alias("doc_id"), F.split(F.coalesce("text", F.lit("")), "[ \\n]+").alias("v"))
+    rows = t.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(following, "doc_id", "left").withColumn("w", F.split("text", "[ \\n]+")).withColumn("v", F.coalesce("v", F.array(F.lit(""))))
+    run = lambda c, at, n: F.array_join(F.slice(c, at, n), " ")
+    items = F.array(run("w", 3, 3), run("v", 1, 3), F.concat(run("w", 4, 3), F.lit(", "), run("v", 2, 8)), F.concat_ws(" ", F.get("w", F.lit(6)), F.get("w", F.lit(2))), F.lit("zzqx 99"))
+    v = FA.verified_items(items, run("w", 2, 6), F.col("text"))
     return rows.select("doc_id", v.alias("v")).select("doc_id", F.size("v.kept").cast("bigint").alias("kept"), (F.size("v.kept") + F.size("v.dropped")).cast("bigint").alias("said"))

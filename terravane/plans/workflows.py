@@ -444,19 +444,23 @@ def _(t):
     return S.weight_errors(table, ["click", "error", "purchase", "signup", "view"])
 
 
-QUOTES = ("We received {} from the agency.", "Apply now for grants of {}", "Our foundation awards {} to local startups", "@ was awarded {}", "{} on behalf of the state", "A budget of {}", "It funded 34 projects with {}", "Received a grant of {}", "@, of Tau, was selected for {} of aid", "{} for eligible schools")
-QUOTE = "replace(replace(CASE o_orderkey % 10 " + " ".join(f"WHEN {i} THEN '{q}'" for i, q in enumerate(QUOTES)) + " END, '{}', '$' || CAST(CAST(round(o_totalprice) AS BIGINT) AS STRING)), '@', c_name)"
+QUOTES = (
+    "We received {} from the agency.", "Apply now for grants of {}", "Our foundation awards {} to local startups", "@ was awarded {}", "{} on behalf of the state", "A budget of {}", "It funded 34 projects with {}", "Received a grant of {}",
+    "@, of Tau, was selected for {} of aid", "{} for eligible schools", "Made possible in part by the state with {}", "The institute raised {}", "The agency awarded @ {}", "A grant for @ of {}", "Our team closed a {} seed round", "The fund gave {} to us", "Acme Electric d/b/a @ received {}", "The district, with {}, opens", "Thanks to a gift of {}, and an award",
+)
+QUOTE = f"replace(replace(CASE o_orderkey % {len(QUOTES)} " + " ".join(f"WHEN {i} THEN '{q}'" for i, q in enumerate(QUOTES)) + " END, '{}', '$' || CAST(CAST(round(o_totalprice) AS BIGINT) AS STRING)), '@', c_name)"
 
 
 def ru12_sql() -> str:
     from ..operators import scoring as S
 
     has = lambda p: f"regexp_matches(low, '{p}')"
-    named = "regexp_matches(low, '(^|[^a-z])' || regexp_replace(who, '[^a-z0-9]+', '[^a-z0-9]+', 'g') || '[^.]{0,60}" + S.GOT + "')"
-    return f"""WITH q AS (SELECT o_orderkey, lower({QUOTE}) AS low, lower(c_name) AS who, c_acctbal > 0 AS own FROM orders JOIN customer ON c_custkey = o_custkey),
-    r AS (SELECT *, {has(S.WE_GOT)} OR {named} OR (own AND {has(S.OPENS)}) AS got FROM q)
-    SELECT o_orderkey, CASE WHEN {has(S.GIVES)} OR {has(S.PASSES)} OR ({has(S.TO_OTHERS)} AND NOT got) THEN 'gives it to others' WHEN {has(S.OFFERS)} AND NOT got THEN 'advertises an opportunity' WHEN {has(S.ADMINISTERS)} AND NOT got THEN 'runs a programme for a funder'
-    WHEN got AND (own OR contains(low, who)) THEN NULL WHEN NOT own THEN 'another''s page does not say who received it' ELSE 'names the money only' END AS reason FROM r"""
+    near = lambda before, after: f"regexp_matches(low, '(^|[^a-z0-9]){before}' || who || '{after}')"
+    end = "([^a-z0-9]|$)"
+    return f"""WITH q AS (SELECT o_orderkey, lower({QUOTE}) AS low, array_to_string(list_filter(string_split_regex(lower(c_name), '[^a-z0-9]+'), lambda w: w <> ''), '[^a-z0-9]+') AS who, c_acctbal > 0 AS own FROM orders JOIN customer ON c_custkey = o_custkey),
+    r AS (SELECT *, {near('', end)} AS says, {has(S.WE_GOT)} OR {near('', '[^a-z0-9][^.]{0,60}' + S.GOT + '([^a-z]|$)')} OR {has(S.SOURCE)} OR {near(S.FOR_NAME[0], end)} OR {near(S.TO_NAME[0], end)} OR {has(S.TO_US)} OR (own AND {has(S.OPENS)}) AS got FROM q)
+    SELECT o_orderkey, CASE WHEN {near(S.TRADES_AS, end)} THEN 'went to a company that trades under the name' WHEN {has(S.GIVES)} OR {has(S.PASSES)} OR ({has(S.TO_OTHERS)} AND NOT got) THEN 'gives it to others' WHEN {has(S.OFFERS)} AND NOT got THEN 'advertises an opportunity' WHEN {has(S.ADMINISTERS)} AND NOT got THEN 'runs a programme for a funder'
+    WHEN got AND (own OR says) THEN NULL WHEN NOT own THEN 'another''s page does not say who received it' ELSE 'names the money only' END AS reason FROM r"""
 
 
 @plan("ru12_funding_receipt", ru12_sql())
