@@ -11,19 +11,47 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import text as T
 from ..operators import entity as E
-
 from ..operators import facts as FA
 from ..operators import places as P
-
 from ..operators import scoring as S
+from ..sources.packages import write_packages
+from ..sources.shared import fresh_path
+from ..sources.sheets import read_xlsx
 from .domain import FOLD_SQL, JACCARD_SQL, PAIRS_SQL, K, ledger, name_pairs, scored
 from .registry import plan
 
 
-@plan("sk05_sheets_best_first", "SELECT p_type AS sheet, p_partkey, CAST(row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS INTEGER) AS line FROM part")
+def workbooks(t):
+    """Parts as workbooks of 500 keys each, one sheet a type, best first, with an address for some."""
+    site = F.when(F.col("p_size") > 10, F.concat(F.lit("https://www.example.org/"), F.col("p_partkey")))
+    rows = t.part.select(F.concat(F.lit("parts-"), F.floor(F.col("p_partkey") / 500)).alias("book"), F.col("p_type").alias("sheet"), "p_partkey", "p_name", "p_retailprice", site.alias("site"))
+    path = fresh_path(rows.sparkSession, "workbooks")
+    write_packages(rows, "workbook", path, "book", "sheet", [F.desc("p_retailprice"), "p_partkey"])
+    return read_xlsx(rows.sparkSession, path)
+
+
+BOOKS_SQL = "SELECT 'parts-' || (p_partkey // 500) AS book, p_type AS sheet, p_partkey, 1 + row_number() OVER (PARTITION BY p_partkey // 500, p_type ORDER BY p_retailprice DESC, p_partkey) AS line, p_name, CASE WHEN p_size > 10 THEN 'https://www.example.org/' || p_partkey END AS site FROM part"
+
+
+@plan("sk05_sheets_best_first", f"SELECT book, sheet, p_partkey, CAST(line - 1 AS INTEGER) AS line FROM ({BOOKS_SQL})")
+def _(t):
+    book = F.regexp_extract("path", "([^/]*)[.]xlsx$", 1)
+    return workbooks(t).select(book.alias("book"), "sheet", F.col("values.p_partkey").cast("bigint").alias("p_partkey"), (F.col("row_number") - 1).cast("int").alias("line"))
+
+
+@plan("sc07_workbook_rows", f"SELECT sheet, line AS row_number, p_name AS name, site, site AS link FROM ({BOOKS_SQL})")
+def _(t):
+    return workbooks(t).select("sheet", "row_number", F.col("values.p_name").alias("name"), F.col("values.site").alias("site"), F.col("links.site").alias("link"))
+
+
+@plan("sc13_zipped_gazetteer", "SELECT n_nationkey || '.txt' AS member, 1 + row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS line_number, c_custkey AS place, c_name AS name, c_acctbal AS latitude FROM customer JOIN nation ON n_nationkey = c_nationkey")
 def _(t):
-    w = Window.partitionBy("p_type").orderBy(F.desc("p_retailprice"), "p_partkey")
-    return t.part.select(F.col("p_type").alias("sheet"), "p_partkey", F.row_number().over(w).alias("line"))
+    rows = t.customer.select(F.concat(F.lit("places-"), F.col("c_nationkey") % 5).alias("book"), F.concat(F.col("c_nationkey"), F.lit(".txt")).alias("sheet"), "c_custkey", "c_name", "c_acctbal")
+    path = fresh_path(rows.sparkSession, "gazetteer")
+    write_packages(rows, "zipped_lines", path, "book", "sheet", ["c_custkey"])  # an archive for five nations or so, one member each
+    lines = rows.sparkSession.read.format("zipped_lines").load(path).where("line_number > 1")
+    cells = F.from_csv("line", "place bigint, name string, latitude double", {"sep": "|"})
+    return lines.select("member", "line_number", cells.alias("r")).select("member", "line_number", "r.*")
 
 
 @plan("ge04_locations", "SELECT s_suppkey, CAST(i - 1 AS INTEGER) AS position, city, i = 1 AS is_primary FROM (SELECT s_suppkey, unnest(['saint paul', 'town ' || s_nationkey]) AS city, unnest([1, 2]) AS i FROM supplier)")

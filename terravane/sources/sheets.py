@@ -1,64 +1,19 @@
-"""Workbooks and plain documents from binary files: cells of an XLSX sheet, text of TXT files; both parsed a file at a time on executors."""
+"""Plain documents and workbooks from files: text of TXT files, rows of all sheets of XLSX files."""
 
 from __future__ import annotations
 
-import io
-import re
-import zipfile
-from collections.abc import Iterator
-from xml.etree import ElementTree
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Limits of a workbook: bytes packed, unpacked bytes a packed byte, rows.
-MOST_BYTES, MOST_RATIO, MOST_ROWS = 5 << 20, 100, 1000
-_NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
-
-
-def check_container(data: bytes) -> None:
-    """Refuse files that are too large, are no archive, or unpack to far more than they hold."""
-    if len(data) > MOST_BYTES:
-        raise ValueError("the file is too large")
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        if sum(i.file_size for i in z.infolist()) > MOST_RATIO * max(1, len(data)):
-            raise ValueError("the file unpacks to too much")
-
-
-def xlsx_rows(data: bytes) -> list[tuple[int, dict[str, str]]]:
-    """(row number, {header: text}) of the first sheet, headers from its first filled row."""
-    check_container(data)
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS)]
-        sheet = min((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
-        rows = []
-        for row in ElementTree.fromstring(z.read(sheet)).iter(f"{{{_NS['m']}}}row"):
-            cells = {}
-            for c in row.findall("m:c", _NS):
-                v = c.find("m:v", _NS)
-                text = shared[int(v.text)] if c.get("t") == "s" and v is not None else "".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t")) if c.get("t") == "inlineStr" else (v.text if v is not None else "")
-                cells[re.match(r"[A-Z]+", c.get("r"))[0]] = (text or "").strip()
-            if any(cells.values()):
-                rows.append((int(row.get("r")), cells))
-    if not rows:
-        return []
-    header = rows[0][1]
-    return [(n, {header[k]: v for k, v in cells.items() if header.get(k)}) for n, cells in rows[1 : MOST_ROWS + 1]]
+from .packages import register
 
 
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    """path, row_number, values (map): rows of the first sheet of every workbook under a path."""
-
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = [(p, n, v) for p, c in zip(frame["path"], frame["content"]) for n, v in xlsx_rows(bytes(c))]
-            yield pd.DataFrame(out, columns=["path", "row_number", "values"])
-
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content").mapInPandas(parse, "path string, row_number bigint, values map<string,string>")
+    """path, sheet, row_number, values (map), links (map): rows of every sheet of every workbook under a path; a workbook beyond the limits is refused."""
+    register(spark)
+    return spark.read.format("workbook").load(path)
 
 
 @F.pandas_udf(StringType())

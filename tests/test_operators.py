@@ -245,7 +245,7 @@ def test_listing_cards(spark):
 def test_workbooks_and_text_files(spark, tmp_path):
     import zipfile
 
-    from terravane.sources import sheets
+    from terravane.sources import packages, sheets
 
     cell = '<c r="{}" t="inlineStr"><is><t>{}</t></is></c>'
     body = f'<row r="1">{cell.format("A1", "Name")}{cell.format("B1", "City")}</row><row r="2"/><row r="3">{cell.format("A3", "Ann")}<c r="B3" t="s"><v>0</v></c></row>'
@@ -254,6 +254,6 @@ def test_workbooks_and_text_files(spark, tmp_path):
         z.writestr("xl/sharedStrings.xml", '<sst xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><si><t>Rome</t></si></sst>')
     assert [(r.row_number, r["values"]) for r in sheets.read_xlsx(spark, str(tmp_path)).collect()] == [(3, {"Name": "Ann", "City": "Rome"})]
     with pytest.raises(ValueError):
-        sheets.check_container(b"0" * (sheets.MOST_BYTES + 1))
+        packages.checked_archive(None, packages.MOST_BYTES + 1)
     (tmp_path / "b.txt").write_bytes("a\r\nZ\xfcrich ".encode("latin-1"))
     assert sheets.read_text_files(spark, str(tmp_path)).first().text == "a\nZürich"
