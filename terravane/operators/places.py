@@ -42,6 +42,15 @@ def normalized_city(city: Column) -> Column:
     return F.regexp_replace(F.array_join(own, " "), f"( ({'|'.join(CITY_SUFFIXES)}))+$", "")
 
 
+def prepared_locations(rows: DataFrame, key: str, places: str) -> DataFrame:
+    """key, position, city, is_primary, failure for every place named: its plain city, the first that has one being primary; a place without a city fails and keeps its position."""
+    cities = F.transform(places, normalized_city)
+    first = F.array_position(F.transform(cities, lambda c: c != ""), True) - 1
+    each = rows.select(key, first.cast("int").alias("_first"), F.posexplode(cities).alias("position", "city"))
+    empty = F.col("city") == ""
+    return each.select(key, "position", F.when(~empty, F.col("city")).alias("city"), (F.col("position") == F.col("_first")).alias("is_primary"), F.when(empty, "no city").alias("failure"))
+
+
 def gazetteer_lookup(rows: DataFrame, places: DataFrame, city: str, state: str) -> DataFrame:
     """rows with lat, lon and reason: ok, missing, unknown state, not found or ambiguous. places: city_key, state, lat, lon."""
     held = places.groupBy("city_key", F.col("state").alias("_state")).agg(F.count(F.lit(1)).alias("_n"), F.first("lat").alias("lat"), F.first("lon").alias("lon"))

@@ -194,7 +194,14 @@ def _(t):
     return E.winners(t.part, "p_name", "p_partkey", [F.desc("p_size"), F.length("p_brand"), F.col("p_partkey")])
 
 
-@plan("er24_direction", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'child_first' WHEN 1 THEN 'parent_first' END AS direction FROM part")
+SIDES = ("p_name || CASE p_size % 4 WHEN 0 THEN ' ' || lower(p_type) WHEN 1 THEN '' ELSE ' of ' || p_brand END", "CASE WHEN p_size % 3 = 0 THEN p_brand || ' ' ELSE '' END || p_name || CASE WHEN p_size % 5 = 0 THEN ', ' || p_type ELSE '' END")
+
+
+@plan("er24_direction", "SELECT p_partkey, CASE WHEN len(less) = 0 AND len(more) > 0 THEN 'child_first' WHEN len(more) = 0 AND len(less) > 0 THEN 'parent_first' END AS direction FROM (SELECT p_partkey, list_filter(x, lambda w: NOT list_contains(y, w)) AS more, list_filter(y, lambda w: NOT list_contains(x, w)) AS less FROM (SELECT p_partkey, " + ", ".join(f"list_filter(string_split(trim(regexp_replace(lower({side}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '') AS {n}" for side, n in zip(SIDES, "xy")) + " FROM part))")
+def _(t):
+    return t.part.select("p_partkey", E.direction(*map(F.expr, SIDES)).alias("direction"))
+
+
 def _(t):
     more, k = F.concat("p_name", F.lit(" extra")), F.col("p_partkey") % 3
     return t.part.select("p_partkey", E.direction(F.when(k == 0, more).otherwise(F.col("p_name")), F.when(k == 1, more).otherwise(F.col("p_name"))).alias("direction"))

@@ -19,6 +19,7 @@ from ..sources.shared import fresh_path
 from ..sources.sheets import read_xlsx
 from .domain import FOLD_SQL, JACCARD_SQL, PAIRS_SQL, K, ledger, name_pairs, scored
 from .registry import plan
+from .scalars import CITY_RULE
 
 
 def workbooks(t):
@@ -54,7 +55,19 @@ def _(t):
     return lines.select("member", "line_number", cells.alias("r")).select("member", "line_number", "r.*")
 
 
-@plan("ge04_locations", "SELECT s_suppkey, CAST(i - 1 AS INTEGER) AS position, city, i = 1 AS is_primary FROM (SELECT s_suppkey, unnest(['saint paul', 'town ' || s_nationkey]) AS city, unnest([1, 2]) AS i FROM supplier)")
+LOCATED = "CASE WHEN s_suppkey % 4 = 0 THEN ' ;' ELSE '' END || 'St. ' || s_name || ';' || CASE WHEN s_nationkey % 3 = 0 THEN '(!)' WHEN s_nationkey % 3 = 1 THEN 'Ft ' || CAST(s_nationkey AS STRING) || ' city' ELSE 'Town ' || CAST(s_nationkey AS STRING) END"
+
+
+@plan(
+    "ge04_locations",
+    f"""WITH r AS (SELECT s_suppkey, string_split({LOCATED}, ';') AS l FROM supplier), u AS (SELECT s_suppkey, unnest(l) AS v, generate_subscripts(l, 1) - 1 AS position FROM r),
+    c AS (SELECT *, {CITY_RULE} AS city FROM u)
+    SELECT s_suppkey, CAST(position AS INTEGER) AS position, nullif(city, '') AS city, coalesce(city <> '' AND position = min(position) FILTER (WHERE city <> '') OVER (PARTITION BY s_suppkey), false) AS is_primary, CASE WHEN city = '' THEN 'no city' END AS failure FROM c""",
+)
+def _(t):
+    return P.prepared_locations(t.supplier.select("s_suppkey", F.split(F.expr(LOCATED), ";").alias("places")), "s_suppkey", "places")
+
+
 def _(t):
     places = F.array(F.lit("St. Paul"), F.concat(F.lit("Town "), F.col("s_nationkey").cast("string")))
     rows = t.supplier.select("s_suppkey", F.posexplode(places).alias("position", "raw"))

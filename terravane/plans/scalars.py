@@ -130,7 +130,14 @@ def _(t):
     return t.part.select("p_partkey", T.name_on_page(who, F.concat_ws(" ", "p_name", "p_type")).alias("found"))
 
 
-@plan("st19_only_slug", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN lower(replace(p_name, ' ', '-')) END AS slug FROM part")
+LINKS = """CASE WHEN p_size % 7 = 0 THEN 'no link ' || p_name ELSE '<a href="https://www.linkedin.com/in/' || replace(p_name, ' ', '-') || '">x</a>' END || CASE p_size % 4 WHEN 0 THEN ' linkedin.com/in/' || upper(replace(p_name, ' ', '-')) || '?a=1' WHEN 1 THEN ' and linkedin.com/in/' || lower(p_type) || '_' || p_size ELSE ' linkedin.com/company/' || p_type END"""
+
+
+@plan("st19_only_slug", rf"SELECT p_partkey, CASE WHEN len(s) = 1 THEN s[1] END AS slug FROM (SELECT p_partkey, list_distinct(list_transform(regexp_extract_all({LINKS}, 'linkedin\.com/in/([A-Za-z0-9_-]+)', 1), lambda x: lower(x))) AS s FROM part)")
+def _(t):
+    return t.part.select("p_partkey", T.only_profile_slug(F.expr(LINKS)).alias("slug"))
+
+
 def _(t):
     slug = F.replace("p_name", F.lit(" "), F.lit("-"))
     link = F.concat(F.lit('<a href="https://www.linkedin.com/in/'), slug, F.lit('">x</a>'))
@@ -138,7 +145,20 @@ def _(t):
     return t.part.select("p_partkey", T.only_profile_slug(html).alias("slug"))
 
 
-@plan("st20_name_and_acronym", "SELECT p_partkey, p_name AS name, CASE WHEN p_partkey % 4 < 3 THEN 'ABC' END AS short FROM part")
+TITLED = "CASE p_size % 7 WHEN 0 THEN p_name || ' (' || upper(substr(p_name, 1, 3)) || ')' WHEN 1 THEN upper(substr(p_type, 1, 4)) || ' - ' || p_name WHEN 2 THEN p_name || ' – ' || upper(substr(p_type, 2, 2)) WHEN 3 THEN upper(substr(p_name, 1, 2)) || ': ' || p_name WHEN 4 THEN p_name || ' (' || p_brand || ')' WHEN 5 THEN p_name || ' - ' || p_type || ' (' || substr(p_type, 1, 1) || lower(p_type) || ') ' ELSE ' ' || p_name || '-' || lower(p_type) END"
+TITLE_RULES = (r"^(.+?)\s*\(([A-Z][A-Za-z&-]{1,11})\)\s*$", r"^([A-Z]{2,12})\s*[-–:]\s*(.+)$", r"^(.+?)\s*[-–]\s*([A-Z]{2,12})$")
+
+
+def titled(a: int, b: int, c: int, rest: str) -> str:
+    one, two, three = TITLE_RULES
+    return f"CASE WHEN regexp_matches(v, '{one}') THEN trim(regexp_extract(v, '{one}', {a})) WHEN regexp_matches(v, '{two}') THEN trim(regexp_extract(v, '{two}', {b})) WHEN regexp_matches(v, '{three}') THEN trim(regexp_extract(v, '{three}', {c})) ELSE {rest} END"
+
+
+@plan("st20_name_and_acronym", f"SELECT p_partkey, {titled(1, 2, 1, 'trim(v)')} AS name, {titled(2, 1, 2, 'NULL')} AS short FROM (SELECT p_partkey, {TITLED} AS v FROM part)")
+def _(t):
+    return t.part.select("p_partkey", T.name_and_acronym(F.expr(TITLED)).alias("r")).select("p_partkey", "r.name", "r.short")
+
+
 def _(t):
     k = F.col("p_partkey") % 4
     v = F.when(k == 0, F.concat("p_name", F.lit(" (ABC)"))).when(k == 1, F.concat(F.lit("ABC - "), "p_name")).when(k == 2, F.concat("p_name", F.lit(" - ABC"))).otherwise(F.col("p_name"))
@@ -155,7 +175,14 @@ def _(t):
     return t.part.select("p_partkey", T.employing_institution(F.concat(F.lit("Department of "), "p_name", F.lit(", University of "), "p_type")).alias("institution"))
 
 
-@plan("st23_short_brackets", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_name || ' (one two three)' END AS name FROM part")
+BRACKETED = "p_name || CASE WHEN p_size % 5 = 0 THEN ' (' || p_brand || ') tail' WHEN p_size % 5 = 1 THEN '' ELSE ' (' || p_type || CASE WHEN p_size % 3 = 0 THEN ' ' || substr('of many kinds and sizes', 1, p_size % 20) WHEN p_size % 3 = 1 THEN ' ' || p_brand ELSE '' END || ')' END"
+
+
+@plan("st23_short_brackets", rf"SELECT p_partkey, CASE WHEN i <> '' AND length(i) <= 15 AND len(list_filter(string_split(trim(i), ' '), lambda w: w <> '')) <= 2 THEN trim(regexp_replace(v, '\s*\([^)]*\)\s*$', '')) ELSE v END AS name FROM (SELECT p_partkey, v, regexp_extract(v, '\(([^)]*)\)\s*$', 1) AS i FROM (SELECT p_partkey, {BRACKETED} AS v FROM part))")
+def _(t):
+    return t.part.select("p_partkey", T.without_short_brackets(F.expr(BRACKETED)).alias("name"))
+
+
 def _(t):
     v = F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, " (ABC)").otherwise(" (one two three)"))
     return t.part.select("p_partkey", T.without_short_brackets(v).alias("name"))
@@ -215,13 +242,27 @@ def _(t):
     return t.pages.select("page_id", U.strict_canonical(F.col("url")).alias("canonical"))
 
 
-@plan("ur05_homepage", f"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN {HOST_SQL} ELSE '' END AS home FROM pages")
+ADDRESS = "'https://' || CASE WHEN p_size % 2 = 0 THEN 'www.' ELSE '' END || replace(p_name, ' ', '-') || '.Example.org' || CASE WHEN p_size % 6 = 0 THEN '' WHEN p_size % 6 = 1 THEN '/' WHEN p_size % 6 = 2 THEN '/?q=' || p_size WHEN p_size % 6 = 3 THEN '//' ELSE '/' || lower(p_type) || '/' || p_partkey END"
+
+
+@plan("ur05_homepage", rf"SELECT p_partkey, CASE WHEN regexp_replace(regexp_extract(u, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/', '', 'g') <> '' OR contains(u, '?') THEN '' ELSE regexp_replace(lower(regexp_extract(u, '^[a-z]+://([^/?#]*)', 1)), '^www\.', '') END AS home FROM (SELECT p_partkey, {ADDRESS} AS u FROM part)")
+def _(t):
+    return t.part.select("p_partkey", U.homepage(F.expr(ADDRESS)).alias("home"))
+
+
 def _(t):
     root = F.concat(F.lit("https://"), U.host(F.col("url")), F.lit("/"))
     return t.pages.select("page_id", U.homepage(F.when(F.col("page_id") % 2 == 0, root).otherwise(F.concat(root, F.lit("a/b")))).alias("home"))
 
 
-@plan("ur06_unit_path", "SELECT page_id, page_id % 2 = 0 AS unit FROM pages")
+PLACED = "'https://x.org/' || CASE p_type WHEN 'SMALL' THEN 'Lab' WHEN 'LARGE' THEN 'about/center' WHEN 'ECONOMY' THEN 'department' WHEN 'MEDIUM' THEN 'programs' WHEN 'PROMO' THEN 'college' ELSE lower(p_type) END || CASE p_size % 5 WHEN 0 THEN '' WHEN 1 THEN '/' || p_partkey WHEN 2 THEN '-' || replace(p_name, ' ', '-') WHEN 3 THEN 'ing/' || p_size ELSE '?lab=/lab/' END"
+
+
+@plan("ur06_unit_path", f"SELECT p_partkey, regexp_matches(lower(regexp_extract({PLACED}, '^[a-z]+://[^/?#]*([^?#]*)', 1)), '/(department|dept|school|college|center|centre|institute|lab|labs|program|programs)(/|-|$)') AS unit FROM part")
+def _(t):
+    return t.part.select("p_partkey", U.unit_path(F.expr(PLACED)).alias("unit"))
+
+
 def _(t):
     return t.pages.select("page_id", U.unit_path(F.when(F.col("page_id") % 2 == 0, "https://x.org/lab/9").otherwise("https://x.org/labour")).alias("unit"))
 
@@ -237,7 +278,15 @@ def _(t):
     return t.pages.select("page_id", U.typed(F.when(k == 0, F.col("url")).when(k == 1, "bare.example.org/x").otherwise("not an address")).alias("typed"))
 
 
-@plan("ur09_profile_kind", "SELECT page_id, ['profile', 'list', 'news', 'other'][page_id % 4 + 1] AS kind FROM pages")
+PEOPLE = "'https://x.edu/' || CASE p_type WHEN 'SMALL' THEN 'People' WHEN 'LARGE' THEN 'faculty' WHEN 'ECONOMY' THEN 'news' WHEN 'MEDIUM' THEN 'directory' WHEN 'PROMO' THEN 'team' ELSE lower(p_type) END || CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN '/' WHEN 2 THEN '/' || replace(p_name, ' ', '-') ELSE '-' || p_size || '/stories/' || p_partkey END"
+PERSON_PATH = "lower(regexp_extract(u, '^[a-z]+://[^/?#]*([^?#]*)', 1))"
+
+
+@plan("ur09_profile_kind", f"SELECT p_partkey, CASE WHEN regexp_matches({PERSON_PATH}, '/(people|person|profile|profiles|faculty|staff|team)/[^/]+') THEN 'profile' WHEN regexp_matches({PERSON_PATH}, '/(people|faculty|staff|team|directory)/?$') THEN 'list' WHEN regexp_matches({PERSON_PATH}, '/(news|blog|press|stories)/') THEN 'news' ELSE 'other' END AS kind FROM (SELECT p_partkey, {PEOPLE} AS u FROM part)")
+def _(t):
+    return t.part.select("p_partkey", U.profile_kind(F.expr(PEOPLE)).alias("kind"))
+
+
 def _(t):
     k = F.col("page_id") % 4
     return t.pages.select("page_id", U.profile_kind(F.when(k == 0, "https://x.edu/people/ann").when(k == 1, "https://x.edu/faculty/").when(k == 2, "https://x.edu/news/a").otherwise("https://x.edu/about")).alias("kind"))
@@ -282,7 +331,14 @@ def _(t):
     return t.orders.select("o_orderkey", D.shown(d, F.date_add(d, 1)).alias("shown"))
 
 
-@plan("dt06_us_date", f"SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN {DAY_SQL} END AS day FROM orders")
+DATED = "CASE o_orderkey % 6 WHEN 0 THEN CAST(month(o_orderdate) AS STRING) || '/' || CAST(day(o_orderdate) AS STRING) || '/' || CAST(year(o_orderdate) - o_orderkey % 4 * 40 AS STRING) WHEN 1 THEN ' ' || CAST(CAST(o_orderdate AS DATE) AS STRING) || ' ' WHEN 2 THEN CAST(CAST(o_orderdate AS DATE) AS STRING) || ' 10:00' WHEN 3 THEN CAST(month(o_orderdate) + 3 AS STRING) || '/' || CAST(day(o_orderdate) AS STRING) || '/' || CAST(year(o_orderdate) AS STRING) WHEN 4 THEN CAST(day(o_orderdate) AS STRING) || '.' || CAST(month(o_orderdate) AS STRING) ELSE CAST(year(o_orderdate) AS STRING) || '-02-' || lpad(CAST(day(o_orderdate) AS STRING), 2, '0') END"
+
+
+@plan("dt06_us_date", rf"SELECT o_orderkey, CASE WHEN year(d) BETWEEN 1900 AND 2100 THEN d END AS day FROM (SELECT o_orderkey, CASE WHEN regexp_full_match(v, '\d{{1,2}}/\d{{1,2}}/\d{{4}}') THEN CAST(try_strptime(v, '%m/%d/%Y') AS DATE) WHEN regexp_full_match(v, '\d{{4}}-\d{{2}}-\d{{2}}') THEN TRY_CAST(v AS DATE) END AS d FROM (SELECT o_orderkey, trim({DATED}) AS v FROM orders))")
+def _(t):
+    return t.orders.select("o_orderkey", D.us_date(F.expr(DATED)).alias("day"))
+
+
 def _(t):
     k, d = F.col("o_orderkey") % 3, F.col("o_orderdate")
     return t.orders.select("o_orderkey", D.us_date(F.when(k == 0, F.date_format(d, "MM/dd/yyyy")).when(k == 1, F.date_format(d, "yyyy-MM-dd")).otherwise(F.date_format(d, "yyyy-MM-dd HH:mm"))).alias("day"))
@@ -387,7 +443,14 @@ def _(t):
     return t.events.select("event_id", F.get_json_object("props", "$.k").alias("k"), (F.variant_get(F.parse_json("props"), "$.k", "bigint") == 3).alias("three"))
 
 
-@plan("js02_json_length", "SELECT event_id, CAST(CASE WHEN event_id % 2 = 0 THEN 2 ELSE 0 END AS INTEGER) AS n FROM events")
+LISTED = "CASE event_id % 5 WHEN 0 THEN '[]' WHEN 1 THEN '[' || props || ', 1, [2, 3]]' WHEN 2 THEN '[' || substr('1,2,3,4,5,6,7,8', 1, CAST(1 + 2 * (user_id % 8) AS INT)) || ']' WHEN 3 THEN '[broken, ' || event_type ELSE props END"
+
+
+@plan("js02_json_length", f"SELECT event_id, CAST(CASE WHEN json_valid(v) AND json_type(v) = 'ARRAY' THEN json_array_length(v) ELSE 0 END AS INTEGER) AS n FROM (SELECT event_id, {LISTED} AS v FROM events)")
+def _(t):
+    return t.events.select("event_id", C.json_length(F.expr(LISTED)).alias("n"))
+
+
 def _(t):
     v = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("["), "props", F.lit(", 1]"))).otherwise(F.col("props"))
     return t.events.select("event_id", C.json_length(v).alias("n"))
@@ -405,7 +468,14 @@ def _(t):
     return t.part.select("p_partkey", F.explode(parts).alias("word"), F.element_at(parts, 1).alias("first_word"))
 
 
-@plan("js05_decoded", "SELECT p_partkey, p_name AS value FROM part")
+MAYBE_JSON = """CASE p_size % 6 WHEN 0 THEN '"' || p_name || '"' WHEN 1 THEN p_name WHEN 2 THEN '{"a": "' || p_name || '"}' WHEN 3 THEN CAST(p_size AS STRING) WHEN 4 THEN '"' || p_name ELSE '"say \\"' || p_type || '\\" ' || p_brand || '"' END"""
+
+
+@plan("js05_decoded", f"SELECT p_partkey, CASE WHEN json_valid(v) AND json_type(v) = 'VARCHAR' THEN json_extract_string(v, '$') ELSE v END AS value FROM (SELECT p_partkey, {MAYBE_JSON} AS v FROM part)")
+def _(t):
+    return t.part.select("p_partkey", C.decoded(F.expr(MAYBE_JSON.replace("\\", "\\\\"))).alias("value"))
+
+
 def _(t):
     v = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit('"'), "p_name", F.lit('"'))).otherwise(F.col("p_name"))
     return t.part.select("p_partkey", C.decoded(v).alias("value"))
@@ -448,7 +518,15 @@ def _(t):
     return t.supplier.select("s_suppkey", P.region_of(state()).alias("region"))
 
 
-@plan("ge02_city", "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'saint paul' WHEN 1 THEN 'fort worth' ELSE 'quebec' END AS city FROM supplier")
+TOWN = "CASE WHEN s_suppkey % 5 = 0 THEN 'St. ' WHEN s_suppkey % 5 = 1 THEN 'Ft ' WHEN s_suppkey % 5 = 2 THEN 'Mt. ' ELSE '' END || s_name || CASE s_nationkey % 6 WHEN 0 THEN ' city' WHEN 1 THEN ' Town Village' WHEN 2 THEN ' (Québec)' WHEN 3 THEN ' City of' WHEN 4 THEN ' township CITY town' ELSE '' END"
+CITY_RULE = f"regexp_replace(array_to_string(list_transform(list_filter(string_split({PLAIN.format('v')}, ' '), lambda w: w <> ''), lambda w: CASE w " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in P.CITY_ALIASES.items()) + f" ELSE w END), ' '), '( ({'|'.join(P.CITY_SUFFIXES)}))+$', '')"
+
+
+@plan("ge02_city", f"SELECT s_suppkey, {CITY_RULE} AS city FROM (SELECT s_suppkey, {TOWN} AS v FROM supplier)")
+def _(t):
+    return t.supplier.select("s_suppkey", P.normalized_city(F.expr(TOWN)).alias("city"))
+
+
 def _(t):
     raw = F.when(F.col("s_suppkey") % 3 == 0, "St. Paul city").when(F.col("s_suppkey") % 3 == 1, "Ft Worth town village").otherwise("Québec")
     return t.supplier.select("s_suppkey", P.normalized_city(raw).alias("city"))
@@ -468,7 +546,15 @@ def _(t):
     return P.gazetteer_lookup(rows, gazetteer, "city", "st").select("s_suppkey", "reason", F.round(F.col("lat") * 10).cast("bigint").alias("tenths"))
 
 
-@plan("ge07_country", "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'United States' WHEN 1 THEN 'Morocco' ELSE NULL END AS country FROM supplier")
+LAND = "CASE s_suppkey % 6 WHEN 0 THEN 'U.S.A.' WHEN 1 THEN ' United   STATES' WHEN 2 THEN n_name || ' ' WHEN 3 THEN lower(n_name) || '!' WHEN 4 THEN '  ' ELSE n_name END"
+LANDS = {"u s a": "United States", "usa": "United States", "united states": "United States", "nation 3": "Third Nation", "nation 7": "Seventh Nation"}
+
+
+@plan("ge07_country", f"SELECT s_suppkey, CASE {PLAIN.format('v')} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LANDS.items()) + f" ELSE nullif(trim(v), '') END AS country FROM (SELECT s_suppkey, {LAND} AS v FROM supplier JOIN nation ON n_nationkey = s_nationkey)")
+def _(t):
+    return t.supplier.join(t.nation, F.col("n_nationkey") == F.col("s_nationkey")).select("s_suppkey", P.country(F.expr(LAND), LANDS).alias("country"))
+
+
 def _(t):
     raw = F.when(F.col("s_suppkey") % 3 == 0, "U.S.A.").when(F.col("s_suppkey") % 3 == 1, " Morocco ").otherwise("  ")
     return t.supplier.select("s_suppkey", P.country(raw, {"u s a": "United States", "usa": "United States"}).alias("country"))
