@@ -69,6 +69,28 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 50) -> DataF
     return known.unionByName(known.select(F.col("root").alias("node"), "root").distinct())
 
 
+def first_come(edges: DataFrame, weak: str, strong: str, rank: str, most_rounds: int = 200) -> DataFrame:
+    """node, winner for every node of the edges: in order of strength a node joins the strongest winner it has an edge to, or wins itself.
+
+    The same as one scan in order, in rounds: a node without undecided stronger neighbours is decided at once, a node beside a winner loses at once, so a round decides all local cases
+    together and the rounds follow the longest chain of undecided neighbours, not the nodes. rank: the strong end's place in the order, least first.
+    """
+    _checkpoint_dir(edges.sparkSession)
+    links = edges.select(F.col(weak).alias("weak"), F.col(strong).alias("strong"), F.col(rank).alias("rank")).checkpoint()
+    state = links.select(F.col("strong").alias("node")).union(links.select("weak")).distinct().join(links.select(F.col("weak").alias("node")).distinct().withColumn("below", F.lit(True)), "node", "left")
+    state = state.select("node", F.when(F.col("below").isNull(), F.lit(True)).alias("wins")).checkpoint()  # null: undecided
+    for _ in range(most_rounds):
+        if not state.where("wins IS NULL").limit(1).count():
+            break
+        open_ = links.join(state.where("wins IS NULL").select(F.col("node").alias("weak")), "weak", "left_semi")
+        seen = open_.join(state.select(F.col("node").alias("strong"), "wins"), "strong").groupBy("weak").agg(F.max(F.coalesce("wins", F.lit(False))).alias("beside"), F.min(F.col("wins").isNotNull()).alias("all_known"))
+        state = state.join(seen, state["node"] == seen["weak"], "left").select("node", F.coalesce("wins", F.when(F.col("beside"), False).when(F.col("all_known"), True)).alias("wins")).checkpoint()
+    else:
+        raise RuntimeError("the order did not settle")
+    over = links.join(state.where("wins").select(F.col("node").alias("strong")), "strong").groupBy("weak").agg(F.min(F.struct("rank", "strong"))["strong"].alias("winner"))
+    return state.join(over, state["node"] == over["weak"], "left").select("node", F.when(F.col("wins"), F.col("node")).otherwise(F.col("winner")).alias("winner"))
+
+
 def _followed(pointers: DataFrame, most_rounds: int) -> DataFrame:
     """node, root with every pointer replaced by the end of its chain; chains lead to lesser nodes, so there are no circles."""
     for _ in range(most_rounds):

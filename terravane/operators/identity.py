@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
-from .similarity import edit_join, edit_pairs, subset_pairs
+from .graph import first_come
+from .similarity import edit_join, edit_pairs, overlap_pairs, subset_pairs
 
 #: Words without identity, words that tell institutions apart, states and regions, parts of an organization, words that only
 #: add structure, short forms, and numbers in words.
@@ -428,37 +429,20 @@ def collapsed_events(events: DataFrame, run: str, key: str, title: str, start: s
     """key, winner: kept candidates in order of strength join the first stronger winner that is the same event; others win themselves.
 
     Strength: read on its own site, the top band, the score, then the key. The same event: the same start and 0.7 of the smaller set of words,
-    or the same year and 0.85. The scan is greedy by meaning and runs inside one year of one run, since events of different years are never the same; years
-    hold the words of a run's kept candidates, which are capped per run.
+    or the same year and 0.85. Pairs come from an overlap join of words within a year of a run; who joins whom is settled in rounds, as one scan in order would.
     """
-    import pandas as pd
-
     stop = ("the", "and", "for", "conference", "summit", "annual")
-    words = F.array_sort(F.array_distinct(F.filter(T.words(T.plain(F.col(title))), lambda w: (F.length(w) > 2) & ~w.rlike("^[0-9]+$") & ~w.isin(*stop))))
-    rows = events.select(F.col(run).alias("run"), F.col(key).alias("key"), F.col(start).cast("string").alias("start"), words.alias("words"), F.col(own).alias("own"), (F.col(band) == "auto_high").alias("high"), F.col(score).cast("double").alias("score"))
-    rows = rows.withColumn("year", F.coalesce(F.substring("start", 1, 4), F.lit("")))
-
-    def scan(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["own", "high", "score", "key"], ascending=[False, False, False, True], kind="stable")
-        winners, holding, out = [], {}, []
-        for k, day, ws in zip(frame["key"], frame["start"], frame["words"]):
-            ws, hit = set(ws), None
-            if day:
-                near = sorted({i for w in ws for i in holding.get(w, ())})  # winners that share a word, in order
-                for i in near:
-                    other, other_day, winner = winners[i]
-                    share = len(ws & other) / min(len(ws), len(other))
-                    if (day == other_day and share >= 0.7) or share >= 0.85:
-                        hit = winner
-                        break
-            if hit is None:
-                for w in ws:
-                    holding.setdefault(w, []).append(len(winners))
-                winners.append((ws, day, k))
-            out.append((k, k if hit is None else hit))
-        return pd.DataFrame(out, columns=["key", "winner"])
-
-    return rows.groupBy("run", "year").applyInPandas(scan, "key bigint, winner bigint")
+    words = F.array_distinct(F.filter(T.words(T.plain(F.col(title))), lambda w: (F.length(w) > 2) & ~w.rlike("^[0-9]+$") & ~w.isin(*stop)))
+    strength = F.struct((~F.col(own)).alias("own"), (F.col(band) != "auto_high").alias("band"), (-F.col(score).cast("double")).alias("score"), F.col(key).alias("key"))
+    rows = events.select(F.col(run).alias("run"), F.col(key).alias("key"), F.col(start).cast("string").alias("start"), words.alias("words"), strength.alias("rank"))
+    place = F.concat(F.col("run").cast("string"), F.lit("|"), F.substring("start", 1, 4), F.lit("|"))
+    near = overlap_pairs(rows.where("start IS NOT NULL AND start <> '' AND run IS NOT NULL").select("key", F.transform("words", lambda w: F.concat(place, w)).alias("words")), "key", "words", 0.7)
+    side = lambda s: rows.select(F.col("key").alias(s), F.col("start").alias(f"start_{s}"), F.col("rank").alias(f"rank_{s}"))
+    same = near.join(side("a"), "a").join(side("b"), "b").where((F.col("start_a") == F.col("start_b")) | (F.col("share") + 1e-12 >= 0.85))
+    first = F.col("rank_a") < F.col("rank_b")
+    edges = same.select(F.when(first, F.col("b")).otherwise(F.col("a")).alias("weak"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("strong"), F.when(first, F.col("rank_a")).otherwise(F.col("rank_b")).alias("rank"))
+    settled = first_come(edges, "weak", "strong", "rank")
+    return rows.select("key").join(settled, rows["key"] == settled["node"], "left").select("key", F.coalesce("winner", "key").alias("winner"))
 
 
 def held_events(titles: DataFrame, key: str, title: str, held: DataFrame, held_key: str, name: str, day: str, stop: Sequence[str] = ("the", "and", "for", "conference", "summit", "annual", "edition"), least: int = 3) -> DataFrame:

@@ -104,6 +104,22 @@ def set_pairs(sets: DataFrame, key: str, items: str, least: float) -> DataFrame:
     return set_candidates(sets, key, items, least).select("a", "b", T.jaccard(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") + 1e-12 >= least)
 
 
+def overlap_pairs(sets: DataFrame, key: str, items: str, least: float) -> DataFrame:
+    """a, b, share with a < b: all pairs of keys whose sets have at least the share `least` of the smaller one in common; empty sets pair with nothing.
+
+    As many of the smaller set's rarest items as it can miss, and one, are looked up among all items of the others.
+    """
+    rows = sets.select(F.col(key).alias("k"), F.array_distinct(items).alias("v")).where(F.size("v") > 0)
+    each = rows.select("k", "v", F.explode("v").alias("w"))
+    counts = each.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    ordered = each.select("k", "w").join(counts, "w").groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "w"))), lambda s: s.w).alias("v"))
+    first = F.size("v") - F.ceil(F.size("v") * F.lit(float(least)) - 1e-9).cast("int") + 1
+    cut = ordered.select(F.col("k").alias("x"), F.col("v").alias("xv"), F.explode(F.slice("v", F.lit(1), first)).alias("w"))
+    met = cut.join(each.select(F.col("k").alias("y"), F.col("v").alias("yv"), "w"), "w").where("x <> y AND size(xv) <= size(yv)")
+    told = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (F.size(F.array_intersect("xv", "yv")) / F.size("xv")).alias("share")).where(F.col("share") + 1e-12 >= least)
+    return told.distinct()
+
+
 def subset_pairs(sets: DataFrame, key: str, items: str) -> DataFrame:
     """small, big: all pairs of distinct keys where the first's set lies within the second's (equal sets both ways); empty sets pair with nothing.
 

@@ -144,3 +144,25 @@ def test_imports_equal_all_pairs(spark):
     for r in I.import_actors(rows, held).collect():
         same, near = want[r.id]
         assert (r.kind, r.target) == (("existing", min(same)) if same else ("possible", min(near)[1]) if near else ("new", None))
+
+
+def test_collapsed_events_equal_one_scan(spark):
+    rng = random.Random(21)
+    vocabulary = [f"word{i}" for i in range(9)] + ["summit", "the", "2024"]
+    rows = [(k, k % 2, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(6))), rng.choice(["2024-05-01", "2024-05-02", "2025-05-01", None]), rng.random() < 0.3, rng.choice(["auto_high", "review"]), rng.randrange(4) / 4) for k in range(220)]
+    frame = spark.createDataFrame(rows, "k bigint, run bigint, title string, start string, own boolean, band string, score double")
+    got = {r.key: r.winner for r in I.collapsed_events(frame, "run", "k", "title", "start", "own", "band", "score").collect()}
+    winners, want = [], {}
+    for k, run, title, start, own, band, score in sorted(rows, key=lambda r: (not r[4], r[5] != "auto_high", -r[6], r[0])):
+        words = {w for w in title.split() if len(w) > 2 and not w.isdigit() and w not in ("the", "summit")}
+        hit = None
+        for other, r, d, ws in winners:
+            if r == run and start and d and start[:4] == d[:4] and words and ws:
+                share = len(words & ws) / min(len(words), len(ws))
+                if (start == d and share >= 0.7 - 1e-12) or share >= 0.85 - 1e-12:
+                    hit = other
+                    break
+        if hit is None:
+            winners.append((k, run, start, words))
+        want[k] = k if hit is None else hit
+    assert got == want and len(winners) < 200
