@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relational import numbered
+
 
 def curve(scored: DataFrame, score: str, label: str) -> DataFrame:
     """threshold, tp, fp, precision, recall, f1 at every distinct score: rows are summed by score before any ordering."""
@@ -87,11 +89,12 @@ def bootstrap(rows: DataFrame, value: str, resamples: int = 2000, seed: int = 13
 def stratified_folds(rows: DataFrame, key: str, label: str, folds: int, repeats: int) -> DataFrame:
     """rows once for each repeat, with repeat and fold: each label's rows are dealt out in order of a digest of key and repeat, so every fold has its share of each label.
 
-    Gold sets are labelled by hand, so a label's rows are few enough to be ordered in one task.
+    A label's rows are numbered by ranges, so a label of any size is spread over many tasks.
     """
     dealt = rows.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    order = Window.partitionBy("repeat", label).orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("repeat").cast("string"))), key)
-    return dealt.withColumn("fold", F.pmod(F.row_number().over(order) - 1, F.lit(folds)).cast("int"))
+    drawn = dealt.withColumn("_digest", F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("repeat").cast("string"))))
+    placed = numbered(drawn, ["_digest", key], "_place", ["repeat", label])
+    return placed.withColumn("fold", F.pmod(F.col("_place") - 1, F.lit(folds)).cast("int")).drop("_place", "_digest")
 
 
 def out_of_fold(rows: DataFrame, key: str, label: str, features: Sequence[str], folds: int = 5, repeats: int = 2) -> DataFrame:
@@ -100,7 +103,7 @@ def out_of_fold(rows: DataFrame, key: str, label: str, features: Sequence[str],
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    dealt = stratified_folds(rows.select(key, label, *features), key, label, folds, repeats).cache()
+    dealt = stratified_folds(rows.select(key, label, *features), key, label, folds, repeats)
     share = rows.agg(F.avg(label)).first()[0] or 0.5
     dealt = VectorAssembler(inputCols=list(features), outputCol="_raw").transform(dealt)
     dealt = dealt.withColumn("_weight", F.when(F.col(label) == 1, 0.5 / max(share, 1e-9)).otherwise(0.5 / max(1 - share, 1e-9)))
@@ -119,7 +122,7 @@ def out_of_fold(rows: DataFrame, key: str, label: str, features: Sequence[str],
 def false_merges(scored: DataFrame, label: str, score: str, threshold: float) -> DataFrame:
     """Rows at or over the threshold whose label says that they are not the same, worst first by place."""
     wrong = scored.where((F.col(score) >= threshold) & (F.col(label) == 0))
-    return wrong.withColumn("place", F.row_number().over(Window.orderBy(F.desc(score), *[c for c in scored.columns if c not in (score, label)])))
+    return numbered(wrong, [F.desc(score), *[c for c in scored.columns if c not in (score, label)]]).withColumn("place", F.col("place").cast("int"))
 
 
 def sweep(scored: DataFrame, label: str, score: str, steps: Sequence[float]) -> DataFrame:

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import fresh_path, stored
+
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """df, dealt out by the keys over all cores where its plan has fewer tasks than there are cores; give a plain scan.
@@ -83,6 +85,22 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, r
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
 
 
+def numbered(df: DataFrame, order: Sequence[Column | str], name: str = "place", within: Sequence[str] = ()) -> DataFrame:
+    """df with each row's place, from 1, in the order within the groups: as row_number(), but a group of any size is spread over many tasks.
+
+    Rows are dealt into ranges of the order and written once with their range; a place is the place within the range after the rows of the ranges before it, of which there is one count for each range and group.
+    """
+    keys = [*map(F.col, within), *order]
+    ranged = stored(df.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()), fresh_path(df.sparkSession, "ranges"))
+    counts = ranged.groupBy("_range", *within).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(F.col("_range").alias("_of"), *[F.col(c).alias(f"_of_{c}") for c in within], F.coalesce(before, F.lit(0)).alias("_before"))
+    here = F.row_number().over(Window.partitionBy("_range", *within).orderBy(*order))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in within], F.col("_range") == F.col("_of"))
+    placed = ranged.withColumn("_here", here).join(F.broadcast(offsets), same)  # a row for each range and group that meet: ranges and groups together, since groups are ranges' first keys
+    return placed.select(*df.columns, (F.col("_before") + F.col("_here")).alias(name))
+
+
 def latest_value(df: DataFrame, keys: Sequence[str], values: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Values of the row of each key that is greatest by the order columns, by one aggregation without a sort."""
     best = F.max(F.struct(*order, *[c for c in values if c not in order])).alias("_best")

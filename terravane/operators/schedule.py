@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .relational import numbered
+
 #: Days between runs of each cadence; once runs a single time.
 CADENCE_DAYS = {"daily": 1, "weekly": 7, "biweekly": 14, "monthly": 30, "quarterly": 91}
 
@@ -46,8 +48,7 @@ def purgeable(deleted_at: Column, now: Column, days: int) -> Column:
 def split_due(requests: DataFrame, key: str, reason: Column) -> DataFrame:
     """key, due, reason, place: requests that run and those skipped with their reason; place counts the due ones in order of the key."""
     told = requests.withColumn("_reason", F.nullif(reason, F.lit(""))).withColumn("_due", F.col("_reason").isNull())
-    due_keys = told.where("_due").select(key)
-    placed = due_keys.select(key, F.row_number().over(Window.orderBy(key)).cast("bigint").alias("place"))  # requests with a cadence: a list that people keep
+    placed = numbered(told.where("_due").select(key), [key])
     return told.select(key, F.col("_due").alias("due"), F.col("_reason").alias("reason")).join(placed, key, "left")
 
 

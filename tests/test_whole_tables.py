@@ -107,3 +107,18 @@ def test_components_of_chains_and_nothing(spark):
             up[y] = x
     rows = graph.components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b").collect()
     assert {r.node: r.root for r in rows} == {n: root(n) for n in list(up)} and len(rows) == len(up)
+
+
+def test_numbers_by_ranges_equal_one_window(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from terravane.operators import relational
+
+    rows = spark.range(5000).select("id", (F.col("id") * 7919 % 503).alias("v"), F.when(F.col("id") % 9 > 0, F.col("id") % 3).alias("g"))
+    for within in ([], ["g"]):
+        order = [F.desc("v"), "id"]
+        got = relational.numbered(rows, order, "n", within)
+        want = rows.withColumn("n", F.row_number().over(Window.partitionBy(*within).orderBy(*order)))
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert relational.numbered(rows.limit(0), ["id"]).count() == 0
