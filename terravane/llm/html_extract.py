@@ -10,7 +10,8 @@ deviation of the smoothed array into two clusters, content and other lines. The
   lines reach the threshold on average, and goes if not;
 - a run of lines that are all links has the ratio nought and goes, even where a neighbour lifts its smoothed ratio; a single such line follows its smoothed ratio;
 - the content region is the innermost element that holds all content lines: the article (with the articles beside it) or the main
-  element around them if there is one, else the deepest block that they share. It adds the short lines between and beside the content lines.
+  element around them if there is one; else the articles or the main element that hold most of their characters, which leaves out dense adverts and notices elsewhere, whatever
+  they are called; else the deepest block that they share. It adds the short lines between and beside the content lines.
 
 Rows are independent: Arrow batches in, Arrow batches out, no shuffle, memory of a slice of 2 MB of pages (or one page) at a time.
 
@@ -57,6 +58,8 @@ _WORD = re.compile(r"[a-z]+")
 SIGMA = 1.5
 #: A content line's own ratio is at least this share of the threshold; lines that only their neighbours lift are added within the region.
 OWN_SHARE = 0.5
+#: Articles or a main element hold the region if they hold this share of the content lines' characters, whatever lies outside of them.
+LEAST_MASS = 0.3
 
 
 def cue(tag: str, attrs) -> int:
@@ -207,8 +210,27 @@ def content_lines(lines) -> tuple[list[int], list[int]]:
     return chosen, added
 
 
+def heaviest(lines, chosen: list[int], kinds: list[str], parents: list[int]) -> set[int]:
+    """The articles of one parent, or the main element, that hold the most of the content lines' characters, if that is the share LEAST_MASS of all: what else the clusters took for content is outside of it."""
+    mass = [0] * len(kinds)
+    for i in chosen:
+        if lines[i][2] >= 0:
+            mass[lines[i][2]] += lines[i][4]
+    for n in range(len(kinds) - 1, -1, -1):
+        if parents[n] >= 0:
+            mass[parents[n]] += mass[n]
+    groups: dict[tuple[str, int], int] = {}
+    for n, kind in enumerate(kinds):
+        if kind in ("article", "main"):
+            groups[kind, parents[n]] = groups.get((kind, parents[n]), 0) + mass[n]
+    total, best = sum(lines[i][4] for i in chosen), max(groups, key=lambda g: (groups[g], g[0] == "article", -g[1]), default=None)
+    if best is None or groups[best] < LEAST_MASS * max(1, total):
+        return set()
+    return {n for n, k in enumerate(kinds) if (k, parents[n]) == best}
+
+
 def region_of(lines, chosen: list[int], kinds: list[str], parents: list[int]) -> set[int] | None:
-    """The nodes whose lines are the content: the article that all chosen lines share with its sibling articles, or a shared main element, else the deepest block they share; None is the page."""
+    """The nodes whose lines are the content: the article that all chosen lines share with its sibling articles, or a shared main element; else those that hold most of their text; else the deepest block they share; None is the page."""
     held = [0] * len(kinds)
     for i in chosen:
         if lines[i][2] >= 0:
@@ -220,6 +242,8 @@ def region_of(lines, chosen: list[int], kinds: list[str], parents: list[int]) ->
     for kind in ("article", "main"):
         if named := [n for n in shared if kinds[n] == kind]:
             return {n for n, k in enumerate(kinds) if k == kind and parents[n] == parents[named[0]]}
+    if heavy := heaviest(lines, chosen, kinds, parents):
+        return heavy
     holding = [n for n in shared if kinds[n] not in INLINE and kinds[n] not in CLOSES_P - {"div", "table"}]  # a section is a part of what holds it
     return {max(holding)} if holding else None
 
