@@ -316,11 +316,11 @@ def _(t):
     return rows.select("actor", P.drifted(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"), F.col("actor") % 2 == 0).alias("drifted"))
 
 
-@plan("cl13_single_primary", "SELECT l_suppkey, count(DISTINCT p_brand) AS links, CASE WHEN count(DISTINCT p_brand) = 1 THEN min(p_brand) END AS primary_brand FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size = 50 GROUP BY 1")
+@plan("cl13_single_primary", "SELECT l_orderkey, count(DISTINCT p_brand) AS links, CASE WHEN count(DISTINCT p_brand) = 1 THEN min(p_brand) END AS primary_brand FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1")
 def _(t):
-    rows = t.lineitem.select("l_suppkey", "l_partkey").join(t.part.where("p_size = 50").select("p_partkey", "p_brand"), F.col("p_partkey") == F.col("l_partkey"))
-    one = rows.groupBy("l_suppkey").agg(F.count_distinct("p_brand").alias("links"), F.min("p_brand").alias("b"))
-    return one.select("l_suppkey", "links", F.when(F.col("links") == 1, F.col("b")).alias("primary_brand"))
+    rows = t.lineitem.select("l_orderkey", "l_partkey").join(t.part.select("p_partkey", "p_brand"), F.col("p_partkey") == F.col("l_partkey"))
+    one = rows.groupBy("l_orderkey").agg(F.count_distinct("p_brand").alias("links"), F.min("p_brand").alias("b"))
+    return one.select("l_orderkey", "links", F.when(F.col("links") == 1, F.col("b")).alias("primary_brand"))
 
 
 # scoring

@@ -239,11 +239,11 @@ def _(t):
     return t.supplier.withColumn("k", key(typed)).join(t.nation.withColumn("k", key(F.col("n_name"))), "k", "left").select("s_suppkey", "n_nationkey")
 
 
-@plan("pr12_numbered_context", "SELECT conv_id, string_agg('[' || n || '] ' || role || ': ' || substr(text, 1, 20), chr(10) ORDER BY n) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY 1")
+@plan("pr12_numbered_context", "SELECT conv_id, string_agg('[' || n || '] ' || role || ': ' || text, chr(10) ORDER BY n) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY 1")
 def _(t):
     w = Window.partitionBy("conv_id").orderBy("turn")
     rows = t.conversations.withColumn("n", F.row_number().over(w))
-    line = F.concat(F.lit("["), F.col("n").cast("string"), F.lit("] "), F.col("role"), F.lit(": "), F.substring("text", 1, 20))
+    line = F.concat(F.lit("["), F.col("n").cast("string"), F.lit("] "), F.col("role"), F.lit(": "), F.col("text"))
     return rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("n", line.alias("s")))).alias("l")).select("conv_id", F.array_join("l.s", "\n").alias("context"))
 
 

@@ -42,12 +42,14 @@ D_SQL = MILES.format("lat", "lon", "lat2", "lon2")
 
 @plan(
     "cl07_hub_outcome",
-    f"""WITH {A_SQL}, e AS (SELECT actor, hub, list_contains(sectors, hub_sector) AS m, CASE WHEN list_contains(sectors, hub_sector) AND lat IS NOT NULL THEN {D_SQL} END AS d, radius FROM a JOIN h ON hub % 4 = actor % 4)
+    f"""WITH {A_SQL}, e AS (SELECT actor, hub, list_contains(sectors, hub_sector) AS m, CASE WHEN list_contains(sectors, hub_sector) AND lat IS NOT NULL THEN {D_SQL} END AS d, radius FROM a JOIN nation x ON x.n_nationkey = member_of JOIN nation y ON y.n_regionkey = x.n_regionkey JOIN h ON hub = y.n_nationkey)
     SELECT actor, hub, CASE WHEN NOT m THEN 'needs_review_sector' WHEN d IS NULL OR d > radius THEN 'needs_review_location' ELSE 'assigned' END AS outcome, CASE WHEN m THEN 'normal' ELSE 'low' END AS priority, coalesce(d > radius, false) AS outside FROM e""",
 )
 def _(t):
-    # the pairs that are asked for: suppliers and hubs of the same rest by four
-    pairs = actors(t).withColumn("r", F.col("actor") % 4).join(hubs(t).withColumn("r", F.col("hub") % 4), "r")
+    # the pairs that are asked for: a supplier and the hubs of its region
+    region = t.nation.select(F.col("n_nationkey").alias("hub"), F.col("n_regionkey").alias("r"))
+    own = actors(t).join(members(t).select("actor", "hub").join(region, "hub").drop("hub"), "actor")
+    pairs = own.join(hubs(t).join(region, "hub"), "r")
     return P.evaluations(pairs).select("actor", "hub", "outcome", "priority", "outside")
 
 
@@ -306,12 +308,12 @@ def _(t):
 
 @plan(
     "sc16_search_cache",
-    "WITH q AS (SELECT conv_id, turn, lower(trim(regexp_replace(substr(text, 1, 12), '[ \\n]+', ' ', 'g'))) AS query, CASE WHEN length(text) > 200 THEN 20 ELSE 10 END AS n, CASE WHEN role = 'user' THEN 'b.org,a.org' ELSE '' END AS domains FROM conversations) SELECT conv_id, turn, row_number() OVER (PARTITION BY query, n, domains ORDER BY conv_id, turn) > 1 AS hit FROM q",
+    "WITH q AS (SELECT conv_id, turn, lower(trim(regexp_replace(text, '[ \\n]+', ' ', 'g'))) AS query, CASE WHEN length(text) > 200 THEN 20 ELSE 10 END AS n, CASE WHEN role = 'user' THEN 'b.org,a.org' ELSE '' END AS domains FROM conversations) SELECT conv_id, turn, row_number() OVER (PARTITION BY query, n, domains ORDER BY conv_id, turn) > 1 AS hit FROM q",
 )
 def _(t):
     from ..sources.pages import cache_hits
 
-    asked = t.conversations.select("conv_id", "turn", F.substring("text", 1, 12).alias("query"), F.when(F.length("text") > 200, 20).otherwise(10).alias("n"), F.when(F.col("role") == "user", F.array(F.lit("b.org"), F.lit("a.org"))).otherwise(F.array().cast("array<string>")).alias("domains"))
+    asked = t.conversations.select("conv_id", "turn", F.col("text").alias("query"), F.when(F.length("text") > 200, 20).otherwise(10).alias("n"), F.when(F.col("role") == "user", F.array(F.lit("b.org"), F.lit("a.org"))).otherwise(F.array().cast("array<string>")).alias("domains"))
     return cache_hits(asked, "query", "n", "domains", ["conv_id", "turn"]).select("conv_id", "turn", "hit")
 
 
@@ -392,7 +394,7 @@ CITIES, REGIONS = ("austin", "reno"), ("texas", "nevada", "ohio")
 
 @plan(
     "er07_description_features",
-    f"""WITH p AS (SELECT p_brand, p_partkey, {ABOUT} AS d FROM part), q AS (SELECT a.p_partkey AS a, b.p_partkey AS b, a.d AS da, b.d AS db FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey AND b.p_partkey - a.p_partkey < 60),
+    f"""WITH p AS (SELECT p_brand, p_partkey, {ABOUT} AS d FROM part), q AS (SELECT p_partkey AS a, lead(p_partkey) OVER w AS b, d AS da, lead(d) OVER w AS db FROM p WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey) QUALIFY b IS NOT NULL),
     n AS (SELECT DISTINCT d FROM p WHERE d IS NOT NULL), tok AS (SELECT d, unnest(string_split(lower(d), ' ')) AS term FROM n), tf AS (SELECT d, term, count(*) AS tf FROM tok GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
     raw AS (SELECT d, term, (1 + ln(tf)) * (1 + ln((1 + (SELECT count(*) FROM n)) / (1 + df))) AS w FROM tf JOIN df USING (term)), ln AS (SELECT d, sqrt(sum(w * w)) AS l FROM raw GROUP BY 1), wt AS (SELECT d, term, w / l AS w FROM raw JOIN ln USING (d)),
     cs AS (SELECT x.d AS da, y.d AS db, sum(x.w * y.w) AS c FROM (SELECT DISTINCT da, db FROM q) k JOIN wt x ON x.d = k.da JOIN wt y ON y.d = k.db AND y.term = x.term GROUP BY 1, 2),
@@ -406,8 +408,8 @@ def _(t):
     from ..operators import search as Q
 
     rows = t.part.select("p_brand", "p_partkey", F.expr(ABOUT).alias("d"))
-    a, b = (rows.select("p_brand", F.col("p_partkey").alias(s), F.col("d").alias(f"desc_{s}")) for s in "ab")
-    pairs = a.join(b, "p_brand").where("a < b AND b - a < 60")  # the pairs to compare: parts of a brand that were listed near each other
+    w = Window.partitionBy("p_brand").orderBy("p_partkey")
+    pairs = rows.select(F.col("p_partkey").alias("a"), F.lead("p_partkey").over(w).alias("b"), F.col("d").alias("desc_a"), F.lead("d").over(w).alias("desc_b")).where("b IS NOT NULL")  # the pairs to compare: parts listed one after the other in their brand
     weights = Q.tfidf(rows.select(F.col("d").alias("key")).where("d IS NOT NULL").distinct(), "key", F.split(F.lower("key"), " "))
     out = E.description_features(pairs, weights, CITIES, REGIONS)
     return out.select("a", "b", F.floor(F.col("tfidf") * 1e5 + 0.5).alias("tfidf_e5"), "overlap", "place_conflict", "both_present")
@@ -416,19 +418,19 @@ def _(t):
 @plan(
     "er29_waiting_in_review",
     """WITH r AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS name FROM pages), k AS (SELECT *, regexp_replace(regexp_replace(lower(trim(url)), '^[a-z][a-z0-9+.-]*://(www\\.)?', ''), '/+$', '') AS u, trim(regexp_replace(strip_accents(lower(name)), '[^a-z0-9]+', ' ', 'g')) AS n FROM r),
-    p AS (SELECT * FROM k WHERE contains(url, '/es/') OR contains(url, 'utm_')) SELECT page_id, CASE WHEN u IN (SELECT u FROM p) THEN 'page' WHEN n IN (SELECT n FROM p WHERE n <> '') THEN 'name' END AS waits FROM k WHERE page_id % 2 = 1""",
+    p AS (SELECT * FROM k WHERE contains(url, '/es/') OR contains(url, 'utm_')) SELECT page_id, CASE WHEN u IN (SELECT u FROM p) THEN 'page' WHEN n IN (SELECT n FROM p WHERE n <> '') THEN 'name' END AS waits FROM k""",
 )
 def _(t):
     from ..operators import entity as E
 
     rows = t.pages.select("page_id", "url", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("name"))
     pending = rows.where(F.contains("url", F.lit("/es/")) | F.contains("url", F.lit("utm_")))
-    return E.waiting(rows.where("page_id % 2 = 1"), pending, "url", "name").select("page_id", "waits")
+    return E.waiting(rows, pending, "url", "name").select("page_id", "waits")
 
 
 @plan(
     "ru05_weight_errors",
-    """WITH w AS (SELECT user_id AS rubric, CASE WHEN event_type = 'error' AND user_id % 3 = 0 THEN 'other' ELSE event_type END AS item, CASE WHEN user_id % 7 = 0 THEN -0.2 ELSE 0.2 END AS weight FROM (SELECT DISTINCT user_id, event_type FROM events WHERE value > 30)),
+    """WITH w AS (SELECT user_id AS rubric, CASE WHEN event_type = 'error' AND user_id % 3 = 0 THEN 'other' ELSE event_type END AS item, CASE WHEN user_id % 7 = 0 THEN -0.2 ELSE 0.2 END AS weight FROM (SELECT DISTINCT user_id, event_type FROM events)),
     g AS (SELECT rubric, list_sort(list(DISTINCT item)) AS items, min(weight) AS low, sum(weight) AS total FROM w GROUP BY 1)
     SELECT rubric, concat_ws('; ', CASE WHEN NOT list_has_all(items, ['click', 'error', 'purchase', 'signup', 'view']) THEN 'missing: ' || array_to_string(list_filter(['click', 'error', 'purchase', 'signup', 'view'], lambda x: NOT list_contains(items, x)), ', ') END,
     CASE WHEN list_contains(items, 'other') THEN 'unknown: other' END, CASE WHEN low < 0 THEN 'negative' END, CASE WHEN abs(total - 1) > 1e-9 THEN 'does not add to one' END) AS errors FROM g""",
@@ -438,7 +440,7 @@ def _(t):
 
     for weights in (S.RELEVANCE_WEIGHTS, S.PRIORITY_WEIGHTS, S.COMBINED_WEIGHTS, S.EVENT_WEIGHTS, S.PERSON_WEIGHTS):
         S.check_weights(weights, list(weights))
-    rows = t.events.where("value > 30").select("user_id", "event_type").distinct()
+    rows = t.events.select("user_id", "event_type").distinct()
     item = F.when((F.col("event_type") == "error") & (F.col("user_id") % 3 == 0), "other").otherwise(F.col("event_type"))
     table = rows.select(F.col("user_id").alias("rubric"), item.alias("item"), F.when(F.col("user_id") % 7 == 0, -0.2).otherwise(0.2).alias("weight"))
     return S.weight_errors(table, ["click", "error", "purchase", "signup", "view"])
@@ -473,14 +475,14 @@ def _(t):
 
 @plan(
     "et02_upsert_by_name",
-    f"""WITH h AS (SELECT DISTINCT lower({W}) AS key, {W} AS name FROM part WHERE p_size < 2), hv AS (SELECT key, name, 'old' AS brand, CAST(NULL AS VARCHAR) AS kind FROM h),
-    r AS (SELECT lower(p_name) AS key, p_name AS name, p_partkey AS k, CASE WHEN p_size % 2 = 0 THEN p_brand END AS brand, CASE WHEN p_size % 5 = 0 THEN ' ' ELSE p_type END AS kind FROM part WHERE p_size BETWEEN 3 AND 5),
+    f"""WITH h AS (SELECT DISTINCT lower({W}) AS key, {W} AS name FROM part WHERE p_size < 25), hv AS (SELECT key, name, 'old' AS brand, CAST(NULL AS VARCHAR) AS kind FROM h),
+    r AS (SELECT lower(p_name) AS key, p_name AS name, p_partkey AS k, CASE WHEN p_size % 2 = 0 THEN p_brand END AS brand, CASE WHEN p_size % 5 = 0 THEN ' ' ELSE p_type END AS kind FROM part WHERE p_size > 20),
     n AS (SELECT key, arg_max(name, k) AS name, arg_max(brand, k) FILTER (WHERE brand IS NOT NULL) AS brand, arg_max(kind, k) FILTER (WHERE trim(kind) <> '') AS kind FROM r GROUP BY 1)
     SELECT coalesce(hv.key, n.key) AS key, coalesce(hv.name, n.name) AS name, coalesce(n.brand, hv.brand) AS brand, coalesce(n.kind, hv.kind) AS kind, CASE WHEN hv.key IS NULL THEN 'inserted' WHEN n.key IS NULL THEN 'kept' ELSE 'updated' END AS state FROM hv FULL JOIN n ON n.key = hv.key""",
 )
 def _(t):
-    held = t.part.where("p_size < 2").select(F.expr(W).alias("name")).distinct().select("name", F.lit("old").alias("brand"), F.lit(None).cast("string").alias("kind"))
-    rows = t.part.where("p_size BETWEEN 3 AND 5").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("k"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("brand"), F.when(F.col("p_size") % 5 == 0, " ").otherwise(F.col("p_type")).alias("kind"))
+    held = t.part.where("p_size < 25").select(F.expr(W).alias("name")).distinct().select("name", F.lit("old").alias("brand"), F.lit(None).cast("string").alias("kind"))
+    rows = t.part.where("p_size > 20").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("k"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("brand"), F.when(F.col("p_size") % 5 == 0, " ").otherwise(F.col("p_type")).alias("kind"))
     return C.upsert_by_name(held, rows, "name", "k", ["brand", "kind"])
 
 
