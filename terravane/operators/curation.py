@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -133,6 +134,33 @@ def field_errors(rows: DataFrame, values: dict[str, Column], fields: Sequence[di
     return cleaned.withColumn(name, F.array_compact(F.array(*first, *second))).drop(*[f"_c_{f['key']}" for f in fields])
 
 
+def cross_errors(rows: DataFrame, rules: Sequence[tuple], row: str, name: str = "errors") -> DataFrame:
+    """rows with the messages "Row n: ..." of the rules that cells break together, in order; blank cells are empty.
+
+    A rule is (kind, columns, message) with further values: ("one of", columns, message): one at least is filled; ("both", (a, b), message): both or neither; ("only for", (a, b), message, values): a only where b is one of the
+    values; ("needed for", (a, b), message, values): a wherever b is one; ("pair", (a, b), message, pairs): a pair of the list, where both are filled; ("derived", (a,), message, column): a is what the column derives, where it
+    derives something; ("sentences", (a,), message, (low, high)): so many sentences, where filled.
+    """
+    from ..functions import text as T
+
+    said = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    filled = lambda c: said(c) != ""
+    found = []
+    for kind, columns, message, *more in rules:
+        a, b = columns[0], columns[1] if len(columns) > 1 else None
+        wrong = {
+            "one of": lambda: ~reduce(lambda x, y: x | y, map(filled, columns)),
+            "both": lambda: filled(a) != filled(b),
+            "only for": lambda: filled(a) & ~said(b).isin(*more[0]),
+            "needed for": lambda: ~filled(a) & said(b).isin(*more[0]),
+            "pair": lambda: filled(a) & filled(b) & ~F.concat(said(a), F.lit("\n"), said(b)).isin(*["\n".join(p) for p in more[0]]),
+            "derived": lambda: filled(a) & (F.trim(more[0]) != "") & (said(a) != F.trim(more[0])),
+            "sentences": lambda: filled(a) & ~F.size(T.sentences(said(a))).between(*more[0]),
+        }[kind]()
+        found.append((message, wrong))
+    return checked(rows, found, row, name)
+
+
 def resolved_hub(rows: DataFrame, hubs: DataFrame, typed: str, name: str) -> DataFrame:
     """rows with resolved: the hub of the same slug, else the only one whose slug begins the other's either way, else the only one whose name is inside the other's either way.
 

@@ -20,18 +20,26 @@ from .similarity import edit_join, edit_pairs, overlap_pairs, subset_pairs
 
 #: Words without identity, words that tell institutions apart, states and regions, parts of an organization, words that only
 #: add structure, short forms, and numbers in words.
-STRUCTURAL = tuple(
-    "university univ of the at in and for a an department dept school college center centre institute laboratory laboratories lab labs program programs division office group inc llc ltd corporation corp company co".split()
+STRUCTURAL = (
+    "university", "univ", "of", "the", "at", "in", "and", "for", "a", "an", "department", "dept", "school", "college", "center", "centre",
+    "institute", "laboratory", "laboratories", "lab", "labs", "program", "programs", "division", "office", "group", "inc", "llc", "ltd",
+    "corporation", "corp", "company", "co",
 )
-QUALIFIERS = tuple("state tech technical technological technology polytechnic poly community southern northern eastern western central north south east west upper lower greater national international american royal federal".split())
-PLACES = tuple(
-    "alabama alaska arizona arkansas california colorado connecticut delaware florida georgia hawaii idaho illinois indiana iowa kansas kentucky louisiana maine maryland massachusetts michigan minnesota mississippi"
-    " missouri montana nebraska nevada ohio oklahoma oregon pennsylvania tennessee texas utah vermont virginia washington wisconsin wyoming"
-    " midwest midwestern northeast southeast southwest northwest pacific atlantic gulf appalachian rockies".split()
+QUALIFIERS = (
+    "state", "tech", "technical", "technological", "technology", "polytechnic", "poly", "community", "southern", "northern", "eastern", "western",
+    "central", "north", "south", "east", "west", "upper", "lower", "greater", "national", "international", "american", "royal", "federal",
 )
-PARTS = tuple(
-    "department dept school college center centre institute lab labs laboratory laboratories program programs division faculty erg chemistry engineering physics biology medicine campus branch office initiative initiatives"
-    " group unit facility facilities complex project projects health hospital clinic".split()
+PLACES = (
+    "alabama", "alaska", "arizona", "arkansas", "california", "colorado", "connecticut", "delaware", "florida", "georgia", "hawaii", "idaho",
+    "illinois", "indiana", "iowa", "kansas", "kentucky", "louisiana", "maine", "maryland", "massachusetts", "michigan", "minnesota", "mississippi",
+    "missouri", "montana", "nebraska", "nevada", "ohio", "oklahoma", "oregon", "pennsylvania", "tennessee", "texas", "utah", "vermont", "virginia",
+    "washington", "wisconsin", "wyoming", "midwest", "midwestern", "northeast", "southeast", "southwest", "northwest", "pacific", "atlantic", "gulf",
+    "appalachian", "rockies",
+)
+PARTS = (
+    "department", "dept", "school", "college", "center", "centre", "institute", "lab", "labs", "laboratory", "laboratories", "program", "programs",
+    "division", "faculty", "erg", "chemistry", "engineering", "physics", "biology", "medicine", "campus", "branch", "office", "initiative",
+    "initiatives", "group", "unit", "facility", "facilities", "complex", "project", "projects", "health", "hospital", "clinic",
 )
 ONLY_STRUCTURE = ("department", "dept", "of", "the", "at", "and", "for", "in")
 SHORT_FORMS = {

@@ -155,3 +155,22 @@ def window_split(events: DataFrame, last_day: str, named: Column, today: Column,
     """events with why_not: set for past events that ended more than `days` before today, unless the request names a period."""
     old = ~named & (F.col(last_day) < today) & (F.col(last_day) < F.date_sub(today, days))
     return events.withColumn("why_not", F.when(old, "Last edition more than 12 months ago."))
+
+
+def event_scope(start: Column, state: Column, form: Column, first: Column, last: Column, states: Sequence[str]) -> Column:
+    """before, after or elsewhere for an event outside what was asked, else null; an unknown date or place is not outside, nor is an online event anywhere. first, last: the dates asked for, null if open."""
+    online = F.coalesce(form == "online", F.lit(False))
+    away = F.upper(F.trim(state)).isin(*states) if states else F.lit(True)
+    return F.when(start < first, "before").when(start > last, "after").when((F.trim(state) != "") & ~away & ~online, "elsewhere")
+
+
+#: Words that make another institution of a similar name.
+TELLING_WORDS = ("baptist", "central", "christian", "college", "community", "eastern", "institute", "medical", "methodist", "northern", "polytechnic", "southern", "state", "tech", "technological", "technology", "western")
+
+
+def person_scope(affiliation: Column, asked: Column, small: Sequence[str] = (*T.LEGAL_WORDS, *T.STOP_WORDS), telling: Sequence[str] = TELLING_WORDS) -> Column:
+    """Whether a person works elsewhere than asked: a word of the institution asked for is missing, or the affiliation has a telling word more; unknown is not outside."""
+    words = lambda c: F.array_distinct(F.filter(T.words(T.plain(F.coalesce(c, F.lit("")))), lambda w: (F.length(w) > 2) & ~w.isin(*small)))
+    want, have = words(asked), words(affiliation)
+    more = F.arrays_overlap(F.array_except(have, want), F.array(*map(F.lit, telling)))
+    return (F.size(want) > 0) & (F.coalesce(F.trim(affiliation), F.lit("")) != "") & ((F.size(F.array_except(want, have)) > 0) | more)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..operators import relational as R
+from ..operators import screening as X
 from .registry import plan
 
 LIVE = "s_acctbal > 0"
@@ -297,11 +298,29 @@ def _(t):
     return R.on_domains(hosts, "host", hosts.where("page_id < 40").withColumnRenamed("host", "domain"), "domain").select("page_id")
 
 
-@plan("fi13_request_scope", "SELECT o_orderkey, CASE WHEN c_nationkey IS NULL THEN 'unknown' WHEN c_nationkey <> 3 THEN 'outside place' WHEN o_orderdate < TIMESTAMP '1997-01-01' THEN 'outside dates' ELSE 'inside' END AS scope FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0")
+@plan(
+    "fi13_request_scope",
+    """SELECT o_orderkey, CASE WHEN d < DATE '1993-06-01' THEN 'before' WHEN d > DATE '1997-06-30' THEN 'after' WHEN trim(state) <> '' AND upper(trim(state)) NOT IN ('TX', 'NY') AND form IS DISTINCT FROM 'online' THEN 'elsewhere' END AS outside FROM (
+    SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderdate AS DATE) END AS d, ['tx', ' NY ', 'CA', '', NULL][c_nationkey % 5 + 1] AS state, CASE c_mktsegment WHEN 'BUILDING' THEN 'online' WHEN 'MACHINERY' THEN NULL ELSE 'on site' END AS form FROM orders JOIN customer ON c_custkey = o_custkey)""",
+)
+def _(t):
+    state = F.element_at(F.array(*map(F.lit, ["tx", " NY ", "CA", "", None])), (F.col("c_nationkey") % 5 + 1).cast("int"))
+    form = F.when(F.col("c_mktsegment") == "BUILDING", "online").when(F.col("c_mktsegment") != "MACHINERY", "on site")
+    rows = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey"))
+    day = lambda d: F.lit(d).cast("date")
+    return rows.select("o_orderkey", X.event_scope(F.when(F.col("o_orderstatus") != "P", F.to_date("o_orderdate")), state, form, day("1993-06-01"), day("1997-06-30"), ["TX", "NY"]).alias("outside"))
+
+
+@plan(
+    "fi13_person_scope",
+    """WITH p AS (SELECT p_partkey, 'University of ' || p_name AS asked, CASE p_size % 6 WHEN 0 THEN NULL WHEN 1 THEN p_name || ' State University' WHEN 2 THEN 'The university of ' || p_name || ', ' || p_type WHEN 3 THEN 'University of ' || p_type WHEN 4 THEN upper(p_name) || ' University' ELSE ' ' END AS stated FROM part),
+    w AS (SELECT *, list_distinct(list_filter(string_split(trim(regexp_replace(lower(asked), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) > 2 AND w NOT IN ('the', 'and', 'for', 'inc', 'llc', 'ltd'))) AS a, list_distinct(list_filter(string_split(trim(regexp_replace(lower(coalesce(stated, '')), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) > 2 AND w NOT IN ('the', 'and', 'for', 'inc', 'llc', 'ltd'))) AS s FROM p)
+    SELECT p_partkey, coalesce(trim(stated), '') <> '' AND (NOT list_has_all(s, a) OR len(list_filter(s, lambda x: NOT list_contains(a, x) AND x IN ('state', 'tech', 'technology', 'institute', 'college', 'medical'))) > 0) AS outside FROM w""",
+)
 def _(t):
-    rows = t.orders.join(t.customer.where("c_acctbal > 0"), F.col("c_custkey") == F.col("o_custkey"), "left")
-    scope = F.when(F.col("c_nationkey").isNull(), "unknown").when(F.col("c_nationkey") != 3, "outside place").when(F.col("o_orderdate") < F.expr("timestamp_ntz '1997-01-01'"), "outside dates").otherwise("inside")
-    return rows.select("o_orderkey", scope.alias("scope"))
+    k, university = F.col("p_size") % 6, lambda *c: F.concat(*[F.lit(x) if x[:2] != "p_" else F.col(x) for x in c])
+    stated = F.when(k == 1, university("p_name", " State University")).when(k == 2, university("The university of ", "p_name", ", ", "p_type")).when(k == 3, university("University of ", "p_type")).when(k == 4, F.concat(F.upper("p_name"), F.lit(" University"))).when(k == 5, " ")
+    return t.part.select("p_partkey", X.person_scope(stated, university("University of ", "p_name")).alias("outside"))
 
 
 @plan("fi14_relevance_floor", "SELECT event_id, CASE WHEN k % 5 = 0 THEN NULL ELSE k < 30 END AS below FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)")

@@ -126,6 +126,24 @@ def _(t):
     return C.field_errors(t.orders, values, FIELDS).select("o_orderkey", F.array_join("errors", " ").alias("errors"))
 
 
+@plan(
+    "cu01_cross_rules",
+    r"""WITH r AS (SELECT p_partkey, CASE WHEN p_size % 7 > 0 THEN p_brand END AS website, CASE WHEN p_size % 5 > 0 THEN p_type END AS source, CASE WHEN p_size % 3 > 0 THEN p_name END AS parent, CASE WHEN p_size % 4 > 0 THEN 'part of' END AS relation, CASE WHEN p_size % 2 = 0 THEN 'seed' ELSE ' ' END AS stage, lower(p_type) AS kind, CASE WHEN p_size > 10 THEN p_brand END AS region, CASE WHEN p_size % 6 = 0 THEN NULL ELSE 'Brand#' || (11 + p_size % 5) END AS derived, CASE WHEN p_size % 9 = 0 THEN NULL WHEN p_size % 8 = 0 THEN 'One. Two! Three? Four.' ELSE p_name || '. It sells.' END AS about FROM part)
+    SELECT p_partkey, array_to_string(list_filter([CASE WHEN website IS NULL AND source IS NULL THEN 'a website or a source is required' END, CASE WHEN (parent IS NULL) <> (relation IS NULL) THEN 'parent and relationship go together' END, CASE WHEN trim(stage) <> '' AND kind NOT IN ('small', 'promo') THEN 'a stage is for startups' END,
+     CASE WHEN region IS NULL AND kind IN ('large') THEN 'a lab needs its designation' END, CASE WHEN region IS NOT NULL AND NOT ((kind = 'small' AND region = 'Brand#11') OR (kind = 'large' AND region = 'Brand#12')) THEN 'no such category and type' END, CASE WHEN region IS NOT NULL AND derived IS NOT NULL AND region <> derived THEN 'the region is not that of the state' END,
+     CASE WHEN about IS NOT NULL AND len(string_split_regex(about, '[.!?] ')) NOT BETWEEN 1 AND 3 THEN 'a description has one to three sentences' END], lambda x: x IS NOT NULL).list_transform(lambda m: 'Row ' || p_partkey || ': ' || m), ' | ') AS errors FROM r""",
+)
+def _(t):
+    when = lambda c, v: F.when(F.expr(c), F.col(v) if v.startswith("p_") else F.lit(v))
+    about = F.when(F.expr("p_size % 9 = 0"), None).when(F.expr("p_size % 8 = 0"), "One. Two! Three? Four.").otherwise(F.concat("p_name", F.lit(". It sells.")))
+    rows = t.part.select("p_partkey", when("p_size % 7 > 0", "p_brand").alias("website"), when("p_size % 5 > 0", "p_type").alias("source"), when("p_size % 3 > 0", "p_name").alias("parent"), when("p_size % 4 > 0", "part of").alias("relation"), when("p_size % 2 = 0", "seed").otherwise(" ").alias("stage"), F.lower("p_type").alias("kind"), when("p_size > 10", "p_brand").alias("region"), about.alias("about"), F.when(F.expr("p_size % 6 > 0"), F.concat(F.lit("Brand#"), (11 + F.col("p_size") % 5).cast("string"))).alias("derived"))
+    rules = [
+        ("one of", ("website", "source"), "a website or a source is required"), ("both", ("parent", "relation"), "parent and relationship go together"), ("only for", ("stage", "kind"), "a stage is for startups", ("small", "promo")), ("needed for", ("region", "kind"), "a lab needs its designation", ("large",)),
+        ("pair", ("kind", "region"), "no such category and type", (("small", "Brand#11"), ("large", "Brand#12"))), ("derived", ("region",), "the region is not that of the state", F.col("derived")), ("sentences", ("about",), "a description has one to three sentences", (1, 3)),
+    ]
+    return C.cross_errors(rows, rules, "p_partkey").select("p_partkey", F.array_join("errors", " | ").alias("errors"))
+
+
 @plan(
     "cu05_review_export",
     "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS place, c_name, s_name FROM orders JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0 JOIN supplier ON s_suppkey = o_custkey % 100 AND s_acctbal > 0 WHERE o_orderstatus = 'P' ORDER BY place LIMIT 500",
