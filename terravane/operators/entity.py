@@ -7,13 +7,15 @@ distinct before they are compared, and only distinct names are paired, so repeat
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .similarity import containment_pairs, set_pairs
+from .graph import components
+from .similarity import containment_pairs, edit_pairs, set_pairs
 
 #: Words that describe a part of an organization, and words that add structure only.
 SUB_UNIT_WORDS = ("department", "school", "college", "center", "centre", "lab", "laboratory", "division", "office", "institute")
@@ -121,6 +123,24 @@ def greedy_groups(df: DataFrame, block: Sequence[str], order: Sequence[str], key
     return df.select(*dict.fromkeys([*block, *order, key, name])).groupBy(*block).applyInPandas(scan, "key bigint, group bigint")
 
 
+def spelled_groups(df: DataFrame, block: Sequence[str], order: Sequence[str], key: str, name: str, least: int) -> DataFrame:
+    """key, group: greedy_groups() with names the same at a ratio of sorted words of `least`, each scan over records that spelling can connect instead of a whole block.
+
+    A group's merged name is the name of one of its records, so a record can only join a group in which it has a close name: records of a block that no chain of close names connects never meet, and
+    the components of that graph are scanned apart, with the result of one scan.
+    """
+    in_order = F.array_join(F.array_sort(T.words(F.trim(F.regexp_replace(F.coalesce(F.col(name), F.lit("")), r"\s+", " ")))), " ")
+    rows = df.select(*dict.fromkeys([*block, *order, key, name])).withColumn("_words", in_order).withColumn("_node", F.concat_ws("\n", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in block], "_words"))
+    nodes = rows.select(*block, "_words", "_node").distinct()
+    close = edit_pairs(nodes, "_words", least)
+    one = nodes.join(close, nodes["_words"] == close["a"])
+    other = nodes.select(*[F.col(c).alias(f"_o_{c}") for c in block], F.col("_words").alias("b"), F.col("_node").alias("_other"))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in block], F.lit(True))
+    joined = components(one.join(other, (one["b"] == other["b"]) & same).select("_node", "_other"), "_node", "_other")
+    placed = rows.join(joined, F.col("_node") == F.col("node"), "left").withColumn("_part", F.coalesce("root", "_node"))
+    return greedy_groups(placed, ["_part"], order, key, name, lambda a, b: T.token_sort(a, b) >= least)
+
+
 def natural_key(*parts: Column) -> Column:
     return F.concat_ws("|", *[F.coalesce(T.plain(p), F.lit("")) for p in parts])
 

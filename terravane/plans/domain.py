@@ -180,7 +180,7 @@ def _(t):
 @plan("er20_greedy_groups")
 def _(t):
     rows = t.part.select("p_partkey", "p_name", "p_brand")
-    return E.greedy_groups(rows, ["p_brand"], ["p_partkey"], "p_partkey", "p_name", lambda a, b: T.token_sort(a, b) >= 85)
+    return E.spelled_groups(rows, ["p_brand"], ["p_partkey"], "p_partkey", "p_name", 85)
 
 
 @plan("er22_components")

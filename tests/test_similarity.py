@@ -166,3 +166,15 @@ def test_collapsed_events_equal_one_scan(spark):
             winners.append((k, run, start, words))
         want[k] = k if hit is None else hit
     assert got == want and len(winners) < 200
+
+
+def test_spelled_groups_equal_one_scan(spark):
+    from terravane.operators import entity
+
+    rng = random.Random(31)
+    rows = [(rng.choice(["x", "y", None]), k, n) for k, n in enumerate(spellings(32, 140)) if n.strip()]
+    frame = spark.createDataFrame(rows, "block string, id bigint, name string")
+    for least in (85, 70):
+        got = {r.key: r.group for r in entity.spelled_groups(frame, ["block"], ["id"], "id", "name", least).collect()}
+        assert got == {r.key: r.group for r in entity.greedy_groups(frame, ["block"], ["id"], "id", "name", lambda a, b, n=least: T.token_sort(a, b) >= n).collect()}
+        assert len(set(got.values())) < len(got)
