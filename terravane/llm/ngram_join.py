@@ -253,11 +253,12 @@ def refined(docs: DataFrame, members: DataFrame, n: int, threshold: float) -> Da
     return written(members.join(sizes, "root", "left_anti").unionByName(again), "refined")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, second_banding: bool = True) -> DataFrame:
     """One row for each row of docs: doc_id, copy_id, n_copies, class_id, n_links.
 
     copy_id: least id of the rows with the same n-gram set, n_copies: their number. class_id: least id of all that verified
-    links connect. n_links: other copy classes whose sets reach the threshold with this one.
+    links connect. n_links: other copy classes whose sets reach the threshold with this one. second_banding: whether components of several blocks are banded once more
+    before they are verified; without it every pair of a component is verified, so that the first banding alone decides what is missed.
     """
     bands, rows = band_shape(threshold, recall)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -268,7 +269,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     roots = band_components(copies)
     near = copies.select("digest", F.col("copy_id").alias("doc_id"), "grams").join(roots, F.col("digest") == F.col("node")).drop("node")
-    near = refined(docs, written(near, "near"), n, threshold)
+    near = written(near, "near")
+    near = refined(docs, near, n, threshold) if second_banding else near
     sizes = near.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS), F.ceil(F.sum("grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
     sizes = small(written(sizes, "sizes"), BROADCAST_ROOTS)
     members = written(

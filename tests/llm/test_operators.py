@@ -338,6 +338,13 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, members):
     assert sorted(map(tuple, out)) == brute_near(rows)
 
 
+def test_near_duplicates_without_the_second_banding_agree(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_MEMBERS", 4)
+    rows = near_rows()
+    out = ngram_join.near_duplicates(docs(spark, rows), second_banding=False).collect()
+    assert sorted(map(tuple, out)) == brute_near(rows)
+
+
 def test_near_duplicates_odd_rows(spark):
     out = ngram_join.near_duplicates(docs(spark, ODD)).collect()
     assert len(out) == len(ODD) and {r.n_copies for r in out if r.doc_id in (1, 2)} == {4}
