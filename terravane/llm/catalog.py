@@ -30,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_exact_dedup": exact_dedup.SQL,
         "op9_quality_rules": quality_rules.SQL,
         "op11_hard_negatives": hard_negatives.SQL,
+        "op13_turn_repair": turn_repair.SQL,
     }

@@ -241,3 +241,34 @@ def op13_turn_repair(spark, sf_dir: str) -> DataFrame:
     own = digests(rows, audits).withColumnRenamed("conv_id", "_of")
     counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
     return audits.join(own, F.col("conv_id").eqNullSafe(F.col("_of"))).select("conv_id", *counts, "audit", "repaired_sha256")
+
+
+#: The same by recursion over a conversation's rows: the least (cost, audit) of each state after each row, with the turns said so far. States as above; moves: after a user turn comes an assistant turn, else a user turn.
+SQL = r"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+z AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda x: ord(x)::BIGINT)), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, j: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 20 AS kind FROM c),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM z WHERE kind <> 0),
+n AS (SELECT *, row_number() OVER w AS seq, lag(substr(role, 1, 1)) OVER w AS before, lag(turn) OVER w AS turn_before FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+f AS (SELECT *, substr(role, 1, 1) AS ini, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY seq) > 1 AS again FROM n),
+m AS (SELECT *, CASE WHEN last = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM f),
+t AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+  count(*) FILTER (WHERE seq > 1 AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM m GROUP BY conv_id),
+o AS (SELECT * FROM (VALUES (0, 0, 0), (1, 0, 1), (2, 0, 2), (3, 0, 3), (0, 1, 2), (1, 1, 2), (2, 1, 3), (3, 1, 2), (0, 2, 3), (1, 2, 3), (2, 2, 2), (3, 2, 3)) v(s, k, e)),
+r AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS s, 0::BIGINT AS cost, '' AS audit, []::VARCHAR[] AS said FROM t
+  UNION ALL
+  SELECT conv_id, any_value(i), s, min(cost), arg_min(audit, (cost, audit)), arg_min(said, (cost, audit)) FROM (
+    SELECT r.conv_id, r.i + 1 AS i, a.s2 AS s, r.cost + 2 * o.k + a.price AS cost, r.audit || repeat('I', o.k) || a.edit AS audit,
+           list_concat(list_concat(r.said, CASE WHEN o.k = 0 THEN [] WHEN o.k = 1 THEN [CASE WHEN o.e = 2 THEN 'user:' ELSE 'assistant:' END] WHEN o.e = 3 THEN ['user:', 'assistant:'] ELSE ['assistant:', 'user:'] END), a.line) AS said
+    FROM r JOIN o ON o.s = r.s JOIN m ON m.conv_id IS NOT DISTINCT FROM r.conv_id AND m.seq = r.i + 1,
+    LATERAL (SELECT 'D' AS edit, 3 AS price, o.e AS s2, []::VARCHAR[] AS line
+      UNION ALL SELECT 'K', (m.fault IS NOT NULL)::INTEGER, CASE m.ini WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, [m.role || ':' || m.text] WHERE coalesce(m.fault, '') NOT IN ('blank', 'duplicate') AND ((m.ini = 's' AND o.e = 0) OR (m.ini = 'u' AND o.e <> 2) OR (m.ini = 'a' AND o.e = 2))
+      UNION ALL SELECT 'R', 2 + (m.fault IS NOT NULL)::INTEGER, CASE WHEN o.e = 2 THEN 3 ELSE 2 END, [CASE WHEN o.e = 2 THEN 'assistant:' ELSE 'user:' END || m.text] WHERE coalesce(m.fault, '') NOT IN ('blank', 'duplicate')) a
+  ) GROUP BY conv_id, s
+),
+e AS (SELECT r.conv_id, min(r.cost + 2 * o.k) AS cost, arg_min(r.audit || repeat('I', o.k), (r.cost + 2 * o.k, r.audit || repeat('I', o.k))) AS audit,
+  arg_min(list_concat(r.said, CASE WHEN o.k = 0 THEN [] WHEN o.k = 1 THEN [CASE WHEN o.e = 2 THEN 'user:' ELSE 'assistant:' END] ELSE ['user:', 'assistant:'] END), (r.cost + 2 * o.k, r.audit || repeat('I', o.k))) AS said
+  FROM r JOIN t ON t.conv_id IS NOT DISTINCT FROM r.conv_id AND t.n = r.i JOIN o ON o.s = r.s AND o.e IN (0, 3) GROUP BY r.conv_id)
+SELECT g.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) g LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM g.conv_id
+"""
