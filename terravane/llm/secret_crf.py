@@ -252,7 +252,7 @@ class CRF:
             grads, m = [np.zeros_like(self.emit), np.zeros_like(self.move)], np.exp(self.move)
             for flat, seen_emit, seen_move, ended in groups:
                 size, t = ended.shape
-                e = (flat @ self.emit).reshape(size, t, 3)
+                e = (flat @ self.emit.astype(np.float32)).reshape(size, t, 3).astype(np.float64)
                 e = np.exp(e - e.max(axis=2, keepdims=True))
                 e[ended] = (1, 0, 0)
                 f, b = np.empty_like(e), np.empty_like(e)
@@ -271,7 +271,7 @@ class CRF:
                 pair = (pair / pair.sum(axis=(2, 3), keepdims=True)).sum(axis=(0, 1))
                 pair[OUT] += p[:, 0].sum(axis=0)
                 pair[:, OUT] += p[:, -1].sum(axis=0)
-                grads[0] += seen_emit - flat.T @ p.reshape(size * t, 3)
+                grads[0] += seen_emit - flat.T @ p.reshape(size * t, 3).astype(np.float32)
                 grads[1] += seen_move - pair
             grads = [grads[0] / n - decays * self.emit, grads[1] / n]
             grads[1][OUT, INSIDE] = 0
