@@ -67,11 +67,16 @@ def test_descendants_of_all_suppliers(spark, tmp_path):
     assert sorted(tuple(r) for r in got) == sorted(want)
 
 
-def test_duplicates_of_all_parts(spark, tmp_path):
-    rows = [(k, ["Red Nut", "red nut", "blue bolt"][k % 3], f"Brand#{k % 4}", k % 50) for k in range(150)]
-    got = ran(spark, tmp_path, "cu09_exact_duplicates", part=spark.createDataFrame(rows, "p_partkey bigint, p_name string, p_brand string, p_size int"))
-    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1].lower() == b[1].lower() and a[2] == b[2]}
-    assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+def test_exact_duplicates_by_name_or_address(spark):
+    from terravane.operators import curation
+
+    rows = [(k, ["Red Nut", "red nut", "blue bolt", None][k % 4], [f"https://s{k % 11}.org/", None, f"https://own{k}.org/"][k % 3]) for k in range(150)]
+    got = curation.exact_duplicates(spark.createDataFrame(rows, "key bigint, name string, site string"), "key", "name", "site").collect()
+    least = lambda i, same: min((r[0] for r in rows if same(r[i])), default=None)
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.by_name == (least(1, lambda n: n is not None and n.lower() == r.name.lower()) if r.name is not None else None)
+        assert r.by_site == (least(2, lambda u: u == r.site) if r.site is not None else None)
 
 
 def test_uploads_are_refused_whole(spark):
