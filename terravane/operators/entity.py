@@ -145,24 +145,61 @@ def natural_key(*parts: Column) -> Column:
     return F.concat_ws("|", *[F.coalesce(T.plain(p), F.lit("")) for p in parts])
 
 
+def described(rows: DataFrame, desc: str, weights: DataFrame, cities: Sequence[str], states: Sequence[str]) -> DataFrame:
+    """rows with _about: what compared() reads of a description, made once a row and not once a pair. weights as in description_features()."""
+    terms = weights.groupBy(F.col("key").alias(desc)).agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("_terms"))
+    text = F.coalesce(F.trim(desc), F.lit(""))
+    tokens = F.array_distinct(F.filter(T.words(T.plain(text)), lambda w: (F.length(w) > 2) & ~w.isin(*T.STOP_WORDS)))
+    named = lambda names: F.array_intersect("_tokens", F.array(*map(F.lit, names)))
+    told = rows.join(terms, desc, "left").withColumn("_tokens", tokens)
+    about = F.struct((text != "").alias("filled"), F.col("_tokens").alias("tokens"), named(cities).alias("cities"), named(states).alias("states"), F.col("_terms").alias("terms"))
+    return told.withColumn("_about", about).drop("_tokens", "_terms")
+
+
+def compared(x: Column, y: Column) -> dict[str, Column]:
+    """tfidf, overlap, place_conflict and both_present of two descriptions as described() tells them, all nought where either is missing."""
+    both = F.coalesce(x["filled"] & y["filled"], F.lit(False))
+    cosine = F.aggregate(F.map_entries(x["terms"]), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(y["terms"], e["key"]), F.lit(0.0)))
+    differ = lambda names: (F.size(x[names]) > 0) & (F.size(y[names]) > 0)
+    conflict = F.when(differ("cities"), ~F.arrays_overlap(x["cities"], y["cities"])).when(differ("states"), ~F.arrays_overlap(x["states"], y["states"])).otherwise(False)
+    zero = lambda c: F.when(both, c).otherwise(0.0)
+    return {"tfidf": zero(F.coalesce(cosine, F.lit(0.0))), "overlap": zero(T.jaccard(x["tokens"], y["tokens"])), "place_conflict": zero(conflict.cast("double")), "both_present": both.cast("int")}
+
+
 def description_features(pairs: DataFrame, weights: DataFrame, cities: Sequence[str], states: Sequence[str], dense: str | None = None) -> DataFrame:
     """pairs (a, b, desc_a, desc_b) with tfidf, dense, overlap, place_conflict and both_present: how alike two descriptions are, all nought where either is missing.
 
     weights: key, term, weight of every distinct description (search.tfidf() with the description as key); dense: a column of a model's similarity, where there is one. A city that both name differently is a conflict; states decide only where no city is
     named by both.
     """
-    side = lambda s: weights.select(F.col("key").alias(f"desc_{s}"), "term", F.col("weight").alias(f"_w{s}"))
-    cos = pairs.select("desc_a", "desc_b").distinct().join(side("a"), "desc_a").join(side("b"), ["desc_b", "term"]).groupBy("desc_a", "desc_b").agg(F.sum(F.col("_wa") * F.col("_wb")).alias("_cos"))
-    joined = pairs.join(cos, ["desc_a", "desc_b"], "left")
-    text = lambda s: F.coalesce(F.trim(f"desc_{s}"), F.lit(""))
-    both = (text("a") != "") & (text("b") != "")
-    tokens = lambda s: F.array_distinct(F.filter(T.words(T.plain(text(s))), lambda w: (F.length(w) > 2) & ~w.isin(*T.STOP_WORDS)))
-    named = lambda s, names: F.array_intersect(tokens(s), F.array(*map(F.lit, names)))
-    differ = lambda names: (F.size(named("a", names)) > 0) & (F.size(named("b", names)) > 0)
-    conflict = F.when(differ(cities), ~F.arrays_overlap(named("a", cities), named("b", cities))).when(differ(states), ~F.arrays_overlap(named("a", states), named("b", states))).otherwise(False)
-    zero = lambda c: F.when(both, c).otherwise(0.0)
-    own = F.lit(0.0) if dense is None else F.col(dense)
-    return joined.select("a", "b", zero(F.coalesce("_cos", F.lit(0.0))).alias("tfidf"), zero(own).alias("dense"), zero(T.jaccard(tokens("a"), tokens("b"))).alias("overlap"), zero(conflict.cast("double")).alias("place_conflict"), both.cast("int").alias("both_present"))
+    side = lambda s: described(pairs.select(f"desc_{s}").distinct(), f"desc_{s}", weights, cities, states).withColumnRenamed("_about", f"_{s}")
+    out = compared(F.col("_a"), F.col("_b"))
+    own = F.lit(0.0) if dense is None else F.when(out["both_present"] == 1, F.col(dense)).otherwise(0.0)
+    joined = pairs.join(side("a"), "desc_a", "left").join(side("b"), "desc_b", "left")
+    return joined.select("a", "b", out["tfidf"].alias("tfidf"), own.alias("dense"), *[out[c].alias(c) for c in ("overlap", "place_conflict", "both_present")])
+
+
+def description_pairs(rows: DataFrame, block: str, key: str, desc: str, weights: DataFrame, cities: Sequence[str], states: Sequence[str], part: int = 100) -> DataFrame:
+    """a, b, tfidf, overlap, place_conflict, both_present, copy: the features of all pairs of rows of a block, by classes of rows with the same description.
+
+    The least key of a class, of a missing description too, stands for it. Each pair of these is a row with a < b and copy 0, and each other member of a class is a row b of copy 1 with a that
+    stands for it. So two rows of different classes compare as those that stand for them, and two of one class as either of its rows of copy 1; no pair is left out, and copies are not
+    expanded. The classes of a block are dealt into parts, so its pairs are made in many tasks.
+    """
+    least = rows.where(F.col(key).isNotNull()).groupBy(block, desc).agg(F.min(key).alias("a"))
+    classes = described(least, desc, weights, cities, states).select(F.col(block).alias("_of"), F.col(desc).alias("_same"), "a", "_about")
+    sizes = least.groupBy(F.col(block).alias("_block")).agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("_parts"))
+    dealt = classes.join(sizes, F.col("_of").eqNullSafe(F.col("_block")))
+    tile = lambda i: F.concat_ws("=", i.cast("string"), "_of").alias("_tile")
+    left = dealt.select("a", F.col("_about").alias("_x"), tile(F.pmod(F.xxhash64("a"), "_parts")))
+    right = dealt.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).select(F.col("a").alias("b"), F.col("_about").alias("_y"), tile(F.col("_i")))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, since few rows make many pairs and would be put into few tasks
+    met = left.repartition(tasks, "_tile").join(right.repartition(tasks, "_tile"), "_tile").where("a < b")
+    features = lambda x, y: [c.alias(n) for n, c in compared(F.col(x), F.col(y)).items()]
+    own = classes.select("_of", "_same", "a", *features("_about", "_about"))
+    copies = rows.join(own, F.col(block).eqNullSafe(F.col("_of")) & F.col(desc).eqNullSafe(F.col("_same"))).where(F.col(key) > F.col("a"))
+    names = list(compared(F.col("_x"), F.col("_y")))
+    return met.select("a", "b", *features("_x", "_y"), F.lit(0).alias("copy")).union(copies.select("a", F.col(key).alias("b"), *names, F.lit(1).alias("copy")))
 
 
 def waiting(rows: DataFrame, pending: DataFrame, page: str, name: str) -> DataFrame:

@@ -412,25 +412,24 @@ CITIES, REGIONS = ("austin", "reno"), ("texas", "nevada", "ohio")
 
 @plan(
     "er07_description_features",
-    f"""WITH p AS (SELECT p_brand, p_partkey, {ABOUT} AS d FROM part), q AS (SELECT p_partkey AS a, lead(p_partkey) OVER w AS b, d AS da, lead(d) OVER w AS db FROM p WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey) QUALIFY b IS NOT NULL),
+    f"""WITH p AS (SELECT p_brand, p_partkey, {ABOUT} AS d FROM part), m AS (SELECT *, min(p_partkey) OVER (PARTITION BY p_brand, d) AS r FROM p), k AS (SELECT DISTINCT p_brand, d, r FROM m),
+    q AS (SELECT x.r AS a, y.r AS b, x.d AS da, y.d AS db, 0 AS copy FROM k x JOIN k y ON x.p_brand IS NOT DISTINCT FROM y.p_brand AND x.r < y.r UNION ALL SELECT r, p_partkey, d, d, 1 FROM m WHERE p_partkey > r),
     n AS (SELECT DISTINCT d FROM p WHERE d IS NOT NULL), tok AS (SELECT d, unnest(string_split(lower(d), ' ')) AS term FROM n), tf AS (SELECT d, term, count(*) AS tf FROM tok GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
     raw AS (SELECT d, term, (1 + ln(tf)) * (1 + ln((1 + (SELECT count(*) FROM n)) / (1 + df))) AS w FROM tf JOIN df USING (term)), ln AS (SELECT d, sqrt(sum(w * w)) AS l FROM raw GROUP BY 1), wt AS (SELECT d, term, w / l AS w FROM raw JOIN ln USING (d)),
     cs AS (SELECT x.d AS da, y.d AS db, sum(x.w * y.w) AS c FROM (SELECT DISTINCT da, db FROM q) k JOIN wt x ON x.d = k.da JOIN wt y ON y.d = k.db AND y.term = x.term GROUP BY 1, 2),
-    t AS (SELECT q.a, q.b, c, q.da IS NOT NULL AND q.db IS NOT NULL AS both_present, list_distinct(list_filter(string_split(lower(coalesce(q.da, '')), ' '), lambda w: length(w) > 2 AND NOT list_contains({quoted(T.STOP_WORDS)}, w))) AS ta, list_distinct(list_filter(string_split(lower(coalesce(q.db, '')), ' '), lambda w: length(w) > 2 AND NOT list_contains({quoted(T.STOP_WORDS)}, w))) AS tb FROM q LEFT JOIN cs ON cs.da = q.da AND cs.db = q.db),
+    t AS (SELECT q.a, q.b, copy, c, q.da IS NOT NULL AND q.db IS NOT NULL AS both_present, list_distinct(list_filter(string_split(lower(coalesce(q.da, '')), ' '), lambda w: length(w) > 2 AND NOT list_contains({quoted(T.STOP_WORDS)}, w))) AS ta, list_distinct(list_filter(string_split(lower(coalesce(q.db, '')), ' '), lambda w: length(w) > 2 AND NOT list_contains({quoted(T.STOP_WORDS)}, w))) AS tb FROM q LEFT JOIN cs ON cs.da = q.da AND cs.db = q.db),
     z AS (SELECT *, list_intersect(ta, {quoted(CITIES)}) AS ca, list_intersect(tb, {quoted(CITIES)}) AS cb, list_intersect(ta, {quoted(REGIONS)}) AS sa, list_intersect(tb, {quoted(REGIONS)}) AS sb FROM t)
     SELECT a, b, CAST(floor(CASE WHEN both_present THEN coalesce(c, 0) ELSE 0 END * 1e5 + 0.5) AS BIGINT) AS tfidf_e5, CASE WHEN both_present THEN len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))) ELSE 0 END AS overlap,
-    CAST(CASE WHEN NOT both_present THEN 0 WHEN len(ca) > 0 AND len(cb) > 0 THEN CAST(len(list_intersect(ca, cb)) = 0 AS INT) WHEN len(sa) > 0 AND len(sb) > 0 THEN CAST(len(list_intersect(sa, sb)) = 0 AS INT) ELSE 0 END AS DOUBLE) AS place_conflict, CAST(both_present AS INTEGER) AS both_present FROM z""",
+    CAST(CASE WHEN NOT both_present THEN 0 WHEN len(ca) > 0 AND len(cb) > 0 THEN CAST(len(list_intersect(ca, cb)) = 0 AS INT) WHEN len(sa) > 0 AND len(sb) > 0 THEN CAST(len(list_intersect(sa, sb)) = 0 AS INT) ELSE 0 END AS DOUBLE) AS place_conflict, CAST(both_present AS INTEGER) AS both_present, CAST(copy AS INTEGER) AS copy FROM z""",
 )
 def _(t):
     from ..operators import entity as E
     from ..operators import search as Q
 
     rows = t.part.select("p_brand", "p_partkey", F.expr(ABOUT).alias("d"))
-    w = Window.partitionBy("p_brand").orderBy("p_partkey")
-    pairs = rows.select(F.col("p_partkey").alias("a"), F.lead("p_partkey").over(w).alias("b"), F.col("d").alias("desc_a"), F.lead("d").over(w).alias("desc_b")).where("b IS NOT NULL")  # the pairs to compare: parts listed one after the other in their brand
     weights = Q.tfidf(rows.select(F.col("d").alias("key")).where("d IS NOT NULL").distinct(), "key", F.split(F.lower("key"), " "))
-    out = E.description_features(pairs, weights, CITIES, REGIONS)
-    return out.select("a", "b", F.floor(F.col("tfidf") * 1e5 + 0.5).alias("tfidf_e5"), "overlap", "place_conflict", "both_present")
+    out = E.description_pairs(rows, "p_brand", "p_partkey", "d", weights, CITIES, REGIONS)  # all pairs of parts of a brand
+    return out.select("a", "b", F.floor(F.col("tfidf") * 1e5 + 0.5).alias("tfidf_e5"), "overlap", "place_conflict", "both_present", "copy")
 
 
 @plan(

@@ -1,7 +1,12 @@
 """Plans on small fixtures of their own: every row of the tables counts, against brute force."""
 
+import itertools
+import math
 import random
 import re
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 from terravane import plans
 from terravane.operators import graph
@@ -127,3 +132,75 @@ def test_numbers_by_ranges_equal_one_window(spark):
         want = rows.withColumn("n", F.row_number().over(Window.partitionBy(*within).orderBy(*order)))
         assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert relational.numbered(rows.limit(0), ["id"]).count() == 0
+
+
+def descriptions(rows):
+    """What er07 makes of parts (key, name, brand, type, size): brand and description of each key."""
+    place = lambda size: "austin texas" if size > 30 else "reno nevada" if size > 20 else "ohio"
+    return {k: (brand, None if size % 6 == 0 or name is None else f"Makes {name} of {kind.lower()} kind in {place(size)}") for k, name, brand, kind, size in rows}
+
+
+def description_weights(texts):
+    """The weights of the terms of each text, of length one."""
+    terms = {d: Counter(d.lower().split(" ")) for d in texts}
+    df = Counter(w for t in terms.values() for w in t)
+    out = {}
+    for d, t in terms.items():
+        own = {w: (1 + math.log(n)) * (1 + math.log((1 + len(terms)) / (1 + df[w]))) for w, n in t.items()}
+        out[d] = {w: x / math.sqrt(sum(y * y for y in own.values())) for w, x in own.items()}
+    return out
+
+
+def description_pair(x, y, weights):
+    """tfidf in 1e-5, overlap, place_conflict and both_present of two descriptions."""
+    if x is None or y is None:
+        return 0, 0.0, 0.0, 0
+    words = lambda d: {w for w in d.lower().split(" ") if len(w) > 2 and w not in ("the", "and", "for")}
+    a, b = words(x), words(y)
+    conflict = 0.0
+    for names in ({"austin", "reno"}, {"texas", "nevada", "ohio"}):
+        if a & names and b & names:
+            conflict = float(not a & b & names)
+            break
+    return math.floor(sum(w * weights[y].get(t, 0) for t, w in weights[x].items()) * 1e5 + 0.5), len(a & b) / len(a | b), conflict, 1
+
+
+def test_description_features_of_all_pairs_of_a_brand(spark, tmp_path):
+    rng = random.Random(7)
+    keys = rng.sample(range(10**6), 150)  # far apart, in no order
+    rows = [(k, rng.choice(["hot ring", "old bolt", "cold nut", None]), rng.choice(["A", "B", "C", None]), rng.choice(["LARGE", "PROMO"]), rng.randint(1, 50)) for k in keys]
+    told = descriptions(rows)
+    got = ran(spark, tmp_path, "er07_description_features", part=spark.createDataFrame(rows, "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int"))
+    stands = {}
+    for k in sorted(keys):
+        stands.setdefault(told[k], k)
+    met = {(r.a, r.b): r for r in got}
+    assert len(met) == len(got)
+    assert {p for p, r in met.items() if r.copy} == {(stands[told[k]], k) for k in keys if stands[told[k]] != k}
+    assert {p for p, r in met.items() if not r.copy} == {(a, b) for a, b in itertools.combinations(sorted(stands.values()), 2) if told[a][0] == told[b][0]}
+    weights = description_weights({d for _, d in told.values() if d})
+    pairs = [(a, b) for a, b in itertools.combinations(sorted(keys), 2) if told[a][0] == told[b][0]]
+    for a, b in pairs:  # each pair of parts of a brand is told by those that stand for them
+        x, y = sorted((stands[told[a]], stands[told[b]]))
+        r = met[(x, b) if x == y else (x, y)]
+        tfidf, *rest = description_pair(told[a][1], told[b][1], weights)
+        assert (r.overlap, r.place_conflict, r.both_present) == tuple(rest) and abs(r.tfidf_e5 - tfidf) <= 1
+    assert len(pairs) > 2000 and 0 < len([r for r in got if r.copy]) < 150
+
+
+def test_description_pairs_in_parts_and_of_given_pairs(spark):
+    from terravane.operators import entity, search
+
+    rng = random.Random(8)
+    rows = spark.createDataFrame([(k, k % 2, rng.choice(["", None, "Lab of Reno, Nevada", "water in Austin"]) if k % 5 == 0 else f"Works of {k % 40} {rng.choice(['austin', 'reno', 'ohio'])}") for k in range(120)], "k bigint, block int, d string").cache()
+    weights = search.tfidf(rows.select(F.col("d").alias("key")).where("d IS NOT NULL").distinct(), "key", F.split(F.lower("key"), " "))
+    names = ("tfidf", "overlap", "place_conflict", "both_present")
+    of = lambda r: (round(r.tfidf, 9), *[r[n] for n in names[1:]])
+    one = {(r.a, r.b, r.copy): of(r) for r in entity.description_pairs(rows, "block", "k", "d", weights, ["austin", "reno"], ["ohio", "nevada"]).collect()}
+    many = entity.description_pairs(rows, "block", "k", "d", weights, ["austin", "reno"], ["ohio", "nevada"], part=3).collect()
+    assert len(many) == len(one) and {(r.a, r.b, r.copy): of(r) for r in many} == one
+    text = {r.k: (r.block, r.d) for r in rows.collect()}
+    given = spark.createDataFrame([(a, b, text[a][1], text[b][1]) for a, b, _ in one], "a bigint, b bigint, desc_a string, desc_b string")
+    assert {(r.a, r.b): (of(r), r.dense) for r in entity.description_features(given, weights, ["austin", "reno"], ["ohio", "nevada"]).collect()} == {(a, b): (f, 0.0) for (a, b, _), f in one.items()}
+    assert {f[3] for f in one.values()} == {0, 1} and {f[2] for f in one.values()} == {0.0, 1.0}
+    rows.unpersist()
