@@ -212,25 +212,35 @@ def route_events(rows: DataFrame, held: DataFrame) -> DataFrame:
     """id, decision, target, score: the natural key absorbs; a close title on the same day, or a closer one in the same year, is reviewed; else new.
 
     rows: id, key, title, day; held: target, key, title, day. Distinct titles are joined by spelling, and
-    the pairs that are close enough meet the records by title and day or year. A title without letters or digits is close to none.
+    the pairs that are close enough meet by title and day or year. A title without letters or digits is close to none.
+    Records of the same key, title and day are decided once, and held ones of the same title and day or year count as their least target, so copies never meet copies.
     """
-    same = rows.join(held.select("key", "target"), "key").groupBy("id").agg(F.min("target").alias("_same"))
+    kinds = rows.select("key", "title", "day").distinct()
+    known = held.groupBy("key", "title", "day").agg(F.min("target").alias("target"))
+    same = known.groupBy("key").agg(F.min("target").alias("_same"))
     titles = lambda rs, n: rs.select(F.col("title").alias(n), T.plain(F.col("title")).alias(f"_p{n}")).distinct()
-    mine, theirs = titles(rows, "title"), titles(held, "_title2")
+    mine, theirs = titles(kinds, "title"), titles(known, "_title2")
     met = edit_join(mine, theirs, "_ptitle", "_p_title2", int(100 * min(SAME_DAY_TITLE, SAME_YEAR_TITLE)))  # a sequence ratio is no greater than the indel ratio
     rated = met.withColumn("sim", T.sequence_ratio(F.col("_ptitle"), F.col("_p_title2"))).where(F.col("sim") >= min(SAME_DAY_TITLE, SAME_YEAR_TITLE))
     close = mine.join(rated, "_ptitle").join(theirs, "_p_title2").select("title", "_title2", "sim")
-    theirs = held.select("target", F.col("title").alias("_title2"), F.col("day").alias("_day2"))
-    mine = rows.where("day IS NOT NULL").select("id", "title", "day").join(close, "title")
-    on_day = mine.join(theirs, [mine["_title2"] == theirs["_title2"], mine["day"] == theirs["_day2"]]).where(F.col("sim") >= SAME_DAY_TITLE).select("id", "target", "sim")
-    in_year = mine.where(F.col("sim") >= SAME_YEAR_TITLE).withColumn("_y", F.year("day")).join(theirs.withColumn("_y2", F.year("_day2")), [mine["_title2"] == theirs["_title2"], F.col("_y") == F.col("_y2")]).select("id", "target", "sim")
-    best = on_day.union(in_year).groupBy("id").agg(F.max(F.struct("sim", (-F.col("target")).alias("_t"))).alias("_best"))
-    out = rows.select("id").join(same, "id", "left").join(best, "id", "left")
+    when = {"day": F.col("day"), "_year": F.year("day")}
+
+    def nearest(on: str, least: float) -> DataFrame:
+        """title, on, and the best (sim, -target) of the held titles that are close to it at that time."""
+        own = kinds.where("day IS NOT NULL").select("title", when[on].alias(on)).distinct().join(close.where(F.col("sim") >= least), "title")
+        theirs = known.where("day IS NOT NULL").groupBy(F.col("title").alias("_title2"), when[on].alias(on)).agg(F.min("target").alias("target"))
+        return own.join(theirs, ["_title2", on]).groupBy("title", on).agg(F.max(F.struct("sim", (-F.col("target")).alias("_t"))).alias(f"_best{on}"))
+
+    dated = kinds.withColumn("_year", when["_year"]).join(same, "key", "left").join(nearest("day", SAME_DAY_TITLE), ["title", "day"], "left").join(nearest("_year", SAME_YEAR_TITLE), ["title", "_year"], "left")
+    best = F.greatest(F.struct(F.coalesce("_bestday.sim", F.lit(-1.0)).alias("sim"), F.col("_bestday._t").alias("_t")), F.struct(F.coalesce("_best_year.sim", F.lit(-1.0)).alias("sim"), F.col("_best_year._t").alias("_t")))
+    told = dated.select(F.col("key").alias("_key"), F.col("title").alias("_title"), F.col("day").alias("_day"), "_same", best.alias("_best"))
+    out = rows.join(told, F.col("key").eqNullSafe(F.col("_key")) & F.col("title").eqNullSafe(F.col("_title")) & F.col("day").eqNullSafe(F.col("_day")))
+    close = F.col("_best.sim") >= 0
     return out.select(
         "id",
-        F.when(F.col("_same").isNotNull(), "absorb").when(F.col("_best").isNotNull(), "review").otherwise("create").alias("decision"),
-        F.coalesce("_same", -F.col("_best._t")).alias("target"),
-        F.when(F.col("_same").isNotNull(), 1.0).otherwise(F.coalesce(F.col("_best.sim"), F.lit(0.0))).alias("score"),
+        F.when(F.col("_same").isNotNull(), "absorb").when(close, "review").otherwise("create").alias("decision"),
+        F.coalesce("_same", F.when(close, -F.col("_best._t"))).alias("target"),
+        F.when(F.col("_same").isNotNull(), 1.0).otherwise(F.when(close, F.col("_best.sim")).otherwise(0.0)).alias("score"),
     )
 
 
