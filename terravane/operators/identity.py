@@ -508,15 +508,18 @@ def official_matches(actors: DataFrame, candidates: DataFrame, providers: Sequen
     brackets are its own initials and the candidate has none. Matches that lead to different addresses are a conflict; else the first provider in order wins, then the closer name, then the candidate.
     """
     base = lambda c: T.plain(F.regexp_replace(c, r"\([^)]*\)", " "))
-    a = actors.select("actor", F.col("name").alias("_an"), base(F.col("name")).alias("_base"))
-    c = candidates.where(F.col("provider").isin(*providers)).select("candidate", "provider", F.col("name").alias("_cn"), base(F.col("name")).alias("_base"), U.key(F.coalesce("website", F.lit(""))).alias("_url"))
+    a = actors.select(F.col("name").alias("_an")).distinct().withColumn("_base", base(F.col("_an")))
+    # candidates of one name and register differ in key and address only: the least key, and the least and greatest address tell whether there are two
+    told = candidates.where(F.col("provider").isin(*providers)).withColumn("_url", F.nullif(U.key(F.coalesce("website", F.lit(""))), F.lit("")))
+    c = told.groupBy("provider", F.col("name").alias("_cn")).agg(F.min("candidate").alias("candidate"), F.min("_url").alias("_low"), F.max("_url").alias("_high")).withColumn("_base", base(F.col("_cn")))
     j = a.where("_base <> ''").join(c, "_base")
     notes, other = T.bracketed(F.col("_an")), T.bracketed(F.col("_cn"))
     own_initials = F.forall(notes, lambda n: F.regexp_replace(n, "[^a-z0-9]", "") == T.acronym(F.col("_base")))
     strict = (T.plain(F.col("_an")) == T.plain(F.col("_cn"))) | (F.size(notes) == 0) | ((F.size(other) == 0) & own_initials)
     order = F.array_position(listed(providers), F.col("provider"))
     found = j.where(strict).withColumn("_rank", F.struct(order.alias("o"), (-T.name_similarity(F.col("_an"), F.col("_cn"))).alias("s"), "candidate", "provider"))
-    one = found.groupBy("actor").agg(F.min("_rank").alias("b"), F.count_distinct(F.when(F.col("_url") != "", F.col("_url"))).alias("n"))
-    clear = F.col("n") <= 1
+    one = found.groupBy("_an").agg(F.min("_rank").alias("b"), F.min("_low").alias("low"), F.max("_high").alias("high"))
+    each = actors.select("actor", F.col("name").alias("_an")).join(one, "_an").groupBy("actor").agg(F.min("b").alias("b"), F.min("low").alias("low"), F.max("high").alias("high"))
+    clear = F.coalesce(F.col("low") == F.col("high"), F.lit(True))
     pick = lambda c, name: F.when(clear, c).alias(name)
-    return one.select("actor", F.when(clear, "matched").otherwise("conflict").alias("outcome"), pick(F.col("b.candidate"), "candidate"), pick(F.col("b.provider"), "provider"), pick(F.lit(confidence), "confidence"))
+    return each.select("actor", F.when(clear, "matched").otherwise("conflict").alias("outcome"), pick(F.col("b.candidate"), "candidate"), pick(F.col("b.provider"), "provider"), pick(F.lit(confidence), "confidence"))

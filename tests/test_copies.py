@@ -48,3 +48,16 @@ def test_copies_of_events_are_routed_once(spark):
         else:  # the same title in another month, or the plural of all words
             want = ("review", 9000, 1.0) if title == "Water Summit" else ("review", 10001, sim[title])
         assert (r.decision, r.target, round(r.score, 9)) == (want[0], want[1], round(want[2], 9)), (k, title, when)
+
+
+def test_copies_of_candidates_are_matched_once(spark):
+    n = 2000
+    actors = [(k, ["Acme Water", "Acme Water (AW)", "Zeta"][k % 3]) for k in range(n)]
+    held = [(10000 + k, "Acme Water" if k % 2 else "Acme Water (XY)", "ror" if k % 5 else "sec", "https://a.org") for k in range(n)] + [(5, "Zeta", "ror", ""), (6, "zeta", "openalex", "https://z.org"), (4, "Zeta", "openalex", "http://www.y.org")]
+    frames = spark.createDataFrame(actors, "actor bigint, name string"), spark.createDataFrame(held, "candidate bigint, name string, provider string, website string")
+    got, most = joined_rows(I.official_matches(*frames, ["ror", "openalex"]))
+    assert most <= 2 * n
+    want = {0: ("matched", 10001, "ror", 0.88), 1: ("matched", 10001, "ror", 0.88), 2: ("conflict", None, None, None)}
+    assert {r.actor: tuple(r)[1:] for r in got} == {k: want[k % 3] for k in range(n)}
+    one = spark.createDataFrame([(1, "Zeta")], "actor bigint, name string")
+    assert [tuple(r) for r in I.official_matches(one, frames[1].where("candidate <> 6"), ["ror", "openalex"]).collect()] == [(1, "matched", 5, "ror", 0.88)]
