@@ -471,15 +471,20 @@ def held_events(titles: DataFrame, key: str, title: str, held: DataFrame, held_k
     tokens = lambda c: F.array_distinct(T.words(T.plain(F.col(c))))
     years = lambda c: F.array_distinct(F.regexp_extract_all(F.coalesce(c.cast("string"), F.lit("")), F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1)))
     distinctive = F.array_sort(F.filter(tokens(name), lambda w: ~w.isin(*stop) & ~w.rlike("^[0-9]+$")))
-    events = held.select(F.col(held_key).alias("_held"), distinctive.alias("_ws"), F.array_union(years(F.col(name)), years(F.col(day))).alias("_hy")).where(F.size("_ws") >= least)
-    said = titles.select(F.col(key).alias("key"), years(F.col(title)).alias("_ty"), tokens(title).alias("_said"))
+    # titles of the same words and years are told once, and events of the same words and years count as the least of them
+    events = held.select(F.col(held_key).alias("_held"), distinctive.alias("_ws"), F.array_sort(F.array_union(years(F.col(name)), years(F.col(day)))).alias("_hy")).where(F.size("_ws") >= least).groupBy("_ws", "_hy").agg(F.min("_held").alias("_held"))
+    told = titles.select(F.col(key).alias("key"), F.array_sort(years(F.col(title))).alias("_ty"), F.array_sort(tokens(title)).alias("_said"))
+    kinds = told.select("_said", "_ty").distinct()
     # an event's rarest word finds the titles that can name it; a word of every title is never joined on
+    said = kinds.select("_said").distinct()
     counts = said.select(F.explode("_said").alias("_w")).groupBy("_w").agg(F.count(F.lit(1)).alias("n"))
-    anchors = events.select("_ws", F.explode("_ws").alias("_w")).distinct().join(counts, "_w").groupBy("_ws").agg(F.min(F.struct("n", "_w"))["_w"].alias("_w"))
-    met = said.withColumn("_w", F.explode("_said")).join(events.join(anchors, "_ws"), "_w").where(F.size(F.array_except("_ws", "_said")) == 0)
+    names = events.select("_ws").distinct()
+    anchors = names.select("_ws", F.explode("_ws").alias("_w")).join(counts, "_w").groupBy("_ws").agg(F.min(F.struct("n", "_w"))["_w"].alias("_w"))
+    met = said.withColumn("_w", F.explode("_said")).join(anchors, "_w").where(F.size(F.array_except("_ws", "_said")) == 0).select("_said", "_ws")
     other = (F.size("_hy") > 0) & (F.size("_ty") > 0) & ~F.arrays_overlap("_hy", "_ty")
     undated = (F.size("_ty") > 0) & (F.size("_hy") == 0)
-    return met.where(~other & ~undated).groupBy("key").agg(F.min("_held").alias("held"))
+    found = kinds.join(met, "_said").join(events, "_ws").where(~other & ~undated).groupBy("_said", "_ty").agg(F.min("_held").alias("held"))
+    return told.join(found, ["_said", "_ty"]).groupBy("key").agg(F.min("held").alias("held"))
 
 
 def linked_people(people: DataFrame, actors: DataFrame, least: float = 85) -> DataFrame:

@@ -61,3 +61,13 @@ def test_copies_of_candidates_are_matched_once(spark):
     assert {r.actor: tuple(r)[1:] for r in got} == {k: want[k % 3] for k in range(n)}
     one = spark.createDataFrame([(1, "Zeta")], "actor bigint, name string")
     assert [tuple(r) for r in I.official_matches(one, frames[1].where("candidate <> 6"), ["ror", "openalex"]).collect()] == [(1, "matched", 5, "ror", 0.88)]
+
+
+def test_copies_of_titles_name_events_once(spark):
+    n, day = 2000, datetime.date(2026, 5, 1)
+    titles = [(k, ["Water Summit Lower Saxony Forum", "Forum: Saxony lower water SUMMIT 2026", "Lower Water Forum"][k % 3]) for k in range(n)]
+    held = [(10000 + k, "Lower Saxony Water Forum", day if k % 2 else None) for k in range(n)] + [(9000, "Lower Saxony Water Forum 2025", None), (8000, "Water", day)]
+    frames = spark.createDataFrame(titles, "k bigint, t string"), spark.createDataFrame(held, "h bigint, t string, d date")
+    got, most = joined_rows(I.held_events(frames[0], "k", "t", frames[1], "h", "t", "d"))
+    assert most <= 2 * n
+    assert {r.key: r.held for r in got} == {k: 9000 if k % 3 == 0 else 10001 for k in range(n) if k % 3 < 2}
