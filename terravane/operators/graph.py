@@ -69,26 +69,41 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 50) -> DataF
     return known.unionByName(known.select(F.col("root").alias("node"), "root").distinct())
 
 
-def first_come(edges: DataFrame, weak: str, strong: str, rank: str, most_rounds: int = 200) -> DataFrame:
-    """node, winner for every node of the edges: in order of strength a node joins the strongest winner it has an edge to, or wins itself.
+def strongest_first(spots: DataFrame, near: DataFrame, alike: float, most_rounds: int = 200) -> DataFrame:
+    """class, start, winner (the key in a rank): in order of rank a spot joins the strongest winner that it meets, or wins itself.
 
-    The same as one scan in order, in rounds: a node without undecided stronger neighbours is decided at once, a node beside a winner loses at once, so a round decides all local cases
-    together and the rounds follow the longest chain of undecided neighbours, not the nodes. rank: the strong end's place in the order, least first.
+    spots: class, start, rank, a row for each class and start, from a stored table; near: a, b, share of classes. Spots meet in one class, in classes whose share is `alike`, or, in other near classes, at the same start.
+    A round lets every open spot win that is the strongest open one among all that it meets, so it settles all local cases together, and a class is done once one of its spots wins.
     """
-    _checkpoint_dir(edges.sparkSession)
-    links = edges.select(F.col(weak).alias("weak"), F.col(strong).alias("strong"), F.col(rank).alias("rank")).checkpoint()
-    state = links.select(F.col("strong").alias("node")).union(links.select("weak")).distinct().join(links.select(F.col("weak").alias("node")).distinct().withColumn("below", F.lit(True)), "node", "left")
-    state = state.select("node", F.when(F.col("below").isNull(), F.lit(True)).alias("wins")).checkpoint()  # null: undecided
+    _checkpoint_dir(spots.sparkSession)
+    near = near.checkpoint()
+    both = near.select("a", "b", "share").union(near.select("b", "a", "share")).toDF("class", "other", "share")
+    same = spots.select("class").distinct().withColumn("other", F.col("class"))
+    wide = both.where(F.col("share") + 1e-12 >= alike).select("class", "other").union(same)
+    close = both.where(F.col("share") + 1e-12 < alike).select("class", "other")
+
+    def met(heads: DataFrame, tails: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The least rank that each class meets among the heads (class, rank), and that each spot meets at its start in close classes among the tails."""
+        named = lambda rs: rs.withColumnRenamed("class", "other")
+        by_class = wide.join(named(heads), "other").groupBy("class").agg(F.min("rank").alias("wide"))
+        return by_class, close.join(named(tails), "other").groupBy("class", "start").agg(F.min("rank").alias("close"))
+
+    open_, won = spots, None
     for _ in range(most_rounds):
-        if not state.where("wins IS NULL").limit(1).count():
+        if not open_.limit(1).count():
             break
-        open_ = links.join(state.where("wins IS NULL").select(F.col("node").alias("weak")), "weak", "left_semi")
-        seen = open_.join(state.select(F.col("node").alias("strong"), "wins"), "strong").groupBy("weak").agg(F.max(F.coalesce("wins", F.lit(False))).alias("beside"), F.min(F.col("wins").isNotNull()).alias("all_known"))
-        state = state.join(seen, state["node"] == seen["weak"], "left").select("node", F.coalesce("wins", F.when(F.col("beside"), False).when(F.col("all_known"), True)).alias("wins")).checkpoint()
+        fronts = open_.groupBy("class").agg(F.min(F.struct("rank", "start")).alias("f")).select("class", "f.rank", "f.start")
+        by_class, by_spot = met(fronts.select("class", "rank"), open_)
+        first = fronts.join(by_class, "class").where("rank = wide").join(by_spot, ["class", "start"], "left").where("close IS NULL OR rank < close").select("class", "start", "rank").checkpoint()
+        by_class, by_spot = met(first.select("class", "rank"), first)
+        open_ = open_.join(by_class, "class", "left_anti").join(by_spot, ["class", "start"], "left_anti").checkpoint()
+        won = first if won is None else won.unionByName(first)
     else:
         raise RuntimeError("the order did not settle")
-    over = links.join(state.where("wins").select(F.col("node").alias("strong")), "strong").groupBy("weak").agg(F.min(F.struct("rank", "strong"))["strong"].alias("winner"))
-    return state.join(over, state["node"] == over["weak"], "left").select("node", F.when(F.col("wins"), F.col("node")).otherwise(F.col("winner")).alias("winner"))
+    won = spots.limit(0) if won is None else won
+    by_class, by_spot = met(won.groupBy("class").agg(F.min("rank").alias("rank")), won)
+    told = spots.join(by_class, "class", "left").join(by_spot, ["class", "start"], "left")
+    return told.select("class", "start", F.least("wide", "close")["key"].alias("winner"))
 
 
 def _followed(pointers: DataFrame, most_rounds: int) -> DataFrame:

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
-from .graph import first_come
+from ..sources.shared import fresh_path, stored
+from .graph import strongest_first
 from .similarity import edit_join, edit_pairs, overlap_pairs, subset_pairs
 
 #: Words without identity, words that tell institutions apart, states and regions, parts of an organization, words that only
@@ -447,20 +448,20 @@ def collapsed_events(events: DataFrame, run: str, key: str, title: str, start: s
     """key, winner: kept candidates in order of strength join the first stronger winner that is the same event; others win themselves.
 
     Strength: read on its own site, the top band, the score, then the key. The same event: the same start and 0.7 of the smaller set of words,
-    or the same year and 0.85. Pairs come from an overlap join of words within a year of a run; who joins whom is settled in rounds, as one scan in order would.
+    or the same year and 0.85. Candidates of the same run, words and start have the same neighbours, so the strongest of them stands for all. Those of the same run, words and year
+    are all the same event, so at most one of them wins; overlaps are joined between such classes, not between candidates, and who wins is settled in rounds, as one scan in order would.
     """
     stop = ("the", "and", "for", "conference", "summit", "annual")
-    words = F.array_distinct(F.filter(T.words(T.plain(F.col(title))), lambda w: (F.length(w) > 2) & ~w.rlike("^[0-9]+$") & ~w.isin(*stop)))
+    words = F.array_sort(F.array_distinct(F.filter(T.words(T.plain(F.col(title))), lambda w: (F.length(w) > 2) & ~w.rlike("^[0-9]+$") & ~w.isin(*stop))))
     strength = F.struct((~F.col(own)).alias("own"), (F.col(band) != "auto_high").alias("band"), (-F.col(score).cast("double")).alias("score"), F.col(key).alias("key"))
     rows = events.select(F.col(run).alias("run"), F.col(key).alias("key"), F.col(start).cast("string").alias("start"), words.alias("words"), strength.alias("rank"))
-    place = F.concat(F.col("run").cast("string"), F.lit("|"), F.substring("start", 1, 4), F.lit("|"))
-    near = overlap_pairs(rows.where("start IS NOT NULL AND start <> '' AND run IS NOT NULL").select("key", F.transform("words", lambda w: F.concat(place, w)).alias("words")), "key", "words", 0.7)
-    side = lambda s: rows.select(F.col("key").alias(s), F.col("start").alias(f"start_{s}"), F.col("rank").alias(f"rank_{s}"))
-    same = near.join(side("a"), "a").join(side("b"), "b").where((F.col("start_a") == F.col("start_b")) | (F.col("share") + 1e-12 >= 0.85))
-    first = F.col("rank_a") < F.col("rank_b")
-    edges = same.select(F.when(first, F.col("b")).otherwise(F.col("a")).alias("weak"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("strong"), F.when(first, F.col("rank_a")).otherwise(F.col("rank_b")).alias("rank"))
-    settled = first_come(edges, "weak", "strong", "rank")
-    return rows.select("key").join(settled, rows["key"] == settled["node"], "left").select("key", F.coalesce("winner", "key").alias("winner"))
+    rows = rows.withColumn("class", F.when((F.col("start") != "") & F.col("run").isNotNull() & (F.size("words") > 0), F.concat_ws("|", F.col("run").cast("string"), F.substring("start", 1, 4), F.array_join("words", " "))))
+    spots = stored(rows.where("class IS NOT NULL").groupBy("class", "start").agg(F.min("rank").alias("rank")), fresh_path(events.sparkSession, "spots"))
+    own_words = F.substring_index("class", "|", -1)
+    place = F.substring("class", F.lit(1), F.length("class") - F.length(own_words))
+    near = overlap_pairs(spots.select("class").distinct().select("class", F.transform(F.split(own_words, " "), lambda w: F.concat(place, w)).alias("words")), "class", "words", 0.7)
+    winners = strongest_first(spots, near, 0.85)
+    return rows.select("key", "class", "start").join(winners, ["class", "start"], "left").select("key", F.coalesce("winner", "key").alias("winner"))
 
 
 def held_events(titles: DataFrame, key: str, title: str, held: DataFrame, held_key: str, name: str, day: str, stop: Sequence[str] = ("the", "and", "for", "conference", "summit", "annual", "edition"), least: int = 3) -> DataFrame:

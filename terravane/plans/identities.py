@@ -154,12 +154,12 @@ def _(t):
     return I.route_people(rows.where("c_custkey % 3 = 0").withColumnRenamed("c_custkey", "id"), held, actors, INSTITUTION)
 
 
-def summits(t):
-    """Events by order: a title from the first item's part and the year, the order's day, a natural key of both."""
+def summits(t, *keep):
+    """Events by order: a title from the first item's part and the year, the order's day, a natural key of both, and columns of the order."""
     first = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_partkey").alias("p_partkey"))
     titled = t.orders.join(first, "o_orderkey").join(t.part.select("p_partkey", F.expr(W).alias("w"), "p_brand"), "p_partkey")
     title = F.concat(F.col("w"), F.when(F.col("o_orderkey") % 5 == 0, " Summits").otherwise(" Summit"))
-    return titled.select("o_orderkey", title.alias("title"), F.to_date("o_orderdate").alias("day"), F.concat_ws("|", T.plain(title), F.to_date("o_orderdate").cast("string")).alias("key"))
+    return titled.select("o_orderkey", title.alias("title"), F.to_date("o_orderdate").alias("day"), F.concat_ws("|", T.plain(title), F.to_date("o_orderdate").cast("string")).alias("key"), *keep)
 
 
 @plan("er11_event_routing")
@@ -211,7 +211,7 @@ def _(t):
 
 @plan("er25_same_event_collapse")
 def _(t):
-    rows = summits(t).join(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), "o_orderkey")
+    rows = summits(t, "o_custkey", "o_orderstatus", "o_totalprice")
     rows = rows.withColumn("own", F.col("o_orderstatus") == "P").withColumn("band", F.when(F.col("o_totalprice") > 250000, "auto_high").otherwise("review")).withColumn("run", F.col("o_custkey") % 10)
     return I.collapsed_events(rows, "run", "o_orderkey", "title", "day", "own", "band", "o_totalprice")
 

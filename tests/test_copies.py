@@ -71,3 +71,21 @@ def test_copies_of_titles_name_events_once(spark):
     got, most = joined_rows(I.held_events(frames[0], "k", "t", frames[1], "h", "t", "d"))
     assert most <= 2 * n
     assert {r.key: r.held for r in got} == {k: 9000 if k % 3 == 0 else 10001 for k in range(n) if k % 3 < 2}
+
+
+def test_copies_of_events_collapse_without_pairs(spark, monkeypatch):
+    """Overlaps are joined between distinct words of a year, and the winners are those of one scan in order."""
+    tried, joined = [], I.overlap_pairs
+    monkeypatch.setattr(I, "overlap_pairs", lambda *x: [tried.append(x[0].count()), joined(*x)][1])
+    titles = ["World Agri Tech Summit", "World Agri Tech Expo", "World Agri Solar Tech Expo", "Agri Solar Tech Expo Days", "Solar Wind"]
+    rows = [(k, k % 2, titles[k * 7 % 5], f"2026-0{1 + k * 11 % 3}-01", k % 13 == 0, "review", float(k * 37 % 50)) for k in range(600)]
+    got = {r.key: r.winner for r in I.collapsed_events(spark.createDataFrame(rows, "k bigint, run int, title string, start string, own boolean, band string, score double"), "run", "k", "title", "start", "own", "band", "score").collect()}
+    winners, want = [], {}
+    for k, run, title, start, own, _, score in sorted(rows, key=lambda r: (not r[4], -r[6], r[0])):
+        words = {w for w in title.lower().split() if w != "summit"}
+        share = lambda x, words=words: len(words & x) / min(len(words), len(x)) + 1e-12
+        hit = next((o for o, r, d, x in winners if r == run and share(x) >= (0.7 if d == start else 0.85)), None)
+        if hit is None:
+            winners.append((k, run, start, words))
+        want[k] = k if hit is None else hit
+    assert got == want and tried == [10]
