@@ -165,6 +165,30 @@ def edge_class(a: Column, b: Column, share: float = 0.6) -> Column:
     )
 
 
+#: Records of a block that meet the others in one task.
+HUB_PART = 500
+
+
+def shared_hubs(rows: DataFrame, key: str, block: str, hubs: DataFrame, of: str, hub: str, part: int = HUB_PART) -> DataFrame:
+    """a, b, hub_overlap with a < b: all pairs of records of a block, and 1 where both have a hub in common.
+
+    The partners of a record come from the hubs of a block that several of its records have, and stand with it as one list. The records of a block are dealt into parts,
+    each of which meets the block in a task, so its pairs are made in many tasks and no pair carries hubs.
+    """
+    own = rows.select(F.col(key).alias("k"), F.col(block).alias("_block")).where("k IS NOT NULL AND _block IS NOT NULL")
+    each = hubs.select(F.col(of).alias("k"), F.col(hub).alias("_hub")).where("_hub IS NOT NULL").join(own, "k")
+    several = each.groupBy("_block", "_hub").agg(F.collect_set("k").alias("_ks")).where(F.size("_ks") > 1).select("_block", F.explode("_ks").alias("a"), "_ks")
+    partners = several.select("_block", "a", F.explode(F.filter("_ks", lambda k: k > F.col("a"))).alias("b")).groupBy("_block", "a").agg(F.collect_set("b").alias("_with"))
+    sizes = own.groupBy("_block").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("_parts"))
+    dealt = own.join(sizes, "_block")
+    tile = lambda i: F.concat_ws("=", i.cast("string"), "_block").alias("_tile")
+    left = dealt.withColumnRenamed("k", "a").join(partners, ["_block", "a"], "left").select("a", "_with", tile(F.pmod(F.xxhash64("a"), "_parts")))
+    right = dealt.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).select(F.col("k").alias("b"), tile(F.col("_i")))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, since few rows make many pairs and would be put into few tasks
+    met = left.repartition(tasks, "_tile").join(right.repartition(tasks, "_tile"), "_tile").where("a < b")
+    return met.select("a", "b", F.coalesce(F.array_contains("_with", F.col("b")), F.lit(False)).cast("int").alias("hub_overlap"))
+
+
 # routing
 
 

@@ -85,11 +85,8 @@ def _(t):
 )
 def _(t):
     # hubs of a supplier: the orders that it has items in; pairs to tell apart are suppliers of one nation
-    own = t.supplier.select("s_suppkey", "s_nationkey")
-    hubs = t.lineitem.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.collect_set(F.col("l_orderkey").cast("string")).alias("hubs"))
-    rows = own.join(hubs, "s_suppkey", "left")
-    a, b = rows.select(F.col("s_suppkey").alias("a"), "s_nationkey", F.col("hubs").alias("_ha")), rows.select(F.col("s_suppkey").alias("b"), "s_nationkey", F.col("hubs").alias("_hb"))
-    return a.join(b, "s_nationkey").where("a < b").select("a", "b", F.coalesce(F.arrays_overlap("_ha", "_hb"), F.lit(False)).cast("int").alias("hub_overlap"))
+    rows = t.supplier.select("s_suppkey", "s_nationkey")
+    return I.shared_hubs(rows, "s_suppkey", "s_nationkey", t.lineitem.select("l_suppkey", "l_orderkey"), "l_suppkey", "l_orderkey")
 
 
 PLAIN = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"

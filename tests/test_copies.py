@@ -89,3 +89,14 @@ def test_copies_of_events_collapse_without_pairs(spark, monkeypatch):
             winners.append((k, run, start, words))
         want[k] = k if hit is None else hit
     assert got == want and tried == [10]
+
+
+def test_hubs_stay_out_of_pairs(spark):
+    """Pairs with a hub in common are told by brute force, over several parts of a block, and no array of hubs goes into the join of pairs."""
+    rows = [(k, k % 3 if k % 10 else None) for k in range(90)] + [(None, 1), (200, 1)]
+    items = [(k, k * 7 % 40) for k in range(90)] + [(k, k * 5 % 31) for k in range(90)] + [(5, None), (7, None), (None, 3)]
+    frames = spark.createDataFrame(rows, "s bigint, n int"), spark.createDataFrame(items, "ls bigint, lo bigint")
+    got = I.shared_hubs(frames[0], "s", "n", frames[1], "ls", "lo", part=4).collect()
+    hubs = {k: {h for x, h in items if x == k and h is not None} for k, _ in rows}
+    want = {(a, b, int(bool(hubs[a] & hubs[b]))) for a, n in rows for b, m in rows if n is not None and n == m and a is not None and b is not None and a < b}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want and {x[2] for x in want} == {0, 1}
