@@ -127,10 +127,16 @@ def sentences(value: Column) -> Column:
 
 def quote_on_page(quote: Column, page: Column, share: float = 0.8, least: int = 4) -> Column:
     """The quote is part of the page, or has at least `least` longer words of which the share occur on it."""
-    q, p = plain(quote), plain(page)
+    p = plain(page)
+    return quote_on_plain(quote, p, words(p), share, least)
+
+
+def quote_on_plain(quote: Column, page: Column, page_words: Column, share: float = 0.8, least: int = 4) -> Column:
+    """quote_on_page() for a page that is plain already, with its words."""
+    q = plain(quote)
     own = F.array_distinct(F.filter(words(q), lambda w: F.length(w) > 2))
-    held = F.size(F.array_intersect(own, words(p)))
-    return ((q != "") & F.contains(p, q)) | ((F.size(own) >= least) & (held >= share * F.size(own)))
+    held = F.size(F.array_intersect(own, page_words))
+    return ((q != "") & F.contains(page, q)) | ((F.size(own) >= least) & (held >= share * F.size(own)))
 
 
 def name_on_page(name: Column, page: Column, titles: Sequence[str] = ("dr", "prof", "professor", "mr", "mrs", "ms")) -> Column:

@@ -180,13 +180,33 @@ def verified(value: Column, quote: Column, page: Column) -> Column:
 
 def verified_items(items: Column, quote: Column, page: Column, least: int = 4) -> Column:
     """struct(kept, dropped): list items that the page states, whole or up to their first comma, or all of whose words of `least` letters a quote on the page says."""
-    backed = F.when((F.coalesce(F.trim(quote), F.lit("")) != "") & T.quote_on_page(quote, page), quote).otherwise("")
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1)))
     longer = lambda i: F.filter(words(i), lambda w: F.length(w) >= least)
-    said_all = lambda i: (F.size(longer(i)) > 0) & (F.size(F.array_except(longer(i), words(backed))) == 0)
-    holds = lambda i: F.coalesce(T.quote_on_page(i, page) | T.quote_on_page(F.split_part(i, F.lit(","), F.lit(1)), page) | said_all(i), F.lit(False))
-    said = F.filter(F.transform(items, lambda i: F.trim(i)), lambda i: i != "")
-    return F.struct(F.filter(said, holds).alias("kept"), F.filter(said, lambda i: ~holds(i)).alias("dropped"))
+
+    def told(g: Column) -> Column:
+        """The items with whether each holds, given the page (plain, and its words) once."""
+        on_page = lambda c: T.quote_on_plain(c, g["page"], g["words"])
+        backed = F.when((F.coalesce(F.trim(quote), F.lit("")) != "") & on_page(quote), quote).otherwise("")
+        said = F.filter(F.transform(items, lambda i: F.trim(i)), lambda i: i != "")
+
+        def held(own: Column) -> Column:
+            said_all = lambda i: (F.size(longer(i)) > 0) & (F.size(F.array_except(longer(i), own)) == 0)
+            holds = lambda i: F.coalesce(on_page(i) | on_page(F.split_part(i, F.lit(","), F.lit(1))) | said_all(i), F.lit(False))
+            return F.transform(said, lambda i: F.struct(i.alias("item"), holds(i).alias("holds")))
+
+        return _given(words(backed), held)
+
+    def parted(every: Column) -> Column:
+        of = lambda kept: F.transform(F.filter(every, lambda x: x["holds"] == F.lit(kept)), lambda x: x["item"])
+        return F.struct(of(True).alias("kept"), of(False).alias("dropped"))
+
+    pages = _given(T.plain(page), lambda p: F.struct(p.alias("page"), T.words(p).alias("words")))
+    return _given(_given(pages, told), parted)
+
+
+def _given(value: Column, then) -> Column:
+    """then(value), where the value is computed once for a row however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def grounded(value: Column, page: Column) -> Column:

@@ -100,3 +100,18 @@ def test_hubs_stay_out_of_pairs(spark):
     hubs = {k: {h for x, h in items if x == k and h is not None} for k, _ in rows}
     want = {(a, b, int(bool(hubs[a] & hubs[b]))) for a, n in rows for b, m in rows if n is not None and n == m and a is not None and b is not None and a < b}
     assert len(got) == len(want) and {tuple(r) for r in got} == want and {x[2] for x in want} == {0, 1}
+
+
+def test_pages_are_made_plain_once(spark):
+    """verified_items() makes a page plain once, whatever the number of its items."""
+    from terravane.operators import facts as FA
+
+    page = "The Acme water plant, built in 1998, serves the whole northern valley with clean water"
+    items = ["Acme water plant", "northern valley, of Ohio", " ", "clean valley water northern plant", "built plant", "zzqx 99", None]
+    rows = spark.createDataFrame([(1, page, items, "built in 1998 serves the plant"), (2, None, items, None), (3, page, None, None)], "k int, page string, items array<string>, quote string")
+    out = rows.select("k", FA.verified_items(F.col("items"), F.col("quote"), F.col("page")).alias("v")).select("k", F.col("v.kept").alias("kept"), F.col("v.dropped").alias("dropped"))
+    got = {r.k: (r.kept, r.dropped) for r in out.collect()}
+    assert got[1] == (["Acme water plant", "northern valley, of Ohio", "clean valley water northern plant", "built plant"], ["zzqx 99"])
+    assert not got[2][0] and got[3] == (None, None)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(page") == 1
